@@ -1,0 +1 @@
+"""operators of the event-related analytics engine."""

@@ -1,0 +1 @@
+"""plans of the event-related analytics engine."""

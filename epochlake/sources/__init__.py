@@ -1,0 +1 @@
+"""sources of the event-related analytics engine."""

@@ -1,0 +1 @@
+"""streaming of the event-related analytics engine."""
