@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, secrets, sharding, url_filters
+from . import bpe, mixing, secrets, sharding, substrings, url_filters
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op6_sharding": sharding.op6_sharding,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op9_url_filters": url_filters.op9_url_filters,
 }
-SQL = {"op2_mixing": mixing.OP2_SQL, "op9_url_filters": url_filters.OP9_SQL}
+SQL = {"op1_substring_dedup": substrings.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op9_url_filters": url_filters.OP9_SQL}

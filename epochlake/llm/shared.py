@@ -14,6 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 
@@ -169,3 +170,79 @@ def slots(order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = np.flatnonzero(order_key[1:] != order_key[:-1]) + 1
     bounds = np.concatenate([[0], cut, [len(order_key)]])
     return order_key[bounds[:-1]], bounds
+
+
+# -- exchanges of packed arrays ------------------------------------------------
+
+
+def pack(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each 64-bit value."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values occur in the sorted array `of`."""
+    if not len(of):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(of, values)
+    at[at == len(of)] = 0
+    return of[at] == values
+
+
+def by_key(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(rows of one key as lists by column) yields record batches; keys are hash-partitioned and streamed in order.
+
+    Unlike a grouped-map call this costs no Arrow batch per key, so it suits many small groups too.
+    """
+
+    def stream(batches):
+        held: list | None = None
+        key = None
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in b.schema.names]
+            at = [b.schema.names.index(k) for k in keys]
+            for row in zip(*cols, strict=True):
+                k = tuple(row[i] for i in at)
+                if k != key:
+                    if held:
+                        yield from run(key, held)
+                    held, key = [], k
+                held.append(row)
+        if held:
+            yield from run(key, held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+# -- connected components ------------------------------------------------------
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of links (a, b): root is the smallest node reachable.
+
+    Alternating large-star and small-star rounds (public map-reduce algorithm): each is a pre-aggregated minimum per
+    node and a join back, so a node with very many links is neither gathered nor expanded, and the number of rounds
+    grows with the logarithm of the longest chain.  Each round is a table in the shared folder.
+    """
+    e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    e = staged(e, "links")
+    before = None
+    for _ in range(most_rounds):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a")
+        e = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        e = staged(e, "links")
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.count_distinct("a")).first())
+        if now == before or not now[0]:
+            break
+        before = now
+    return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
