@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, secrets, sharding, substrings, url_filters
+from . import bpe, mixing, ngram_join, secrets, sharding, substrings, url_filters
 
 QUERIES = {
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op5_bpe": bpe.op5_bpe,
@@ -12,4 +13,4 @@ QUERIES = {
     "op7_secret_scans": secrets.op7_secret_scans,
     "op9_url_filters": url_filters.op9_url_filters,
 }
-SQL = {"op1_substring_dedup": substrings.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op9_url_filters": url_filters.OP9_SQL}
+SQL = {"op3_ngram_join": ngram_join.OP3_SQL, "op1_substring_dedup": substrings.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op9_url_filters": url_filters.OP9_SQL}
