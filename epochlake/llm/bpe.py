@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,8 @@ from .shared import batch, table
 SHORT_WORD = 96
 #: Entries of a task's word cache before it is emptied.
 CACHE_WORDS = 400_000
-NO_RANK = 1 << 30
+#: A merge is the number rank << 20 | merged id; this one stands for none.
+NO_MERGE, ID_MASK = 1 << 60, (1 << 20) - 1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -29,13 +33,28 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def late_letters() -> str:
-    """Code points that `regex` takes for letters or numbers and the installed tokenizer library's older Unicode does not."""
+    """Code points that `regex` takes for letters or numbers and the installed tokenizer library's older Unicode does
+    not, as the ranges of a character class."""
     from tokenizers import pre_tokenizers
 
     split = pre_tokenizers.ByteLevel(add_prefix_space=False)
     word = regex.compile(r"[\p{L}\p{N}]")
     doubtful = (c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and word.match(chr(c)))
-    return "".join(chr(c) for c in doubtful if len(split.pre_tokenize_str(f"a{chr(c)}")) + len(split.pre_tokenize_str(f"1{chr(c)}")) > 3)
+    late = [c for c in doubtful if len(split.pre_tokenize_str(f"a{chr(c)}")) + len(split.pre_tokenize_str(f"1{chr(c)}")) > 3]
+    ends = [i for i, c in enumerate(late) if i + 1 == len(late) or late[i + 1] != c + 1]
+    return "".join(f"{chr(late[a])}-{chr(late[b])}" for a, b in zip([0, *(i + 1 for i in ends)], ends, strict=False))
+
+
+class _Cache(dict):
+    """Ids of pre-tokens, worked out at their first look-up."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.word = codec.word
+
+    def __missing__(self, text: str) -> bytes:
+        self[text] = out = self.word(text)
+        return out
 
 
 class Codec:
@@ -55,72 +74,69 @@ class Codec:
         self.merge = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
+            self.merge[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         kinds = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.pattern = regex.compile(kinds.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}"))
         late = late_letters()
-        self.late = regex.compile(f"[{late}]") if late else None
+        self.late = re.compile(f"[{late}]") if late else None
+        self.may_be_late = re.compile(f"[{late[0]}-\U0010ffff]") if late else None
         self.careful = regex.compile("(?V1)" + kinds.replace("{L}", rf"[\p{{L}}--[{late}]]").replace("{N}", rf"[\p{{N}}--[{late}]]").replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]")) if late else self.pattern
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self)
 
     def word(self, text: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
         ids = [self.byte_id[b] for b in text.encode()]
         ids = self._by_ranks(ids) if len(ids) <= SHORT_WORD else self._by_heap(ids)
-        return np.array(ids, dtype="<u4").tobytes()
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _by_ranks(self, ids: list[int]) -> list[int]:
-        """ids[i] is the part at boundary i, ranks[i] the rank of parts i and i + 1."""
-        get, none = self.merge.get, (NO_RANK, 0)
-        ranks = [get(a << 20 | b, none)[0] for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == NO_RANK:
+        """ids[i] is the part at boundary i, best[i] the merge of parts i and i + 1."""
+        get, none = self.merge.get, NO_MERGE
+        best = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while best:
+            least = min(best)
+            if least == none:
                 break
-            i = ranks.index(least)
-            ids[i] = get(ids[i] << 20 | ids[i + 1])[1]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)[0]
+            i = best.index(least)
+            ids[i] = new = least & ID_MASK
+            del ids[i + 1], best[i]
+            if i < len(best):
+                best[i] = get(new << 20 | ids[i + 1], none)
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)[0]
+                best[i - 1] = get(ids[i - 1] << 20 | new, none)
         return ids
 
     def _by_heap(self, ids: list[int]) -> list[int]:
         """The same merges in the same order (rank, then position) for words of any length."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.merge.get(a << 20 | b))]
+        heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.merge.get(a << 20 | b))]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = self.merge[a << 20 | b][1], -1
+            ids[i], ids[j] = m & ID_MASK, -1
             after[i] = j = after[j]
             if j < n:
                 before[j] = i
             for x, y in ((before[i], i), (i, j)):
                 if x >= 0 and y < n and (m := self.merge.get(ids[x] << 20 | ids[y])):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y]))
+                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
     def _plain(self, text: str) -> list[bytes]:
         pattern = self.pattern
-        if self.late is not None and not text.isascii() and self.late.search(text):
+        if self.late is not None and not text.isascii() and self.may_be_late.search(text) and self.late.search(text):
             pattern = self.careful
-        words, cache = pattern.findall(text), self.cache
-        try:
-            return [cache[w] for w in words]
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = self.word(w)
-            return [cache[w] for w in words]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        return list(map(self.cache.__getitem__, pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         if self.split_added is None or not any(x in text for x in self.added):
