@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, batch, bucket_count, by_key, chunks, components, member, mix, pack, slots, staged, table, unpack, window_hash
+from .shared import Words, batch, bucket_count, by_key, chunks, components, member, mix, pack, pack_small, slots, staged, table, unpack, unpack_small, window_hash
 from .substrings import GROUP_BYTES, NO_ID, grouped
 
 SHINGLE = 5
@@ -25,6 +25,8 @@ SEGMENT_SHARE = 0.42
 DELETION_SIZE = 28
 #: Segmentations tried for a set that too few segments cover (small sets that hash unevenly), before all such sets meet.
 SEEDS = 4
+#: Signatures of more sets than this are allotted last.
+HOT = 64
 #: Documents of one leader are dealt to blocks of about this many.
 BLOCK = 256
 
@@ -60,8 +62,7 @@ def entries(tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """Signatures of a sorted set by band: (signatures, how many the allocation must keep; 0: all).
 
     Exact bands: one signature per non-empty segment.  Two similar sets have at most `differ` unlike segments, so in any
-    common order of signatures the first common one is among the first differ + 1 of both: the allocation keeps that many,
-    the rarest.  Deletion bands: also each segment less one element; a segment of two or more elements then covers two
+    common order of signatures the first common one is among the first differ + 1 of both: the allocation keeps that many.  Deletion bands: also each segment less one element; a segment of two or more elements then covers two
     differences, one of a single element covers one.  A set whose segments cover too little goes on to further
     segmentations and at last to a signature that all such sets share.
     """
@@ -119,13 +120,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 _SAID = "bucket int, grp int, ids binary, sizes binary, sigs binary, odd binary, counts binary"
 _SAID_ARROW = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "sigs", "odd", "counts"))])
-_HEARD = "grp int, sigs binary, leaders binary, counts binary"
-_HEARD_ARROW = pa.schema([("grp", pa.int32()), *((c, pa.binary()) for c in ("sigs", "leaders", "counts"))])
+_HEARD = "grp int, bucket int, sigs binary, leaders binary, counts binary"
+_HEARD_ARROW = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("sigs", "leaders", "counts"))])
 _ROWS = "leader long, block int, kind int, doc long, tokens binary"
 _ROWS_ARROW = pa.schema([("leader", pa.int64()), ("block", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("tokens", pa.binary())])
+#: Kind of a row: 0 a member of the leader, 1 a link of equal sets, LEADER + n the leader itself, of n blocks.
+LEADER = 16
 _LINKS = "kind int, a long, b long"
 _LINKS_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-SIG_BYTES = 5
+#: Bytes of a signature that travel, besides the bucket it lies in; a chance agreement only adds a candidate.
+SIG_BYTES = 4
+SET_BYTES = 6
 
 
 def _group_entries(t: pa.Table, empty_too: bool = False):
@@ -169,7 +174,7 @@ def _say(buckets: int):
         for a, b in zip(cut, cut[1:], strict=False):
             ids, of = slots(o[a:b])
             odd = np.flatnonzero(n[a:b] > 1)
-            rows.append((ids.astype("<i8").tobytes(), np.diff(of).astype("<u4").tobytes(), pack(first[a:b] >> np.uint64(24), SIG_BYTES), odd.astype("<u4").tobytes(), n[a:b][odd].astype("<u4").tobytes()))
+            rows.append((pack_small(ids), pack_small(np.diff(of)), pack(first[a:b] >> np.uint64(32), SIG_BYTES), pack_small(odd), pack_small(n[a:b][odd])))
         return pa.Table.from_batches([batch(_SAID_ARROW, names.astype("i4"), np.full(len(names), key[0].as_py(), dtype="i4"), *map(list, zip(*rows, strict=True)))])
 
     return say
@@ -180,9 +185,9 @@ def _lead(key, rows):
     sig, ids, n = [], [], []
     for r in rows:
         sig.append(unpack(r[4], SIG_BYTES))
-        ids.append(np.repeat(np.frombuffer(r[2], dtype="<i8"), np.frombuffer(r[3], dtype="<u4")))
+        ids.append(np.repeat(unpack_small(r[2]), unpack_small(r[3]).astype(np.int64)))
         c = np.ones(len(sig[-1]), dtype=np.int64)
-        c[np.frombuffer(r[5], dtype="<u4")] = np.frombuffer(r[6], dtype="<u4")
+        c[unpack_small(r[5]).astype(np.int64)] = unpack_small(r[6])
         n.append(c)
     src = np.repeat(np.arange(len(rows)), [len(x) for x in sig])
     sig, ids, n = np.concatenate(sig), np.concatenate(ids), np.concatenate(n)
@@ -197,7 +202,7 @@ def _lead(key, rows):
     names, cut = slots(src[order])
     if len(names):
         parts = [order[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        yield batch(_HEARD_ARROW, np.array([rows[k][1] for k in names], dtype="i4"), [pack(sig[p] | np.uint64(key[0] << 40), 8) for p in parts], [lead[p].astype("<i8").tobytes() for p in parts], [np.minimum(total[p], 1 << 31).astype("<u4").tobytes() for p in parts])
+        yield batch(_HEARD_ARROW, np.array([rows[k][1] for k in names], dtype="i4"), np.full(len(names), key[0], dtype="i4"), [pack(sig[p], SIG_BYTES) for p in parts], [pack_small(lead[p]) for p in parts], [pack_small(total[p]) for p in parts])
 
 
 def _allot(buckets: int):
@@ -206,14 +211,14 @@ def _allot(buckets: int):
     def allot(key, t, heard):
         if not heard.num_rows:
             return _ROWS_ARROW.empty_table()
-        hs = np.concatenate([np.frombuffer(x, dtype="<u8") for x in heard.column("sigs").to_pylist()])
-        hl = np.concatenate([np.frombuffer(x, dtype="<i8") for x in heard.column("leaders").to_pylist()])
-        hc = np.concatenate([np.frombuffer(x, dtype="<u4") for x in heard.column("counts").to_pylist()])
+        hs = np.concatenate([unpack(x, SIG_BYTES) | np.uint64(k << 32) for k, x in zip(heard.column("bucket").to_pylist(), heard.column("sigs").to_pylist(), strict=True)])
+        hl = np.concatenate([unpack_small(x).astype(np.int64) for x in heard.column("leaders").to_pylist()])
+        hc = np.concatenate([unpack_small(x) for x in heard.column("counts").to_pylist()])
         order = np.argsort(hs)
         hs, hl, hc = hs[order], hl[order], hc[order].astype(np.int64)
 
         def look(sig):
-            full = (sig >> np.uint64(24)) | ((sig % np.uint64(buckets)) << np.uint64(40))
+            full = (sig >> np.uint64(32)) | ((sig % np.uint64(buckets)) << np.uint64(32))
             at = np.searchsorted(hs, full)
             at[at == len(hs)] = 0
             hit = hs[at] == full
@@ -227,21 +232,26 @@ def _allot(buckets: int):
                 out.append((int(top[0]), -1 - least % 4096, 1, least, None))
                 continue
             blocks: dict[int, int] = {}
-            lead_size: int = 0
+            lead_size, alone = 0, True
             for sig, keep in entries(own):
                 full, lead, count = look(sig)
-                mine = lead == least
+                shared = count > 1
+                mine = shared & (lead == least)
                 if mine.any():
                     lead_size = max(lead_size, int(count[mine].max()))
-                if keep and keep < len(sig):
-                    order = np.lexsort((full, count))[:keep]
-                    lead, count = lead[order], count[order]
-                shared = count > 1
+                if keep:
+                    # of a similar set at least len(sig) - (keep - 1) signatures are common
+                    if shared.sum() < len(sig) - keep + 1:
+                        continue
+                    order = np.lexsort((full, lead, count > HOT, shared))[:keep]
+                    lead, count, shared = lead[order], count[order], shared[order]
+                alone &= not shared.any()
                 for a, c in zip(lead[shared].tolist(), count[shared].tolist(), strict=True):
                     blocks[a] = max(blocks.get(a, 0), c)
-            raw = own.astype("<u8").tobytes() if blocks or lead_size > 1 else None
-            if lead_size > 1:
-                out += [(least, b, 0, least, raw) for b in range(-(-lead_size // BLOCK))]
+            raw = None if alone else pack(own >> np.uint64(16), SET_BYTES)
+            n = -(-lead_size // BLOCK)
+            if n > 1 or n and not alone:
+                out += [(least, b, LEADER + n, least, raw) for b in range(n)]
             for a, c in blocks.items():
                 if a != least:
                     out.append((a, int(mix(np.array([least], dtype=np.uint64))[0] % np.uint64(-(-c // BLOCK))), 0, least, raw))
@@ -285,18 +295,16 @@ def _verify(key, rows):
     """Of one block of a leader: links (kind 0); if the leader has more blocks, its other members (kind 1: joined to the
     leader here, 2: not)."""
     out = [(0, r[3], r[0]) for r in rows if r[2] == 1]
-    sets = {r[3]: r[4] for r in rows if r[2] == 0}
-    if len(sets) > 1:
-        docs = sorted(sets, key=lambda d: (d != key[0], d))
-        arrays = [np.frombuffer(sets[d], dtype="<u8") for d in docs]
-        links = link_block(docs, arrays)
-        out += [(0, max(x), min(x)) for x in links]
-        if key[1] > 0 or len(docs) > BLOCK // 2:
-            near, todo = {key[0]}, True
-            while todo:
-                grown = near | {y for x in links for y in x if x[0] in near or x[1] in near}
-                todo, near = len(grown) > len(near), grown
-            out += [(1 if d in near else 2, key[0], d) for d in docs if d != key[0]]
+    sets = {r[3]: r[4] for r in rows if r[4] is not None}
+    docs = sorted(sets)
+    joined = link_block(docs, [unpack(sets[d], SET_BYTES) for d in docs])
+    out += [(0, max(x), min(x)) for x in joined]
+    if max(r[2] for r in rows) > LEADER + 1:
+        near, todo = {key[0]} & sets.keys(), True
+        while todo:
+            grown = near | {y for x in joined for y in x if x[0] in near or x[1] in near}
+            todo, near = len(grown) > len(near), grown
+        out += [(1 if d in near else 2, key[0], d) for d in docs]
     if out:
         yield batch(_LINKS_ARROW, *map(list, zip(*out, strict=True)))
 
@@ -306,7 +314,9 @@ def links(docs: DataFrame) -> DataFrame:
 
     Pass one: each group of documents says every signature of its distinct sets once, with the least doc_id and a count;
     buckets of signatures answer with the least doc_id anywhere, the leader, and the whole count.  Pass two: each set
-    allots itself to leaders by its rarest signatures.  Sets that share a leader meet in blocks of about BLOCK, where
+    allots its budget of signatures by cost: those of no other set cost nothing and come first, then those of at most
+    HOT sets, a leader's together, then the others.  A set that shares too few signatures for any similar partner is
+    done.  Sets that share a leader meet in blocks of about BLOCK, where
     similar pairs are verified on whole sets.  A leader of more sets goes to every one of its blocks; sets of such a
     leader that it doesn't connect are compared with all of its other blocks in a second round.
     """
@@ -335,7 +345,7 @@ def _strays(docs: DataFrame, members: DataFrame, stray: DataFrame) -> DataFrame:
         schema = pa.schema([("doc", pa.int64()), ("tokens", pa.binary())])
         for b in batches:
             for ids, t, bounds in _sets(pa.Table.from_batches([b])):
-                yield batch(schema, ids.astype("i8"), [t[x:y].astype("<u8").tobytes() for x, y in zip(bounds, bounds[1:], strict=False)])
+                yield batch(schema, ids.astype("i8"), [pack(t[x:y] >> np.uint64(16), SET_BYTES) for x, y in zip(bounds, bounds[1:], strict=False)])
 
     wanted = docs.join(m.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = wanted.mapInArrow(tokens, "doc long, tokens binary").dropDuplicates(["doc"])
@@ -344,7 +354,7 @@ def _strays(docs: DataFrame, members: DataFrame, stray: DataFrame) -> DataFrame:
         guests = [r for r in rows if r[3] == 1]
         names = {r[1] for r in guests}
         every = guests + [r for r in rows if r[3] == 0 and r[1] not in names]
-        got = link_block([r[1] for r in every], [np.frombuffer(r[4], dtype="<u8") for r in every], range(len(guests)))
+        got = link_block([r[1] for r in every], [unpack(r[4], SET_BYTES) for r in every], range(len(guests)))
         if got:
             yield batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [max(x) for x in got], [min(x) for x in got])
 
@@ -372,7 +382,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     Words are lower-cased in A-Z; texts of fewer than five words are one shingle; texts without words and null texts
     have an empty set, linked with nothing.  Equal sets are linked whatever their number, through the least doc_id.
     Repeated doc_ids are one node; a null doc_id has a null component and links nothing by itself.  An empty table gives
-    no rows; other columns are not read.  Sets are of 64-bit shingle hashes.
+    no rows; other columns are not read.  Sets are compared by 48-bit shingle hashes.
     """
     found = components(links(docs.where("doc_id IS NOT NULL").select("doc_id", "text")))
     return set_sizes(docs).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -186,6 +186,16 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Non-negative values at the least common width, which is the first byte."""
+    width = max((int(values.max()).bit_length() + 7) // 8, 1) if len(values) else 1
+    return bytes([width]) + pack(values, width)
+
+
+def unpack_small(raw: bytes) -> np.ndarray:
+    return unpack(raw[1:], raw[0])
+
+
 def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which values occur in the sorted array `of`."""
     if not len(of):
