@@ -81,13 +81,16 @@ def _cell_join(space: Subspaces):
             u = space.unit(np.concatenate([np.frombuffer(r[5], dtype="<f4").reshape(-1, d) for r in rows if home <= (r[2] == 1)]))
             sides.append((np.concatenate(ids), np.concatenate(n), u, space.rotate(u)))
         (xi, _, xu, xz), (yi, yn, yu, yz) = sides
-        y2 = (yz[:, lo:hi] ** 2).sum(axis=1)
+        # squared block distances by one single-precision product of (-2x, |x|^2, 1) and (y, 1, |y|^2): a first filter
+        yb = yz[:, lo:hi]
+        right = np.column_stack([yb, np.ones(len(yb)), (yb**2).sum(axis=1)]).astype(np.float32).T.copy()
+        near = np.float32(space.budget[k] + 1e-5)
         count = np.zeros(len(xi), dtype=np.int64)
         pairs = []
         for s in range(0, len(xi), 512):
             zb = xz[s : s + 512, lo:hi]
-            d2 = (zb**2).sum(axis=1)[:, None] + y2 - 2 * zb @ yz[:, lo:hi].T
-            i, j = np.nonzero(d2 <= space.budget[k] + SLACK)
+            left = np.column_stack([-2 * zb, (zb**2).sum(axis=1), np.ones(len(zb))]).astype(np.float32)
+            i, j = np.nonzero(left @ right <= near)
             i += s
             for c in range(0, len(i), 1 << 16):
                 p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
