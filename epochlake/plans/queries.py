@@ -344,14 +344,22 @@ def order_events(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_extendedprice").alias("v")).join(o, "session")
 
 
-@query(L_SQL + "SELECT subject, round(avg(v), 9) AS mean, count(v) AS n_events, count(DISTINCT session) AS n_sessions FROM l GROUP BY subject")
+# Prices have two decimals: means of decimals are exact to the last digit, whatever the order of the sum.
+C_SQL = "WITH l AS (SELECT o_custkey AS subject, o_orderkey AS session, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)\n"
+
+
+def exact_events(spark, d) -> DataFrame:
+    return order_events(spark, d).withColumn("v", F.col("v").cast("decimal(18,2)"))
+
+
+@query(C_SQL + "SELECT subject, CAST((2 * sum(c) * 10000 + count(c)) // (2 * count(c)) AS DOUBLE) / 1e6 AS mean, count(c) AS n_events, count(DISTINCT session) AS n_sessions FROM l GROUP BY subject")
 def session_avg_event_weighted(spark, d):
-    return A.event_weighted(order_events(spark, d), ["subject"], "v", "session").withColumn("mean", F.round("mean", 9))
+    return A.event_weighted(exact_events(spark, d), ["subject"], "v", "session").withColumn("mean", F.col("mean").cast("double"))
 
 
-@query(L_SQL + ", s AS (SELECT subject, session, avg(v) AS m, count(v) AS n FROM l GROUP BY ALL)\nSELECT subject, round(avg(m), 9) AS mean, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_sessions FROM s GROUP BY subject")
+@query(C_SQL + ", s AS (SELECT subject, session, (2 * sum(c) * 10000 + count(c)) // (2 * count(c)) AS m, count(c) AS n FROM l GROUP BY ALL)\nSELECT subject, CAST((2 * sum(m) * 10000 + count(m)) // (2 * count(m)) AS DOUBLE) / 1e10 AS mean, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_sessions FROM s GROUP BY subject")
 def session_avg_session_weighted(spark, d):
-    return A.session_weighted(order_events(spark, d), ["subject"], "v", "session").withColumn("mean", F.round("mean", 9))
+    return A.session_weighted(exact_events(spark, d), ["subject"], "v", "session").withColumn("mean", F.col("mean").cast("double"))
 
 
 def subject_means(spark, d) -> DataFrame:
