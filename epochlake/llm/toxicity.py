@@ -7,30 +7,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, batch, chunks, slots, table
+from .shared import Words, batch, chunks, mix, slots, span_hash, table
 
 #: Bounds of the training sample: confirmed toxic rows, and unlabelled rows (least hashes of doc_id first).
-MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
+MOST_POSITIVE, MOST_UNLABELLED = 4_000, 8_000
 #: Words that enter the model: those of at least LEAST_DOCS positives whose share there exceeds the unlabelled one by
 #: LEAST_Z standard errors, at most MOST_WORDS of them.
-LEAST_DOCS, LEAST_Z, MOST_WORDS = 4, 4.0, 4_096
-EPOCHS, RATE, DECAY = 300, 0.1, 1e-4
+LEAST_DOCS, LEAST_Z, MOST_WORDS = 3, 3.0, 4_096
+EPOCHS, RATE, DECAY = 400, 0.1, 1e-7
 FOLDS = 5
+PREFIX = 4
 _TRIM = np.zeros(256, dtype=bool)
 _TRIM[list(b".,;:!?\"'()[]*#&$%|<>-")] = True
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each distinct word, A-Z lower-cased and without outer punctuation."""
+    """(text, hash) of each distinct word, A-Z lower-cased and without outer punctuation, and of each distinct beginning
+    of PREFIX bytes of longer words, which inflected forms share."""
     w = Words(data, offsets, lower=True)
     for _ in range(3):
         more = w.ends - w.starts > 1
         w.ends -= more & _TRIM[w.data[w.ends - 1]]
         more = w.ends - w.starts > 1
         w.starts += more & _TRIM[w.data[w.starts]]
-    h = w.hashes()
-    order = np.lexsort((h, w.doc))
-    h, d = h[order], w.doc[order]
+    long = w.ends - w.starts > PREFIX
+    start = span_hash(w.data, w.starts[long], w.starts[long] + PREFIX)
+    h, d = np.concatenate([w.hashes(), mix(start)]), np.concatenate([w.doc, w.doc[long]])
+    order = np.lexsort((h, d))
+    h, d = h[order], d[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     return d[new], h[new]
@@ -66,8 +70,8 @@ def select_words(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
 
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(words, weights, bias) of a linear model under the non-negative positive-unlabelled risk
-    prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with logistic loss (Kiryo et al., 2017): where
-    the bracket is negative, its gradient is ascended instead."""
+    prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with sigmoid loss (Kiryo et al., 2017): where
+    the bracket is negative, its gradient is ascended instead.  The loss is bounded, so a prior a little off moves little."""
     words = select_words(pos, unl)
     if not len(words) or not len(unl):
         return np.zeros(0, dtype=np.uint64), np.zeros(0), -4.0
@@ -93,13 +97,14 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tupl
     for step in range(1, EPOCHS + 1):
         zp, zu = forward(p), forward(u)
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = backward(u, su / u[2]) - prior * backward(p, sp / p[2])
-        g = prior * backward(p, (sp - 1) / p[2]) + g_negative if negative >= 0 else -g_negative
+        dp, du = sp * (1 - sp) / p[2], su * (1 - su) / u[2]
+        g_positive = backward(p, prior * dp)
+        g_negative = backward(u, du) - g_positive
+        g = g_negative - g_positive if su.mean() - prior * sp.mean() >= 0 else -g_negative
         g[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = np.maximum(w - move[:-1], 0), b - move[-1]  # words were selected for raising the odds
     return words, w, float(b)
 
 
