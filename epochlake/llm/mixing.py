@@ -78,19 +78,20 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of docs as the mix takes them, columns unchanged: a text taken e times over stands e times, and one
     cut by its source's budget is shortened to the words taken of it (joined by one space)."""
-    took = mix(docs, seed).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "taken").where("taken > 0").dropDuplicates(["mix_id", "mix_source", "mix_size"])
-    t = docs.withColumn("mix_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_words") == F.col("mix_size"))
-    t = t.join(took.hint("shuffle_hash"), same)
-    copies = F.ceil(F.col("taken") / F.col("mix_size")).cast("int")
-    t = t.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = (F.col("taken") - (F.col("copy") - 1) * F.col("mix_size")).cast("int")
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    text = F.when(left >= F.col("mix_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(1))), " "))
-    t = t.withColumn("text", text)
+    took = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), "size", "taken").dropDuplicates(["t_id", "t_source", "size"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), word_count(F.col("text")).alias("words"))
+    same = F.col("d_id").eqNullSafe(F.col("t_id")) & F.col("d_source").eqNullSafe(F.col("t_source")) & (F.col("words") == F.col("size"))
+    d = d.join(took.hint("shuffle_hash"), same).select("row", "size", "taken")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    words = F.regexp_extract_all("row.text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(1))), " ")
+    text = F.when(left >= F.col("size"), F.col("row.text")).otherwise(cut)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        t = t.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return t.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(left >= F.col("size"), F.col("row.n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)
+    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,13 @@ def scan_bytes(df: DataFrame) -> int:
 
 
 def bucket_count(df: DataFrame, per_bucket: int = 8 << 20, least: int = 64, most: int = 1 << 20) -> int:
-    """Buckets so that each holds about per_bucket bytes of input, whatever the size of the input."""
-    return max(least, min(most, -(-scan_bytes(df) // per_bucket)))
+    """Buckets so that each holds about per_bucket bytes of input, whatever the size of the input.
+
+    Catalyst knows the size of files; for other inputs the bytes of column text are summed once."""
+    size = scan_bytes(df)
+    if size >= 1 << 55:
+        size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(least, min(most, -(-size // per_bucket)))
 
 
 # -- hashing ------------------------------------------------------------------

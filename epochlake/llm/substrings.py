@@ -162,6 +162,20 @@ def window_hash_long(h: np.ndarray, width: int) -> np.ndarray:
     return window_hash(np.stack([a[:n], a[width // 2 : width // 2 + n]]).T.ravel(), 2, 3)[::2]
 
 
+def _holders(width: int):
+    """Of a group: the documents with a window of a level."""
+
+    def holders(key, t, heard):
+        known = _heard(heard)
+        ids = set()
+        for doc_ids, w, h in _views(t):
+            v = window_hash_long(h, width)
+            ids.update(doc_ids[w.doc[: len(v)][member(v >> np.uint64(16), known) & _starts(w, len(v), width)]].tolist())
+        return pa.table({"doc_id": pa.array(sorted(ids), pa.int64()), "longest": pa.array([width] * len(ids), pa.int64())})
+
+    return holders
+
+
 def longest_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, longest): the greatest width * 2**k so that the document shares a window of that many words with another
     document; absent if not even `width` words are shared.  Only windows both of whose halves repeat are extended; the
@@ -186,17 +200,7 @@ def longest_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     level = staged(by_key(texts.groupBy("grp").cogroup(seeds.groupBy("grp")).applyInArrow(first, _SAID), ["bucket"], _repeated, _HEARD), "repeats")
     out, at = None, width
     while not level.isEmpty():
-        here = at
-
-        def have(key, t, heard, here=here):
-            known = _heard(heard)
-            ids = set()
-            for doc_ids, w, h in _views(t):
-                v = window_hash_long(h, here)
-                ids.update(doc_ids[w.doc[: len(v)][member(v >> np.uint64(16), known) & _starts(w, len(v), here)]].tolist())
-            return pa.table({"doc_id": pa.array(sorted(ids), pa.int64()), "longest": pa.array([here] * len(ids), pa.int64())})
-
-        found = texts.groupBy("grp").cogroup(level.groupBy("grp")).applyInArrow(have, "doc_id long, longest long")
+        found = texts.groupBy("grp").cogroup(level.groupBy("grp")).applyInArrow(_holders(at), "doc_id long, longest long")
         out = found if out is None else out.unionByName(found)
         level = staged(double_level(texts, level, at, buckets), "repeats")
         at *= 2
