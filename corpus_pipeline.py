@@ -19,14 +19,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Without the documents that the quality rules reject; cutoffs are certified on the labels of these documents."""
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
     rejected = judged.where("NOT kept").select(F.col("doc_id").alias("r_id")).distinct()
-    return docs.join(rejected.hint("shuffle_hash"), F.col("doc_id") == F.col("r_id"), "left_anti")
+    return docs.join(rejected.hint("shuffle_hash"), docs["doc_id"] == rejected["r_id"], "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents, the one with the least doc_id."""
     found = ngram_join.similar_components(docs)
     others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("o_id")).distinct()
-    return docs.join(others.hint("shuffle_hash"), F.col("doc_id") == F.col("o_id"), "left_anti")
+    return docs.join(others.hint("shuffle_hash"), docs["doc_id"] == others["o_id"], "left_anti")
 
 
 def _without_spans(text: Column, spans: Column) -> Column:
@@ -45,11 +45,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every document, with the secrets found in it replaced; n_chars follows the text."""
     found, _ = secrets.scan_ledger(docs)
     hits = found.where("spans <> ''").select(F.col("doc_id").alias("h_id"), F.col("blob").alias("h_blob"), "spans").distinct()
-    blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    d = docs.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("h_id")) & (blob == F.col("h_blob")), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without_spans(F.col("text"), F.col("spans")))
-    d = d.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.col("doc_id").alias("d_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("d_blob"))
+    d = d.join(hits.hint("shuffle_hash"), F.col("d_id").eqNullSafe(F.col("h_id")) & (F.col("d_blob") == F.col("h_blob")), "left")
+    clean = _without_spans(F.col("row.text"), F.col("spans"))
+    same = F.col("spans").isNull()
+    new = {"text": F.when(same, F.col("row.text")).otherwise(clean)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
+    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
