@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, by_key, components, mix, staged, table
+from .shared import batch, by_key, components, mix, roots, staged, table
 
 COSINE = 0.95
 BLOCK_DIMS = 8
@@ -111,16 +111,7 @@ def _cell_join(space: Subspaces):
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
             a, b = at[: len(a)], at[len(a) :]
-            root = np.arange(len(nodes))
-            while True:
-                least = np.minimum(root[a], root[b])
-                new = root.copy()
-                np.minimum.at(new, a, least)
-                np.minimum.at(new, b, least)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
+            root = roots(len(nodes), a, b)
             own = root != np.arange(len(nodes))
             out.append((np.ones(own.sum(), dtype="i4"), nodes[own], nodes[root[own]]))
         yield batch(schema, *(np.concatenate(x) for x in zip(*out, strict=True)))
@@ -192,9 +183,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     dealt = classes.mapInArrow(deal, "cell int, part int, home int, ids binary, n binary, vectors binary")
     found = staged(by_key(dealt, ["cell", "part"], _cell_join(space), "kind int, a long, b long"), "vector-links")
-    roots = components(found.where("kind = 1").select("a", "b"))
+    linked = components(found.where("kind = 1").select("a", "b"))
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
-    reps = classes.join(counts, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    reps = classes.join(counts, F.col("rep") == F.col("a"), "left").join(linked, F.col("rep") == F.col("node"), "left")
     reps = reps.select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     usable = F.when((F.size("embedding") == d) & F.col("vec_id").isNotNull(), F.col("embedding"))
     out = rows.withColumn("u", usable).join(reps, F.col("u") == F.col("e"), "left")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, batch, bucket_count, by_key, chunks, components, member, mix, pack, pack_small, slots, staged, table, unpack, unpack_small, window_hash
+from .shared import Words, batch, bucket_count, by_key, chunks, components, member, mix, pack, pack_small, roots, slots, staged, table, unpack, unpack_small, window_hash
 from .substrings import GROUP_BYTES, NO_ID, grouped
 
 SHINGLE = 5
@@ -27,6 +27,8 @@ DELETION_SIZE = 28
 SEEDS = 4
 #: Signatures of more sets than this are allotted last.
 HOT = 64
+#: Blocks of more sets than this count common elements by matrix products.
+FEW = 6
 #: Documents of one leader are dealt to blocks of about this many.
 BLOCK = 256
 
@@ -270,25 +272,33 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def link_block(docs: list[int], sets: list[np.ndarray], fresh: range | None = None) -> list[tuple[int, int]]:
-    """Links that connect every similar pair of a block: pairs already connected are not compared.
-
-    fresh: indices whose pairs with all others are wanted (default: all pairs).
-    """
-    root = list(range(len(docs)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    for i in fresh if fresh is not None else range(len(docs)):
-        for j in range(i + 1, len(docs)) if fresh is None else range(len(docs)):
-            if i != j and (x := find(i)) != (y := find(j)) and similar(sets[i], sets[j]):
-                root[x] = y
-                out.append((docs[i], docs[j]))
-    return out
+def link_block(docs: list[int], sets: list[np.ndarray], fresh: int | None = None) -> list[tuple[int, int]]:
+    """Links that connect exactly what the similar pairs of a block connect; with fresh, of pairs with one of the first
+    `fresh` sets.  A few sets are compared one by one, more of them by counting common elements in matrix products."""
+    n, own = len(docs), fresh or len(docs)
+    if n < 2:
+        return []
+    if n <= FEW:
+        pairs = [(i, j) for i in range(own) for j in range(i + 1, n) if similar(sets[i], sets[j])]
+        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    else:
+        size = np.array([len(x) for x in sets])
+        doc = np.repeat(np.arange(n), size)
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = count[token] > 1
+        doc, (_, token) = doc[keep], np.unique(token[keep], return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        doc, token = doc[order], token[order]
+        both = np.zeros((own, n), dtype=np.float32)
+        step = max(1, (1 << 22) // n)
+        for lo in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+            x, y = np.searchsorted(token, [lo, lo + step])
+            m = np.zeros((n, step), dtype=np.float32)
+            m[doc[x:y], token[x:y] - lo] = 1
+            both += m[:own] @ m.T
+        a, b = np.nonzero(DEN * both >= NUM * (size[:own, None] + size - both))
+    root = roots(n, a, b)
+    return [(docs[i], docs[r]) for i, r in enumerate(root.tolist()) if i != r]
 
 
 def _verify(key, rows):
@@ -354,7 +364,7 @@ def _strays(docs: DataFrame, members: DataFrame, stray: DataFrame) -> DataFrame:
         guests = [r for r in rows if r[3] == 1]
         names = {r[1] for r in guests}
         every = guests + [r for r in rows if r[3] == 0 and r[1] not in names]
-        got = link_block([r[1] for r in every], [unpack(r[4], SET_BYTES) for r in every], range(len(guests)))
+        got = link_block([r[1] for r in every], [unpack(r[4], SET_BYTES) for r in every], len(guests))
         if got:
             yield batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [max(x) for x in got], [min(x) for x in got])
 

@@ -235,6 +235,20 @@ def by_key(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least node reachable from each of n nodes by the links a[i] - b[i], in memory."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 # -- connected components ------------------------------------------------------
 
 
