@@ -15,6 +15,7 @@ REGIONS = {
     "visual": [20, 21, 22, 27, 28, 29, 17, 18, 19, 30, 31, 32],
 }
 ALIASES = {"frontal": "mPFC", "ss": "somatomotor"}
+#: Frequency bands in Hz (fixed values).
 BANDS = {"delta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 45.0)}
 
 CYCLES = ("fixed", "adaptive", "hybrid", "custom")

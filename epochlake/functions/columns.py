@@ -13,6 +13,11 @@ def floored(sd: Column) -> Column:
     return F.greatest(F.coalesce(sd, F.lit(0.0)), F.lit(STD_FLOOR))
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value worked out once: inside an array function a plain expression would be per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def zscore(x: Column, mean: Column, sd: Column) -> Column:
     return (x - mean) / sd
 
@@ -27,6 +32,14 @@ def axis_range(n: int, half: float, lo: float, hi: float) -> list[int]:
     return [k for k in range(n) if lo <= -half + 2.0 * half * k / (n - 1) <= hi]
 
 
+def time_slice(w: Column, fs: float, lo: float, hi: float, t0: float = 0.0, required: bool = False) -> Column:
+    """Values of w, sampled at t0 + k / fs, with time in the closed [lo, hi]; if required, an empty one is an error."""
+    out = F.filter(w, lambda x, k: (F.lit(t0) + k / F.lit(fs)).between(lo, hi))
+    if required:
+        out = F.when(F.size(out) > 0, out).otherwise(F.raise_error(F.lit(f"no sample in [{lo}, {hi}] s")).cast("array<double>"))
+    return out
+
+
 def n_cycles(f: Column, method: str = "custom", fixed: float = 5.0, factor: float = 1.0, least: float = 6.0) -> Column:
     """Wavelet cycles at a frequency."""
     if method == "fixed":

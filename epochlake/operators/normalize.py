@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import axis_range, floored
+from ..config import STD_FLOOR
+from ..functions.columns import axis_range, bind, floored
 
 
 def global_statistics(samples: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -29,8 +30,13 @@ def array_mean(w: Column, ks: list[int]) -> Column:
 
 def array_std(w: Column, ks: list[int]) -> Column:
     """Floored population spread of the values of w at the positions ks (a run)."""
-    part, mean = F.slice(w, ks[0] + 1, len(ks)), array_mean(w, ks)
-    return floored(F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.lit(float(len(ks)))))
+    part = F.slice(w, ks[0] + 1, len(ks))
+    square = lambda m: F.aggregate(part, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+    return floored(F.sqrt(bind(array_mean(w, ks), square) / F.lit(float(len(ks)))))
+
+
+def _standardized(w: Column, mu: Column, sd: Column) -> Column:
+    return bind(mu, lambda m: bind(sd, lambda s: F.transform(w, lambda x: (x - m) / s)))
 
 
 def baseline_statistics(windows: DataFrame, keys: list[str], n: int, half: float, baseline: tuple[float, float], min_events: int = 3) -> DataFrame:
@@ -57,10 +63,18 @@ def baseline_cross_event(windows: DataFrame, keys: list[str], n: int, half: floa
 def baseline_per_event(windows: DataFrame, n: int, half: float, baseline: tuple[float, float]) -> DataFrame:
     """w as z against its own event's baseline; against the whole window if no sample is in the baseline."""
     ks = axis_range(n, half, *baseline) or list(range(n))
-    mu, sd = array_mean(F.col("w"), ks), array_std(F.col("w"), ks)
-    return windows.withColumn("mu", mu).withColumn("sd", sd).withColumn("w", F.transform("w", lambda x: (x - F.col("mu")) / F.col("sd"))).drop("mu", "sd")
+    return windows.withColumn("w", _standardized(F.col("w"), array_mean(F.col("w"), ks), array_std(F.col("w"), ks)))
 
 
 def window_global(windows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """w as z by supplied statistics (keys, mu, sd)."""
     return windows.join(stats.select(*keys, "mu", "sd"), keys).withColumn("w", F.transform("w", lambda x: (x - F.col("mu")) / F.col("sd"))).drop("mu", "sd")
+
+
+def trial(windows: DataFrame, ks: list[int] | None = None, eps: float = STD_FLOOR) -> DataFrame:
+    """w as z of a single trial against its samples ks (all by default), eps added to the population spread."""
+    part = F.col("w") if ks is None else F.slice("w", ks[0] + 1, len(ks))
+    n = F.size("w") if ks is None else F.lit(len(ks))
+    mean = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n
+    square = bind(mean, lambda m: F.aggregate(part, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+    return windows.withColumn("w", _standardized(F.col("w"), mean, F.sqrt(square / n) + eps))

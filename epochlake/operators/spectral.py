@@ -55,7 +55,7 @@ def morlet_power(x: np.ndarray, freqs: np.ndarray, fs: float, n_cycles: np.ndarr
     return np.array([np.abs(c) ** 2 for c in same_convolution(x, [morlet(f, fs, c) for f, c in zip(freqs, n_cycles, strict=True)])])
 
 
-def ricker_style_wavelet(scale: float, n: int, w: float = 5.0) -> np.ndarray:
+def morlet_by_scale(scale: float, n: int, w: float = 5.0) -> np.ndarray:
     """Complex Morlet wavelet by scale, on min(10 scale, n) samples."""
     size = min(10 * scale, n)
     x = np.arange(0, size) - (size - 1.0) / 2
@@ -64,7 +64,7 @@ def ricker_style_wavelet(scale: float, n: int, w: float = 5.0) -> np.ndarray:
 
 def cwt_power(x: np.ndarray, freqs: np.ndarray, fs: float) -> np.ndarray:
     """|CWT|**2 at scales fs / f with centre parameter 5: an approximate scale, so the analysed frequency is about 0.8 f."""
-    kernels = [np.conj(ricker_style_wavelet(fs / f, len(x)))[::-1] for f in freqs]
+    kernels = [np.conj(morlet_by_scale(fs / f, len(x)))[::-1] for f in freqs]
     return np.array([np.abs(c) ** 2 for c in same_convolution(x, kernels)])
 
 
@@ -174,16 +174,23 @@ def spectra(traces: DataFrame, kernel: Callable[[np.ndarray], tuple[np.ndarray,
     return traces.select(*keys, "w").mapInArrow(run, schema)
 
 
-def morlet_spectra(traces: DataFrame, keys: list[str], freqs: list[float], fs: float, method: str = "custom", zscored: bool = False) -> DataFrame:
-    """Morlet power of each trace, as z over the whole trace per frequency if zscored."""
+def row_z(p: np.ndarray) -> np.ndarray:
+    return (p - p.mean(axis=1, keepdims=True)) / np.maximum(p.std(axis=1, keepdims=True), 1e-12)
+
+
+def morlet_spectra(traces: DataFrame, keys: list[str], freqs: list[float], fs: float, method: str = "custom", zscored: bool = False, chunk: int | None = None) -> DataFrame:
+    """Morlet power of each trace, as z over the whole trace per frequency if zscored.
+
+    With chunk, the trace is cut into pieces of that many samples, each transformed and z-scored by itself: other numbers
+    than over the whole trace, for results made that way.
+    """
     f = np.asarray(freqs, dtype=float)
     c = cycles(f, method)
 
     def kernel(x):
-        p = morlet_power(x, f, fs, c)
-        if zscored:
-            p = (p - p.mean(axis=1, keepdims=True)) / np.maximum(p.std(axis=1, keepdims=True), 1e-12)
-        return f, p
+        parts = [x] if chunk is None else [x[i : i + chunk] for i in range(0, len(x), chunk)]
+        power = [morlet_power(part, f, fs, c) for part in parts]
+        return f, np.concatenate([row_z(p) if zscored else p for p in power], axis=1)
 
     return spectra(traces, kernel, keys)
 
@@ -229,5 +236,17 @@ def region_mean(spectra_rows: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy(*keys, "f_idx", "freq", "k").agg(F.avg("p").alias("p"))
 
 
+def band_mean(spectra_rows: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
+    """(keys, k, p): mean over the frequencies of a closed band, a time series per key."""
+    long = spectra_rows.where("error IS NULL").where(F.col("freq").between(lo, hi)).select(*keys, F.posexplode("power").alias("k", "p"))
+    return long.groupBy(*keys, "k").agg(F.avg("p").alias("p"))
+
+
+def overlay_psd(traces: DataFrame, keys: list[str], fs: float, lo: float = 1.0, hi: float = 90.0, size: int = 1024, scale: float = 1e-6) -> DataFrame:
+    """Welch power density of traces in microvolts, per volt squared, within [lo, hi]."""
+    scaled = traces.withColumn("w", F.transform("w", lambda x: x * scale))
+    return welch_psd(scaled, keys, fs, size).where(F.col("freq").between(lo, hi))
+
+
 def log_power(p: Column) -> Column:
     return F.log10(p + 1e-12)

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import AnalysisConfig, resolve_region
-from ..functions.columns import axis_range, axis_time, floored
+from ..config import BANDS, AnalysisConfig, resolve_region
+from ..functions.columns import axis_range, axis_time, bind, floored, time_slice
 from ..operators import averages, normalize
 from ..operators.montage import session_montage
-from ..operators.spectral import cycles, morlet_power
+from ..operators.spectral import cycles, morlet_power, multitaper_psd, welch_psd
 
 
 def region_table(spark: SparkSession, regions: dict[str, str | list[int]]) -> DataFrame:
@@ -160,5 +160,18 @@ def recording_statistics(signals: DataFrame) -> DataFrame:
     """Per channel: mean, population spread, extremes and duration, from the arrays alone."""
     x = F.col("samples")
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    spread = floored(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(x)))
+    spread = floored(F.sqrt(bind(mean, lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))) / F.size(x)))
     return signals.select("subject", "session", "channel_idx", mean.alias("mean"), spread.alias("std"), F.array_min(x).alias("min"), F.array_max(x).alias("max"), (F.size(x) / F.col("fs")).alias("duration"))
+
+
+def analyze_channels(traces: DataFrame, keys: list[str], fs: float, time_range: tuple[float, float] | None = None, bands: dict[str, tuple[float, float]] = BANDS, size: int = 1024, method: str = "welch") -> DataFrame:
+    """Per trace (keys, w): descriptive statistics, band powers and the peak frequency of its power density."""
+    t = traces.select(*keys, time_slice(F.col("w"), fs, *time_range, required=True).alias("w") if time_range else F.col("w"))
+    x = F.col("w")
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+    spread = F.sqrt(bind(mean, lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))) / F.size(x))
+    stats = t.select(*keys, mean.alias("mean"), spread.alias("std"), F.array_min(x).alias("min"), F.array_max(x).alias("max"), (F.size(x) / F.lit(fs)).alias("duration"))
+    psd = welch_psd(t, keys, fs, size) if method == "welch" else multitaper_psd(t, keys, fs)
+    power = averages.band_power(psd, keys, bands)
+    peak = averages.peak_frequency(psd, keys, 1.0, 45.0)
+    return stats.join(power, keys).join(peak, keys)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import BANDS, REGIONS
-from ..functions.columns import axis_range, geometric_grid, n_cycles, select_frequencies
+from ..functions.columns import axis_range, geometric_grid, n_cycles, select_frequencies, time_slice
 from ..operators import averages as A
 from ..operators import catalog, epochs, montage, normalize, spectral
 from ..sources import sinks
@@ -334,6 +334,53 @@ def cwt_morlet2_power(spark, d):
     return s.where("error IS NULL").groupBy("label", "freq").agg(r6(F.avg(mean)).alias("power"))
 
 
+@query(MORLET_SQL + """, b AS (SELECT vec_id, label, k, avg(p) AS p FROM m WHERE freq BETWEEN 4 AND 6 GROUP BY ALL)
+SELECT label, CAST(k AS INTEGER) AS k, round(avg(p), 6) AS power FROM b GROUP BY ALL""")
+def morlet_band_mean(spark, d):
+    s = spectral.morlet_spectra(epoch_arrays(spark, d), ["vec_id", "label"], FREQS, FS)
+    return spectral.band_mean(s, ["vec_id", "label"], 4.0, 6.0).groupBy("label", "k").agg(r6(F.avg("p")).alias("power"))
+
+
+@query(WELCH_SQL + "SELECT label, freq, round(log10(p + 1e-12), 6) AS log_psd, round(p * freq, 6) AS flat_psd FROM psd WHERE freq BETWEEN 1 AND 30")
+def psd_views(spark, d):
+    """Power density as shown: logarithmic and flattened by its frequency."""
+    p = mean_psd(spark, d).where(F.col("freq").between(1, 30))
+    return p.select("label", "freq", r6(spectral.log_power(F.col("p"))).alias("log_psd"), r6(F.col("p") * F.col("freq")).alias("flat_psd"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) / 64.0e0 AS duration FROM x WHERE k / 64.0e0 BETWEEN 0.25 AND 0.75 GROUP BY vec_id""")
+def time_slice_stats(spark, d):
+    """Descriptive statistics of the closed time range [0.25, 0.75] s of each trace."""
+    w = epoch_arrays(spark, d).select("vec_id", F.explode(time_slice(F.col("w"), FS, 0.25, 0.75, required=True)).alias("v"))
+    out = A.channel_statistics(w, ["vec_id"], FS).drop("n")
+    return out.select("vec_id", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")], "duration")
+
+
+@query(X_SQL + f""", g AS (SELECT vec_id, avg(v) AS gm, stddev_pop(v) + 1e-12 AS gs, avg(v) FILTER ({K_SQL['base']}) AS bm, stddev_pop(v) FILTER ({K_SQL['base']}) + 1e-12 AS bs FROM x GROUP BY vec_id)
+SELECT label, CAST(k AS INTEGER) AS k, round(avg((v - gm) / gs), 6) AS z_global, round(avg((v - bm) / bs), 6) AS z_baseline FROM x JOIN g USING (vec_id) GROUP BY ALL""")
+def norm_trial(spark, d):
+    """Single trials against all of their samples and against their baseline."""
+    w = epoch_arrays(spark, d)
+    a = _by_sample(normalize.trial(w)).withColumnRenamed("z", "z_global")
+    return a.join(_by_sample(normalize.trial(w, _B)).withColumnRenamed("z", "z_baseline"), ["label", "k"])
+
+
+@query("""WITH s AS (SELECT p_brand || '/' || p_type AS subject, p_partkey % 5 AS session, arg_min(p_size % 3, p_partkey) AS e FROM part GROUP BY ALL)
+SELECT subject, CAST(min(e) AS VARCHAR) AS map FROM s GROUP BY subject HAVING count(DISTINCT e) = 1""")
+def consistent_montages(spark, d):
+    """Subjects (brand and type of parts) all of whose sessions agree on one map."""
+    p = table(spark, d, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("subject"), (F.col("p_partkey") % 5).alias("session"))
+    maps = p.agg(F.min_by(F.col("p_size") % 3, "p_partkey").alias("e")).select("subject", F.array("e").alias("map"))
+    return montage.consistent_montage(maps, 1).withColumn("map", F.array_join("map", ","))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS INTEGER) AS task, CAST(c_custkey AS VARCHAR) AS subject FROM customer")
+def subject_tasks(spark, d):
+    """1-based task numbers of subjects in id order."""
+    return sinks.subject_index(catalog.subjects(table(spark, d, "customer").select(F.col("c_custkey").alias("subject"))))
+
+
 # -- hierarchy -----------------------------------------------------------------
 
 L_SQL = "WITH l AS (SELECT o_custkey AS subject, o_orderkey AS session, l_extendedprice AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey)\n"
@@ -367,6 +414,13 @@ def subject_means(spark, d) -> DataFrame:
     return A.event_weighted(order_events(spark, d), ["subject"], "v", "session").join(c, "subject")
 
 
+@query(L_SQL + """, s AS (SELECT DISTINCT n_name AS population, subject FROM l JOIN customer ON c_custkey = subject JOIN nation ON c_nationkey = n_nationkey), n AS (SELECT population, count(*) AS n FROM s GROUP BY population)
+SELECT s.population, subject, round(1.0e0 / n, 9) AS weight, 'equal' AS method FROM s JOIN n ON s.population = n.population""")
+def equal_subject_weights(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("population"))
+    return A.equal_weights(subject_means(spark, d).join(n, "n_nationkey"), ["population"], "subject").withColumn("weight", F.round("weight", 9))
+
+
 @query(L_SQL + """, s AS (SELECT subject, avg(v) AS m, count(v) AS ne, count(DISTINCT session) AS ns FROM l GROUP BY subject)
 SELECT n_name AS population, round(avg(m), 6) AS mean, count(*) AS n_subjects, CAST(sum(ne) AS BIGINT) AS n_events, CAST(sum(ns) AS BIGINT) AS n_sessions
 FROM s JOIN customer ON c_custkey = subject JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")

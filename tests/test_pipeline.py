@@ -88,6 +88,26 @@ def test_baseline_means_are_zero(spark, data):
     assert b.groupBy("session", "subject", "size", "f_idx").agg(F.avg("b").alias("b")).agg(F.max(F.abs("b"))).first()[0] < 1e-6
 
 
+def test_channel_analysis(spark):
+    t = np.arange(2000) / 200
+    df = spark.createDataFrame([(1, (2 * np.sin(2 * np.pi * 10 * t)).tolist())], "id int, w array<double>")
+    for method in ("welch", "multitaper"):
+        r = pipeline.analyze_channels(df, ["id"], 200.0, (1.0, 8.0), size=512, method=method).first()
+        assert abs(r["peak_freq"] - 10) < 0.5 and abs(r["duration"] - 7.005) < 1e-9
+        assert abs(r["alpha"] - 2) < 0.2 and r["gamma"] < 0.05 and abs(r["std"] - 2**0.5) < 0.01
+    with pytest.raises(Exception, match="no sample"):
+        pipeline.analyze_channels(df, ["id"], 200.0, (90.0, 91.0)).collect()
+
+
+def test_chunked_power_differs_only_by_its_edges(spark):
+    x = np.random.default_rng(2).standard_normal(400)
+    df = spark.createDataFrame([(1, x.tolist())], "id int, w array<double>")
+    from epochlake.operators.spectral import morlet_spectra
+
+    whole, parts = (np.array(morlet_spectra(df, ["id"], [8.0], 100.0, chunk=c).first()["power"]) for c in (None, 200))
+    assert len(parts) == 400 and np.allclose(whole[:100], parts[:100]) and not np.allclose(whole[180:220], parts[180:220])
+
+
 def test_recordings_round_trip(spark, data, tmp_path):
     sinks.write_recordings(*data[:2], f"file://{tmp_path}/rec")
     s, e = readers.recordings(spark, f"file://{tmp_path}/rec")
