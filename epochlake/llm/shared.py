@@ -8,6 +8,8 @@ character words agree.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is configured (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="epochlake-")
+        local = tempfile.mkdtemp(prefix="epochlake-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
