@@ -50,3 +50,20 @@ def subjects(sessions: DataFrame, exclude: list[str] | None = None) -> DataFrame
 def compatible(results: DataFrame, columns: list[str]) -> DataFrame:
     """One row: for each column, whether all results share one value."""
     return results.agg(*[(F.count_distinct(F.col(c).cast("string")) <= 1).alias(c) for c in columns])
+
+
+def recording_sessions(signals: DataFrame, events: DataFrame) -> DataFrame:
+    """(subject, session, length, n_channels, n_events, n_control) of each recording; the samples are not moved."""
+    s = signals.groupBy("subject", "session").agg(F.max(F.size("samples")).alias("length"), F.count(F.lit(1)).alias("n_channels"))
+    e = events.groupBy("subject", "session").agg(F.count_if(F.col("kind") == "nm").alias("n_events"), F.count_if(F.col("kind") == "iti").alias("n_control"))
+    return s.join(e, ["subject", "session"], "left").fillna(0, ["n_events", "n_control"])
+
+
+def checked_channels(signals: DataFrame, channels: list[int]) -> DataFrame:
+    """signals of the channels; ValueError if the list is empty, negative or beyond a session's last channel."""
+    if not channels or min(channels) < 0:
+        raise ValueError(f"channels {channels}")
+    short = signals.groupBy("subject", "session").agg(F.max("channel_idx").alias("last")).where(F.col("last") < max(channels))
+    if (bad := short.first()) is not None:
+        raise ValueError(f"channel {max(channels)} is beyond the last of session {bad['session']} of {bad['subject']}")
+    return signals.where(F.col("channel_idx").isin(channels))

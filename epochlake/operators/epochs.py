@@ -73,3 +73,9 @@ def baseline_z(windows: DataFrame, unit: list[str], event: list[str], base: Colu
     per_event = windows.groupBy(*unit, *event).agg(F.avg(F.when(base, F.col("v"))).alias("b"), F.sum(F.when(response, F.col("v"))).alias("s"), F.count(F.when(response, F.col("v"))).alias("n"))
     per_unit = per_event.groupBy(*unit).agg(F.avg("b").alias("mu"), floored(F.stddev_pop("b")).alias("sd"), F.count("b").alias("n_events"), F.sum("s").alias("s"), F.sum("n").alias("n"))
     return per_unit.where((F.col("n_events") >= min_events) & (F.col("n") > 0)).select(*unit, "n_events", ((F.col("s") / F.col("n") - F.col("mu")) / F.col("sd")).alias("z"))
+
+
+def sampling_interval(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Median step between neighbouring samples of each recording."""
+    step = F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t"))
+    return samples.withColumn("step", step).groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("interval"), F.count("step").alias("n"))

@@ -137,6 +137,12 @@ def norm_window_global(spark, d):
     return z.select("subject", "size", "event_id", r6(mean).alias("z"))
 
 
+@query("""WITH s AS (SELECT user_id AS subject, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS step FROM events)
+SELECT subject, quantile_cont(CAST(step AS DOUBLE), 0.5) AS interval, count(step) AS n FROM s GROUP BY subject""")
+def sampling_interval_median(spark, d):
+    return epochs.sampling_interval(recording(spark, d)[0], ["subject"])
+
+
 # -- embeddings as epochs ------------------------------------------------------
 
 

@@ -120,6 +120,27 @@ def test_recordings_round_trip(spark, data, tmp_path):
         readers.session_at(s, 99)
 
 
+def test_command_line(spark, data, tmp_path):
+    from epochlake.__main__ import run
+
+    sinks.write_recordings(*data[:2], f"file://{tmp_path}/rec")
+    (tmp_path / "m.csv").write_text("rat_id,ch_0,ch_1,ch_2,ch_3\n" + "".join(f"r{s},8,6,9,7\n" for s in range(3)))
+    (tmp_path / "f.txt").write_text("8\n6\n4\n2.5\n")
+    common = ["--data", f"file://{tmp_path}/rec", "--montage", f"file://{tmp_path}/m.csv", "--n-freqs", "3"]
+    for mode, rows in (("session", 6 * 3 * 3 * 400), ("population", 3 * 3 * 400)):
+        run(spark, [mode, *common, "--out", f"file://{tmp_path}/{mode}"])
+        assert spark.read.parquet(f"file://{tmp_path}/{mode}").count() == rows
+    run(spark, ["report", *common, "--freq-file", f"file://{tmp_path}/f.txt", "--freq-max", "7", "--out", f"file://{tmp_path}/report"])
+    assert spark.read.json(f"file://{tmp_path}/report").count() == 3
+    run(spark, ["summary", *common[:2], "--subject", "r1", "--out", f"file://{tmp_path}/summary"])
+    got = spark.read.parquet(f"file://{tmp_path}/summary").collect()
+    assert {(r["length"], r["n_channels"]) for r in got} == {(8000, 4)} and len(got) == 2
+    assert catalog.checked_channels(data[0], [0, 3]).count() == 12
+    for bad in ([], [-1], [4]):
+        with pytest.raises(ValueError):
+            catalog.checked_channels(data[0], bad)
+
+
 def test_results_and_summaries(spark, data, tmp_path):
     rows = spark.createDataFrame([("r1", "d1", 1.0), ("r1", "d2", 2.0)], "subject string, session string, z double")
     sinks.write_results(rows, f"file://{tmp_path}/res")
