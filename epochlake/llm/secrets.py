@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, table
+from .shared import batch, staged, table
 
 #: Contract patterns (fixed values): kind, pattern, group judged, least length.
 KINDS = [
@@ -54,7 +54,7 @@ def _scan(batches):
 
 
 def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(findings of every path, ledger entries that were missing).
+    """(findings of every path, ledger entries that were missing, a table in the shared folder).
 
     Each text version is addressed by its SHA-256; a blob is scanned only if (blob, rule
     version) is not in the ledger, once however many paths hold it, and its findings are
@@ -74,7 +74,7 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
     texts = docs.select(F.col(id_col).alias("path"), "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
     todo = todo.select(F.col("path").alias("todo_path"), F.col("blob").alias("todo_blob")).hint("shuffle_hash")
     picked = texts.join(todo, (F.col("path").eqNullSafe(F.col("todo_path"))) & (F.col("blob") == F.col("todo_blob"))).select("blob", "text")
-    fresh = picked.mapInArrow(_scan, LEDGER).dropDuplicates(["blob"])
+    fresh = staged(picked.mapInArrow(_scan, LEDGER).dropDuplicates(["blob"]), "secret-ledger")
     found = fresh if ledger is None else fresh.unionByName(seen.select(*fresh.columns))
     hits = found.where(F.col("spans") != "").drop("rule_version")
     back = paths.join(hits, "blob", "left").fillna(0, ["n_assign", "n_access", "n_hex"]).fillna("", ["spans"])
