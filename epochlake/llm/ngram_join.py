@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Words, batch, bucket_count, by_key, chunks, components, member, mix, pack, pack_small, roots, slots, staged, table, unpack, unpack_small, window_hash
-from .substrings import GROUP_BYTES, NO_ID, grouped
+from .substrings import GROUP_BYTES, grouped
 
 SHINGLE = 5
 #: Jaccard threshold NUM / DEN.
@@ -29,6 +29,8 @@ SEEDS = 4
 HOT = 64
 #: Blocks of more sets than this count common elements by matrix products.
 FEW = 6
+#: Up to this many doc_ids (8 bytes each) are sent to all tasks instead of moving the texts.
+MOST_SENT_IDS = 1_000_000
 #: Documents of one leader are dealt to blocks of about this many.
 BLOCK = 256
 
@@ -187,7 +189,7 @@ def _lead(key, rows):
     sig, ids, n = [], [], []
     for r in rows:
         sig.append(unpack(r[4], SIG_BYTES))
-        ids.append(np.repeat(unpack_small(r[2]), unpack_small(r[3]).astype(np.int64)))
+        ids.append(np.repeat(unpack_small(r[2]).astype(np.int64), unpack_small(r[3]).astype(np.int64)))
         c = np.ones(len(sig[-1]), dtype=np.int64)
         c[unpack_small(r[5]).astype(np.int64)] = unpack_small(r[6])
         n.append(c)
@@ -230,8 +232,8 @@ def _allot(buckets: int):
         for ck, least, own, ids in _group_entries(t):
             _, top, n = look(_class_signatures(ck))
             out += [(least, -1, 1, d, None) for d in set(ids) if d != least]
-            if n.min() > 1 and top[0] == top[1] and 0 <= top[0] < least:  # an equal set stands for this one
-                out.append((int(top[0]), -1 - least % 4096, 1, least, None))
+            if n.min() > 1 and top[0] == top[1] and top[0] < least:  # an equal set stands for this one
+                out.append((int(top[0]), -2 - least % 4096, 1, least, None))
                 continue
             blocks: dict[int, int] = {}
             lead_size, alone = 0, True
@@ -256,7 +258,7 @@ def _allot(buckets: int):
                 out += [(least, b, LEADER + n, least, raw) for b in range(n)]
             for a, c in blocks.items():
                 if a != least:
-                    out.append((a, int(mix(np.array([least], dtype=np.uint64))[0] % np.uint64(-(-c // BLOCK))), 0, least, raw))
+                    out.append((a, int(mix(np.array([least], dtype=np.int64).astype(np.uint64))[0] % np.uint64(-(-c // BLOCK))), 0, least, raw))
         return pa.Table.from_batches([batch(_ROWS_ARROW, *map(list, zip(*out, strict=True)))]) if out else _ROWS_ARROW.empty_table()
 
     return allot
@@ -336,19 +338,20 @@ def links(docs: DataFrame) -> DataFrame:
     rows = texts.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(_allot(buckets), _ROWS)
     found = staged(by_key(rows, ["leader", "block"], _verify, _LINKS), "ngram-links")
     sure = found.where("kind = 0").select("a", "b")
-    stray = found.where("kind = 2").select("a", F.col("b").alias("doc")).distinct()
-    if stray.isEmpty():
+    if found.where("kind = 2").isEmpty():
         return sure
-    return sure.unionByName(_strays(docs, found.where("kind > 0"), stray))
+    return sure.unionByName(_strays(docs, found.where("kind > 0")))
 
 
-def _strays(docs: DataFrame, members: DataFrame, stray: DataFrame) -> DataFrame:
+def _strays(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Links of sets that their leader doesn't connect with all sets of that leader, block by block."""
-    m = members.select("a", F.col("b").alias("doc")).distinct().join(stray.select("a").distinct(), "a")
-    n = stray.groupBy("a").count().join(m.groupBy("a").agg(F.count(F.lit(1)).alias("all")), "a")
-    blocks = n.select("a", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    homes = m.join(blocks, "a").select("a", "doc", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"))
-    guests = stray.join(blocks, "a").select("a", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"))
+    stats = members.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == 2).alias("strays")).where("strays > 0")
+    blocks = stats.select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # apart from a leader, which is in each of its blocks, a leader's members are there once; its rows may be split at will
+    m = members.where("a <> b").select("a", F.col("b").alias("doc"), (F.col("kind") == 2).alias("stray")).join(blocks, "a")
+    home = F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block")
+    homes = m.unionByName(blocks.select("a", F.col("a").alias("doc"), F.lit(False).alias("stray"), "blocks")).select("a", "doc", home, F.lit(0).alias("kind"))
+    guests = m.where("stray").select("a", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"))
     need = homes.unionByName(guests)
 
     def tokens(batches):
@@ -357,7 +360,9 @@ def _strays(docs: DataFrame, members: DataFrame, stray: DataFrame) -> DataFrame:
             for ids, t, bounds in _sets(pa.Table.from_batches([b])):
                 yield batch(schema, ids.astype("i8"), [pack(t[x:y] >> np.uint64(16), SET_BYTES) for x, y in zip(bounds, bounds[1:], strict=False)])
 
-    wanted = docs.join(m.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = staged(homes.select("doc").distinct(), "ngram-strays")
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT_IDS else ids.hint("shuffle_hash")
+    wanted = docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = wanted.mapInArrow(tokens, "doc long, tokens binary").dropDuplicates(["doc"])
 
     def compare(key, rows):

@@ -196,8 +196,8 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
 
 
 def pack_small(values: np.ndarray) -> bytes:
-    """Non-negative values at the least common width, which is the first byte."""
-    width = max((int(values.max()).bit_length() + 7) // 8, 1) if len(values) else 1
+    """Values at the least common width (8 bytes if any is negative), which is the first byte."""
+    width = 1 if not len(values) else 8 if values.min() < 0 else max((int(values.max()).bit_length() + 7) // 8, 1)
     return bytes([width]) + pack(values, width)
 
 

@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and edge cases."""
 
+import functools
 import hashlib
 import math
 import random
@@ -9,6 +10,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from epochlake.llm import bpe, embeddings, mixing, ngram_join, quality, secrets, sharding, substrings, toxicity, url_filters
@@ -165,6 +168,29 @@ def test_ngram_join(spark, rows, docs, block, monkeypatch):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_ngram_join_copies_linked_only_by_their_original(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(9)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    texts = {50: " ".join(original)}
+    for i in [k for k in range(90) if k != 50]:
+        w = list(original)
+        for _ in range(rng.choice([1, 1, 2, 3, 5])):
+            w[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components({i: shingles(t) for i, t in texts.items()})
+    assert 1 < len(set(want.values())) < 60
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(docs).collect()} == want
+
+
+def test_ngram_join_negative_and_large_ids(spark, rows):
+    move = lambda i: (i - 100) * (1 << 40)
+    docs = spark.createDataFrame([(move(r[0]), r[1]) for r in rows], "doc_id long, text string")
+    want = brute_components({move(r[0]): shingles(r[1]) for r in rows})
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(docs).collect()} == want
+
+
 def test_ngram_signatures_lose_no_similar_pair():
     """Random pairs at the threshold share a kept signature, at every size of a set."""
     rng = np.random.default_rng(0)
@@ -256,6 +282,25 @@ def test_bpe_odd_texts():
     assert own._by_ranks(list(ids)) == own._by_heap(list(ids))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n'stremdlva1!")), max_size=60))
+def test_bpe_any_text(text):
+    lib, own = _codecs()
+    ids = lib.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == ids
+    assert own.decode(own.encode(text)).decode() == text == lib.decode(ids, skip_special_tokens=False)
+
+
+@functools.cache
+def _codecs():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, "rb") as f:
+        return Tokenizer.from_file(path), bpe.Codec(f.read())
+
+
 def test_sharding(spark, rows, docs, tmp_path):
     got = sharding.shuffle_shards(sharding.light_rows(docs)).toPandas()
     by = {r[0]: r[1] for r in rows}
