@@ -251,6 +251,24 @@ def test_cutoffs_bound_false_rejection():
     assert set(quality.choose_cutoffs([("a", "symbols", 3, 5, 5)]).values()) == {100}
 
 
+def test_strata_can_certify():
+    assert [quality.least_good(k) for k in (1, 3, 4, 5)] == [1149, 1424, 1495, 1551]
+    assert quality.own_strata([("en", 1973)], 1973) == ["en"]
+    assert quality.own_strata([("en", 5000), ("de", 1600), ("fr", 1400)], 9600) == ["en", "de"]
+    assert quality.own_strata([("en", 5000), ("de", 1600)], 7000) == ["en"]  # the others alone fall short
+    assert quality.own_strata([("en", 1973)], 3243) == []
+
+
+def test_quality_judges_small_languages(spark):
+    text = lambda i, end: " ".join(f"w{i}x{k}" for k in range(60)) + end
+    lang = lambda i: "en" if i < 1600 else "de" if i < 2000 else "fr" if i < 2400 else None
+    rows = [(i, lang(i), text(i, ""), 1) for i in range(2500)]
+    rows += [(i, x, text(i, " " + "#" * 100), 0) for i, x in enumerate(["en", "de", "fr", None, "it"] * 8, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, quality int")
+    got = quality.judge(df.drop("quality"), df.select("doc_id", "quality")).where("NOT kept").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000, 3040))
+
+
 def test_bpe(rows, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
