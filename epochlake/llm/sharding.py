@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .shared import staged, table
+from .shared import shared_dir, slots, staged, table
 
 SHARDS = 24
 SEED = 20_240_101
 BUCKET_BYTES = 64 << 20
 LEAST_BUCKETS = 256
+#: Text a task should hold where buckets are smaller, and the least number of tasks.
+TASK_BYTES = 16 << 20
+LEAST_TASKS = 32
 
 
-def light_rows(docs: DataFrame) -> DataFrame:
+def _light() -> list[Column]:
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")]
+
+
+def light_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(*_light())
+
+
+def _bucket_count(rows: DataFrame, bucket_bytes: int) -> tuple[int, int]:
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return total, max(LEAST_BUCKETS, -(-total // bucket_bytes))
+
+
+def _bucket(buckets: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "text_crc32", "size"), F.lit(buckets))
+
+
+def _permutation(seed: int, bucket: int, n: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([seed, bucket])).permutation(n)
 
 
 def shuffle_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Add shard and slot to rows (doc_id, size, text_crc32); law `rows`: counts of shards are at most one apart.
+    """The places write_shards gives, without the records: add shard and slot to rows (doc_id, size, text_crc32); law `rows`: counts of shards are at most one apart.
 
     Pass one scatters rows into memory-sized buckets by a seeded hash of doc_id and text checksum (so copies of a text
     spread too).  Pass two sorts each bucket's light rows by their values, so that a recomputed task sees one order,
@@ -30,13 +53,12 @@ def shuffle_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, buck
 
     Null texts have size 8; null doc_ids and equal rows are ordinary rows; an empty table gives no rows.
     """
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "text_crc32", "size"), F.lit(buckets)))
+    _, buckets = _bucket_count(rows, bucket_bytes)
+    dealt = rows.withColumn("bucket", _bucket(buckets, seed))
 
     def permute(key, t):
         t = t.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending")])
-        place = np.random.Generator(np.random.PCG64([seed, key[0].as_py()])).permutation(t.num_rows)
+        place = _permutation(seed, key[0].as_py(), t.num_rows)
         return t.append_column("place", pa.array(place, pa.int64()))
 
     placed = dealt.groupBy("bucket").applyInArrow(permute, "doc_id long, size long, text_crc32 long, bucket long, place long")
@@ -49,23 +71,49 @@ def shuffle_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, buck
     return out.withColumn("slot", F.col("at") - F.expr("(CAST(shard AS long) * all_rows) DIV " + str(shards))).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, rows_per_file: int = 1_000_000) -> DataFrame:
-    """Write whole records to path/shard=k/, rows of a shard by slot over files of rows_per_file; returns their placement."""
-    placed = staged(shuffle_shards(staged(light_rows(docs), "shard-rows"), shards, seed), "shard-places")
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    # equal (doc_id, checksum) rows are told apart by a running number on both sides
-    a = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("a_id"), F.crc32(text).alias("a_crc"))
-    a = a.withColumn("a_n", F.row_number().over(Window.partitionBy("a_id", "a_crc").orderBy(F.lit(0))))
-    b = placed.withColumn("b_n", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")))
-    joined = a.join(b, F.col("a_id").eqNullSafe(F.col("doc_id")) & (F.col("a_crc") == F.col("text_crc32")) & (F.col("a_n") == F.col("b_n")))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    out = joined.select("row", "shard", "slot").repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
-    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "slot")]
-    out.select(*own, "shard", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
-    return placed
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, rows_per_file: int = 1_000_000, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Write whole records to path/shard=k/, rows of a shard by slot over files of rows_per_file; returns their placement
+    (doc_id, size, text_crc32, shard, slot) as read from the files.
+
+    Pass one scatters the records with their texts into the buckets of shuffle_shards; a task receives neighbouring
+    buckets, so its places are one run.  Pass two permutes each bucket: its records arrive sorted by their values and
+    stream through with their places, so no bucket is held in memory beyond the engine's own sorts, which can spill.
+    Only the rows of each bucket are counted before, from light rows; the counts (one a bucket) reach the driver.
+    """
+    light = staged(light_rows(docs), "shard-rows")
+    total, buckets = _bucket_count(light, bucket_bytes)
+    n = np.zeros(buckets, dtype=np.int64)
+    for r in light.groupBy(_bucket(buckets, seed).alias("bucket")).count().collect():
+        n[r["bucket"]] = r["count"]
+    start, rows = np.cumsum(n) - n, int(n.sum())
+    tasks = int(min(buckets, max(LEAST_TASKS, -(-total // TASK_BYTES))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    dealt = docs.select(row, *_light()).withColumn("bucket", _bucket(buckets, seed))
+    dealt = dealt.repartitionById(tasks, F.expr(f"CAST(bucket * {tasks} DIV {buckets} AS int)"))
+    dealt = dealt.sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "text_crc32", "size").select("row", "bucket")
+
+    def place(batches):
+        bucket, seen, order = -1, 0, np.zeros(0, dtype=np.int64)
+        for b in batches:
+            values, bounds = slots(b.column("bucket").to_numpy())
+            at = np.zeros(b.num_rows, dtype=np.int64)
+            for value, lo, hi in zip(values.tolist(), bounds[:-1], bounds[1:], strict=False):
+                if value != bucket:
+                    bucket, seen, order = value, 0, _permutation(seed, value, int(n[value]))
+                at[lo:hi] = start[value] + order[seen : seen + hi - lo]
+                seen += hi - lo
+            shard = (shards * (at + 1) - 1) // max(rows, 1)
+            columns = [b.column("row"), pa.array(shard, pa.int32()), pa.array(at - shard * rows // shards, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "shard", "slot"])
+
+    places = [StructField("shard", IntegerType()), StructField("slot", LongType())]
+    out = dealt.mapInArrow(place, StructType([dealt.schema["row"], *places])).sortWithinPartitions("shard", "slot")
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    out.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "shard", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+    back = docs.sparkSession.read.schema(StructType([*[docs.schema[c] for c in own], *places])).parquet(path)
+    return back.select(*_light(), "shard", "slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(light_rows(table(spark, sf_dir, "documents")), "shard-rows")
-    out = shuffle_shards(rows)
+    out = write_shards(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
