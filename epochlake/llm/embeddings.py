@@ -14,6 +14,8 @@ BLOCK_DIMS = 8
 SEED = 7
 #: Vectors a grid cell should hold at home; cells of more are split.
 CELL = 2048
+#: Most components of the vectors on one side of a task, pairs compared at a time, and bytes of vectors dealt at a time.
+SIDE, PAIRS, DEALT_BYTES = 1 << 21, 1 << 22, 16 << 20
 #: Added to squared distances before they are compared with a budget: more than rounding can take from them.
 SLACK = 1e-9
 
@@ -73,22 +75,25 @@ def _cell_join(space: Subspaces):
         k, d = key[0] >> 16, len(space.mean)
         lo, hi = space.cuts[k]
         sides = []
-        for home in (True, False):
-            ids = [np.frombuffer(r[3], dtype="<i8") for r in rows if home <= (r[2] == 1)]
-            if not ids:
+        for side in (1, 2):
+            mine = [r[4:] for r in rows if r[3] & side]
+            if not mine:
                 return
-            n = [np.frombuffer(r[4], dtype="<i8") for r in rows if home <= (r[2] == 1)]
-            u = space.unit(np.concatenate([np.frombuffer(r[5], dtype="<f4").reshape(-1, d) for r in rows if home <= (r[2] == 1)]))
-            sides.append((np.concatenate(ids), np.concatenate(n), u, space.rotate(u)))
+            ids, n = (np.concatenate([np.frombuffer(r[c], dtype="<i8") for r in mine]) for c in (0, 1))
+            u = space.unit(np.concatenate([np.frombuffer(r[2], dtype="<f4").reshape(-1, d) for r in mine]))
+            sides.append((ids, n, u, space.rotate(u)))
         (xi, _, xu, xz), (yi, yn, yu, yz) = sides
+        nodes, at = np.unique(np.concatenate([xi, yi]), return_inverse=True)
+        xat, yat = at[: len(xi)], at[len(xi) :]
+        root = np.arange(len(nodes))
         # squared block distances by one single-precision product of (-2x, |x|^2, 1) and (y, 1, |y|^2): a first filter
         yb = yz[:, lo:hi]
         right = np.column_stack([yb, np.ones(len(yb)), (yb**2).sum(axis=1)]).astype(np.float32).T.copy()
         near = np.float32(space.budget[k] + 1e-5)
         count = np.zeros(len(xi), dtype=np.int64)
-        pairs = []
-        for s in range(0, len(xi), 512):
-            zb = xz[s : s + 512, lo:hi]
+        step = min(max(PAIRS // len(yi), 1), 512)
+        for s in range(0, len(xi), step):
+            zb = xz[s : s + step, lo:hi]
             left = np.column_stack([-2 * zb, (zb**2).sum(axis=1), np.ones(len(zb))]).astype(np.float32)
             i, j = np.nonzero(left @ right <= near)
             i += s
@@ -104,17 +109,13 @@ def _cell_join(space: Subspaces):
                     first &= delta[:, slice(*space.cuts[b])].sum(axis=1) > space.budget[b]
                 p, q = p[first], q[first]
                 np.add.at(count, p, yn[q])
-                pairs.append((xi[p], yi[q]))
-        some = count > 0
-        out = [(np.zeros(some.sum(), dtype="i4"), xi[some], count[some])]
-        if pairs and sum(len(a) for a, _ in pairs):
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            a, b = at[: len(a)], at[len(a) :]
-            root = roots(len(nodes), a, b)
-            own = root != np.arange(len(nodes))
-            out.append((np.ones(own.sum(), dtype="i4"), nodes[own], nodes[root[own]]))
-        yield batch(schema, *(np.concatenate(x) for x in zip(*out, strict=True)))
+                # only links between groups not yet connected are held: at most one a vector
+                a, b = root[xat[p]], root[yat[q]]
+                new = a != b
+                if new.any():
+                    root = roots(len(nodes), np.concatenate([np.arange(len(nodes)), a[new]]), np.concatenate([root, b[new]]))
+        some, own = count > 0, root != np.arange(len(nodes))
+        yield batch(schema, np.repeat(np.array([0, 1], dtype="i4"), [some.sum(), own.sum()]), np.concatenate([xi[some], nodes[own]]), np.concatenate([count[some], nodes[root[own]]]))
 
     return run
 
@@ -127,8 +128,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     them keep the proportional budget in one block at least.  In each block a grid over the signs of its leading
     dimensions (more of them the more vectors there are) has about CELL vectors per home cell; a vector also visits the
     cells within its budget.  In a cell, home vectors meet visitors: block distance, then the exact cosine in double
-    precision; a pair counts in the first block whose budget it keeps.  Home vectors of a large cell are split over
-    tasks.  Only cell counts (at most blocks * 2**BLOCK_DIMS), one mean vector and the dimension reach the driver.
+    precision; a pair counts in the first block whose budget it keeps.  Home vectors and visitors of a large cell are
+    both split into parts, and each part of the one meets each part of the other in a task of its own, so a task's memory
+    is bounded whatever the number of vectors; the number of such tasks of a cell grows with its square.  Only cell counts (at most blocks * 2**BLOCK_DIMS), one mean vector and the dimension reach the driver.
 
     Vectors that are null, zero, of another than the commonest length, or hold null or non-finite components link with
     nothing.  Rows with a null vec_id take no part; repeated rows are each linked with their copies; an empty table
@@ -152,37 +154,50 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     def homes(batches):
         for b in batches:
             z = space.rotate(space.unit(_matrix(b.column("embedding"))))
-            cells = [np.unique(space.home(z, k) + (k << 16), return_counts=True) for k in range(len(space.cuts))]
-            yield batch(pa.schema([("cell", pa.int32()), ("n", pa.int64())]), *(np.concatenate([c[i] for c in cells]) for i in (0, 1)))
+            cells = []
+            for k in range(len(space.cuts)):
+                reach = space.reach(z, k)
+                at = np.arange(reach.shape[1])
+                cells.append((at + (k << 16), np.bincount(space.home(z, k), minlength=len(at)), reach.sum(axis=0)))
+            yield batch(pa.schema([("cell", pa.int32()), ("n", pa.int64()), ("visits", pa.int64())]), *(np.concatenate(c) for c in zip(*cells, strict=True)))
 
-    held = classes.select("embedding").mapInArrow(homes, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    parts = {r["cell"]: -(-r["n"] // (2 * CELL)) for r in held}
+    held = classes.select("embedding").mapInArrow(homes, "cell int, n long, visits long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits")).where("n > 0").collect()
+    side = max(SIDE // d, 1)
+    parts = {r["cell"]: (-(-r["n"] // min(2 * CELL, side)), -(-r["visits"] // side)) for r in held}
 
     def deal(batches):
-        schema = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("home", pa.int32()), ("ids", pa.binary()), ("n", pa.binary()), ("vectors", pa.binary())])
+        schema = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("visit", pa.int32()), ("role", pa.int32()), ("ids", pa.binary()), ("n", pa.binary()), ("vectors", pa.binary())])
         for b in batches:
             x = _matrix(b.column("embedding")).astype("<f4")
             ids, n = b.column("rep").to_numpy(), b.column("n").to_numpy()
             z = space.rotate(space.unit(x))
-            out = []
+            mixed = mix(ids.astype(np.uint64))
+            out, held = [], 0
             for k in range(len(space.cuts)):
                 home, reach = space.home(z, k), space.reach(z, k)
                 for c in range(reach.shape[1]):
                     cell = c + (k << 16)
                     if cell not in parts:
                         continue
-                    own = home == c
-                    deal_to = (mix(ids.astype(np.uint64)) % np.uint64(parts[cell])).astype(int)
-                    for part in range(parts[cell]):
-                        mine = own & (deal_to == part)
-                        for is_home, at in ((1, np.flatnonzero(mine)), (0, np.flatnonzero(reach[:, c] & ~mine))):
-                            if len(at):
-                                out.append((cell, part, is_home, ids[at].astype("<i8").tobytes(), n[at].astype("<i8").tobytes(), x[at].tobytes()))
+                    n_parts, n_visits = parts[cell]
+                    own, seen = np.flatnonzero(home == c), np.flatnonzero(reach[:, c])
+                    part, visit = (mixed % np.uint64(n_parts)).astype(int), ((mixed >> np.uint64(32)) % np.uint64(n_visits)).astype(int)
+                    owns, visits = [own[part[own] == i] for i in range(n_parts)], [seen[visit[seen] == i] for i in range(n_visits)]
+                    for i, hs in enumerate(owns):
+                        for j, vs in enumerate(visits):
+                            # role 1: at home, 2: visitor, 3: both (every vector visits its own cell too)
+                            for role, at in ((1, hs[visit[hs] != j]), (2, vs[(home[vs] != c) | (part[vs] != i)]), (3, hs[visit[hs] == j])):
+                                if len(at):
+                                    out.append((cell, i, j, role, ids[at].astype("<i8").tobytes(), n[at].astype("<i8").tobytes(), x[at].tobytes()))
+                                    held += x[at].nbytes
+                            if held > DEALT_BYTES:
+                                yield batch(schema, *map(list, zip(*out, strict=True)))
+                                out, held = [], 0
             if out:
                 yield batch(schema, *map(list, zip(*out, strict=True)))
 
-    dealt = classes.mapInArrow(deal, "cell int, part int, home int, ids binary, n binary, vectors binary")
-    found = staged(by_key(dealt, ["cell", "part"], _cell_join(space), "kind int, a long, b long"), "vector-links")
+    dealt = classes.mapInArrow(deal, "cell int, part int, visit int, role int, ids binary, n binary, vectors binary")
+    found = staged(by_key(dealt, ["cell", "part", "visit"], _cell_join(space), "kind int, a long, b long"), "vector-links")
     linked = components(found.where("kind = 1").select("a", "b"))
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     reps = classes.join(counts, F.col("rep") == F.col("a"), "left").join(linked, F.col("rep") == F.col("node"), "left")

@@ -443,6 +443,55 @@ def test_embeddings_any_grid(spark, cell, monkeypatch):
     assert sum(want) > 20
 
 
+def test_embedding_tasks_are_bounded(spark, monkeypatch):
+    at_most = 40
+    monkeypatch.setattr(embeddings, "CELL", at_most // 2)
+    monkeypatch.setattr(embeddings, "SIDE", at_most * 16, raising=False)
+    monkeypatch.setattr(embeddings, "DEALT_BYTES", 1 << 12, raising=False)
+    rng = np.random.default_rng(5)
+    v = (rng.standard_normal(16) + rng.standard_normal((600, 16)) * 0.2).astype(np.float32)  # one dense cluster
+    sides, links = [], []
+    of = embeddings._cell_join
+
+    def spied(space):
+        run = of(space)
+        unit = space.unit
+        space.unit = lambda x: sides.append(len(x)) or unit(x)
+
+        def inner(key, rows):
+            for b in run(key, rows):
+                links.append(sum(k == 1 for k in b.column("kind").to_pylist()))
+                yield b
+
+        return inner
+
+    def local(df, keys, run, schema):
+        got, by = [], {}
+        for r in df.collect():
+            by.setdefault(tuple(r[k] for k in keys), []).append(tuple(r))
+        for key, rows in by.items():
+            got += [tuple(x.values()) for b in run(key, rows) for x in b.to_pylist()]
+        return spark.createDataFrame(got, schema)
+
+    monkeypatch.setattr(embeddings, "_cell_join", spied)
+    monkeypatch.setattr(embeddings, "by_key", local)
+    df = spark.createDataFrame([(i - 3, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = embeddings.near_vectors(df).orderBy("vec_id").collect()
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
+    assert [r["n_links"] for r in got] == want and sum(want) > 10_000
+    assert max(sides) < 3 * at_most and max(links) < 6 * at_most
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 22])
+def test_embedding_links_connect_in_any_step(spark, pairs, monkeypatch):
+    monkeypatch.setattr(embeddings, "PAIRS", pairs, raising=False)
+    turn = np.arange(20) * 0.15  # a chain: each vector is near its neighbours alone
+    v = np.stack([np.cos(turn), np.sin(turn)], axis=1).astype(np.float32)
+    df = spark.createDataFrame([(7 * i % 20, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    assert {r["component_id"] for r in embeddings.near_vectors(df).collect()} == {0}
+
+
 def test_redaction_stage(spark):
     import corpus_pipeline
 
