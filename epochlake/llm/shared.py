@@ -12,6 +12,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -256,17 +257,20 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # -- connected components ------------------------------------------------------
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds (public map-reduce algorithm): each is a pre-aggregated minimum per
     node and a join back, so a node with very many links is neither gathered nor expanded, and the number of rounds
-    grows with the logarithm of the longest chain.  Each round is a table in the shared folder.
+    grows with the logarithm of the longest chain.  Each round is a table in the shared folder.  Rounds go on until the
+    links no longer change; where most_rounds is given and does not suffice, an error is raised.
     """
     e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = staged(e, "links")
     before = None
-    for _ in range(most_rounds):
+    for done in count():
+        if done == most_rounds:
+            raise RuntimeError(f"components: links still change after {most_rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from epochlake.llm import bpe, embeddings, mixing, ngram_join, quality, secrets, sharding, substrings, toxicity, url_filters
+from epochlake.llm.shared import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, grp string, bucket string, size string, row string"
@@ -492,6 +493,13 @@ def test_embedding_links_connect_in_any_step(spark, pairs, monkeypatch):
     assert {r["component_id"] for r in embeddings.near_vectors(df).collect()} == {0}
 
 
+def test_components_end_only_when_links_do_not_change(spark):
+    links = spark.createDataFrame([(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)], "a long, b long")
+    assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(101)}
+    with pytest.raises(RuntimeError):
+        components(links, most_rounds=1)
+
+
 def test_redaction_stage(spark):
     import corpus_pipeline
 
