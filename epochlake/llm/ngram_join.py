@@ -96,7 +96,7 @@ def entries(tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def _sets(t: pa.Table):
-    """(ids, tokens, bounds): sorted distinct shingle hashes of each text of a group."""
+    """(ids, tokens, bounds) by chunk: sorted distinct shingle hashes of each text of a group."""
     ids = t.column("doc_id").to_numpy()
     for i, j, data, offsets in chunks(t.column("text")):
         yield ids[i:j], *shingle_sets(data, offsets)
@@ -128,8 +128,10 @@ _HEARD = "grp int, bucket int, sigs binary, leaders binary, counts binary"
 _HEARD_ARROW = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("sigs", "leaders", "counts"))])
 _ROWS = "leader long, block int, kind int, doc long, tokens binary"
 _ROWS_ARROW = pa.schema([("leader", pa.int64()), ("block", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("tokens", pa.binary())])
-#: Kind of a row: 0 a member of the leader, 1 a link of equal sets, LEADER + n the leader itself, of n blocks.
-LEADER = 16
+#: Kind of a row: 0 a member of the leader, 1 a link of equal sets, SIZES the ids, sizes and flags of a group's rows,
+#: LEADER + n the leader itself, of n blocks.
+SIZES, NO_ID, LEADER = 8, 9, 16
+SIZES_BLOCK = -(1 << 30)
 _LINKS = "kind int, a long, b long"
 _LINKS_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 #: Bytes of a signature that travel, besides the bucket it lies in; a chance agreement only adds a candidate.
@@ -137,13 +139,17 @@ SIG_BYTES = 4
 SET_BYTES = 6
 
 
-def _group_entries(t: pa.Table, empty_too: bool = False):
-    """Of a group: one record (least id, tokens, entries, equal ids) for each distinct set."""
+def _group_entries(t: pa.Table, sizes: list | None = None):
+    """Of a group: one record (key, least id, tokens, equal ids) for each distinct set; the size of every row's set is
+    added to sizes.  Rows without an id have no part in the sets."""
     classes: dict[tuple, list] = {}
+    no_id = iter(t.column("no_id").to_pylist())
     for ids, tokens, bounds in _sets(t):
-        for k, doc in enumerate(ids.tolist()):
+        if sizes is not None:
+            sizes.append(np.diff(bounds))
+        for k, (doc, none) in enumerate(zip(ids.tolist(), no_id)):  # noqa: B905  no_id goes on to the next chunk
             own = tokens[bounds[k] : bounds[k + 1]]
-            if len(own):
+            if len(own) and not none:
                 key = (len(own), int(np.add.reduce(own)), int(np.add.reduce(mix(own + np.uint64(77)))))
                 classes.setdefault(key, [own, []])[1].append(doc)
     for key, (own, ids) in classes.items():
@@ -210,11 +216,21 @@ def _lead(key, rows):
 
 
 def _allot(buckets: int):
-    """Of a group: each set with a shared signature, once per leader its allocation keeps."""
+    """Of a group: the sizes of its sets, and each set with a shared signature, once per leader its allocation keeps."""
+
+    def size_row(grp: int, t: pa.Table, sizes: list):
+        flags = np.array(t.column("no_id").to_pylist(), dtype=np.uint8)
+        raw = t.column("doc_id").to_numpy().astype("<i8").tobytes() + np.concatenate(sizes).astype("<i8").tobytes() + flags.tobytes()
+        return grp, SIZES_BLOCK, SIZES, t.num_rows, raw
 
     def allot(key, t, heard):
-        if not heard.num_rows:
+        if not t.num_rows:
             return _ROWS_ARROW.empty_table()
+        sizes: list = []
+        if not heard.num_rows:
+            for _ in _group_entries(t, sizes):
+                pass
+            return pa.Table.from_batches([batch(_ROWS_ARROW, *map(list, zip(size_row(key[0].as_py(), t, sizes), strict=True)))])
         hs = np.concatenate([unpack(x, SIG_BYTES) | np.uint64(k << 32) for k, x in zip(heard.column("bucket").to_pylist(), heard.column("sigs").to_pylist(), strict=True)])
         hl = np.concatenate([unpack_small(x).astype(np.int64) for x in heard.column("leaders").to_pylist()])
         hc = np.concatenate([unpack_small(x) for x in heard.column("counts").to_pylist()])
@@ -229,7 +245,7 @@ def _allot(buckets: int):
             return full, np.where(hit, hl[at], -1), np.where(hit, hc[at], 1)
 
         out = []
-        for ck, least, own, ids in _group_entries(t):
+        for ck, least, own, ids in _group_entries(t, sizes):
             _, top, n = look(_class_signatures(ck))
             out += [(least, -1, 1, d, None) for d in set(ids) if d != least]
             if n.min() > 1 and top[0] == top[1] and top[0] < least:  # an equal set stands for this one
@@ -259,7 +275,8 @@ def _allot(buckets: int):
             for a, c in blocks.items():
                 if a != least:
                     out.append((a, int(mix(np.array([least], dtype=np.int64).astype(np.uint64))[0] % np.uint64(-(-c // BLOCK))), 0, least, raw))
-        return pa.Table.from_batches([batch(_ROWS_ARROW, *map(list, zip(*out, strict=True)))]) if out else _ROWS_ARROW.empty_table()
+        out.append(size_row(key[0].as_py(), t, sizes))
+        return pa.Table.from_batches([batch(_ROWS_ARROW, *map(list, zip(*out, strict=True)))])
 
     return allot
 
@@ -274,10 +291,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def link_block(docs: list[int], sets: list[np.ndarray], fresh: int | None = None) -> list[tuple[int, int]]:
-    """Links that connect exactly what the similar pairs of a block connect; with fresh, of pairs with one of the first
-    `fresh` sets.  A few sets are compared one by one, more of them by counting common elements in matrix products."""
-    n, own = len(docs), fresh or len(docs)
+def link_block(sets: list[np.ndarray], fresh: int | None = None) -> list[tuple[int, int]]:
+    """Links (by position) that connect exactly what the similar pairs of a block connect; with fresh, of pairs with one of
+    the first `fresh` sets.  A few sets are compared one by one, more of them by counting common elements in matrix
+    products."""
+    n, own = len(sets), fresh or len(sets)
     if n < 2:
         return []
     if n <= FEW:
@@ -300,29 +318,37 @@ def link_block(docs: list[int], sets: list[np.ndarray], fresh: int | None = None
             both += m[:own] @ m.T
         a, b = np.nonzero(DEN * both >= NUM * (size[:own, None] + size - both))
     root = roots(n, a, b)
-    return [(docs[i], docs[r]) for i, r in enumerate(root.tolist()) if i != r]
+    return [(i, r) for i, r in enumerate(root.tolist()) if i != r]
 
 
 def _verify(key, rows):
     """Of one block of a leader: links (kind 0); if the leader has more blocks, its other members (kind 1: joined to the
-    leader here, 2: not)."""
+    leader here, 2: not).  Of a group's sizes: a row for each (kind SIZES, or NO_ID where the id is null)."""
+    if rows[0][2] == SIZES:
+        for r in rows:
+            n = r[3]
+            both = np.frombuffer(r[4][: 16 * n], dtype="<i8")
+            flags = np.frombuffer(r[4][16 * n :], dtype=np.uint8)
+            yield batch(_LINKS_ARROW, np.where(flags, NO_ID, SIZES).astype("i4"), both[:n], both[n:])
+        return
     out = [(0, r[3], r[0]) for r in rows if r[2] == 1]
-    sets = {r[3]: r[4] for r in rows if r[4] is not None}
-    docs = sorted(sets)
-    joined = link_block(docs, [unpack(sets[d], SET_BYTES) for d in docs])
-    out += [(0, max(x), min(x)) for x in joined]
+    members = sorted({(r[3], r[4]) for r in rows if r[4] is not None})
+    docs = [d for d, _ in members]
+    joined = link_block([unpack(raw, SET_BYTES) for _, raw in members])
+    out += [(0, docs[i], docs[j]) for i, j in joined]
     if max(r[2] for r in rows) > LEADER + 1:
-        near, todo = {key[0]} & sets.keys(), True
-        while todo:
-            grown = near | {y for x in joined for y in x if x[0] in near or x[1] in near}
-            todo, near = len(grown) > len(near), grown
-        out += [(1 if d in near else 2, key[0], d) for d in docs]
+        root = np.arange(len(docs))
+        for i, j in joined:
+            root[i] = j
+        near = {int(root[i]) for i, d in enumerate(docs) if d == key[0]}
+        out += [(1 if int(root[i]) in near else 2, key[0], d) for i, d in enumerate(docs)]
     if out:
         yield batch(_LINKS_ARROW, *map(list, zip(*out, strict=True)))
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) of documents by doc_id that connect exactly the documents connected by similar pairs.
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) of documents by doc_id that connect exactly the documents connected by similar pairs,
+    (doc_id, n_shingles) of every row).
 
     Pass one: each group of documents says every signature of its distinct sets once, with the least doc_id and a count;
     buckets of signatures answer with the least doc_id anywhere, the leader, and the whole count.  Pass two: each set
@@ -333,14 +359,15 @@ def links(docs: DataFrame) -> DataFrame:
     leader that it doesn't connect are compared with all of its other blocks in a second round.
     """
     texts = grouped(docs, bucket_count(docs, GROUP_BYTES))
-    buckets = min(bucket_count(docs), 1 << 20)
+    buckets = bucket_count(docs)
     heard = by_key(texts.groupBy("grp").applyInArrow(_say(buckets), _SAID), ["bucket"], _lead, _HEARD)
     rows = texts.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(_allot(buckets), _ROWS)
     found = staged(by_key(rows, ["leader", "block"], _verify, _LINKS), "ngram-links")
+    sizes = found.where(F.col("kind").isin(SIZES, NO_ID)).select(F.when(F.col("kind") == SIZES, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"))
     sure = found.where("kind = 0").select("a", "b")
-    if found.where("kind = 2").isEmpty():
-        return sure
-    return sure.unionByName(_strays(docs, found.where("kind > 0")))
+    if not found.where("kind = 2").isEmpty():
+        sure = sure.unionByName(_strays(docs, found.where("kind IN (1, 2)")))
+    return sure, sizes
 
 
 def _strays(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -348,9 +375,10 @@ def _strays(docs: DataFrame, members: DataFrame) -> DataFrame:
     stats = members.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == 2).alias("strays")).where("strays > 0")
     blocks = stats.select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # apart from a leader, which is in each of its blocks, a leader's members are there once; its rows may be split at will
-    m = members.where("a <> b").select("a", F.col("b").alias("doc"), (F.col("kind") == 2).alias("stray")).join(blocks, "a")
+    # a document with several texts (a repeated doc_id) counts once, as a stray if one of them is
+    m = members.where("a <> b OR kind = 2").groupBy("a", F.col("b").alias("doc")).agg((F.max("kind") == 2).alias("stray")).join(blocks, "a")
     home = F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block")
-    homes = m.unionByName(blocks.select("a", F.col("a").alias("doc"), F.lit(False).alias("stray"), "blocks")).select("a", "doc", home, F.lit(0).alias("kind"))
+    homes = m.where("a <> doc").unionByName(blocks.select("a", F.col("a").alias("doc"), F.lit(False).alias("stray"), "blocks")).select("a", "doc", home, F.lit(0).alias("kind"))
     guests = m.where("stray").select("a", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"))
     need = homes.unionByName(guests)
 
@@ -361,46 +389,34 @@ def _strays(docs: DataFrame, members: DataFrame) -> DataFrame:
                 yield batch(schema, ids.astype("i8"), [pack(t[x:y] >> np.uint64(16), SET_BYTES) for x, y in zip(bounds, bounds[1:], strict=False)])
 
     ids = staged(homes.select("doc").distinct(), "ngram-strays")
-    ids = F.broadcast(ids) if ids.count() <= MOST_SENT_IDS else ids.hint("shuffle_hash")
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT_IDS else ids
     wanted = docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = wanted.mapInArrow(tokens, "doc long, tokens binary").dropDuplicates(["doc"])
+    sets = wanted.mapInArrow(tokens, "doc long, tokens binary").dropDuplicates(["doc", "tokens"])
 
     def compare(key, rows):
         guests = [r for r in rows if r[3] == 1]
         names = {r[1] for r in guests}
         every = guests + [r for r in rows if r[3] == 0 and r[1] not in names]
-        got = link_block([r[1] for r in every], [unpack(r[4], SET_BYTES) for r in every], len(guests))
+        got = link_block([unpack(r[4], SET_BYTES) for r in every], len(guests)) if guests else []
         if got:
-            yield batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [max(x) for x in got], [min(x) for x in got])
+            yield batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [every[i][1] for i, _ in got], [every[j][1] for _, j in got])
 
     joined = need.join(sets, "doc").select("a", "doc", "block", "kind", "tokens")
     return by_key(joined, ["a", "block"], compare, "a long, b long")
 
 
-def set_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles) of every row."""
-
-    def count(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64())])
-        for b in batches:
-            at, n = b.column("doc_id"), []
-            for _, _, data, offsets in chunks(b.column("text")):
-                n.append(np.diff(shingle_sets(data, offsets)[1]))
-            yield batch(schema, at, np.concatenate(n).astype("i8") if n else [])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, n_shingles long")
-
-
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Words are lower-cased in A-Z; texts of fewer than five words are one shingle; texts without words and null texts
     have an empty set, linked with nothing.  Equal sets are linked whatever their number, through the least doc_id.
-    Repeated doc_ids are one node; a null doc_id has a null component and links nothing by itself.  An empty table gives
-    no rows; other columns are not read.  Sets are compared by 48-bit shingle hashes.
+    Repeated doc_ids are one node, linked by any of its texts; a null doc_id has a null component and links nothing by
+    itself.  An empty table gives no rows; other columns are not read.  Sets are counted by 64-bit and compared by 48-bit
+    shingle hashes: of two sets that differ in d shingles, a common one too many is seen with probability d * d / 2**48.
     """
-    found = components(links(docs.where("doc_id IS NOT NULL").select("doc_id", "text")))
-    return set_sizes(docs).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    found, sizes = links(docs)
+    found = components(found)
+    return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

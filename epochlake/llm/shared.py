@@ -9,6 +9,7 @@ character words agree.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -23,9 +24,11 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (local tests)."""
+    """The folder all executors share; a temporary one only where none is configured and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="epochlake-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         found = f"file://{local}"
@@ -49,7 +52,7 @@ def scan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bucket_count(df: DataFrame, per_bucket: int = 8 << 20, least: int = 64, most: int = 1 << 20) -> int:
+def bucket_count(df: DataFrame, per_bucket: int = 8 << 20, least: int = 64, most: int = 1 << 31) -> int:
     """Buckets so that each holds about per_bucket bytes of input, whatever the size of the input.
 
     Catalyst knows the size of files; for other inputs the bytes of column text are summed once."""
@@ -79,34 +82,41 @@ def _stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BYTE = _stream(1, 256)
-_BASE = int(_stream(2, 1)[0]) | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _COEF = {k: _stream(3 + k, 64) | np.uint64(1) for k in range(4)}
-_POWERS: dict[int, np.ndarray] = {}
+#: Spans longer than this are hashed by a digest.
+SHORT_SPAN = 64
+_PLACE = _stream(1, SHORT_SPAN // 8)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        _POWERS[base] = have = np.cumprod(have)
-    return have[:n]
-
-
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by one prefix sum over the buffer."""
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers(_BASE_INV, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _COEF[0][63])
+    """64-bit hashes of byte spans: the sum of the scrambled 8-byte pieces, each under a key of its place and scrambled
+    with the length; of spans over SHORT_SPAN bytes a BLAKE2b digest.  No prefix sums or powers of one base are involved,
+    so repetitive texts (Thue-Morse words, say) have no structure in common with it."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:-8] = data
+    at = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each position
+    size = ends - starts
+
+    def piece(begin, left):
+        over = (8 - np.clip(left, 0, 8)).astype(np.uint64) << np.uint64(3)
+        return at[begin] << over >> over
+
+    total = mix(piece(starts, size) ^ _PLACE[0])
+    k, todo = 1, np.flatnonzero((size > 8) & (size <= SHORT_SPAN))
+    while len(todo):
+        total[todo] += mix(piece(starts[todo] + 8 * k, size[todo] - 8 * k) ^ _PLACE[k])
+        k, todo = k + 1, todo[size[todo] > 8 * (k + 1)]
+    out = mix(total + size.astype(np.uint64) * _COEF[0][63])
+    long = np.flatnonzero(size > SHORT_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(digests), dtype="<u8")
+    return out
 
 
 def window_hash(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from .shared import Words, batch, bucket_count, by_key, chunks, member, pack, slots, staged, table, unpack, window_hash
 
 WINDOW = 13
-#: A null doc_id counts as larger than any other.
+#: What a null doc_id counts as.
 NO_ID = (1 << 63) - 1
 GROUP_BYTES = 3 << 20
 
 
 def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """Texts in groups by doc_id: the one exchange of texts, which every level reads again."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    """Texts in groups by doc_id and text (so that rows without an id or with a repeated one spread): the one exchange of
+    texts, which every level reads again."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
 
 
 def _half(width: int) -> int:
@@ -120,14 +121,46 @@ def seed_level(texts: DataFrame, width: int, buckets: int) -> DataFrame:
             keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
             values.append(v[keep])
             ids.append(doc_ids[d[keep]])
-        if not values or not sum(map(len, values)):
-            return _SAID_ARROW.empty_table()
-        v, m = _runs(np.concatenate(values), np.concatenate(ids))
-        return _table(_SAID_ARROW, _say(key[0].as_py(), v, m, buckets, _bits))
+        return _said(key, values, ids, buckets)
 
     return by_key(texts.groupBy("grp").applyInArrow(say, _SAID), ["bucket"], _repeated, _HEARD)
 
 
+def _said(key, values: list[np.ndarray], ids: list[np.ndarray], buckets: int) -> pa.Table:
+    if not values or not sum(map(len, values)):
+        return _SAID_ARROW.empty_table()
+    v, m = _runs(np.concatenate(values), np.concatenate(ids))
+    return _table(_SAID_ARROW, _say(key[0].as_py(), v, m, buckets, _bits))
+
+
+def half_level(texts: DataFrame, seeds: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(grp, vals): windows of half the width that two documents have, out of the two halves (overlapping where the width
+    is odd) of every window whose seed repeats; a whole window can only repeat if both do."""
+    half = _half(width)
+
+    def say(key, t, heard):
+        known = _heard(heard)
+        values, ids = [], []
+        for doc_ids, w, h in _views(t):
+            v, whole = _seeds(w, h, width)
+            at = np.flatnonzero(whole & member(v >> np.uint64(16), known))
+            if len(at):
+                at = np.union1d(at, at + width - half)
+                values.append(window_hash(h, half, 1)[at])
+                ids.append(doc_ids[w.doc[at]])
+        return _said(key, values, ids, buckets)
+
+    said = texts.groupBy("grp").cogroup(seeds.groupBy("grp")).applyInArrow(say, _SAID)
+    return by_key(said, ["bucket"], _repeated, _HEARD)
+
+
+def _both_halves(h: np.ndarray, n: int, width: int, known: np.ndarray) -> np.ndarray:
+    """Which of the first n windows have both halves among the repeated ones."""
+    half = _half(width)
+    hit = member(window_hash(h, half, 1) >> np.uint64(16), known)
+    return hit[:n] & hit[width - half : width - half + n]
+
+
 def double_level(texts: DataFrame, before: DataFrame, width: int, buckets: int) -> DataFrame:
     """(grp, vals): windows of 2 * width words that two documents have, out of those with both halves in `before`."""
 
@@ -142,10 +175,7 @@ def double_level(texts: DataFrame, before: DataFrame, width: int, buckets: int)
             ok = hit[:n] & hit[width : width + n] & _starts(w, n, 2 * width)
             values.append(window_hash_long(h, 2 * width)[:n][ok])
             ids.append(doc_ids[w.doc[:n][ok]])
-        if not values or not sum(map(len, values)):
-            return _SAID_ARROW.empty_table()
-        v, m = _runs(np.concatenate(values), np.concatenate(ids))
-        return _table(_SAID_ARROW, _say(key[0].as_py() if key[0].as_py() is not None else 0, v, m, buckets, _bits))
+        return _said(key, values, ids, buckets)
 
     said = texts.groupBy("grp").cogroup(before.groupBy("grp")).applyInArrow(say, _SAID)
     return by_key(said, ["bucket"], _repeated, _HEARD)
@@ -182,22 +212,19 @@ def longest_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     levels end when no candidate survives."""
     texts = grouped(docs, bucket_count(docs, GROUP_BYTES))
     buckets = bucket_count(docs)
-    seeds = seed_level(texts, width, buckets)
+    halves = half_level(texts, seed_level(texts, width, buckets), width, buckets)
 
     def first(key, t, heard):
         known = _heard(heard)
         values, ids = [], []
         for doc_ids, w, h in _views(t):
-            v, whole = _seeds(w, h, width)
-            ok = whole & member(v >> np.uint64(16), known)
-            values.append(window_hash_long(h, width)[: len(v)][ok])
-            ids.append(doc_ids[w.doc[: len(v)][ok]])
-        if not values or not sum(map(len, values)):
-            return _SAID_ARROW.empty_table()
-        v, m = _runs(np.concatenate(values), np.concatenate(ids))
-        return _table(_SAID_ARROW, _say(key[0].as_py(), v, m, buckets, _bits))
-
-    level = staged(by_key(texts.groupBy("grp").cogroup(seeds.groupBy("grp")).applyInArrow(first, _SAID), ["bucket"], _repeated, _HEARD), "repeats")
+            n = max(len(h) - width + 1, 0)
+            ok = _starts(w, n, width) & _both_halves(h, n, width, known)
+            values.append(window_hash_long(h, width)[:n][ok])
+            ids.append(doc_ids[w.doc[:n][ok]])
+        return _said(key, values, ids, buckets)
+
+    level = staged(by_key(texts.groupBy("grp").cogroup(halves.groupBy("grp")).applyInArrow(first, _SAID), ["bucket"], _repeated, _HEARD), "repeats")
     out, at = None, width
     while not level.isEmpty():
         found = texts.groupBy("grp").cogroup(level.groupBy("grp")).applyInArrow(_holders(at), "doc_id long, longest long")
@@ -220,8 +247,8 @@ def _candidates(t: pa.Table, known: np.ndarray, width: int):
     """Of a group: hashes h, g of surviving windows, and document ids; with (Words, positions) by chunk."""
     views, hs, gs, ids = [], [], [], []
     for doc_ids, w, h in _views(t):
-        v, whole = _seeds(w, h, width)
-        at = np.flatnonzero(whole & member(v >> np.uint64(16), known)) if len(known) else np.zeros(0, dtype=np.int64)
+        n = max(len(h) - width + 1, 0)
+        at = np.flatnonzero(_starts(w, n, width) & _both_halves(h, n, width, known)) if len(known) else np.zeros(0, dtype=np.int64)
         views.append((doc_ids, w, at))
         hs.append(window_hash(h, width, 2)[at] if len(at) else np.zeros(0, dtype=np.uint64))
         gs.append(window_hash(h, width, 3)[at] if len(at) else np.zeros(0, dtype=np.uint64))
@@ -245,19 +272,20 @@ def removed_words(docs: DataFrame, width: int = WINDOW, texts_out: bool = False)
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text): each word covered by a `width`-word window is removed if
     that word sequence also starts in a document with a smaller doc_id, judged on the input.
 
-    Level one compares half-length seeds (about `width` / 2 words), pre-aggregated per group of documents: a group says
-    each distinct seed once, however many of its documents hold it, so a passage in a third of all documents costs one
-    entry per group.  Level two extends only windows whose seed repeats to `width` words: per group the least doc_id of
-    each window is sent, and a group hears which of its windows start in a smaller document elsewhere; inside a group
-    they are compared at hand.  Windows are told apart by 64 + 16 hash bits besides the bucket's; seeds are only a filter.
-    Longer levels cannot change what is removed; longest_repeats goes on doubling until no candidate survives.
+    Filter: half-length seeds (the least hash in a window, about a quarter of the positions) are pre-aggregated per group
+    of documents, so a passage in a third of all documents costs one entry per group.  Level one: of the windows whose seed
+    repeats, the two windows of half the length (7 words, overlapping by one) are compared, all of them.  Level two: only
+    where both halves repeat, the window of `width` words is compared: per group its least doc_id is sent, and a group
+    hears which of its windows start in a smaller document elsewhere; inside a group they are compared at hand.  A group
+    without surviving candidates sends nothing.  Windows are told apart by 64 + 16 hash bits besides the bucket's; longer
+    levels cannot change what is removed, longest_repeats goes on doubling until no candidate survives.
 
     Null texts have no words; texts shorter than `width` lose none; rows that repeat a doc_id are one document's, none
-    smaller than the other; null doc_ids count as the largest; an empty table gives no rows; other columns are not read.
+    smaller than the other; null doc_ids count as 2**63 - 1; an empty table gives no rows; other columns are not read.
     """
     groups, buckets = bucket_count(docs, GROUP_BYTES), bucket_count(docs)
     texts = grouped(docs, groups)
-    seeds = seed_level(texts, width, buckets).withColumn("kind", F.lit(0))
+    halves = half_level(texts, seed_level(texts, width, buckets), width, buckets).withColumn("kind", F.lit(0))
 
     def say(key, t, heard):
         known = _heard(heard, 0)
@@ -285,7 +313,7 @@ def removed_words(docs: DataFrame, width: int = WINDOW, texts_out: bool = False)
         if len(names):
             yield batch(_HEARD_ARROW, np.array([rows[k][1] for k in names], dtype="i4"), [p[order[a:b]].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
 
-    said = texts.groupBy("grp").cogroup(seeds.groupBy("grp")).applyInArrow(say, _OWN)
+    said = texts.groupBy("grp").cogroup(halves.groupBy("grp")).applyInArrow(say, _OWN)
     late = by_key(said, ["bucket"], judge, _HEARD).withColumn("kind", F.lit(1))
     columns = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts_out
     schema = pa.schema(columns)
@@ -301,7 +329,7 @@ def removed_words(docs: DataFrame, width: int = WINDOW, texts_out: bool = False)
                 told = np.unique(told["h"] ^ (told["g"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 far = member(hh ^ ((gg >> np.uint64(48)) * np.uint64(0x9E3779B97F4A7C15)), told)
             bad = (ids > least[slot]) | far[slot]
-        out, at = [], 0
+        out, at, no_id = [], 0, iter(t.column("no_id").to_pylist())
         for doc_ids, w, pos in views:
             n = len(w.starts)
             cover = np.zeros(n + 1, dtype=np.int32)
@@ -320,10 +348,10 @@ def removed_words(docs: DataFrame, width: int = WINDOW, texts_out: bool = False)
                 if cut:
                     words = [x for x, y in zip(words, gone[a:b].tolist(), strict=True) if not y]
                 kept = b" ".join(words)
-                out.append((doc if doc != NO_ID else None, int(b - a), cut, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts_out else [])))
+                out.append((None if next(no_id) else doc, int(b - a), cut, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts_out else [])))
         return pa.Table.from_batches([batch(schema, *map(list, zip(*out, strict=True)))]) if out else schema.empty_table()
 
-    told = seeds.unionByName(late)
+    told = halves.unionByName(late)
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_out
     return texts.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(finish, ddl)
 

@@ -192,6 +192,49 @@ def test_ngram_join_negative_and_large_ids(spark, rows):
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(docs).collect()} == want
 
 
+def test_ngram_join_texts_of_a_repeated_id(spark, rows, monkeypatch):
+    """Several texts of an id link as one node, each of them by its own words."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    docs = spark.createDataFrame([(r[0] % 40 if r[1] else None, r[1]) for r in rows], "doc_id long, text string")
+    root = {i: i for i in range(40)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    texts = [(r[0] % 40, shingles(r[1])) for r in rows if r[1]]
+    for k, (i, a) in enumerate(texts):
+        for j, b in texts[k + 1 :]:
+            if a & b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = ngram_join.similar_components(docs).collect()
+    assert len(got) == len(rows)
+    assert all(r["component_id"] == (None if r["doc_id"] is None else find(r["doc_id"])) for r in got)
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [16, 64, 1024, 4096])
+def test_words_of_one_structure_are_told_apart(spark, n):
+    """A Thue-Morse word and its complement collide under any polynomial hash modulo a power of two."""
+    t, c = thue_morse(n)
+    same12 = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{same12} {t}"), (2, f"{same12} {c}"), (3, f"a {t} b {c} d {t}"), (4, f"a {c} b {t} d {c}")]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in rows], "doc_id long, text string, lang string")
+    assert {r["n_removed"] for r in substrings.removed_words(docs).collect()} == {0}
+    assert all(r["component_id"] == r["doc_id"] for r in ngram_join.similar_components(docs.where("doc_id > 2")).collect())
+    lines = spark.createDataFrame([(1, f"{t}\n{c}\np {t} q p {c} q", "en")], "doc_id long, text string, lang string")
+    got = quality.judge(lines, spark.createDataFrame([], "doc_id long, quality int")).first()
+    assert (got["n_dup_lines"], got["n_repeat_words"]) == (0, 0)
+
+
 def test_ngram_signatures_lose_no_similar_pair():
     """Random pairs at the threshold share a kept signature, at every size of a set."""
     rng = np.random.default_rng(0)
