@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import staged, table
+from .shared import ROW, plain_rows, staged, table, with_row_keys
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -44,54 +44,58 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, row: str | None = None) -> DataFrame:
     """Per row of docs (doc_id, source, text): size, source_size, target and taken, the words the mix takes of it.
 
-    Each row has a hash-random key of the seed and its doc_id.  Within a source, rows are sorted by key in
+    Each row has a hash-random key of the seed, its doc_id and its text.  Within a source, rows are sorted by key in
     16**RANGE_DIGITS key ranges of equal width, each of them a window partition of its own; a range's start in the
     source's prefix sum comes from the summed sizes of the ranges before it, so no task sorts or scans a whole source,
     hot or not.  A target of e sizes and a rest takes e whole epochs and cuts the next one at the rest, to the word.
 
-    The texts are scanned once: keys and sizes go to a table in the shared folder.  Rows with equal doc_ids have equal
-    keys and follow by size.  Null texts have size 0 and nothing is taken of them; null sources form a source; an empty
+    The texts are scanned once: keys and sizes go to a table in the shared folder.  Rows equal in doc_id and text have
+    equal keys and sizes, and it does not matter which of them is cut; given `row`, a column of unique keys, it decides and
+    is returned too.  Null texts have size 0 and nothing is taken of them; null sources form a source; an empty
     table gives no rows; other columns are not read.
     """
-    light = staged(docs.select("doc_id", F.col("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    light = light.withColumn("key", key).withColumn("key_range", F.substring("key", 1, RANGE_DIGITS))
+    more = [row] if row else []
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    light = staged(docs.select("doc_id", F.col("source"), word_count(F.col("text")).alias("size"), key.alias("key"), *more), "mix-sizes")
+    light = light.withColumn("key_range", F.substring("key", 1, RANGE_DIGITS))
     ranges = light.groupBy("source", "key_range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes)
     starts = ranges.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("key_range").alias("r"), "range_start", "source_size", "target")
-    within = Window.partitionBy("source", "key_range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "key_range").orderBy("key", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     rows = light.withColumn("in_range", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("key_range") == F.col("r")))
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("in_range")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *more)
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of docs as the mix takes them, columns unchanged: a text taken e times over stands e times, and one
-    cut by its source's budget is shortened to the words taken of it (joined by one space)."""
-    took = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), "size", "taken").dropDuplicates(["t_id", "t_source", "size"])
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    d = docs.select(row, F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), word_count(F.col("text")).alias("words"))
-    same = F.col("d_id").eqNullSafe(F.col("t_id")) & F.col("d_source").eqNullSafe(F.col("t_source")) & (F.col("words") == F.col("size"))
-    d = d.join(took.hint("shuffle_hash"), same).select("row", "size", "taken")
+    cut by its source's budget is shortened to the words taken of it (joined by one space).
+
+    Every row is taken by itself, whatever its doc_id: null and repeated ids, repeated rows and clashing columns are rows
+    like any other, so the words of a source come to its budget exactly.  Texts without words are never taken; an empty
+    table gives no rows.
+    """
+    keyed = with_row_keys(docs)
+    took = mix(keyed.select("row.doc_id", "row.source", "row.text", ROW), seed, ROW).where("taken > 0").select(F.col(ROW).alias("t_row"), "size", "taken")
+    d = keyed.join(took, F.col(ROW) == F.col("t_row")).select("row", "size", "taken")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     words = F.regexp_extract_all("row.text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
     cut = F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(1))), " ")
-    text = F.when(left >= F.col("size"), F.col("row.text")).otherwise(cut)
-    new = {"text": text}
+    new = {"text": F.when(left >= F.col("size"), F.col("row.text")).otherwise(cut)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(left >= F.col("size"), F.col("row.n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)
-    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return plain_rows(d, docs.columns, **new)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 c AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before,

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, batch, bucket_count, by_key, chunks, components, member, mix, pack, pack_small, roots, slots, staged, table, unpack, unpack_small, window_hash
+from .shared import ROW, Words, batch, bucket_count, by_key, chunks, components, member, mix, pack, pack_small, plain_rows, roots, slots, staged, table, unpack, unpack_small, window_hash, with_row_keys
 from .substrings import GROUP_BYTES, grouped
 
 SHINGLE = 5
@@ -419,6 +419,22 @@ def similar_components(docs: DataFrame) -> DataFrame:
     return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of similar texts: the one with the least doc_id (null last), then the least key.
+
+    Every row is a text of its own, whatever its doc_id, so of rows equal in all columns one stays; texts without words are
+    similar to none and all stay.  Columns are unchanged; an empty table gives no rows.
+    """
+    keyed = with_row_keys(docs)
+    found = similar_components(keyed.select(F.col(ROW).alias("doc_id"), "row.text")).where("component_id IS NOT NULL")
+    ids = keyed.select(F.col(ROW).alias("i_row"), F.col("row.doc_id").alias("i_id"))
+    order = F.struct(F.col("i_id").isNull().alias("none"), F.coalesce("i_id", F.lit(0)).alias("id"), F.col("i_row").alias("row"))
+    members = found.join(ids, F.col("doc_id") == F.col("i_row")).select("component_id", "i_row", order.alias("o"))
+    first = members.groupBy("component_id").agg(F.min("o").alias("first"))
+    others = members.join(first, "component_id").where("i_row <> first.row").select(F.col("i_row").alias("o_row"))
+    return plain_rows(keyed.join(others, F.col(ROW) == F.col("o_row"), "left_anti"), docs.columns)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

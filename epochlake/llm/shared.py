@@ -47,6 +47,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW = "row_key"
+
+
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """docs as (ROW long, row struct of all columns), a key of its own for each row and the same one in every scan.
+
+    Where doc_ids are unique and never null, as a light pass over them finds, the key is the doc_id.  Otherwise rows are
+    numbered once, in a copy in the shared folder."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    counts = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if counts.isEmpty():
+        return docs.select(F.col("doc_id").cast("long").alias(ROW), row)
+    return staged(docs.select(F.monotonically_increasing_id().alias(ROW), row), "numbered-rows")
+
+
+def plain_rows(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns of df's struct row, some of them replaced."""
+    return df.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

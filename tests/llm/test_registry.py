@@ -1,4 +1,4 @@
-"""Registered queries against their SQL and the pipeline against its stages."""
+"""Registered queries against their SQL ."""
 
 import pytest
 from sqlcheck import same
@@ -14,38 +14,3 @@ def test_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline as P
-    from epochlake.llm import mixing, ngram_join, quality, secrets
-    from epochlake.llm.shared import staged, table
-
-    docs = table(spark, sf, "documents")
-    out = {}
-    for name, stage in P.STAGES:
-        out[name] = staged(stage(spark, docs, sf), name)
-        before, docs = docs, out[name]
-        if name != "tokens":
-            assert docs.columns == table(spark, sf, "documents").columns
-        if name == "quality":
-            kept = {r["doc_id"] for r in quality.judge(before, table(spark, sf, "labels")).where("kept").collect()}
-            assert {r["doc_id"] for r in docs.select("doc_id").collect()} == kept
-        if name == "near_duplicates":
-            roots = {r["component_id"] for r in ngram_join.similar_components(before).collect()}
-            assert {r["doc_id"] for r in docs.select("doc_id").collect()} == roots
-        if name == "secrets":
-            spans = {r["doc_id"]: r["spans"] for r in secrets.scan_ledger(before)[0].collect()}
-            new = {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()}
-            old = {r["doc_id"]: r["text"] for r in before.collect()}
-            want = {i: secrets.redact(t, spans[i]) for i, t in old.items()}
-            assert {i: t for i, (t, _) in new.items()} == want
-            assert all(n == len(t) for i, (t, n) in new.items() if spans[i])
-        if name == "mix":
-            taken = {r["doc_id"]: r["taken"] for r in mixing.mix(before).where("taken > 0").collect()}
-            got = {}
-            for r in docs.select("doc_id", mixing.word_count(docs["text"]).alias("n")).collect():
-                got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["n"]
-            assert got == taken
-        if name == "tokens":
-            assert docs.count() == before.count() and docs.where("n_tokens <> size(ids)").count() == 0
