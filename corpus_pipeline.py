@@ -1,74 +1,48 @@
 """Corpus pipeline: documents to token ids, in five written stages.
 
 quality rules -> near duplicates -> secrets redacted -> sources mixed -> tokens.  Every stage works on all rows its
-predecessor wrote; all but the last return the columns of documents.
+predecessor wrote; all but the last return the columns of documents.  Rows are decided one by one, never by doc_id alone:
+null and repeated ids, repeated rows, empty tables and further columns of any name are handled by every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochlake.llm import bpe, mixing, ngram_join, quality, secrets
 from epochlake.llm.shared import staged, table
 
-REDACTED = "[REDACTED]"
-
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject; cutoffs are certified on the labels of these documents."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.where("NOT kept").select(F.col("doc_id").alias("r_id")).distinct()
-    return docs.join(rejected.hint("shuffle_hash"), docs["doc_id"] == rejected["r_id"], "left_anti")
+    """Without the rows that the quality rules reject; cutoffs are certified on the labels of these documents."""
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents, the one with the least doc_id."""
-    found = ngram_join.similar_components(docs)
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("o_id")).distinct()
-    return docs.join(others.hint("shuffle_hash"), docs["doc_id"] == others["o_id"], "left_anti")
-
-
-def _without_spans(text: Column, spans: Column) -> Column:
-    """text with its spans (kind:start:end, ordered by start) replaced, overlapping ones as one."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, span: Column) -> Column:
-        s, e = F.split(span, ":")[1].cast("int"), F.split(span, ":")[2].cast("int")
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s - acc["at"]), F.lit(REDACTED))
-        return F.struct(F.when(s >= acc["at"], more).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], e).alias("at"))
-
-    return F.aggregate(F.split(spans, ","), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """One row of each component of similar texts, the one with the least doc_id."""
+    return ngram_join.representatives(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets found in it replaced; n_chars follows the text."""
-    found, _ = secrets.scan_ledger(docs)
-    hits = found.where("spans <> ''").select(F.col("doc_id").alias("h_id"), F.col("blob").alias("h_blob"), "spans").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    d = docs.select(row, F.col("doc_id").alias("d_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("d_blob"))
-    d = d.join(hits.hint("shuffle_hash"), F.col("d_id").eqNullSafe(F.col("h_id")) & (F.col("d_blob") == F.col("h_blob")), "left")
-    clean = _without_spans(F.col("row.text"), F.col("spans"))
-    same = F.col("spans").isNull()
-    new = {"text": F.when(same, F.col("row.text")).otherwise(clean)}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
-    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    """Every row, with the secrets found in it replaced; n_chars follows the text."""
+    return secrets.redacted_documents(docs, secrets.new_ledger(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often and as long as the mix takes them."""
+    """The rows as often and as long as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token ids of every row."""
+    """doc_id, n_tokens and token ids of every row; null texts have none."""
     return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality", drop_low_quality), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("mix", mix_sources), ("tokens", tokenize)]
 
-#: The fitted cutoffs, the order of the mix and the tokens are beyond SQL; tests compare each stage with brute force.
+#: Similarity at this scale, fitted cutoffs and tokens are beyond SQL; tests/llm/test_pipeline.py runs all five stages
+#: against plain Python.
 ORACLE_SQL = None
 
 
