@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,52 +16,82 @@ from .shared import batch, by_key, components, mix, roots, staged, table
 COSINE = 0.95
 BLOCK_DIMS = 8
 SEED = 7
-#: Vectors a grid cell should hold at home; cells of more are split.
-CELL = 2048
+#: Cuts of a block's grid at least, whatever the number of vectors; more are made only while a cell would hold more home
+#: vectors than a task (SIDE), at most MOST_CUTS.
+LEAST_CUTS, MOST_CUTS = 3, 16
 #: Most components of the vectors on one side of a task, pairs compared at a time, and bytes of vectors dealt at a time.
 SIDE, PAIRS, DEALT_BYTES = 1 << 21, 1 << 22, 16 << 20
 #: Added to squared distances before they are compared with a budget: more than rounding can take from them.
 SLACK = 1e-9
 
 
-class Subspaces:
-    """A seeded rotation of centred unit vectors, its blocks of dimensions and their squared-distance budgets."""
-
-    def __init__(self, mean: np.ndarray, grid: int, cosine: float = COSINE):
-        d = len(mean)
-        self.mean = mean
-        q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(SEED)).standard_normal((d, d)))
-        self.turn = q * np.sign(np.diag(r))
-        self.cuts = [(a, min(a + BLOCK_DIMS, d)) for a in range(0, d, BLOCK_DIMS)]
-        total = 2 * (1 - cosine)
-        self.budget = [total * (b - a) / d + SLACK for a, b in self.cuts]
-        self.grid = [min(grid, b - a) for a, b in self.cuts]
-        self.cosine = cosine
+@cache
+def rotation(d: int) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(SEED)).standard_normal((d, d)))
+    return q * np.sign(np.diag(r))
 
-    def unit(self, x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float64)
-        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-    def rotate(self, unit: np.ndarray) -> np.ndarray:
-        return (unit - self.mean) @ self.turn
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-    def home(self, z: np.ndarray, k: int) -> np.ndarray:
-        a, g = self.cuts[k][0], self.grid[k]
-        return ((z[:, a : a + g] > 0) * (1 << np.arange(g))).sum(axis=1)
 
-    def reach(self, z: np.ndarray, k: int) -> np.ndarray:
-        """[vector, cell]: whether the cell holds points within the block's budget of the vector."""
-        a, g = self.cuts[k][0], self.grid[k]
-        flips = (np.arange(1 << g)[:, None] >> np.arange(g)) & 1
-        within = (z[:, a : a + g] ** 2) @ flips.T <= self.budget[k]
-        out = np.empty_like(within)
-        out[np.arange(len(z))[:, None], self.home(z, k)[:, None] ^ np.arange(1 << g)] = within
-        return out
+class Subspaces:
+    """A seeded rotation of unit vectors of one length, its blocks of dimensions, their squared-distance budgets and grids.
 
+    The grid of a block has so many cuts: each dimension is first cut in two at its mean, then in four at the quartiles of
+    a normal distribution of its spread.
+    """
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), dtype=np.float32)
+    def __init__(self, mean: np.ndarray, spread: np.ndarray, cuts: int, cosine: float = COSINE):
+        self.mean, self.d = mean, len(mean)
+        self.blocks = [(a, min(a + BLOCK_DIMS, self.d)) for a in range(0, self.d, BLOCK_DIMS)]
+        total = 2 * (1 - cosine)
+        self.budget = [total * (b - a) / self.d + SLACK for a, b in self.blocks]
+        self.cosine = cosine
+        self.edges = []
+        for a, b in self.blocks:
+            bits = [max(0, min(2, (cuts - i + b - a - 1) // (b - a))) for i in range(b - a)]
+            self.edges.append([mean[a + i] + spread[a + i] * np.array([NormalDist().inv_cdf(q / (1 << k)) for q in range(1, 1 << k)]) for i, k in enumerate(bits)])
+
+    def rotate(self, u: np.ndarray) -> np.ndarray:
+        return u @ rotation(self.d)
+
+    def cells(self, z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home cell of each vector, vector, cell): also all other cells within the block's budget of each vector."""
+        a, n = self.blocks[k][0], len(z)
+        home, at, cell, used = np.zeros(n, dtype=np.int64), np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n)
+        for i, edges in enumerate(self.edges[k]):
+            m = len(edges) + 1
+            if m == 1:
+                continue
+            x = z[:, a + i]
+            low, high = np.append(-np.inf, edges), np.append(edges, np.inf)
+            gap = np.maximum(np.maximum(low - x[:, None], x[:, None] - high), 0) ** 2
+            home = home * m + np.searchsorted(edges, x)
+            total = used[:, None] + gap[at]
+            row, part = np.nonzero(total <= self.budget[k])
+            at, cell, used = at[row], cell[row] * m + part, total[row, part]
+        away = cell != home[at]
+        return home, at[away], cell[away]
+
+    def hosted(self, home: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Of two cells, whether the second hosts their pairs: a coin for each two cells, so that each pair meets once."""
+        low, high = np.minimum(home, cell).astype(np.uint64), np.maximum(home, cell).astype(np.uint64)
+        coin = (mix(low * np.uint64(0x9E3779B97F4A7C15) + high) & np.uint64(1)).astype(bool)
+        return (cell > home) == coin
+
+
+def _matrix(column: pa.Array, rows: np.ndarray, d: int) -> np.ndarray:
+    """The vectors of the rows, all of length d."""
+    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(-1, d)
+
+
+def _by_length(column: pa.Array):
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for d in np.unique(size).tolist():
+        yield int(d), np.flatnonzero(size == d)
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -67,158 +101,194 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
     return rows.where((square > 0) & (square < float("inf")) & ~F.isnan(square))
 
 
-def _cell_join(space: Subspaces):
-    """Of one grid cell: link counts of its home vectors, and links that connect them."""
+def _cell_join(spaces: dict[int, Subspaces], kind: str):
+    """Of home and other vectors of one grid cell: link counts, and links that connect them."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(key, rows):
-        k, d = key[0] >> 16, len(space.mean)
-        lo, hi = space.cuts[k]
+        space, k = spaces[key[0]], key[1]
+        lo, hi = space.blocks[k]
         sides = []
-        for side in (1, 2):
-            mine = [r[4:] for r in rows if r[3] & side]
-            if not mine:
-                return
-            ids, n = (np.concatenate([np.frombuffer(r[c], dtype="<i8") for r in mine]) for c in (0, 1))
-            u = space.unit(np.concatenate([np.frombuffer(r[2], dtype="<f4").reshape(-1, d) for r in mine]))
+        for role in (1, 2):
+            mine = [r[5:] for r in rows if r[4] == role]
+            ids, n = (np.concatenate([np.frombuffer(r[c], dtype="<i8") for r in mine]) if mine else np.zeros(0, dtype="<i8") for c in (0, 1))
+            u = unit(np.concatenate([np.frombuffer(r[2], dtype=kind).reshape(-1, space.d) for r in mine])) if mine else np.zeros((0, space.d))
             sides.append((ids, n, u, space.rotate(u)))
-        (xi, _, xu, xz), (yi, yn, yu, yz) = sides
+        (xi, xn, xu, xz), other = sides
+        own = key[3] in (OWN, OWN_AND_FIRST)
+        if own:  # home vectors among themselves, each pair once: the later of the two as the other side
+            yi, yn, yu, yz = (np.concatenate(c) for c in zip(sides[0], other, strict=True))
+        else:
+            yi, yn, yu, yz = other
+        if not len(xi) or not len(yi):
+            return
         nodes, at = np.unique(np.concatenate([xi, yi]), return_inverse=True)
         xat, yat = at[: len(xi)], at[len(xi) :]
         root = np.arange(len(nodes))
         # squared block distances by one single-precision product of (-2x, |x|^2, 1) and (y, 1, |y|^2): a first filter
-        yb = yz[:, lo:hi]
+        yb = yz[:, lo:hi] - space.mean[lo:hi]
         right = np.column_stack([yb, np.ones(len(yb)), (yb**2).sum(axis=1)]).astype(np.float32).T.copy()
         near = np.float32(space.budget[k] + 1e-5)
-        count = np.zeros(len(xi), dtype=np.int64)
+        xc, yc = np.zeros(len(xi), dtype=np.int64), np.zeros(len(yi), dtype=np.int64)
         step = min(max(PAIRS // len(yi), 1), 512)
         for s in range(0, len(xi), step):
-            zb = xz[s : s + step, lo:hi]
+            zb = xz[s : s + step, lo:hi] - space.mean[lo:hi]
             left = np.column_stack([-2 * zb, (zb**2).sum(axis=1), np.ones(len(zb))]).astype(np.float32)
-            i, j = np.nonzero(left @ right <= near)
-            i += s
+            from_ = s + 1 if own else 0
+            i, j = np.nonzero(left @ right[:, from_:] <= near)
+            i, j = i + s, j + from_
             for c in range(0, len(i), 1 << 16):
                 p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-                ok = xi[p] != yi[q]
-                p, q = p[ok], q[ok]
+                if own:
+                    later = q > p
+                    p, q = p[later], q[later]
                 ok = np.einsum("ij,ij->i", xu[p], yu[q]) >= space.cosine
                 p, q = p[ok], q[ok]
                 delta = (xz[p] - yz[q]) ** 2
                 first = delta[:, lo:hi].sum(axis=1) <= space.budget[k]
                 for b in range(k):  # a pair counts in the first block whose budget it keeps
-                    first &= delta[:, slice(*space.cuts[b])].sum(axis=1) > space.budget[b]
+                    first &= delta[:, slice(*space.blocks[b])].sum(axis=1) > space.budget[b]
                 p, q = p[first], q[first]
-                np.add.at(count, p, yn[q])
+                np.add.at(xc, p, yn[q])
+                np.add.at(yc, q, xn[p])
                 # only links between groups not yet connected are held: at most one a vector
                 a, b = root[xat[p]], root[yat[q]]
                 new = a != b
                 if new.any():
                     root = roots(len(nodes), np.concatenate([np.arange(len(nodes)), a[new]]), np.concatenate([root, b[new]]))
-        some, own = count > 0, root != np.arange(len(nodes))
-        yield batch(schema, np.repeat(np.array([0, 1], dtype="i4"), [some.sum(), own.sum()]), np.concatenate([xi[some], nodes[own]]), np.concatenate([count[some], nodes[root[own]]]))
+        count = np.zeros(len(nodes), dtype=np.int64)
+        np.add.at(count, xat, xc)
+        np.add.at(count, yat, yc)
+        some, led = count > 0, root != np.arange(len(nodes))
+        if some.any():
+            yield batch(schema, np.repeat(np.array([0, 1], dtype="i4"), [some.sum(), led.sum()]), np.concatenate([nodes[some], nodes[led]]), np.concatenate([count[some], nodes[root[led]]]))
 
     return run
 
 
+#: Others of a task: the home part itself (also with the first part of visitors), an earlier home part, or (from VISITS on)
+#: a part of the visitors.
+OWN, OWN_AND_FIRST, EARLIER, VISITS = -1, 0, -2, 1
+_DEALT = "d int, block int, cell long, other long, role int, ids binary, n binary, vectors binary"
+_DEALT_ARROW = pa.schema([("d", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("other", pa.int64()), ("role", pa.int32()), ("ids", pa.binary()), ("n", pa.binary()), ("vectors", pa.binary())])
+
+
 def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of rows (vec_id, embedding).
 
     Equal vectors are counted into one representative first, so any number of copies costs one.  Unit vectors at cosine c
-    have squared distance 2 - 2c; they are centred, rotated and split into blocks of BLOCK_DIMS dimensions, and two of
-    them keep the proportional budget in one block at least.  In each block a grid over the signs of its leading
-    dimensions (more of them the more vectors there are) has about CELL vectors per home cell; a vector also visits the
-    cells within its budget.  In a cell, home vectors meet visitors: block distance, then the exact cosine in double
-    precision; a pair counts in the first block whose budget it keeps.  Home vectors and visitors of a large cell are
-    both split into parts, and each part of the one meets each part of the other in a task of its own, so a task's memory
-    is bounded whatever the number of vectors; the number of such tasks of a cell grows with its square.  Only cell counts (at most blocks * 2**BLOCK_DIMS), one mean vector and the dimension reach the driver.
-
-    Vectors that are null, zero, of another than the commonest length, or hold null or non-finite components link with
-    nothing.  Rows with a null vec_id take no part; repeated rows are each linked with their copies; an empty table
-    gives no rows; other columns are not read.
+    have squared distance 2 - 2c; they are rotated and split into blocks of BLOCK_DIMS dimensions, and two of
+    them keep the proportional budget in one block at least.  In each block a grid of the same few cuts for tables of any
+    usual size (more only where a cell would not fit a task) splits the vectors into home cells; of two cells within the
+    budget of each other one hosts the other's vectors, so a pair meets once a block and the vectors that move grow with
+    the table, not with its square.  In a cell: block distance, then the exact cosine in double precision; a pair counts in
+    the first block whose budget it keeps.  Home vectors and visitors are both cut into parts of at most SIDE components,
+    each part of the one meeting each part of the other in a task of its own, so a task's memory is bounded.  Only cell
+    counts (at most blocks * 2**MOST_CUTS a length) and sums by dimension reach the driver.
+
+    Vectors of each length are compared among themselves (one grid a length; lengths are few).  Vectors that are null,
+    zero, or hold null or non-finite components link with nothing.  Rows with a null vec_id take no part; repeated rows are
+    each linked with their copies; an empty table gives no rows; other columns are not read.
     """
-    spark = rows.sparkSession
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    double = "array<double>" in dict(rows.dtypes)["embedding"]
+    kind = "<f8" if double else "<f4"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
     good = valid_vectors(rows.where("vec_id IS NOT NULL"))
-    size = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if size is None:
-        return alone
-    d = size["d"]
-    good = good.where(F.size("embedding") == d)
     classes = staged(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
-    means = mean_vector(classes, d)
-    total = means.pop()
-    grid = int(np.clip(np.ceil(np.log2(max(total / CELL, 1))), 0, BLOCK_DIMS))
-    space = Subspaces(np.array(means), grid, cosine)
+    spaces = grids(classes, cosine)
 
     def homes(batches):
+        schema = pa.schema([("d", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("n", pa.int64()), ("visits", pa.int64())])
         for b in batches:
-            z = space.rotate(space.unit(_matrix(b.column("embedding"))))
-            cells = []
-            for k in range(len(space.cuts)):
-                reach = space.reach(z, k)
-                at = np.arange(reach.shape[1])
-                cells.append((at + (k << 16), np.bincount(space.home(z, k), minlength=len(at)), reach.sum(axis=0)))
-            yield batch(pa.schema([("cell", pa.int32()), ("n", pa.int64()), ("visits", pa.int64())]), *(np.concatenate(c) for c in zip(*cells, strict=True)))
-
-    held = classes.select("embedding").mapInArrow(homes, "cell int, n long, visits long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits")).where("n > 0").collect()
-    side = max(SIDE // d, 1)
-    parts = {r["cell"]: (-(-r["n"] // min(2 * CELL, side)), -(-r["visits"] // side)) for r in held}
+            for d, at in _by_length(b.column("embedding")):
+                space = spaces[d]
+                z = space.rotate(unit(_matrix(b.column("embedding"), at, d)))
+                for k in range(len(space.blocks)):
+                    home, of, cell = space.cells(z, k)
+                    cell = cell[space.hosted(home[of], cell)]
+                    names, where = np.unique(np.concatenate([home, cell]), return_inverse=True)
+                    n = np.bincount(where[: len(home)], minlength=len(names))
+                    visits = np.bincount(where[len(home) :], minlength=len(names))
+                    yield batch(schema, np.full(len(names), d, dtype="i4"), np.full(len(names), k, dtype="i4"), names, n, visits)
+
+    held = classes.select("embedding").mapInArrow(homes, "d int, block int, cell long, n long, visits long").groupBy("d", "block", "cell").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits")).where("n > 0").collect()
+    side = lambda d: max(SIDE // d, 1)
+    parts = {(r["d"], r["block"], r["cell"]): (-(-r["n"] // side(r["d"])), -(-r["visits"] // side(r["d"]))) for r in held}
 
     def deal(batches):
-        schema = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("visit", pa.int32()), ("role", pa.int32()), ("ids", pa.binary()), ("n", pa.binary()), ("vectors", pa.binary())])
         for b in batches:
-            x = _matrix(b.column("embedding")).astype("<f4")
-            ids, n = b.column("rep").to_numpy(), b.column("n").to_numpy()
-            z = space.rotate(space.unit(x))
-            mixed = mix(ids.astype(np.uint64))
-            out, held = [], 0
-            for k in range(len(space.cuts)):
-                home, reach = space.home(z, k), space.reach(z, k)
-                for c in range(reach.shape[1]):
-                    cell = c + (k << 16)
-                    if cell not in parts:
-                        continue
-                    n_parts, n_visits = parts[cell]
-                    own, seen = np.flatnonzero(home == c), np.flatnonzero(reach[:, c])
-                    part, visit = (mixed % np.uint64(n_parts)).astype(int), ((mixed >> np.uint64(32)) % np.uint64(n_visits)).astype(int)
-                    owns, visits = [own[part[own] == i] for i in range(n_parts)], [seen[visit[seen] == i] for i in range(n_visits)]
-                    for i, hs in enumerate(owns):
-                        for j, vs in enumerate(visits):
-                            # role 1: at home, 2: visitor, 3: both (every vector visits its own cell too)
-                            for role, at in ((1, hs[visit[hs] != j]), (2, vs[(home[vs] != c) | (part[vs] != i)]), (3, hs[visit[hs] == j])):
-                                if len(at):
-                                    out.append((cell, i, j, role, ids[at].astype("<i8").tobytes(), n[at].astype("<i8").tobytes(), x[at].tobytes()))
-                                    held += x[at].nbytes
-                            if held > DEALT_BYTES:
-                                yield batch(schema, *map(list, zip(*out, strict=True)))
-                                out, held = [], 0
+            all_ids, all_n = b.column("rep").to_numpy(), b.column("n").to_numpy()
+            out, size = [], 0
+            for d, at in _by_length(b.column("embedding")):
+                space, x = spaces[d], _matrix(b.column("embedding"), at, d).astype(kind)
+                ids, n = all_ids[at], all_n[at]
+                z = space.rotate(unit(x))
+                mixed = mix(ids.astype(np.uint64))
+                for k in range(len(space.blocks)):
+                    home, of, cell = space.cells(z, k)
+                    mine = space.hosted(home[of], cell)
+                    of, cell = of[mine], cell[mine]
+                    order = np.lexsort((of, cell))
+                    of, cell = of[order], cell[order]
+                    by_home = np.argsort(home, kind="stable")
+                    at_home = home[by_home]
+                    for c in np.unique(home).tolist() + np.setdiff1d(cell, home).tolist():
+                        if (d, k, c) not in parts:
+                            continue
+                        p_home, p_visits = parts[d, k, c]
+                        own = by_home[np.searchsorted(at_home, c) : np.searchsorted(at_home, c, side="right")]
+                        seen = of[np.searchsorted(cell, c) : np.searchsorted(cell, c, side="right")]
+                        part = (mixed[own] % np.uint64(p_home)).astype(int)
+                        visit = (mixed[seen] >> np.uint64(32)).astype(np.uint64) % np.uint64(max(p_visits, 1))
+                        for i in range(p_home):
+                            hs = own[part == i]
+                            first = i * (p_home + p_visits + 1)  # others of home part i: itself, earlier parts, visitors
+                            tasks = [(OWN_AND_FIRST if p_visits else OWN, first, seen[visit == 0])]
+                            tasks += [(EARLIER, first + 1 + j, own[part == j]) for j in range(i)]
+                            tasks += [(VISITS, first + p_home + v, seen[visit == v]) for v in range(1, p_visits)]
+                            for what, task, others in tasks:
+                                for role, who in ((1, hs), (2, others)):
+                                    if len(who):
+                                        out.append((d, k, (c << 24) + task, what, role, ids[who].astype("<i8").tobytes(), n[who].astype("<i8").tobytes(), x[who].tobytes()))
+                                        size += x[who].nbytes
+                                if size > DEALT_BYTES:
+                                    yield batch(_DEALT_ARROW, *map(list, zip(*out, strict=True)))
+                                    out, size = [], 0
             if out:
-                yield batch(schema, *map(list, zip(*out, strict=True)))
+                yield batch(_DEALT_ARROW, *map(list, zip(*out, strict=True)))
 
-    dealt = classes.mapInArrow(deal, "cell int, part int, visit int, role int, ids binary, n binary, vectors binary")
-    found = staged(by_key(dealt, ["cell", "part", "visit"], _cell_join(space), "kind int, a long, b long"), "vector-links")
+    dealt = classes.mapInArrow(deal, _DEALT)
+    found = staged(by_key(dealt, ["d", "block", "cell", "other"], _cell_join(spaces, kind), "kind int, a long, b long"), "vector-links")
     linked = components(found.where("kind = 1").select("a", "b"))
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     reps = classes.join(counts, F.col("rep") == F.col("a"), "left").join(linked, F.col("rep") == F.col("node"), "left")
     reps = reps.select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    usable = F.when((F.size("embedding") == d) & F.col("vec_id").isNotNull(), F.col("embedding"))
-    out = rows.withColumn("u", usable).join(reps, F.col("u") == F.col("e"), "left")
+    out = rows.withColumn("u", F.when(F.col("vec_id").isNotNull(), F.col("embedding"))).join(reps, F.col("u") == F.col("e"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def mean_vector(classes: DataFrame, d: int) -> list[float]:
-    """Mean of the unit vectors, then their number."""
+def grids(classes: DataFrame, cosine: float) -> dict[int, Subspaces]:
+    """The grid of each length of vectors, from their number and the mean and spread of each rotated dimension."""
+    schema = pa.schema([("d", pa.int32()), ("i", pa.int32()), ("s", pa.float64())])
 
     def sums(batches):
         for b in batches:
-            x = _matrix(b.column("embedding")).astype(np.float64)
-            u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            yield batch(pa.schema([("i", pa.int32()), ("s", pa.float64())]), np.arange(d + 1, dtype="i4"), np.append(u.sum(axis=0), len(u)))
-
-    got = {r["i"]: r["s"] for r in classes.select("embedding").mapInArrow(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
-    return [round(got[i] / got[d], 9) for i in range(d)] + [got[d]]
+            for d, at in _by_length(b.column("embedding")):
+                z = unit(_matrix(b.column("embedding"), at, d)) @ rotation(d)
+                yield batch(schema, np.full(2 * d + 1, d, dtype="i4"), np.arange(2 * d + 1, dtype="i4"), np.concatenate([z.sum(axis=0), (z * z).sum(axis=0), [len(z)]]))
+
+    got: dict[int, dict[int, float]] = {}
+    for r in classes.select("embedding").mapInArrow(sums, "d int, i int, s double").groupBy("d", "i").agg(F.sum("s").alias("s")).collect():
+        got.setdefault(r["d"], {})[r["i"]] = r["s"]
+    out = {}
+    for d, s in got.items():
+        n = s[2 * d]
+        mean = np.round([s[i] / n for i in range(d)], 9)
+        spread = np.round(np.sqrt(np.maximum([s[d + i] / n for i in range(d)] - mean**2, 0)), 9)
+        cuts = int(np.clip(np.ceil(np.log2(max(n * d / SIDE, 1))), LEAST_CUTS, MOST_CUTS))
+        out[d] = Subspaces(mean, spread, cuts, cosine)
+    return out
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -471,11 +471,12 @@ def test_embeddings(spark):
     base = rng.standard_normal((60, 64))
     near = [b + rng.standard_normal(64) * s for b in base[:20] for s in (0.02, 0.15, 0.3, 0.4)]
     vecs = [v.astype(np.float32).tolist() for v in [*base, *near]] + [base[0].astype(np.float32).tolist()] * 6
+    vecs += [[1.0, 2.0], [2.0, 4.0], [2.0, 1.0], [1.0] * 10]  # other lengths link among themselves
     vecs += [None, [0.0] * 64, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [None] + [1.0] * 63, [1.0] * 10, []]
     ids = [5 * i + 2 for i in range(len(vecs))]
     df = spark.createDataFrame(list(zip(ids, vecs, [1] * len(ids), strict=True)), "vec_id long, embedding array<float>, label int")
-    ok = {i: np.array(v, dtype=np.float64) for i, v in zip(ids, vecs, strict=True) if v and len(v) == 64 and None not in v and np.isfinite(v).all() and any(v)}
-    link = {i: {j for j in ok if j != i and ok[i] @ ok[j] >= 0.95 * np.linalg.norm(ok[i]) * np.linalg.norm(ok[j])} for i in ok}
+    ok = {i: np.array(v, dtype=np.float64) for i, v in zip(ids, vecs, strict=True) if v and None not in v and np.isfinite(v).all() and any(v)}
+    link = {i: {j for j in ok if j != i and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= 0.95 * np.linalg.norm(ok[i]) * np.linalg.norm(ok[j])} for i in ok}
     want = {i: (len(link.get(i, ())), i) for i in ids}
     for i in ids:
         seen, todo = {i}, [i]
@@ -488,11 +489,15 @@ def test_embeddings(spark):
     assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want
     assert all(r["kept"] == (i == want[i][1]) for i, r in got.items())
     assert embeddings.near_vectors(df.where("vec_id < 0")).count() == 0
+    none = embeddings.near_vectors(df.where("vec_id < 12").withColumn("vec_id", F.lit(None).cast("long"))).collect()
+    assert [tuple(r) for r in none] == [(None, 0, None, False)] * 2
 
 
-@pytest.mark.parametrize("cell", [4, 10_000])
-def test_embeddings_any_grid(spark, cell, monkeypatch):
-    monkeypatch.setattr(embeddings, "CELL", cell)
+@pytest.mark.parametrize("cuts,side", [(0, 1 << 21), (16, 1 << 21), (3, 100), (14, 70)])
+def test_embeddings_any_grid(spark, cuts, side, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAST_CUTS", cuts)
+    monkeypatch.setattr(embeddings, "MOST_CUTS", cuts)
+    monkeypatch.setattr(embeddings, "SIDE", side)
     rng = np.random.default_rng(4)
     v = rng.standard_normal((40, 16))
     v = np.concatenate([v, v + rng.standard_normal(v.shape) * 0.12]).astype(np.float32)
@@ -505,7 +510,6 @@ def test_embeddings_any_grid(spark, cell, monkeypatch):
 
 def test_embedding_tasks_are_bounded(spark, monkeypatch):
     at_most = 40
-    monkeypatch.setattr(embeddings, "CELL", at_most // 2)
     monkeypatch.setattr(embeddings, "SIDE", at_most * 16, raising=False)
     monkeypatch.setattr(embeddings, "DEALT_BYTES", 1 << 12, raising=False)
     rng = np.random.default_rng(5)
@@ -513,10 +517,10 @@ def test_embedding_tasks_are_bounded(spark, monkeypatch):
     sides, links = [], []
     of = embeddings._cell_join
 
-    def spied(space):
-        run = of(space)
-        unit = space.unit
-        space.unit = lambda x: sides.append(len(x)) or unit(x)
+    def spied(spaces, kind):
+        run = of(spaces, kind)
+        unit = embeddings.unit
+        monkeypatch.setattr(embeddings, "unit", lambda x: sides.append(len(x)) or unit(x))
 
         def inner(key, rows):
             for b in run(key, rows):
@@ -540,7 +544,7 @@ def test_embedding_tasks_are_bounded(spark, monkeypatch):
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     want = ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
     assert [r["n_links"] for r in got] == want and sum(want) > 10_000
-    assert max(sides) < 3 * at_most and max(links) < 6 * at_most
+    assert max(sides) <= 2 * at_most and max(links) < 6 * at_most
 
 
 @pytest.mark.parametrize("pairs", [1, 1 << 22])
