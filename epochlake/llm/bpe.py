@@ -205,7 +205,11 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 digests of the ids and of the decoded text, in one pass over the texts."""
+    """doc_id, n_tokens and SHA-256 digests of the ids and of the decoded text, in one pass over the texts.
+
+    Null and empty texts have no ids (and the digests of nothing); null and repeated doc_ids and repeated rows are encoded
+    each; an empty table gives no rows; other columns are not read.
+    """
     shipped = _shipped(docs.sparkSession, path)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

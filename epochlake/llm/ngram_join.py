@@ -430,9 +430,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     ids = keyed.select(F.col(ROW).alias("i_row"), F.col("row.doc_id").alias("i_id"))
     order = F.struct(F.col("i_id").isNull().alias("none"), F.coalesce("i_id", F.lit(0)).alias("id"), F.col("i_row").alias("row"))
     members = found.join(ids, F.col("doc_id") == F.col("i_row")).select("component_id", "i_row", order.alias("o"))
-    first = members.groupBy("component_id").agg(F.min("o").alias("first"))
-    others = members.join(first, "component_id").where("i_row <> first.row").select(F.col("i_row").alias("o_row"))
-    return plain_rows(keyed.join(others, F.col(ROW) == F.col("o_row"), "left_anti"), docs.columns)
+    # one row a component stays: a join on keys of rows, so that a component of very many rows is no hot key
+    stay = members.groupBy("component_id").agg(F.min("o").alias("first")).select(F.col("first.row").alias("stay_row"))
+    return plain_rows(keyed.join(stay, F.col(ROW) == F.col("stay_row"), "left_semi"), docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     buckets, so its places are one run.  Pass two permutes each bucket: its records arrive sorted by their values and
     stream through with their places, so no bucket is held in memory beyond the engine's own sorts, which can spill.
     Only the rows of each bucket are counted before, from light rows; the counts (one a bucket) reach the driver.
+
+    Null texts have size 8 and stay null; null doc_ids and repeated rows are ordinary records (equal ones change places
+    without effect, so a recomputed task writes the same); columns named shard or slot are left out of the files, all others
+    are kept; an empty table writes none.
     """
     light = staged(light_rows(docs), "shard-rows")
     total, buckets = _bucket_count(light, bucket_bytes)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, batch, chunks, mix, slots, span_hash, table
+from .shared import Words, batch, chunks, member, mix, span_hash, staged, table
 
 #: Bounds of the training sample: confirmed toxic rows, and unlabelled rows (least hashes of doc_id first).
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 8_000
@@ -51,65 +51,67 @@ def _sample(batches):
         yield batch(schema, b.column("positive"), words)
 
 
-def select_words(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
-    """Sorted hashes of the words that enter the model."""
-    a, ab = slots(np.sort(np.concatenate(pos))) if pos else (np.zeros(0, dtype=np.uint64), np.zeros(1))
-    n = np.diff(ab)
-    a, n = a[n >= LEAST_DOCS], n[n >= LEAST_DOCS]
-    u, ub = slots(np.sort(np.concatenate(unl))) if unl else (np.zeros(0, dtype=np.uint64), np.zeros(1))
-    m = np.zeros(len(a))
-    if len(u) and len(a):
-        at = np.searchsorted(u, a)
-        at[at == len(u)] = 0
-        m = np.where(u[at] == a, np.diff(ub)[at], 0)
-    p, q = n / max(len(pos), 1), m / max(len(unl), 1)
-    z = (p - q) / np.sqrt(np.maximum((p * (1 - p)) / max(len(pos), 1) + (q * (1 - q) + 1e-6) / max(len(unl), 1), 1e-12))
-    keep = np.flatnonzero(z >= LEAST_Z)
-    return np.sort(a[keep[np.argsort(-z[keep], kind="stable")[:MOST_WORDS]]])
-
-
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(words, weights, bias) of a linear model under the non-negative positive-unlabelled risk
-    prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with sigmoid loss (Kiryo et al., 2017): where
-    the bracket is negative, its gradient is ascended instead.  The loss is bounded, so a prior a little off moves little."""
-    words = select_words(pos, unl)
-    if not len(words) or not len(unl):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0), -4.0
+def select_words(sample: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
+    """Sorted hashes of the words that enter the model, counted and chosen by Spark; at most MOST_WORDS reach the driver."""
 
-    def rows(texts):
-        size = np.array([len(x) for x in texts])
-        h = np.concatenate(texts) if len(texts) else np.zeros(0, dtype=np.uint64)
-        at = np.searchsorted(words, h)
-        at[at == len(words)] = 0
-        hit = words[at] == h
-        return np.repeat(np.arange(len(texts)), size)[hit], at[hit], len(texts)
+    def single(batches):
+        schema = pa.schema([("positive", pa.bool_()), ("word", pa.int64())])
+        for b in batches:
+            for positive, raw in zip(b.column("positive").to_pylist(), b.column("words").to_pylist(), strict=True):
+                w = np.frombuffer(raw, dtype="<i8")
+                yield batch(schema, np.full(len(w), positive), w)
 
-    p, u = rows(pos), rows(unl)
-    w, b = np.zeros(len(words)), np.log(prior / (1 - prior))
-    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+    n = sample.mapInArrow(single, "positive boolean, word long").groupBy("word").agg(F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b"))
+    p, q = F.col("a") / F.lit(max(n_pos, 1)), F.col("b") / F.lit(max(n_unl, 1))
+    z = (p - q) / F.sqrt(F.greatest(p * (1 - p) / max(n_pos, 1) + (q * (1 - q) + 1e-6) / max(n_unl, 1), F.lit(1e-12)))
+    best = n.where(F.col("a") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(MOST_WORDS)
+    return np.sort(np.array([r["word"] for r in best.select("word").collect()], dtype=np.int64).view(np.uint64))
+
+
+def nn_risk(w: np.ndarray, b: float, p: tuple, u: tuple, prior: float) -> tuple[float, np.ndarray]:
+    """(risk, step direction) of the non-negative positive-unlabelled risk of a linear model with sigmoid loss,
+    prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) (Kiryo et al., 2017): the gradient, or, where the
+    bracket is negative, that of the negated bracket, so that it is ascended.  p and u are (text, word, texts)."""
 
     def forward(x):
         return np.bincount(x[0], weights=w[x[1]], minlength=x[2]) + b
 
     def backward(x, g):
-        return np.append(np.bincount(x[1], weights=g[x[0]], minlength=len(words)), g.sum())
+        return np.append(np.bincount(x[1], weights=g[x[0]], minlength=len(w)), g.sum())
+
+    sp, su = (1 / (1 + np.exp(-forward(x))) for x in (p, u))
+    g_positive = backward(p, prior * sp * (1 - sp) / p[2])
+    g_negative = backward(u, su * (1 - su) / u[2]) - g_positive
+    bracket = su.mean() - prior * sp.mean()
+    return prior * (1 - sp.mean()) + max(0.0, bracket), g_negative - g_positive if bracket >= 0 else -g_negative
+
+
+def fit_nnpu(words: np.ndarray, pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the linear model over words that lowers nn_risk, fitted by Adam.  The loss is bounded, so a prior a
+    little off moves little.  pos and unl: positions in words of each text's words."""
+    if not len(words) or not len(pos) or not len(unl):
+        return np.zeros(len(words)), -4.0
 
+    def rows(texts):
+        return np.repeat(np.arange(len(texts)), [len(x) for x in texts]), np.concatenate(texts).astype(np.int64), len(texts)
+
+    p, u = rows(pos), rows(unl)
+    w, b = np.zeros(len(words)), np.log(prior / (1 - prior))
+    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, EPOCHS + 1):
-        zp, zu = forward(p), forward(u)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        dp, du = sp * (1 - sp) / p[2], su * (1 - su) / u[2]
-        g_positive = backward(p, prior * dp)
-        g_negative = backward(u, du) - g_positive
-        g = g_negative - g_positive if su.mean() - prior * sp.mean() >= 0 else -g_negative
+        g = nn_risk(w, b, p, u, prior)[1]
         g[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = np.maximum(w - move[:-1], 0), b - move[-1]  # words were selected for raising the odds
-    return words, w, float(b)
+    return w, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on a bounded sample of rows outside the held-out fold; the class prior is the toxic share of its labels."""
+    """Fit on a bounded sample of rows outside the held-out fold; the class prior is the toxic share of its labels.
+
+    The sample's words stay in a table of the shared folder; the driver gets the chosen words and, of each sampled text,
+    their positions: at most (MOST_POSITIVE + MOST_UNLABELLED) * MOST_WORDS two-byte numbers, however long texts are."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     known = labels.where(fold != 0).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
@@ -119,11 +121,20 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     unl = docs.where(fold != 0).select("doc_id").orderBy(*order).limit(MOST_UNLABELLED).withColumn("positive", F.lit(False))
     chosen = pos.unionByName(unl).select(F.col("doc_id").alias("s_id"), "positive")
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select("positive", "text")  # at most MOST_POSITIVE + MOST_UNLABELLED ids
-    got = rows.mapInArrow(_sample, "positive boolean, words binary").toArrow()
-    words = [np.frombuffer(x, dtype="<u8") for x in got.column("words").to_pylist()]
-    is_pos = got.column("positive").to_pylist()
-    order_of = sorted(range(len(words)), key=lambda i: words[i].tobytes())  # the same sums whatever the task order
-    return fit_nnpu([words[i] for i in order_of if is_pos[i]], [words[i] for i in order_of if not is_pos[i]], prior)
+    sample = staged(rows.mapInArrow(_sample, "positive boolean, words binary"), "toxicity-sample")
+    n_pos, n_unl = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    words = select_words(sample, n_pos, n_unl)
+
+    def positions(batches):
+        schema = pa.schema([("positive", pa.bool_()), ("at", pa.binary())])
+        for b in batches:
+            found = [np.flatnonzero(member(words, np.sort(np.frombuffer(x, dtype="<u8")))).astype("<u2").tobytes() for x in b.column("words").to_pylist()]
+            yield batch(schema, b.column("positive"), found)
+
+    got = sample.mapInArrow(positions, "positive boolean, at binary").toArrow()
+    texts = sorted(zip(got.column("positive").to_pylist(), got.column("at").to_pylist(), strict=True))  # the same sums whatever the task order
+    weights, bias = fit_nnpu(words, *([np.frombuffer(x, dtype="<u2") for positive, x in texts if positive is side] for side in (True, False)), prior)
+    return words, weights, bias
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

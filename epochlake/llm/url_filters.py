@@ -8,14 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import staged, table
 
 #: Contract rules: (host, path prefix, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-#: Above this many rules the interval list is not shipped to tasks; see filter_urls.
-MOST_SWEPT_RULES = 200_000
-
 _ASCII_UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,6 +24,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+OUT = "page_id long, host string, path string, rule string, verdict string"
+
+
 def reversed_key(host: str) -> str:
     return "".join(f"{x}\x01" for x in reversed(host.split("."))) if host else ""
 
@@ -72,39 +72,77 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
     """Judge each row's url by the most specific fitting rule.
 
     A rule (host, path, verdict) fits its host and all subdomains if the url's path starts
-    with the rule's; the longest host wins, then the longest path.  A rule's host is the
-    interval of reversed-host keys that begin with it, so nested rules are nested intervals.
-    Rows are range-sorted by (key, path, page_id): equal keys may be split over tasks, so a hot
-    host or url does not meet in one task.  Each task sweeps its sorted rows once, popping
-    rules that ended and pushing rules that begin; rules that began earlier are found from the
-    prefixes of its first key.  Rules up to MOST_SWEPT_RULES are shipped to the tasks; above
-    that the rules stay a table and each row is joined by its host suffixes.
-
-    Null or malformed urls have empty host and path and get the default; repeated rows are
-    judged alike; an empty table gives no rows; other columns of pages are not read.
+    with the rule's; the longest host wins, then the longest path; of rules equal in both the
+    greater verdict (block over allow).  A rule's host is the interval of reversed-host keys
+    that begin with it, so nested rules are nested intervals.  Rows are range-sorted by (key,
+    path, page_id): equal keys may be split over tasks, so a hot host or url does not meet in
+    one task.  Each task sweeps its sorted rows once, popping rules that ended and pushing
+    rules that begin.  A list of rules goes to all tasks, which find those that began earlier
+    from the prefixes of their first key; a table of rules, of any size, is sorted in among the
+    rows (see _merged).  Rules without a host fit nothing.
+
+    Null or malformed urls have empty host and path and get the default; repeated rows and null
+    page_ids are judged alike; an empty table gives no rows; other columns of pages are not read.
     """
     spark = pages.sparkSession
     host, path = host_and_path(pages["url"])
     parts = pages.select(pages["page_id"].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    if isinstance(rules, DataFrame):
-        if rules.count() > MOST_SWEPT_RULES:
-            return _joined(parts, rules, default)
-        rules = [tuple(r) for r in rules.select("host", "path", "verdict").collect()]
-    key = F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "\x01"), F.lit("\x01")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = parts.withColumn("host_key", key).repartitionByRange(n, "host_key", "path", "page_id").sortWithinPartitions("host_key", "path", "page_id")
-    return ordered.mapInArrow(_sweep(rules, default), "page_id long, host string, path string, rule string, verdict string")
-
-
-def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The way for rule tables of any size: equi-join on each host suffix, then the longest fitting rule."""
-    labels = F.split("host", r"\.")
-    keyed = parts.withColumn("row", F.monotonically_increasing_id())
-    suffix = keyed.select("row", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
-    r = rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    best = suffix.join(r, "suffix").where(F.expr("startswith(path, rule_path)")).groupBy("row").agg(
-        F.max(F.struct(F.length("suffix"), F.length("rule_path"), F.concat("suffix", "rule_path").alias("rule"), "rule_verdict")).alias("b"))
-    return keyed.join(best, "row", "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.rule_verdict", F.lit(default)).alias("verdict"))
+    if isinstance(rules, DataFrame):
+        return _merged(parts, rules, default, n)
+    best: dict[tuple[str, str], str] = {}
+    for h, p, v in rules:
+        if h:
+            best[h, p] = max(v, best.get((h, p), v))
+    ordered = parts.withColumn("host_key", host_key()).repartitionByRange(n, "host_key", "path", "page_id").sortWithinPartitions("host_key", "path", "page_id")
+    return ordered.mapInArrow(_sweep([(h, p, v) for (h, p), v in best.items()], default), OUT)
+
+
+def host_key() -> Column:
+    return F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "\x01"), F.lit("\x01")))
+
+
+def _merged(parts: DataFrame, rules: DataFrame, default: str, n: int) -> DataFrame:
+    """Sort-merge of rows and a table of rules: both are range-sorted together by key, rules before the rows of their key, and
+    each range is swept.  Rules that began in an earlier range are those whose key is a prefix of the range's first key: one
+    key a range, its prefixes joined with the rules, so no list of rules is gathered anywhere.  Only the rules of the
+    enclosing hosts of one key are held at a time."""
+    r = rules.where("host <> ''").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    r = r.select(F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict", F.lit(0).alias("kind")).withColumn("host_key", host_key())
+    rows = parts.withColumn("verdict", F.lit(None).cast("string")).withColumn("kind", F.lit(1)).withColumn("host_key", host_key())
+    order = ["host_key", "kind", "path", "page_id"]
+    dealt = staged(r.unionByName(rows).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "url-ranges")
+    labels = F.split("first", "\x01")
+    first = dealt.groupBy("part").agg(F.min("host_key").alias("first")).where("first <> ''")
+    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "\x01"), F.lit("\x01"))))
+    open_rules = first.select("part", prefix.alias("host_key")).join(dealt.where("kind = 0").drop("part"), "host_key").withColumn("kind", F.lit(-1))
+    swept = dealt.unionByName(open_rules).repartitionById(n, "part").sortWithinPartitions("part", F.col("kind") >= 0, *order)
+
+    def run(batches):
+        part, stack = None, []
+        for b in batches:
+            keep, rule, verdict = [], [], []
+            cols = [b.column(c).to_pylist() for c in ("part", "host_key", "kind", "host", "path", "verdict")]
+            for i, (at, key, kind, host, path, v) in enumerate(zip(*cols, strict=True)):
+                if at != part:
+                    part, stack = at, []
+                while stack and not key.startswith(stack[-1][0]):
+                    stack.pop()
+                if kind < 1:
+                    if not stack or stack[-1][0] != key:
+                        stack.append((key, {}, []))
+                    stack[-1][1][path] = (host + path, v)
+                    if len(path) not in stack[-1][2]:
+                        bisect.insort(stack[-1][2], len(path))
+                    continue
+                hit = next((paths[path[:k]] for _, paths, sizes in reversed(stack) for k in reversed(sizes) if path[:k] in paths), (None, default))
+                keep.append(i)
+                rule.append(hit[0])
+                verdict.append(hit[1])
+            found = pa.RecordBatch.from_arrays([b.column(c) for c in ("page_id", "host", "path")], names=["page_id", "host", "path"]).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+
+    return swept.mapInArrow(run, OUT)
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -570,7 +570,8 @@ def test_url_filters(spark):
     pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate(URLS * 3)], "page_id long, url string, html string, host_key string")
     got = {r["page_id"]: r for r in url_filters.filter_urls(pages).collect()}
     assert len(got) == len(URLS) * 3
-    other = {r["page_id"]: tuple(r) for r in url_filters._joined(pages.select("page_id", *[c.alias(n) for c, n in zip(url_filters.host_and_path(pages["url"]), ("host", "path"), strict=True)]), spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string"), "allow").collect()}
+    table = spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")
+    other = {r["page_id"]: tuple(r) for r in url_filters.filter_urls(pages, table).collect()}
     for i, u in enumerate(URLS * 3):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = re.match(r"[^/?#]*", rest)[0]
@@ -590,6 +591,56 @@ def test_nested_url_rules(spark):
         assert (r["rule"], r["verdict"]) == (max(fit)[2:] if fit else (None, "allow"))
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_url_rules_as_list_and_table(spark, parts):
+    """Many nested and repeated rules over few hosts, in ranges that begin inside them."""
+    rng = random.Random(parts)
+    host = lambda: ".".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "/".join(rng.choice("xy") for _ in range(rng.randint(0, 3)))
+    rules = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(120)] + [("a", "/", "allow"), ("a", "/", "block"), ("", "/", "block")]
+    pages = spark.createDataFrame([(i if i % 9 else None, f"http://{host()}{path()}") for i in range(400)] + [(5000, None), (5001, "none")], "page_id long, url string")
+    best = {}
+    for h, p, v in rules:
+        if h:
+            best[h, p] = max(v, best.get((h, p), v))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        a = url_filters.filter_urls(pages, rules, "none").collect()
+        b = url_filters.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), "none").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter(map(tuple, a)) == Counter(map(tuple, b)) and len(a) == 402
+    for r in a:
+        fit = [(len(h), len(p), h + p, v) for (h, p), v in best.items() if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        assert (r["rule"], r["verdict"]) == (max(fit)[2:] if fit else (None, "none"))
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_risk_and_its_gradient(prior):
+    """Against plain sums and finite differences, with the bracket positive and negative."""
+    rng = np.random.default_rng(1)
+    texts = lambda n, k: [np.unique(rng.integers(0, 6, k)) for _ in range(n)]
+    pos, unl = texts(9, 3), texts(14, 4)
+    flat = lambda ts: (np.repeat(np.arange(len(ts)), [len(t) for t in ts]), np.concatenate(ts), len(ts))
+    w, b = rng.standard_normal(6), -0.3 if prior < 0.5 else 0.4
+
+    def parts(w, b):
+        s = lambda t: 1 / (1 + math.exp(-(sum(w[i] for i in t) + b)))
+        p, u = [s(t) for t in pos], [s(t) for t in unl]
+        return prior * sum(1 - x for x in p) / len(p), sum(u) / len(u) - prior * sum(p) / len(p)
+
+    plain, bracket = parts(w, b)
+    risk, g = toxicity.nn_risk(w, b, flat(pos), flat(unl), prior)
+    assert abs(risk - plain - max(0, bracket)) < 1e-12 and (bracket > 0) == (prior < 0.5)
+    goal = lambda w, b: sum(parts(w, b)) if bracket >= 0 else -parts(w, b)[1]
+    for i in range(7):
+        step = np.zeros(7)
+        step[i] = 1e-6
+        slope = (goal(w + step[:6], b + step[6]) - goal(w - step[:6], b - step[6])) / 2e-6
+        assert abs(slope - g[i]) < 1e-7
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(3000)]
@@ -608,7 +659,8 @@ def test_toxicity(spark):
     held = got[got.held_out]
     assert (held.doc_id.map(lambda x: zlib.crc32(str(int(x)).encode()) % 5) == 0).all() and len(held) > 300
     assert (held.predicted == held.doc_id.map(truth)).mean() > 0.99
-    assert got.score.between(0, 1).all() and got[got.doc_id == 9000].predicted.iloc[0] == 0
+    assert got.score.between(0, 1).all() and len(got) == len(rows) and got[got.doc_id.isna()].held_out.tolist() == [False]
+    assert got[got.doc_id == 9000].predicted.iloc[0] == 0
     none = toxicity.score_toxicity(docs, labels.where("toxic = 0")).toPandas()
     assert (none.predicted == 0).all()
 
