@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .config import CYCLES, NORMALIZATIONS, AnalysisConfig
-from .operators import catalog
+from .operators import catalog, spectral
 from .plans import pipeline
 from .sources import readers, sinks
 
@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--freq-max", type=float, default=AnalysisConfig.freq_max)
     p.add_argument("--n-freqs", type=int, default=AnalysisConfig.n_freqs)
     p.add_argument("--freq-file", help="text list; its numbers within the range set the count and ends of the grid")
+    p.add_argument("--exact-freqs", action="store_true", help="analyse the list's own frequencies instead of a grid")
+    p.add_argument("--eligible-only", action="store_true", help="leave out subjects that lack an electrode of the region")
     p.add_argument("--window", type=float, default=AnalysisConfig.window)
     p.add_argument("--fs", type=float, default=AnalysisConfig.fs)
     p.add_argument("--cycles", choices=CYCLES, default=AnalysisConfig.cycles)
@@ -34,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
 
 def settings(spark: SparkSession, a: argparse.Namespace) -> AnalysisConfig:
     """A frequency list contributes its extended range and count; the grid itself is geometric."""
-    lo, hi, n = a.freq_min, a.freq_max, a.n_freqs
+    lo, hi, n, exact = a.freq_min, a.freq_max, a.n_freqs, ()
     if a.freq_file:
         from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ def settings(spark: SparkSession, a: argparse.Namespace) -> AnalysisConfig:
 
         chosen = select_frequencies(readers.frequency_text(spark, a.freq_file), lo, hi, extended=True)
         lo, hi, n = chosen.agg(F.min("freq"), F.max("freq"), F.count("freq")).first()
-    return AnalysisConfig(fs=a.fs, freq_min=lo, freq_max=hi, n_freqs=n, window=a.window, cycles=a.cycles, normalization=a.normalization, session_weighting=a.weighting)
+        if a.exact_freqs:
+            exact = tuple(r["freq"] for r in chosen.collect())
+    return AnalysisConfig(fs=a.fs, freq_min=lo, freq_max=hi, n_freqs=n, window=a.window, cycles=a.cycles, normalization=a.normalization, session_weighting=a.weighting, freqs=exact)
 
 
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
@@ -56,19 +60,24 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     if not a.montage:
         raise SystemExit("--montage is needed")
     config, montage = settings(spark, a), readers.montage_csv(spark, a.montage)
-    if a.mode == "channels":
-        out = pipeline.analyze_all_channels(spark, signals, events, montage, config)
+    names = {str(e): [e] for e in range(1, 33)} if a.mode == "channels" else {a.region: a.region}
+    regions = pipeline.region_table(spark, names)
+    if a.eligible_only:
+        signals = pipeline.eligible(signals, montage, regions)
+    # spectra are written once: results, failures and the report of traces are all taken from them
+    pipeline.event_spectra(pipeline.region_signals(signals, montage, regions, config), events, config).write.mode("overwrite").parquet(f"{a.out}-spectra")
+    spectra = spark.read.parquet(f"{a.out}-spectra")
+    sinks.write_json(spectral.failures(spectra, ["subject", "session", "channel_idx"]), f"{a.out}-failures")
+    sinks.write_run_summary(pipeline.processing_report(spectra), config.summary(), f"{a.out}-summary")
+    if a.mode == "session":
+        out = pipeline.analyze_session(signals, events, montage, regions, config, spectra)
     else:
-        regions = pipeline.region_table(spark, {a.region: a.region})
-        if a.mode == "session":
-            out = pipeline.analyze_session(signals, events, montage, regions, config)
-        else:
-            out = pipeline.analyze_subject(signals, events, montage, regions, config)
-            if a.mode == "population":
-                out = pipeline.analyze_population(out)
-            elif a.mode == "report":
-                sinks.write_json(pipeline.theta_report(out, config), a.out)
-                return
+        out = pipeline.analyze_subject(signals, events, montage, regions, config, spectra)
+        if a.mode == "population":
+            out = pipeline.analyze_population(out)
+        elif a.mode == "report":
+            sinks.write_json(pipeline.theta_report(out, config), a.out)
+            return
     out.write.mode("overwrite").parquet(a.out)
 
 

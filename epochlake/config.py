@@ -50,8 +50,12 @@ class AnalysisConfig:
     session_montage: str = "static"
     montage_exceptions: dict[tuple[str, str], str] = field(default_factory=dict)
     min_events: int = 3
+    #: Frequencies themselves, in place of the geometric grid.
+    freqs: tuple[float, ...] = ()
 
     def __post_init__(self):
+        if self.freqs and not (min(self.freqs) > 0 and max(self.freqs) <= self.fs / 2):
+            raise ValueError(f"frequencies {min(self.freqs)}-{max(self.freqs)} Hz at {self.fs} Hz")
         if not 0 < self.freq_min < self.freq_max <= self.fs / 2:
             raise ValueError(f"frequencies {self.freq_min}-{self.freq_max} Hz at {self.fs} Hz")
         if self.n_freqs < 1 or self.window <= 0:
@@ -65,6 +69,13 @@ class AnalysisConfig:
         if self.normalization.startswith("baseline") and not -self.window / 2 <= self.baseline[0] < self.baseline[1] <= self.window / 2:
             raise ValueError(f"baseline {self.baseline} outside the window of {self.window} s")
 
+    def grid(self) -> list[float]:
+        """The frequencies, ascending."""
+        if self.freqs:
+            return sorted(self.freqs)
+        ratio = (self.freq_max / self.freq_min) ** (1 / max(self.n_freqs - 1, 1))
+        return [self.freq_min, *[self.freq_min * ratio**i for i in range(1, self.n_freqs - 1)], self.freq_max][: self.n_freqs]
+
     @property
     def half(self) -> float:
         return self.window / 2
@@ -77,6 +88,11 @@ class AnalysisConfig:
         return {k: getattr(self, k) for k in self.__dataclass_fields__}
 
 
+def cycles_factor(method: str, factor: float = 1.0) -> float:
+    """The factor of a cycles policy: 0.1 for fixed cycles, the set one otherwise."""
+    return 0.1 if method == "fixed" else factor
+
+
 def resolve_region(spec: str | list[int] | tuple[int, ...]) -> list[int]:
     """Electrode numbers of a region name, "8", "8,16" or a list; ValueError for what is unknown or outside 1-32."""
     if isinstance(spec, str):

@@ -50,21 +50,72 @@ def within_tolerance(size: Column, expected: int, least: int = 10, share: float
     return F.abs(size - expected) <= max(least, int(expected * share))
 
 
-def nearest_sample(events: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
-    """(events' columns, t, v) of the sample nearest in time, the earlier on a tie.
+#: Samples of a recording that one task should hold.
+BUCKET_SAMPLES = 100_000
 
-    One shuffle and sort by keys and time: the last sample up to, and the first from, each event are running values.
+
+def time_bucket(samples: DataFrame, keys: list[str], per_bucket: int = BUCKET_SAMPLES) -> float:
+    """A width of time buckets so that the longest recording has about per_bucket samples in each."""
+    per = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span"))
+    n, span = per.agg(F.max("n"), F.max("span")).first()
+    return float(span or 1) / max(1, -(-(n or 1) // per_bucket)) or 1.0
+
+
+def _bucket(c: Column, width: float) -> Column:
+    return F.floor(c / F.lit(float(width))).cast("long")
+
+
+def nearest_sample(events: DataFrame, samples: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+    """(events' columns, t, v) of the sample nearest in time, the earlier on a tie; events of keys without samples are absent.
+
+    Recordings are split into time buckets, so no task holds a whole one: within a bucket the last sample up to, and the
+    first from, each event are running values (one ascending and one descending pass); the last sample before a bucket and
+    the first after it come from the buckets' ends, one row a bucket.
     """
-    cols = events.columns
-    s = samples.select(*keys, F.col("t").alias("at"), F.struct("t", "v").alias("s"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in cols if c not in keys])
-    e = events.select(*keys, F.col("e").alias("at"), F.lit(None).cast(s.schema["s"].dataType).alias("s"), *[c for c in cols if c not in keys])
-    w = Window.partitionBy(*keys).orderBy("at")
-    both = s.unionByName(e)
-    before = F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("s", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    both = both.withColumn("before", before).withColumn("after", after).where(F.col("e").isNotNull())
+    width = width or time_bucket(samples, keys)
+    cols = [c for c in events.columns if c not in keys]
+    pair = F.struct(F.col("t"), F.col("v"))
+    s = samples.select(*keys, _bucket(F.col("t"), width).alias("bucket"), F.col("t").alias("at"), pair.alias("s"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in cols])
+    e = events.select(*keys, _bucket(F.col("e"), width).alias("bucket"), F.col("e").alias("at"), F.lit(None).cast(s.schema["s"].dataType).alias("s"), *cols)
+    ends = s.unionByName(e).groupBy(*keys, "bucket").agg(F.min("s").alias("head"), F.max("s").alias("tail"))
+    buckets = Window.partitionBy(*keys)
+    rest = (Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "bucket", F.last("tail", True).over(buckets.orderBy("bucket").rowsBetween(*rest)).alias("earlier"), F.last("head", True).over(buckets.orderBy(F.desc("bucket")).rowsBetween(*rest)).alias("later"))
+    inside = Window.partitionBy(*keys, "bucket")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    both = s.unionByName(e).withColumn("before", F.last("s", True).over(inside.orderBy("at").rangeBetween(*so_far))).withColumn("after", F.last("s", True).over(inside.orderBy(F.desc("at")).rangeBetween(*so_far)))
+    both = both.where(F.col("e").isNotNull()).join(ends, [*keys, "bucket"])
+    before, after = F.coalesce("before", "earlier"), F.coalesce("after", "later")
+    both = both.withColumn("before", before).withColumn("after", after)
     nearer = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).when(F.col("e") - F.col("before.t") <= F.col("after.t") - F.col("e"), F.col("before")).otherwise(F.col("after"))
-    return both.withColumn("n", nearer).where(F.col("n").isNotNull()).select(*cols, F.col("n.t").alias("t"), F.col("n.v").alias("v"))
+    return both.withColumn("n", nearer).where(F.col("n").isNotNull()).select(*events.columns, F.col("n.t").alias("t"), F.col("n.v").alias("v"))
+
+
+def numbered_samples(samples: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+    """samples with i, their 0-based number in time within the recording: a number within each time bucket and the count of
+    the buckets before it."""
+    width = width or time_bucket(samples, keys)
+    b = samples.withColumn("bucket", _bucket(F.col("t"), width))
+    counts = b.groupBy(*keys, "bucket").count()
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*keys, "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("t"))
+    return b.withColumn("i", own - 1).join(starts, [*keys, "bucket"]).withColumn("i", F.col("i") + F.col("start")).drop("bucket", "start")
+
+
+def nearest_windows(events: DataFrame, samples: DataFrame, n: int, keys: list[str], width: float | None = None) -> DataFrame:
+    """(events' columns, k, t, v): n samples around the sample nearest to each event, from n // 2 before it on (from the first
+    one where fewer precede it); windows that the recording's end would shorten are dropped."""
+    width = width or time_bucket(samples, keys)
+    numbered = numbered_samples(samples, keys, width)
+    at = nearest_sample(events, numbered.select(*keys, "t", F.col("i").alias("v")), keys, width)
+    first = F.greatest(F.col("v") - n // 2, F.lit(0))
+    size = numbered.groupBy(*keys).agg((F.max("i") + 1).alias("size"))
+    starts = at.withColumn("first", first).join(size, keys).where(F.col("first") + n <= F.col("size")).select(*events.columns, "first")
+    cols = [c for c in events.columns if c not in keys]
+    spans = starts.select(*keys, F.struct(*cols).alias("ev"), "first", (F.col("first") + n / 2).alias("e"))
+    cut = event_windows(spans, numbered.select(*keys, F.col("i").alias("t"), F.struct("t", "v").alias("s")), n / 2, keys)
+    return cut.select(*keys, *[F.col(f"ev.{c}").alias(c) for c in cols], (F.col("t") - F.col("first")).cast("int").alias("k"), F.col("s.t").alias("t"), F.col("s.v").alias("v"))
 
 
 def baseline_z(windows: DataFrame, unit: list[str], event: list[str], base: Column, response: Column, min_events: int) -> DataFrame:
@@ -75,7 +126,11 @@ def baseline_z(windows: DataFrame, unit: list[str], event: list[str], base: Colu
     return per_unit.where((F.col("n_events") >= min_events) & (F.col("n") > 0)).select(*unit, "n_events", ((F.col("s") / F.col("n") - F.col("mu")) / F.col("sd")).alias("z"))
 
 
-def sampling_interval(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Median step between neighbouring samples of each recording."""
-    step = F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t"))
-    return samples.withColumn("step", step).groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("interval"), F.count("step").alias("n"))
+def sampling_interval(samples: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+    """Median step between neighbouring samples of each recording; the step into a time bucket comes from the buckets' ends."""
+    b = samples.withColumn("bucket", _bucket(F.col("t"), width or time_bucket(samples, keys)))
+    ends = b.groupBy(*keys, "bucket").agg(F.max("t").alias("last"))
+    ends = ends.select(*keys, "bucket", F.lag("last").over(Window.partitionBy(*keys).orderBy("bucket")).alias("earlier"))
+    before = F.lag("t").over(Window.partitionBy(*keys, "bucket").orderBy("t"))
+    steps = b.withColumn("before", before).join(ends, [*keys, "bucket"]).withColumn("step", F.col("t") - F.coalesce("before", "earlier"))
+    return steps.groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("interval"), F.count("step").alias("n"))

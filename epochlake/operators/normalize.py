@@ -60,9 +60,14 @@ def baseline_cross_event(windows: DataFrame, keys: list[str], n: int, half: floa
     return joined.withColumn("w", F.transform("w", lambda x: (x - mu) / F.col("sd"))).drop("mu", "sd")
 
 
-def baseline_per_event(windows: DataFrame, n: int, half: float, baseline: tuple[float, float]) -> DataFrame:
-    """w as z against its own event's baseline; against the whole window if no sample is in the baseline."""
-    ks = axis_range(n, half, *baseline) or list(range(n))
+def baseline_per_event(windows: DataFrame, n: int, half: float, baseline: tuple[float, float], stats: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """w as z against its own event's baseline; if no sample is in the baseline, against the recording's statistics
+    (keys, mu, sd), without which that is an error."""
+    ks = axis_range(n, half, *baseline)
+    if not ks:
+        if stats is None or keys is None:
+            raise ValueError(f"no sample in the baseline {baseline}")
+        return window_global(windows, stats, keys)
     return windows.withColumn("w", _standardized(F.col("w"), array_mean(F.col("w"), ks), array_std(F.col("w"), ks)))
 
 

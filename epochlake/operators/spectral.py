@@ -1,13 +1,14 @@
 """Spectral kernels: NumPy on whole traces in Arrow batches, and direct Fourier sums as column expressions.
 
-A trace is a row (keys..., w array<double>).  Kernels are computed once per task and each trace's transform once,
-whatever the number of frequencies; no shuffle takes place.
+A trace is a row (keys..., w array<double>).  Wavelets (and, up to CACHED_BYTES, their transforms) are made once per
+Python process and each trace's transform once, whatever the number of frequencies; no shuffle takes place.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,53 @@ def same_convolution(x: np.ndarray, kernels: list[np.ndarray]) -> list[np.ndarra
     return out
 
 
+#: Kernels of more bytes are transformed anew for each trace.
+CACHED_BYTES = 64 << 20
+
+
+@lru_cache(maxsize=4)
+def _bank(kind: str, freqs: tuple, fs: float, n_cycles: tuple) -> list[np.ndarray]:
+    """The wavelets of a grid, made once a process."""
+    if kind == "unit":
+        return unit_wavelets(np.array(freqs), fs, np.array(n_cycles))
+    return [morlet(f, fs, c) for f, c in zip(freqs, n_cycles, strict=True)]
+
+
+@lru_cache(maxsize=4)
+def _bank_spectra(kind: str, freqs: tuple, fs: float, n_cycles: tuple, size: int) -> np.ndarray:
+    return np.array([np.fft.fft(k, size) for k in _bank(kind, freqs, fs, n_cycles)])
+
+
+def wavelet_power(kind: str, x: np.ndarray, freqs: np.ndarray, fs: float, n_cycles: np.ndarray) -> np.ndarray:
+    """|x * W|**2, [frequency, sample]: the trace is transformed once, the kernels once for all traces of a length."""
+    key = (kind, tuple(np.asarray(freqs, dtype=float).tolist()), float(fs), tuple(np.asarray(n_cycles, dtype=float).tolist()))
+    kernels = _bank(*key)
+    size = 1 << max(len(x) + max(map(len, kernels)) - 2, 1).bit_length()
+    if len(kernels) * size * 16 > CACHED_BYTES:
+        return np.array([np.abs(c) ** 2 for c in same_convolution(x, kernels)])
+    both = np.fft.ifft(np.fft.fft(x, size) * _bank_spectra(*key, size))
+    return np.array([np.abs(c[(len(k) - 1) // 2 : (len(k) - 1) // 2 + len(x)]) ** 2 for c, k in zip(both, kernels, strict=True)])
+
+
 def morlet_power(x: np.ndarray, freqs: np.ndarray, fs: float, n_cycles: np.ndarray) -> np.ndarray:
-    """|x * W|**2, [frequency, sample]."""
-    return np.array([np.abs(c) ** 2 for c in same_convolution(x, [morlet(f, fs, c) for f, c in zip(freqs, n_cycles, strict=True)])])
+    return wavelet_power("morlet", x, freqs, fs, n_cycles)
+
+
+def unit_wavelets(freqs: np.ndarray, fs: float, n_cycles: np.ndarray) -> list[np.ndarray]:
+    """Complex Morlet wavelets of unit energy (by trapezoids) on one time axis of six of the largest standard deviations."""
+    sigma = n_cycles / (2 * np.pi * freqs)
+    n = int(6 * sigma.max() * fs) | 1
+    t = np.arange(-((n + 1) // 2), n // 2 + 1) / fs
+    w = np.pi**-0.25 * np.exp(2j * np.pi * freqs[:, None] * t - 0.5 * (t / sigma[:, None]) ** 2)
+    energy = np.abs(w) ** 2
+    return list(w / np.sqrt((energy[:, 1:] + energy[:, :-1]).sum(axis=1, keepdims=True) / 2 / fs))
+
+
+def bank_power(x: np.ndarray, freqs: np.ndarray, fs: float, n_cycles: np.ndarray) -> np.ndarray:
+    """Power by convolution with unit_wavelets, as long as the trace; a trace shorter than the wavelets is an error."""
+    if len(x) < len(_bank("unit", tuple(freqs.tolist()), float(fs), tuple(n_cycles.tolist()))[0]):
+        raise ValueError("trace shorter than the wavelets")
+    return wavelet_power("unit", x, freqs, fs, n_cycles)
 
 
 def morlet_by_scale(scale: float, n: int, w: float = 5.0) -> np.ndarray:
@@ -139,8 +184,9 @@ def multitaper(x: np.ndarray, fs: float, half_bandwidth: float = 4.0, rounds: in
 # -- Arrow operators -----------------------------------------------------------
 
 
-def spectra(traces: DataFrame, kernel: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], keys: list[str], out: str = "power", freq: str = "freq") -> DataFrame:
+def spectra(traces: DataFrame, kernel: Callable[..., tuple[np.ndarray, np.ndarray]], keys: list[str], out: str = "power", freq: str = "freq", more: list[str] = []) -> DataFrame:  # noqa: B006
     """(keys, f_idx, freq, power array<double>) of each trace (keys, w): kernel gives frequencies and [frequency, sample].
+    The kernel gets the trace and the row's columns `more`.
 
     A trace whose kernel fails gives a row with error and no power instead of failing the task.
     """
@@ -156,7 +202,7 @@ def spectra(traces: DataFrame, kernel: Callable[[np.ndarray], tuple[np.ndarray,
                     x = np.asarray(w.values.to_numpy(zero_copy_only=False), dtype=np.float64)
                     if not len(x):
                         raise ValueError("empty trace")
-                    f, p = kernel(x)
+                    f, p = kernel(x, *[b.column(c)[i].as_py() for c in more])
                     rows += [(*own, j, float(fj), np.atleast_1d(p[j]).tolist(), None) for j, fj in enumerate(f)]
                 except Exception as e:  # noqa: BLE001  a bad trace is a row
                     rows.append((*own, None, None, None, f"{type(e).__name__}: {e}"))
@@ -171,7 +217,7 @@ def spectra(traces: DataFrame, kernel: Callable[[np.ndarray], tuple[np.ndarray,
         types = [b.schema.field(k).type for k in keys] + [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "f_idx", freq, out, "error"])
 
-    return traces.select(*keys, "w").mapInArrow(run, schema)
+    return traces.select(*keys, "w", *more).mapInArrow(run, schema)
 
 
 def row_z(p: np.ndarray) -> np.ndarray:
@@ -195,6 +241,20 @@ def morlet_spectra(traces: DataFrame, keys: list[str], freqs: list[float], fs: f
     return spectra(traces, kernel, keys)
 
 
+def bank_spectra(traces: DataFrame, keys: list[str], freqs: list[float], fs: float, method: str = "custom") -> DataFrame:
+    """Power by the unit-energy wavelet bank: other values than morlet_spectra."""
+    f = np.asarray(freqs, dtype=float)
+    c = cycles(f, method)
+    return spectra(traces, lambda x: (f, bank_power(x, f, fs, c)), keys)
+
+
+def vectorized_spectra(traces: DataFrame, keys: list[str], freqs: list[float], fs: float, how: str = "cwt", method: str = "custom") -> DataFrame:
+    """"cwt": cwt_spectra, "manual": bank_spectra; ValueError for anything else."""
+    if how not in ("cwt", "manual"):
+        raise ValueError(f"unknown method {how!r}")
+    return cwt_spectra(traces, keys, freqs, fs) if how == "cwt" else bank_spectra(traces, keys, freqs, fs, method)
+
+
 def cwt_spectra(traces: DataFrame, keys: list[str], freqs: list[float], fs: float) -> DataFrame:
     f = np.asarray(freqs, dtype=float)
     return spectra(traces, lambda x: (f, cwt_power(x, f, fs)), keys)
@@ -223,6 +283,42 @@ def stft_mean(traces: DataFrame, keys: list[str], fs: float, size: int, overlap:
     return spectra(traces, kernel, keys).where("error IS NULL").select(*keys, "f_idx", "freq", F.col("power")[0].alias("p"))
 
 
+def stft_at_events(traces: DataFrame, keys: list[str], fs: float, size: int, overlap: int, seconds: float, whole: bool = True) -> DataFrame:
+    """(keys, f_idx, freq, power array, error): STFT power in `seconds` around each event, averaged over the events of a trace
+    (keys, w, events array<double> in seconds).
+
+    whole: the STFT of the whole trace is cut at its columns around each event; otherwise twice `seconds` of the trace are
+    cut first, transformed, and the middle half of the columns kept.  Events whose window is not whole are left out; a trace
+    without any is a row with error.
+    """
+
+    def kernel(x, events):
+        parts, f = [], None
+        if whole:
+            f, t, p = stft(x, fs, size, overlap)
+            rate = len(t) / (len(x) / fs)
+            half = int(seconds * rate) // 2
+            at = [int(e * rate) for e in events]
+            parts = [p[:, a - half : a + half] for a in at if a >= half and a + half <= p.shape[1]]
+        else:
+            n = int(2 * seconds * fs)
+            for a in (int(e * fs) - n // 2 for e in events):
+                if a >= 0 and a + n <= len(x):
+                    f, t, p = stft(x[a : a + n], fs, size, overlap)
+                    half = int(n // 2 * len(t) / n) // 2
+                    parts.append(p[:, len(t) // 2 - half : len(t) // 2 + half])
+        if not parts:
+            raise ValueError("no event with a whole window")
+        return f, np.mean(parts, axis=0)
+
+    return spectra(traces, kernel, keys, more=["events"])
+
+
+def failures(spectra_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, error) of the traces that failed."""
+    return spectra_rows.where("error IS NOT NULL").select(*keys, "error").distinct()
+
+
 def fourier_power(w: Column, f: float, fs: float, n: int) -> Column:
     """|sum w[k] exp(-2 pi i f k / fs)|**2 of an array of n values, within whole-stage expressions."""
     dot = lambda wave: F.aggregate(F.zip_with(w, F.array(*[F.lit(x) for x in wave]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from ..config import BANDS, AnalysisConfig, resolve_region
 from ..functions.columns import axis_range, axis_time, bind, floored, time_slice
-from ..operators import averages, normalize
-from ..operators.montage import session_montage
+from ..operators import averages, catalog, normalize
+from ..operators.montage import compatibility, session_montage
 from ..operators.spectral import cycles, morlet_power, multitaper_psd, welch_psd
 
 
@@ -45,32 +45,44 @@ def event_spectra(signals: DataFrame, events: DataFrame, config: AnalysisConfig,
     """
     per = events.where(F.col("kind") == kind).groupBy("subject", "session").agg(F.sort_array(F.collect_list(F.struct("event_idx", F.col("t").alias("e"), "size"))).alias("ev"))
     joined = signals.join(per, ["subject", "session"]).select("subject", "session", "regions", "channel_idx", "fs", "t0", "samples", "ev")
-    freqs = np.geomspace(config.freq_min, config.freq_max, config.n_freqs)
+    freqs = np.array(config.grid())
     n_cycles = cycles(freqs, config.cycles, config.cycles_fixed, config.cycles_factor, config.cycles_min)
-    zscored = config.normalization == "channel_global" or config.normalization != "none" and config.baseline_input == "zscored"
+    # without a sample in the baseline, events are normalized by the recording's statistics, which is its z
+    zscored = config.normalization == "channel_global" or config.normalization != "none" and config.baseline_input == "zscored" or _no_baseline(config)
     schema = T.StructType.fromDDL("subject string, session string, regions array<string>, channel_idx int, size double, event_idx int, f_idx int, freq double, w array<double>, error string")
 
+    types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.string()]
+    n_freqs, n, step = len(freqs), config.samples, max(1, 512 // len(freqs))
+
+    def table(key, events, w: np.ndarray) -> pa.RecordBatch:
+        """Rows of some events, w [event, frequency, sample] as one buffer."""
+        size = len(events) * n_freqs
+        cols = [pa.array([k] * size, t) for k, t in zip(key, types[:4], strict=True)]
+        cols += [pa.array(np.repeat([ev[c] for ev in events], n_freqs), t) for c, t in (("size", pa.float64()), ("event_idx", pa.int32()))]
+        cols += [pa.array(np.tile(np.arange(n_freqs, dtype="i4"), len(events))), pa.array(np.tile(freqs, len(events)))]
+        cols += [pa.ListArray.from_arrays(np.arange(size + 1, dtype="i4") * n, np.ascontiguousarray(w).ravel()), pa.nulls(size, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
     def run(batches):
-        types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.string()]
         for b in batches:
             for r in range(b.num_rows):
                 row = {c: b.column(c)[r] for c in b.schema.names}
                 key = (row["subject"].as_py(), row["session"].as_py(), row["regions"].as_py(), row["channel_idx"].as_py())
-                out = []
                 try:
                     x = row["samples"].values.to_numpy(zero_copy_only=False).astype(float)
+                    if not len(x):
+                        raise ValueError("empty trace")
                     fs, times = row["fs"].as_py(), row["t0"].as_py() + np.arange(len(x)) / row["fs"].as_py()
                     p = morlet_power(x, freqs, fs, n_cycles)
                     if zscored:
                         p = (p - p.mean(axis=1, keepdims=True)) / np.maximum(p.std(axis=1, keepdims=True), 1e-12)
-                    for ev in row["ev"].as_py():
-                        if (cut := window_slice(times, ev["e"], config.half, config.samples)) is not None:
-                            w = p[:, cut]
-                            out += [(*key, ev["size"], ev["event_idx"], j, float(f), w[j].tolist(), None) for j, f in enumerate(freqs)]
+                    cuts = [(ev, window_slice(times, ev["e"], config.half, n)) for ev in row["ev"].as_py()]
+                    cuts = [(ev, cut) for ev, cut in cuts if cut is not None]
+                    out = [table(key, [ev for ev, _ in part], np.stack([p[:, cut] for _, cut in part])) for part in (cuts[i : i + step] for i in range(0, len(cuts), step))]
                 except Exception as e:  # noqa: BLE001  a bad trace is a row
-                    out = [(*key, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                for i in range(0, len(out), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 512], strict=True), types, strict=True)], names=schema.names)
+                    values = (*key, None, None, None, None, None, f"{type(e).__name__}: {e}")
+                    out = [pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=schema.names)]
+                yield from out
 
     return joined.mapInArrow(run, schema)
 
@@ -93,34 +105,56 @@ def _mean_arrays(arrays: Column) -> Column:
     return F.transform(total, lambda v: v / F.size(arrays))
 
 
-def session_windows(signals: DataFrame, events: DataFrame, montage: DataFrame, regions: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """(region, subject, session, size, event_idx, f_idx, freq, w): region mean over channels, normalized."""
-    spectra = event_spectra(region_signals(signals, montage, regions, config), events, config).where("error IS NULL")
+def _no_baseline(config: AnalysisConfig) -> bool:
+    return config.normalization == "baseline_per_event" and not axis_range(config.samples, config.half, *config.baseline)
+
+
+def session_windows(signals: DataFrame, events: DataFrame, montage: DataFrame, regions: DataFrame, config: AnalysisConfig, spectra: DataFrame | None = None) -> DataFrame:
+    """(region, subject, session, size, event_idx, f_idx, freq, w, n_channels): region mean over channels, normalized.
+
+    Channels whose trace failed are not in the mean; n_channels says how many are, failures(spectra) which are not.  spectra:
+    event_spectra's rows, where the caller has written them."""
+    if spectra is None:
+        spectra = event_spectra(region_signals(signals, montage, regions, config), events, config)
     keys = ["region", "subject", "session", "size", "event_idx", "f_idx", "freq"]
-    w = spectra.withColumn("region", F.explode("regions")).groupBy(*keys).agg(_mean_arrays(F.collect_list("w")).alias("w"))  # channels of a region are few
+    ok = spectra.where("error IS NULL").withColumn("region", F.explode("regions"))
+    w = ok.groupBy(*keys).agg(_mean_arrays(F.collect_list("w")).alias("w"), F.count(F.lit(1)).alias("n_channels"))  # channels of a region are few
     if config.normalization == "baseline_cross_event":
         return normalize.baseline_cross_event(w, ["region", "subject", "session", "size", "f_idx"], config.samples, config.half, config.baseline)
-    if config.normalization == "baseline_per_event":
+    if config.normalization == "baseline_per_event" and not _no_baseline(config):
         return normalize.baseline_per_event(w, config.samples, config.half, config.baseline)
     return w
 
 
-def analyze_session(signals, events, montage, regions, config: AnalysisConfig) -> DataFrame:
-    """(region, subject, session, size, f_idx, freq, k, t, z, n_events): mean over the events of each session."""
-    return _spectrogram(session_windows(signals, events, montage, regions, config), ["region", "subject", "session", "size"], config)
+def processing_report(spectra: DataFrame) -> DataFrame:
+    """Per subject and session: traces analysed, failed ones and success rate in percent."""
+    runs = spectra.groupBy("subject", "session", "channel_idx").agg((F.count("error") == 0).alias("ok"))
+    return catalog.failure_report(runs, ["subject", "session"])
+
+
+def eligible(signals: DataFrame, montage: DataFrame, regions: DataFrame) -> DataFrame:
+    """signals of the subjects that have every electrode of all regions; others lack or mismatch a region."""
+    bad = compatibility(montage, regions).where("NOT compatible").select(F.col("subject").alias("bad")).distinct()
+    known = montage.select(F.col("subject").alias("known")).distinct()
+    return signals.join(known, F.col("subject") == F.col("known"), "left_semi").join(bad, F.col("subject") == F.col("bad"), "left_anti")
+
+
+def analyze_session(signals, events, montage, regions, config: AnalysisConfig, spectra: DataFrame | None = None) -> DataFrame:
+    """(region, subject, session, size, f_idx, freq, k, t, z, n_events, n_channels): mean over the events of each session."""
+    return _spectrogram(session_windows(signals, events, montage, regions, config, spectra), ["region", "subject", "session", "size"], config)
 
 
 def _spectrogram(windows: DataFrame, keys: list[str], config: AnalysisConfig) -> DataFrame:
-    cells = windows.select(*keys, "f_idx", "freq", F.posexplode("w").alias("k", "z"))
-    return cells.groupBy(*keys, "f_idx", "freq", "k").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n_events")).withColumn("t", axis_time(F.col("k"), config.samples, config.half))
+    cells = windows.select(*keys, "f_idx", "freq", "n_channels", F.posexplode("w").alias("k", "z"))
+    return cells.groupBy(*keys, "f_idx", "freq", "k").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n_events"), F.min("n_channels").alias("n_channels")).withColumn("t", axis_time(F.col("k"), config.samples, config.half))
 
 
-def analyze_subject(signals, events, montage, regions, config: AnalysisConfig) -> DataFrame:
-    """(region, subject, size, f_idx, freq, k, t, z, n_events, n_sessions), weighted by events or by sessions."""
+def analyze_subject(signals, events, montage, regions, config: AnalysisConfig, spectra: DataFrame | None = None) -> DataFrame:
+    """(region, subject, size, f_idx, freq, k, t, z, n_events, n_sessions, n_channels (the least)), weighted by events or by sessions."""
     keys = ["region", "subject", "size", "f_idx", "freq", "k"]
-    s = analyze_session(signals, events, montage, regions, config)
+    s = analyze_session(signals, events, montage, regions, config, spectra)
     weight = F.col("n_events") if config.session_weighting == "event" else F.lit(1)
-    out = s.groupBy(*keys).agg((F.sum(F.col("z") * weight) / F.sum(weight)).alias("z"), F.sum("n_events").alias("n_events"), F.count(F.lit(1)).alias("n_sessions"))
+    out = s.groupBy(*keys).agg((F.sum(F.col("z") * weight) / F.sum(weight)).alias("z"), F.sum("n_events").alias("n_events"), F.count(F.lit(1)).alias("n_sessions"), F.min("n_channels").alias("n_channels"))
     return out.withColumn("t", axis_time(F.col("k"), config.samples, config.half))
 
 
@@ -136,7 +170,7 @@ def analyze_all_channels(spark: SparkSession, signals, events, montage, config:
 
 def theta_power(spectrogram: DataFrame, keys: list[str], config: AnalysisConfig) -> DataFrame:
     """Mean over the theta band and the response window; a band without frequencies is an error."""
-    freqs = np.geomspace(config.freq_min, config.freq_max, config.n_freqs)
+    freqs = np.array(config.grid())
     if not ((freqs >= config.theta[0]) & (freqs <= config.theta[1])).any():
         raise ValueError(f"no frequency in {config.theta}")
     ks = axis_range(config.samples, config.half, *config.response)

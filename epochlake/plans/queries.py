@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import BANDS, REGIONS
+from ..config import BANDS, REGIONS, AnalysisConfig
 from ..functions.columns import axis_range, geometric_grid, n_cycles, select_frequencies, time_slice
 from ..operators import averages as A
 from ..operators import catalog, epochs, montage, normalize, spectral
 from ..sources import sinks
+from . import pipeline
 
 DAY = 86_400_000_000
 N, HALF, BASELINE, RESPONSE = 64, 1.0, (-1.0, -0.5), (-0.2, 0.0)
@@ -117,6 +118,18 @@ def nearest_sample_asof(spark, d):
     return epochs.nearest_sample(triggers, samples, ["subject"]).select("subject", "event_id", (F.col("t") - F.col("e")).alias("lag"), "v")
 
 
+@query("""
+WITH s AS (SELECT user_id AS subject, epoch_us(ts) AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+g AS (SELECT user_id AS subject, event_id, epoch_us(ts) + 3600000000 AS e FROM events WHERE event_type = 'error'),
+j AS (SELECT g.subject, event_id, greatest(i - 4, 0) AS first, n, row_number() OVER (PARTITION BY event_id ORDER BY abs(t - e), t) AS k FROM g JOIN s ON g.subject = s.subject)
+SELECT j.subject, event_id, CAST(s.i - first AS INTEGER) AS k, v FROM j JOIN s ON s.subject = j.subject AND s.i >= first AND s.i < first + 9 WHERE j.k = 1 AND first + 9 <= j.n""")
+def nearest_windows_fixed(spark, d):
+    """Nine samples around the sample nearest to an hour after each trigger."""
+    samples, triggers = recording(spark, d)
+    late = triggers.select("subject", "event_id", (F.col("e") + 3_600_000_000).alias("e"))
+    return epochs.nearest_windows(late, samples, 9, ["subject"]).select("subject", "event_id", "k", "v")
+
+
 @query("SELECT user_id AS subject, round(avg(value), 6) AS mu, round(greatest(stddev_pop(value), 1e-12), 6) AS sd, count(value) AS n FROM events GROUP BY user_id")
 def global_stats_floor(spark, d):
     return normalize.global_statistics(recording(spark, d)[0], ["subject"]).select("subject", r6("mu").alias("mu"), r6("sd").alias("sd"), "n")
@@ -309,7 +322,11 @@ def peak_frequency(spark, d):
     return A.peak_frequency(mean_psd(spark, d), ["label"], 1.0, 30.0).select("label", "peak_freq", r6("peak_power").alias("peak_power"))
 
 
-@query()
+@query(X_SQL + """, g AS (SELECT unnest(range(0, 49, 4)) AS g), s AS (SELECT vec_id, label, g, k - g AS j, v FROM x, g WHERE k >= g AND k < g + 16),
+c AS (SELECT vec_id, label, g, j, v - avg(v) OVER (PARTITION BY vec_id, g) AS v, 0.5 - 0.5 * cos(pi() * least(1, least(j, 16 - j) / 2e0)) AS w FROM s),
+b AS (SELECT unnest(range(9)) AS i),
+p AS (SELECT vec_id, label, g, i, (pow(sum(v * w * cos(2 * pi() * i * j / 16)), 2) + pow(sum(v * w * sin(2 * pi() * i * j / 16)), 2)) / (64 * sum(w * w)) * CASE WHEN i IN (0, 8) THEN 1 ELSE 2 END AS p FROM c, b GROUP BY vec_id, label, g, i)
+SELECT label, 4.0e0 * i AS freq, round(avg(p.p), 6) AS whole, round(avg(p.p) FILTER (g + 8 BETWEEN 16 AND 48), 6) AS clipped FROM p GROUP BY label, i""")
 def stft_window_compare(spark, d):
     """Mean STFT power per label and frequency: of whole epochs, and clipped to their middle half."""
     w = epoch_arrays(spark, d)
@@ -324,6 +341,60 @@ def multitaper_psd(spark, d):
     return p.groupBy("label", "freq").agg(r6(F.avg("p")).alias("psd"))
 
 
+def label_traces(spark, d) -> DataFrame:
+    """(label, w, events): the first eight epochs of each label, one after the other, with an event in the middle of each."""
+    e = epoch_arrays(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("r <= 8")
+    both = e.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("r", "w"))).alias("s"))
+    events = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: i + F.lit(0.5))
+    return both.select("label", F.flatten(F.transform("s", lambda x: x["w"])).alias("w"), events.alias("events"))
+
+
+T_SQL = X_SQL + """, r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
+y AS (SELECT x.label, r.r * 64 + k AS k, v FROM x JOIN r ON x.vec_id = r.vec_id WHERE r.r < 8),
+n AS (SELECT label, count(*) AS n, count(*) // 64 AS events FROM y GROUP BY label),
+"""
+SEG_SQL = """c AS (SELECT label, a, g, j, v - avg(v) OVER (PARTITION BY label, a, g) AS v, 0.5 - 0.5 * cos(pi() * least(1, least(j, 16 - j) / 2e0)) AS w FROM s),
+b AS (SELECT unnest(range(9)) AS i),
+p AS (SELECT label, a, g, i, (pow(sum(v * w * cos(2 * pi() * i * j / 16)), 2) + pow(sum(v * w * sin(2 * pi() * i * j / 16)), 2)) / (64 * sum(w * w)) * CASE WHEN i IN (0, 8) THEN 1 ELSE 2 END AS p FROM c, b GROUP BY label, a, g, i),
+"""
+
+
+@query(T_SQL + """g AS (SELECT label, n, events, (n - 16) // 4 + 1 AS cols, unnest(range((n - 16) // 4 + 1)) AS g FROM n),
+s AS (SELECT g.label, 0 AS a, g, k - 4 * g AS j, v FROM g JOIN y ON y.label = g.label AND k >= 4 * g AND k < 4 * g + 16),
+""" + SEG_SQL + """e AS (SELECT label, cols, CAST(floor(cols / (n / 64e0)) AS BIGINT) // 2 AS half, CAST(floor((unnest(range(events)) + 0.5e0) * (cols / (n / 64e0))) AS BIGINT) AS mid FROM (SELECT DISTINCT label, n, events, cols FROM g) h)
+SELECT e.label, 4.0e0 * i AS freq, CAST(g - (mid - half) AS INTEGER) AS k, round(avg(p), 6) AS p FROM e JOIN p ON p.label = e.label AND g >= mid - half AND g < mid + half WHERE mid >= half AND mid + half <= cols GROUP BY ALL""")
+def stft_whole_then_windows(spark, d):
+    """STFT of whole traces, a second of its columns around each event, averaged over events."""
+    s = spectral.stft_at_events(label_traces(spark, d), ["label"], FS, 16, 12, 1.0)
+    return s.where("error IS NULL").select("label", "freq", F.posexplode("power").alias("k", "p")).withColumn("p", r6("p"))
+
+
+@query(T_SQL + """e AS (SELECT label, n, 64 * unnest(range(events)) + 32 - 64 AS a FROM n), o AS (SELECT * FROM e WHERE a >= 0 AND a + 128 <= n),
+g AS (SELECT unnest(range(29)) AS g), s AS (SELECT o.label, a, g, k - a - 4 * g AS j, v FROM o JOIN g ON true JOIN y ON y.label = o.label AND k >= a + 4 * g AND k < a + 4 * g + 16),
+""" + SEG_SQL + """x2 AS (SELECT 1)
+SELECT label, 4.0e0 * i AS freq, CAST(g - 7 AS INTEGER) AS k, round(avg(p), 6) AS p FROM p WHERE g >= 7 AND g < 21 GROUP BY ALL""")
+def stft_windows_then_clip(spark, d):
+    """Two seconds of the trace cut around each event, transformed, and the middle half of the columns kept."""
+    s = spectral.stft_at_events(label_traces(spark, d), ["label"], FS, 16, 12, 1.0, whole=False)
+    return s.where("error IS NULL").select("label", "freq", F.posexplode("power").alias("k", "p")).withColumn("p", r6("p"))
+
+
+@query(X_SQL + f""", {F_SQL}, s AS (SELECT freq, (3 + (freq - 3) / 4) / (2 * pi() * freq) AS sigma FROM f),
+l AS (SELECT CAST(floor(6 * max(sigma) * 64) AS BIGINT) AS l FROM s), m AS (SELECT CASE WHEN l % 2 = 0 THEN l + 1 ELSE l END AS l FROM l),
+j AS (SELECT freq, sigma, l + 1 AS len, unnest(range(l + 1)) AS j FROM s, m),
+u AS (SELECT freq, len, j, (j - len // 2) / 64e0 AS t, exp(-0.5 * pow((j - len // 2) / 64e0 / sigma, 2)) / sqrt(sqrt(pi())) AS a FROM j),
+h AS (SELECT freq, j, a, lead(a) OVER (PARTITION BY freq ORDER BY j) AS b FROM u),
+n AS (SELECT freq, sqrt(sum((a * a + b * b) / 2) / 64) AS norm FROM h GROUP BY freq),
+q AS (SELECT u.freq, len, j, a * cos(2 * pi() * u.freq * t) / norm AS re, a * sin(2 * pi() * u.freq * t) / norm AS im FROM u JOIN n ON u.freq = n.freq),
+o AS (SELECT unnest(range(64)) AS k),
+z AS (SELECT vec_id, label, freq, o.k, pow(sum(v * re), 2) + pow(sum(v * im), 2) AS p FROM o JOIN x ON true JOIN q ON q.j = o.k + (q.len - 1) // 2 - x.k GROUP BY ALL)
+SELECT label, freq, round(avg(p), 5) AS power FROM z GROUP BY ALL""")
+def wavelet_bank_power(spark, d):
+    s = spectral.vectorized_spectra(epoch_arrays(spark, d), ["vec_id", "label"], FREQS, FS, "manual")
+    mean = F.aggregate("power", F.lit(0.0), lambda a, x: a + x) / F.size("power")
+    return s.where("error IS NULL").groupBy("label", "freq").agg(F.round(F.avg(mean), 5).alias("power"))
+
+
 CWT_FREQS = [4.0, 8.0, 16.0, 20.0]
 
 
@@ -551,3 +622,45 @@ def resume_missing_partitions(spark, d):
     return catalog.progress(o, o.where("o_orderstatus = 'F'"), "subject", "session")
 
 
+# -- composites ----------------------------------------------------------------
+
+COMPOSITE = AnalysisConfig(fs=FS, freqs=(3.0, 4.0, 5.0, 6.0, 7.0), window=0.5, baseline=(-0.25, -0.125), response=(-0.1, 0.1), theta=(4.0, 6.0), normalization="baseline_per_event")
+
+COMPOSITE_SQL = MORLET_SQL + """, gz AS (SELECT vec_id, freq, avg(p) AS mu, greatest(stddev_pop(p), 1e-12) AS sd FROM m GROUP BY ALL),
+c AS (SELECT m.vec_id // 2 AS session, m.freq, k, avg((p - mu) / sd) AS z FROM m JOIN gz g ON m.vec_id = g.vec_id AND m.freq = g.freq GROUP BY ALL),
+w AS (SELECT session, freq, e, k - k0 AS k, z FROM c JOIN (VALUES (0, 10), (1, 23)) t(e, k0) ON k >= k0 AND k < k0 + 32),
+b AS (SELECT session, freq, e, avg(z) AS mu, greatest(stddev_pop(z), 1e-12) AS sd FROM w WHERE k < 8 GROUP BY ALL),
+nz AS (SELECT w.session % 5 AS subject, w.session % 3 + 1 AS size, w.session, w.freq, k, (z - mu) / sd AS z FROM w JOIN b ON w.session = b.session AND w.freq = b.freq AND w.e = b.e),
+sz AS (SELECT subject, size, freq, k, avg(z) AS z, count(*) AS n_events, count(DISTINCT session) AS n_sessions FROM nz GROUP BY subject, size, freq, k)
+"""
+
+
+def pair_recordings(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Neighbouring epochs as the two channels of a session of one second with two events; signals, events, montage, regions."""
+    e = epoch_arrays(spark, d).withColumn("n", F.floor(F.col("vec_id") / 2).cast("long"))
+    subject, session = (F.col("n") % 5).cast("string").alias("subject"), F.col("n").cast("string").alias("session")
+    signals = e.select(subject, session, (F.col("vec_id") % 2).cast("int").alias("channel_idx"), F.lit(FS).alias("fs"), F.lit(0.0).alias("t0"), F.col("w").alias("samples"))
+    at = F.posexplode(F.array(F.lit(0.4), F.lit(0.6))).alias("event_idx", "t")
+    events = e.select("n").distinct().select(subject, session, at, F.lit("nm").alias("kind"), (F.col("n") % 3 + 1).cast("double").alias("size"))
+    rows = [(str(i), c, el) for i in range(5) for c, el in enumerate((8, 6))]
+    return signals, events, spark.createDataFrame(rows, "subject string, channel_idx int, electrode int"), pipeline.region_table(spark, {"front": [8, 6]})
+
+
+@query(COMPOSITE_SQL + "SELECT CAST(subject AS VARCHAR) AS subject, CAST(size AS DOUBLE) AS size, freq, CAST(k AS INTEGER) AS k, round(z, 4) AS z, n_events, n_sessions FROM sz")
+def analyze_subject_windows(spark, d):
+    """Composite: recordings to the mean event-locked spectrum of each subject and size, by the trace's z and each event's baseline."""
+    return pipeline.analyze_subject(*pair_recordings(spark, d), COMPOSITE).select("subject", "size", "freq", "k", F.round("z", 4).alias("z"), "n_events", "n_sessions")
+
+
+@query(COMPOSITE_SQL + "SELECT CAST(size AS DOUBLE) AS size, freq, CAST(k AS INTEGER) AS k, round(avg(z), 4) AS z, count(*) AS n_subjects, CAST(sum(n_events) AS BIGINT) AS n_events FROM sz GROUP BY ALL")
+def analyze_population_windows(spark, d):
+    out = pipeline.analyze_population(pipeline.analyze_subject(*pair_recordings(spark, d), COMPOSITE))
+    return out.select("size", "freq", "k", F.round("z", 4).alias("z"), "n_subjects", "n_events")
+
+
+@query(COMPOSITE_SQL + """, t AS (SELECT subject, size, avg(z) AS power FROM sz WHERE freq BETWEEN 4 AND 6 AND k BETWEEN 10 AND 21 GROUP BY ALL)
+SELECT CAST(size AS DOUBLE) AS size, round(avg(power), 4) AS mean, round(stddev_samp(power) / sqrt(count(power)), 4) AS se, count(power) AS n FROM t GROUP BY size""")
+def theta_report_by_size(spark, d):
+    """Composite: band power around the events, its mean and standard error over subjects, by size."""
+    out = pipeline.theta_report(pipeline.analyze_subject(*pair_recordings(spark, d), COMPOSITE), COMPOSITE)
+    return out.select("size", F.round("mean", 4).alias("mean"), F.round("se", 4).alias("se"), "n")

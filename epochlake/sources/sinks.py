@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ def write_results(results: DataFrame, path: str) -> None:
 def theta_pivot(powers: DataFrame, sizes: list[int]) -> DataFrame:
     """session_number, rat_ID, electrode_number and NM_size<k> with six decimals, from (session, subject, electrode, size, power)."""
     wide = powers.groupBy(F.col("session").alias("session_number"), F.col("subject").alias("rat_ID"), F.col("electrode").alias("electrode_number")).pivot("size", sizes).agg(F.avg("power"))
-    six = lambda k: F.coalesce(F.format_string("%.6f", F.col(str(k))), F.lit("nan"))
     return wide.select("session_number", "rat_ID", "electrode_number", *[F.when(F.col(str(k)).isNull(), "nan").otherwise(F.format_string("%.6f", F.col(str(k)))).alias(f"NM_size{k}") for k in sizes])
 
 
@@ -35,6 +36,13 @@ def write_json(df: DataFrame, path: str) -> None:
     json_rows(df).write.mode("overwrite").text(path)
 
 
+def write_run_summary(report: DataFrame, settings: dict, path: str) -> None:
+    """One JSON row beside the results: settings, numbers of subjects, sessions, traces and failed traces, and warnings."""
+    one = report.agg(F.count_distinct("subject").alias("n_subjects"), F.count(F.lit(1)).alias("n_sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_traces"), F.coalesce(F.sum("n_failed"), F.lit(0)).alias("n_failed"))
+    warnings = F.when(F.col("n_failed") > 0, F.array(F.lit("failed traces"))).otherwise(F.array().cast("array<string>"))
+    write_json(one.select(F.lit(json.dumps(settings, default=str)).alias("settings"), "*", warnings.alias("warnings")).coalesce(1), path)
+
+
 def subject_index(subjects: DataFrame) -> DataFrame:
     """(task, subject): 1-based numbers in id order, for one task per subject (few rows)."""
     return subjects.agg(F.sort_array(F.collect_set("subject")).alias("s")).select(F.posexplode("s").alias("task", "subject")).withColumn("task", F.col("task") + 1)

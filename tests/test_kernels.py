@@ -84,3 +84,50 @@ def test_baseline_demo():
     z_base = (p - p[:, :, base].mean(axis=2, keepdims=True)) / (p[:, :, base].std(axis=2, keepdims=True) + 1e-12)
     assert base.sum() == 40
     assert np.allclose([p[:, 7, k].mean(), z_all[:, 7, k].mean(), z_base[:, 7, k].mean()], [2.471401, 3.668029, 15.385852], atol=1e-5)
+
+
+def test_tapers_by_definition_and_multitaper_by_hand():
+    """Tapers against the eigenvectors of the concentration problem itself, the estimate against plain sums."""
+    n, half = 48, 4.0
+    w = half / n
+    lag = np.subtract.outer(np.arange(n), np.arange(n))
+    concentration = 2 * w * np.sinc(2 * w * lag)
+    values, vectors = np.linalg.eigh(concentration)
+    tapers, lam = S.slepian(n, half)
+    for k in range(len(tapers)):
+        assert abs(lam[k] - values[-1 - k]) < 1e-8
+    best = vectors[:, -len(tapers):]
+    assert np.allclose(best.T @ tapers.T @ tapers @ best, np.eye(len(tapers)), atol=1e-5)
+    x = np.random.default_rng(5).standard_normal(n)
+    f, p = S.multitaper(x, 10.0, half)
+    keep = lam > 0.9
+    c, t = x - x.mean(), np.arange(n)
+    for i in (0, 3, 11, n // 2):
+        eig = [abs(sum(c[j] * v[j] * np.exp(-2j * np.pi * i * j / n) for j in t)) ** 2 for v in tapers[keep]]
+        s = (eig[0] + eig[1]) / 2
+        for _ in range(2000):
+            d = [np.sqrt(m) * s / (m * s + (1 - m) * x.var()) for m in lam[keep]]
+            s = sum(a * a * e for a, e in zip(d, eig)) / sum(a * a for a in d)
+        assert abs(p[i] - s / 10.0 * (1 if i in (0, n // 2) else 2)) < 1e-6 * max(1, s)
+
+
+def test_wavelet_bank_by_definition():
+    fs, f, c = 64.0, np.array([5.0, 9.0]), np.array([3.0, 4.0])
+    x = np.random.default_rng(7).standard_normal(120)
+    sigma = c / (2 * np.pi * f)
+    length = int(6 * sigma.max() * fs) | 1
+    t = np.arange(-length // 2, length // 2 + 1) / fs
+    got = S.bank_power(x, f, fs, c)
+    for i in range(2):
+        w = np.exp(2j * np.pi * f[i] * t) * np.exp(-(t**2) / (2 * sigma[i] ** 2))
+        w = w / np.sqrt(np.trapezoid(np.abs(w) ** 2, t))
+        assert np.allclose(got[i], np.abs(np.convolve(x, w, "same")) ** 2)
+    with pytest.raises(ValueError):
+        S.bank_power(x[:20], f, fs, c)
+
+
+def test_kernels_are_cached_without_effect():
+    x, f = np.random.default_rng(8).standard_normal(300), np.array([4.0, 7.0])
+    a = S.morlet_power(x, f, 100.0, S.cycles(f))
+    b = np.array([np.abs(k) ** 2 for k in S.same_convolution(x, [S.morlet(v, 100.0, n) for v, n in zip(f, S.cycles(f), strict=True)])])
+    assert np.allclose(a, b) and np.allclose(a, S.morlet_power(x, f, 100.0, S.cycles(f)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from epochlake.config import AnalysisConfig, memory_estimate, resolve_region
 from epochlake.functions.columns import axis_range, geometric_grid, select_frequencies
 from epochlake.operators import averages, catalog, epochs, montage, normalize
+from epochlake.operators import spectral as S
 from epochlake.operators.spectral import cycles, morlet_power, spectra
 from epochlake.plans import pipeline
 from epochlake.sources import readers, sinks
@@ -135,6 +136,11 @@ def test_command_line(spark, data, tmp_path):
     run(spark, ["summary", *common[:2], "--subject", "r1", "--out", f"file://{tmp_path}/summary"])
     got = spark.read.parquet(f"file://{tmp_path}/summary").collect()
     assert {(r["length"], r["n_channels"]) for r in got} == {(8000, 4)} and len(got) == 2
+    report = spark.read.json(f"file://{tmp_path}/session-summary").first()
+    assert (report["n_subjects"], report["n_sessions"], report["n_traces"], report["n_failed"], report["warnings"]) == (3, 6, 18, 0, []) and "freq_min" in report["settings"]
+    assert spark.read.text(f"file://{tmp_path}/session-failures").count() == 0
+    run(spark, ["subject", *common, "--freq-file", f"file://{tmp_path}/f.txt", "--freq-max", "7", "--exact-freqs", "--out", f"file://{tmp_path}/exact"])
+    assert {r["freq"] for r in spark.read.parquet(f"file://{tmp_path}/exact").select("freq").distinct().collect()} == {8.0, 6.0, 4.0, 2.5}
     assert catalog.checked_channels(data[0], [0, 3]).count() == 12
     for bad in ([], [-1], [4]):
         with pytest.raises(ValueError):
@@ -240,3 +246,51 @@ def test_streaming_windows(spark, tmp_path):
         assert sorted(r["v"] for r in spark.sql("SELECT v FROM win").collect()) == [8.0, 9.0, 10.0, 11.0]
     finally:
         q.stop()
+
+
+def test_failed_traces_are_reported(spark, data):
+    bad = (F.col("channel_idx") == 1) & (F.col("session") == "d0")
+    signals = data[0].withColumn("samples", F.when(bad, F.array().cast("array<double>")).otherwise(F.col("samples")))
+    regions = pipeline.region_table(spark, {"front": [8, 6, 9]})
+    spectra = pipeline.event_spectra(pipeline.region_signals(signals, data[2], regions, CONFIG), data[1], CONFIG).cache()
+    assert {tuple(r)[1:3] for r in S.failures(spectra, ["subject", "session", "channel_idx"]).collect()} == {("d0", 1)}
+    assert {(r["session"], r["n"], r["n_failed"]) for r in pipeline.processing_report(spectra).collect()} == {("d0", 3, 1), ("d1", 3, 0)}
+    got = pipeline.analyze_session(signals, data[1], data[2], regions, CONFIG, spectra).select("session", "n_channels").distinct().collect()
+    assert {tuple(r) for r in got} == {("d0", 2), ("d1", 3)}
+    some = spark.createDataFrame([("r0", 0, 8), ("r1", 0, 8), ("r1", 1, 6), ("r1", 2, 9)], "subject string, channel_idx int, electrode int")
+    assert {r["subject"] for r in pipeline.eligible(signals, some, regions).select("subject").distinct().collect()} == {"r1"}
+
+
+@pytest.mark.parametrize("width", [0.7, 4.0, 1e9, None])
+def test_nearest_samples_and_windows_in_any_buckets(spark, width):
+    rng = np.random.default_rng(6)
+    samples, events = [], []
+    for key in "ab":
+        t = np.unique(rng.integers(0, 4000, 90)) / 100.0
+        t = t[(t < 8) | (t > 25)]  # a gap of many buckets
+        samples += [(key, float(x), float(i)) for i, x in enumerate(t)]
+        events += [(key, i, float(x)) for i, x in enumerate(rng.integers(-500, 4500, 30) / 100.0)]
+    s = spark.createDataFrame([*samples, ("c", 1.0, 0.0)], "subject string, t double, v double")
+    e = spark.createDataFrame([*events, ("none", 1, 3.0)], "subject string, event_id int, e double")
+    near, cut = {}, {}
+    for key, i, x in events:
+        own = [(a, v) for k, a, v in samples if k == key]
+        best = min(range(len(own)), key=lambda j: (abs(own[j][0] - x), own[j][0]))
+        near[key, i] = own[best]
+        first = max(best - 5 // 2, 0)
+        if first + 5 <= len(own):
+            cut |= {(key, i, k): own[first + k] for k in range(5)}
+    got = epochs.nearest_sample(e, s, ["subject"], width).collect()
+    assert {(r["subject"], r["event_id"]): (r["t"], r["v"]) for r in got} == near
+    got = epochs.nearest_windows(e, s, 5, ["subject"], width).collect()
+    assert {(r["subject"], r["event_id"], r["k"]): (r["t"], r["v"]) for r in got} == cut and len(got) == len(cut)
+    steps = {r["subject"]: r["interval"] for r in epochs.sampling_interval(s, ["subject"], width).collect()}
+    assert abs(steps["a"] - np.median(np.diff([a for k, a, _ in samples if k == "a"]))) < 1e-9 and steps["c"] is None
+
+
+def test_baseline_without_samples(spark):
+    w = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, w array<double>")
+    with pytest.raises(ValueError):
+        normalize.baseline_per_event(w, 3, 1.0, (-0.9, -0.8))
+    stats = spark.createDataFrame([(1, 1.0, 2.0)], "id int, mu double, sd double")
+    assert normalize.baseline_per_event(w, 3, 1.0, (-0.9, -0.8), stats, ["id"]).first()["w"] == [0.0, 0.5, 1.0]
