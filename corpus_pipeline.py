@@ -41,7 +41,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", drop_low_quality), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("mix", mix_sources), ("tokens", tokenize)]
 
-#: Similarity at this scale, fitted cutoffs and tokens are beyond SQL; tests/llm/test_pipeline.py runs all five stages
+#: Similarity at this scale, fitted cutoffs and tokens are beyond SQL; tests/llm/test_corpus.py runs all five stages
 #: against plain Python.
 ORACLE_SQL = None
 
