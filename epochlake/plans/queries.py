@@ -341,42 +341,42 @@ def multitaper_psd(spark, d):
     return p.groupBy("label", "freq").agg(r6(F.avg("p")).alias("psd"))
 
 
-def label_traces(spark, d) -> DataFrame:
-    """(label, w, events): the first eight epochs of each label, one after the other, with an event in the middle of each."""
-    e = epoch_arrays(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("r <= 8")
-    both = e.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("r", "w"))).alias("s"))
+def epoch_traces(spark, d) -> DataFrame:
+    """(trace, w, events): every eight neighbouring epochs, one after the other, with an event in the middle of each."""
+    e = epoch_arrays(spark, d).withColumn("trace", F.floor(F.col("vec_id") / 8).cast("long"))
+    both = e.groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("vec_id", "w"))).alias("s"))
     events = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: i + F.lit(0.5))
-    return both.select("label", F.flatten(F.transform("s", lambda x: x["w"])).alias("w"), events.alias("events"))
+    return both.select("trace", F.flatten(F.transform("s", lambda x: x["w"])).alias("w"), events.alias("events"))
 
 
-T_SQL = X_SQL + """, r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
-y AS (SELECT x.label, r.r * 64 + k AS k, v FROM x JOIN r ON x.vec_id = r.vec_id WHERE r.r < 8),
-n AS (SELECT label, count(*) AS n, count(*) // 64 AS events FROM y GROUP BY label),
+T_SQL = X_SQL + """, r AS (SELECT vec_id, vec_id // 8 AS trace, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) - 1 AS r FROM embeddings),
+y AS (SELECT trace, r.r * 64 + k AS k, v FROM x JOIN r ON x.vec_id = r.vec_id),
+n AS (SELECT trace, count(*) AS n, count(*) // 64 AS events FROM y GROUP BY trace),
 """
-SEG_SQL = """c AS (SELECT label, a, g, j, v - avg(v) OVER (PARTITION BY label, a, g) AS v, 0.5 - 0.5 * cos(pi() * least(1, least(j, 16 - j) / 2e0)) AS w FROM s),
+SEG_SQL = """c AS (SELECT trace, a, g, j, v - avg(v) OVER (PARTITION BY trace, a, g) AS v, 0.5 - 0.5 * cos(pi() * least(1, least(j, 16 - j) / 2e0)) AS w FROM s),
 b AS (SELECT unnest(range(9)) AS i),
-p AS (SELECT label, a, g, i, (pow(sum(v * w * cos(2 * pi() * i * j / 16)), 2) + pow(sum(v * w * sin(2 * pi() * i * j / 16)), 2)) / (64 * sum(w * w)) * CASE WHEN i IN (0, 8) THEN 1 ELSE 2 END AS p FROM c, b GROUP BY label, a, g, i),
+p AS (SELECT trace, a, g, i, (pow(sum(v * w * cos(2 * pi() * i * j / 16)), 2) + pow(sum(v * w * sin(2 * pi() * i * j / 16)), 2)) / (64 * sum(w * w)) * CASE WHEN i IN (0, 8) THEN 1 ELSE 2 END AS p FROM c, b GROUP BY trace, a, g, i),
 """
 
 
-@query(T_SQL + """g AS (SELECT label, n, events, (n - 16) // 4 + 1 AS cols, unnest(range((n - 16) // 4 + 1)) AS g FROM n),
-s AS (SELECT g.label, 0 AS a, g, k - 4 * g AS j, v FROM g JOIN y ON y.label = g.label AND k >= 4 * g AND k < 4 * g + 16),
-""" + SEG_SQL + """e AS (SELECT label, cols, CAST(floor(cols / (n / 64e0)) AS BIGINT) // 2 AS half, CAST(floor((unnest(range(events)) + 0.5e0) * (cols / (n / 64e0))) AS BIGINT) AS mid FROM (SELECT DISTINCT label, n, events, cols FROM g) h)
-SELECT e.label, 4.0e0 * i AS freq, CAST(g - (mid - half) AS INTEGER) AS k, round(avg(p), 6) AS p FROM e JOIN p ON p.label = e.label AND g >= mid - half AND g < mid + half WHERE mid >= half AND mid + half <= cols GROUP BY ALL""")
+@query(T_SQL + """g AS (SELECT trace, n, events, (n - 16) // 4 + 1 AS cols, unnest(range((n - 16) // 4 + 1)) AS g FROM n),
+s AS (SELECT g.trace, 0 AS a, g, k - 4 * g AS j, v FROM g JOIN y ON y.trace = g.trace AND k >= 4 * g AND k < 4 * g + 16),
+""" + SEG_SQL + """e AS (SELECT trace, cols, CAST(floor(cols / (n / 64e0)) AS BIGINT) // 2 AS half, CAST(floor((unnest(range(events)) + 0.5e0) * (cols / (n / 64e0))) AS BIGINT) AS mid FROM (SELECT DISTINCT trace, n, events, cols FROM g) h)
+SELECT e.trace, 4.0e0 * i AS freq, CAST(g - (mid - half) AS INTEGER) AS k, round(avg(p), 6) AS p FROM e JOIN p ON p.trace = e.trace AND g >= mid - half AND g < mid + half WHERE mid >= half AND mid + half <= cols GROUP BY ALL""")
 def stft_whole_then_windows(spark, d):
     """STFT of whole traces, a second of its columns around each event, averaged over events."""
-    s = spectral.stft_at_events(label_traces(spark, d), ["label"], FS, 16, 12, 1.0)
-    return s.where("error IS NULL").select("label", "freq", F.posexplode("power").alias("k", "p")).withColumn("p", r6("p"))
+    s = spectral.stft_at_events(epoch_traces(spark, d), ["trace"], FS, 16, 12, 1.0)
+    return s.where("error IS NULL").select("trace", "freq", F.posexplode("power").alias("k", "p")).withColumn("p", r6("p"))
 
 
-@query(T_SQL + """e AS (SELECT label, n, 64 * unnest(range(events)) + 32 - 64 AS a FROM n), o AS (SELECT * FROM e WHERE a >= 0 AND a + 128 <= n),
-g AS (SELECT unnest(range(29)) AS g), s AS (SELECT o.label, a, g, k - a - 4 * g AS j, v FROM o JOIN g ON true JOIN y ON y.label = o.label AND k >= a + 4 * g AND k < a + 4 * g + 16),
+@query(T_SQL + """e AS (SELECT trace, n, 64 * unnest(range(events)) + 32 - 64 AS a FROM n), o AS (SELECT * FROM e WHERE a >= 0 AND a + 128 <= n),
+g AS (SELECT unnest(range(29)) AS g), s AS (SELECT o.trace, a, g, k - a - 4 * g AS j, v FROM o JOIN g ON true JOIN y ON y.trace = o.trace AND k >= a + 4 * g AND k < a + 4 * g + 16),
 """ + SEG_SQL + """x2 AS (SELECT 1)
-SELECT label, 4.0e0 * i AS freq, CAST(g - 7 AS INTEGER) AS k, round(avg(p), 6) AS p FROM p WHERE g >= 7 AND g < 21 GROUP BY ALL""")
+SELECT trace, 4.0e0 * i AS freq, CAST(g - 7 AS INTEGER) AS k, round(avg(p), 6) AS p FROM p WHERE g >= 7 AND g < 21 GROUP BY ALL""")
 def stft_windows_then_clip(spark, d):
     """Two seconds of the trace cut around each event, transformed, and the middle half of the columns kept."""
-    s = spectral.stft_at_events(label_traces(spark, d), ["label"], FS, 16, 12, 1.0, whole=False)
-    return s.where("error IS NULL").select("label", "freq", F.posexplode("power").alias("k", "p")).withColumn("p", r6("p"))
+    s = spectral.stft_at_events(epoch_traces(spark, d), ["trace"], FS, 16, 12, 1.0, whole=False)
+    return s.where("error IS NULL").select("trace", "freq", F.posexplode("power").alias("k", "p")).withColumn("p", r6("p"))
 
 
 @query(X_SQL + f""", {F_SQL}, s AS (SELECT freq, (3 + (freq - 3) / 4) / (2 * pi() * freq) AS sigma FROM f),

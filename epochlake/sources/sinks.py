@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def write_recordings(signals: DataFrame, events: DataFrame, path: str) -> None:
@@ -44,5 +45,8 @@ def write_run_summary(report: DataFrame, settings: dict, path: str) -> None:
 
 
 def subject_index(subjects: DataFrame) -> DataFrame:
-    """(task, subject): 1-based numbers in id order, for one task per subject (few rows)."""
-    return subjects.agg(F.sort_array(F.collect_set("subject")).alias("s")).select(F.posexplode("s").alias("task", "subject")).withColumn("task", F.col("task") + 1)
+    """(task, subject): 1-based numbers in id order, for one task per subject; ids are range-sorted and numbered from the
+    row counts of the ranges before."""
+    ordered = subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject")
+    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
+    return subjects.sparkSession.createDataFrame(numbered, StructType([StructField("task", IntegerType()), ordered.schema["subject"]]))
