@@ -287,20 +287,31 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # -- connected components ------------------------------------------------------
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether no node of links (a, b), a > b, has two smaller neighbours, or both a smaller and a larger one: every b is then
+    the least node of its component."""
+    up = links.select(F.col("a").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger"))
+    down = links.select(F.col("b").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger"))
+    n = up.unionByName(down).groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return n.where("smaller > 1 OR smaller > 0 AND larger > 0").isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds (public map-reduce algorithm): each is a pre-aggregated minimum per
     node and a join back, so a node with very many links is neither gathered nor expanded, and the number of rounds
-    grows with the logarithm of the longest chain.  Each round is a table in the shared folder.  Rounds go on until the
-    links no longer change; where most_rounds is given and does not suffice, an error is raised.
+    grows with the logarithm of the longest chain.  Each round is a table in the shared folder.  Rounds go on until every
+    component is a star around its least node, which is tested exactly, node by node; where most_rounds is given and does
+    not suffice, an error is raised.
     """
     e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = staged(e, "links")
-    before = None
     for done in count():
+        if _are_stars(e):
+            break
         if done == most_rounds:
-            raise RuntimeError(f"components: links still change after {most_rounds} rounds")
+            raise RuntimeError(f"components: not all links lead to the least node after {most_rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -308,8 +319,4 @@ def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
         small = large.join(low, "a")
         e = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = staged(e, "links")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.count_distinct("a")).first())
-        if now == before or not now[0]:
-            break
-        before = now
-    return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -561,6 +561,22 @@ def test_components_end_only_when_links_do_not_change(spark):
     assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(101)}
     with pytest.raises(RuntimeError):
         components(links, most_rounds=1)
+    stars = spark.createDataFrame([(5, 1), (1, 5), (3, 1), (9, 2), (4, 4)], "a long, b long")
+    assert Counter(map(tuple, components(stars, most_rounds=0).collect())) == Counter([(1, 1), (3, 1), (5, 1), (2, 2), (9, 2)])
+    assert components(stars.where("a = b")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_links(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(180)] + [(7, rng.randrange(300, 400)) for _ in range(60)]
+    root = {i: i for p in pairs for i in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(got) == len(root) and {tuple(r) for r in got} == set(root.items())
 
 
 URLS = ["https://www.Example.com/en/x?q#f", "http://example.com/en/", "http://m.example.com/fr/", "http://xexample.com/en/a", "ftp://a.net/es/1", "http://a.net/fr", "http://b.net/fr/2", "no url", None, "", "http://", "http://com", "http://com/", "http://deep.www.example.com/en/1?x=/y", "http://net?/es/", "a://b.org/p#/q"]
