@@ -155,6 +155,9 @@ def test_results_and_summaries(spark, data, tmp_path):
     with pytest.raises(ValueError):
         readers.results(spark, f"file://{tmp_path}/res", ["power"])
     assert [tuple(r) for r in sinks.subject_index(rows).collect()] == [(1, "r1")]
+    many = spark.createDataFrame([(f"r{i % 40}",) for i in range(200)] + [(None,)], "subject string").repartition(7)
+    assert sorted(map(tuple, sinks.subject_index(many).collect())) == list(enumerate(sorted({f"r{i}" for i in range(40)}), 1))
+    assert sinks.subject_index(many.where("subject = 'x'")).count() == 0
     p = spark.createDataFrame([("d1", "r1", "8", 1, 0.5), ("d1", "r1", "8", 3, -0.25)], "session string, subject string, electrode string, size int, power double")
     sinks.write_theta_csv(p, [1, 2, 3], f"file://{tmp_path}/csv")
     assert {r[0] for r in spark.read.text(f"file://{tmp_path}/csv").collect()} == {"session_number;rat_ID;electrode_number;NM_size1;NM_size2;NM_size3", "d1;r1;8;0.500000;nan;-0.250000"}
