@@ -21,6 +21,10 @@ TASK_BYTES = 16 << 20
 LEAST_TASKS = 32
 
 
+#: Beyond so many times the size of a bucket, copies of one row lie in it: rows are then numbered and spread by number too.
+MOST_HELD = 4
+
+
 def _light() -> list[Column]:
     text = F.coalesce("text", F.lit("")).cast("binary")
     return [F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")]
@@ -35,8 +39,16 @@ def _bucket_count(rows: DataFrame, bucket_bytes: int) -> tuple[int, int]:
     return total, max(LEAST_BUCKETS, -(-total // bucket_bytes))
 
 
-def _bucket(buckets: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "text_crc32", "size"), F.lit(buckets))
+def _bucket(buckets: int, seed: int, *more: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "text_crc32", "size", *more), F.lit(buckets))
+
+
+def _held(rows: DataFrame, buckets: int, seed: int, *more: str) -> tuple[np.ndarray, int]:
+    """(rows of each bucket, bytes of the largest)."""
+    got = rows.groupBy(_bucket(buckets, seed, *more).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).toArrow()
+    n = np.zeros(buckets, dtype=np.int64)
+    n[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return n, max(got.column("bytes").to_pylist(), default=0)
 
 
 def _permutation(seed: int, bucket: int, n: int) -> np.ndarray:
@@ -78,7 +90,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     Pass one scatters the records with their texts into the buckets of shuffle_shards; a task receives neighbouring
     buckets, so its places are one run.  Pass two permutes each bucket: its records arrive sorted by their values and
     stream through with their places, so no bucket is held in memory beyond the engine's own sorts, which can spill.
-    Only the rows of each bucket are counted before, from light rows; the counts (one a bucket) reach the driver.
+    Only the rows of each bucket are counted before, from light rows; the counts (one a bucket) reach the driver.  Where
+    very many copies of one row would overfill a bucket, rows are numbered in a copy and dealt by number too.
 
     Null texts have size 8 and stay null; null doc_ids and repeated rows are ordinary records (equal ones change places
     without effect, so a recomputed task writes the same); columns named shard or slot are left out of the files, all others
@@ -86,13 +99,16 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     """
     light = staged(light_rows(docs), "shard-rows")
     total, buckets = _bucket_count(light, bucket_bytes)
-    n = np.zeros(buckets, dtype=np.int64)
-    for r in light.groupBy(_bucket(buckets, seed).alias("bucket")).count().collect():
-        n[r["bucket"]] = r["count"]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    dealt, more = docs.select(row, *_light()), []
+    n, largest = _held(light, buckets, seed)
+    if largest > MOST_HELD * bucket_bytes:
+        # the numbers are written, so that a recomputed task deals each copy to the bucket it was counted in
+        dealt, more = staged(dealt.withColumn("number", F.monotonically_increasing_id()), "shard-numbered"), ["number"]
+        n, _ = _held(dealt, buckets, seed, *more)
     start, rows = np.cumsum(n) - n, int(n.sum())
     tasks = int(min(buckets, max(LEAST_TASKS, -(-total // TASK_BYTES))))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    dealt = docs.select(row, *_light()).withColumn("bucket", _bucket(buckets, seed))
+    dealt = dealt.withColumn("bucket", _bucket(buckets, seed, *more))
     dealt = dealt.repartitionById(tasks, F.expr(f"CAST(bucket * {tasks} DIV {buckets} AS int)"))
     dealt = dealt.sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "text_crc32", "size").select("row", "bucket")
 
