@@ -1,4 +1,4 @@
-"""Command line: python -m epochlake {session,subject,population,channels,report,summary} --data DIR --out DIR ..."""
+"""Command line: python -m epochlake {import,session,subject,population,channels,report,summary} --data DIR --out DIR ..."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from .sources import readers, sinks
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="epochlake", description="Event-locked spectra of recordings.")
-    p.add_argument("mode", choices=["session", "subject", "population", "channels", "report", "summary"])
-    p.add_argument("--data", required=True, help="folder with signals/ and events/ written by sinks.write_recordings")
+    p.add_argument("mode", choices=["import", "session", "subject", "population", "channels", "report", "summary"])
+    p.add_argument("--data", required=True, help="folder with signals/ and events/ written by sinks.write_recordings; with import, the session files")
     p.add_argument("--montage", help="wide CSV of electrodes by channel")
     p.add_argument("--region", default="frontal", help='name, "8" or "8,16"')
     p.add_argument("--subject", help="one subject only")
@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--freq-max", type=float, default=AnalysisConfig.freq_max)
     p.add_argument("--n-freqs", type=int, default=AnalysisConfig.n_freqs)
     p.add_argument("--freq-file", help="text list; its numbers within the range set the count and ends of the grid")
+    p.add_argument("--every-second", action="store_true", help="take every second number of the list, from the greatest on")
     p.add_argument("--exact-freqs", action="store_true", help="analyse the list's own frequencies instead of a grid")
     p.add_argument("--eligible-only", action="store_true", help="leave out subjects that lack an electrode of the region")
     p.add_argument("--window", type=float, default=AnalysisConfig.window)
@@ -38,11 +39,15 @@ def settings(spark: SparkSession, a: argparse.Namespace) -> AnalysisConfig:
     """A frequency list contributes its extended range and count; the grid itself is geometric."""
     lo, hi, n, exact = a.freq_min, a.freq_max, a.n_freqs, ()
     if a.freq_file:
+        from pyspark.sql import Window
         from pyspark.sql import functions as F
 
         from .functions.columns import select_frequencies
 
-        chosen = select_frequencies(readers.frequency_text(spark, a.freq_file), lo, hi, extended=True)
+        listed = readers.frequency_text(spark, a.freq_file)
+        if a.every_second:  # a list of frequencies is short
+            listed = readers.every_second(listed.withColumn("f_idx", F.row_number().over(Window.orderBy(F.desc("freq"))) - 1))
+        chosen = select_frequencies(listed, lo, hi, extended=True)
         lo, hi, n = chosen.agg(F.min("freq"), F.max("freq"), F.count("freq")).first()
         if a.exact_freqs:
             exact = tuple(r["freq"] for r in chosen.collect())
@@ -51,6 +56,12 @@ def settings(spark: SparkSession, a: argparse.Namespace) -> AnalysisConfig:
 
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
+    if a.mode == "import":
+        signals, events, velocity, failures = readers.mat_recordings(readers.mat_sessions(spark, a.data), a.fs)
+        sinks.write_recordings(signals, events, a.out)
+        velocity.write.mode("overwrite").partitionBy("subject").parquet(f"{a.out}/velocity")
+        sinks.write_json(failures, f"{a.out}-failures")
+        return
     signals, events = readers.recordings(spark, a.data)
     if a.subject:
         signals, events = readers.sessions_of(signals, a.subject), events.where(events.subject == a.subject)
@@ -69,6 +80,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     spectra = spark.read.parquet(f"{a.out}-spectra")
     sinks.write_json(spectral.failures(spectra, ["subject", "session", "channel_idx"]), f"{a.out}-failures")
     sinks.write_run_summary(pipeline.processing_report(spectra), config.summary(), f"{a.out}-summary")
+    if config.normalization == "baseline_cross_event":
+        sinks.write_json(pipeline.baseline_report(spectra, config), f"{a.out}-baseline")
     if a.mode == "session":
         out = pipeline.analyze_session(signals, events, montage, regions, config, spectra)
     else:
@@ -77,6 +90,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             out = pipeline.analyze_population(out)
         elif a.mode == "report":
             sinks.write_json(pipeline.theta_report(out, config), a.out)
+            sinks.write_json(pipeline.theta_power(out, ["region", "subject", "size"], config), f"{a.out}-subjects")
             return
     out.write.mode("overwrite").parquet(a.out)
 

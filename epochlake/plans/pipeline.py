@@ -109,6 +109,20 @@ def _no_baseline(config: AnalysisConfig) -> bool:
     return config.normalization == "baseline_per_event" and not axis_range(config.samples, config.half, *config.baseline)
 
 
+def region_windows(spectra: DataFrame) -> DataFrame:
+    """(region, subject, session, size, event_idx, f_idx, freq, w, n_channels): mean over the channels of each region."""
+    keys = ["region", "subject", "session", "size", "event_idx", "f_idx", "freq"]
+    ok = spectra.where("error IS NULL").withColumn("region", F.explode("regions"))
+    return ok.groupBy(*keys).agg(_mean_arrays(F.collect_list("w")).alias("w"), F.count(F.lit(1)).alias("n_channels"))  # channels of a region are few
+
+
+def baseline_report(spectra: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """(region, subject, session, size, f_idx, freq, mu, sd, n_events, n_baseline_samples, warnings): what the cross-event
+    baseline divides by."""
+    keys = ["region", "subject", "session", "size", "f_idx", "freq"]
+    return normalize.baseline_statistics(region_windows(spectra), keys, config.samples, config.half, config.baseline, config.min_events)
+
+
 def session_windows(signals: DataFrame, events: DataFrame, montage: DataFrame, regions: DataFrame, config: AnalysisConfig, spectra: DataFrame | None = None) -> DataFrame:
     """(region, subject, session, size, event_idx, f_idx, freq, w, n_channels): region mean over channels, normalized.
 
@@ -116,9 +130,7 @@ def session_windows(signals: DataFrame, events: DataFrame, montage: DataFrame, r
     event_spectra's rows, where the caller has written them."""
     if spectra is None:
         spectra = event_spectra(region_signals(signals, montage, regions, config), events, config)
-    keys = ["region", "subject", "session", "size", "event_idx", "f_idx", "freq"]
-    ok = spectra.where("error IS NULL").withColumn("region", F.explode("regions"))
-    w = ok.groupBy(*keys).agg(_mean_arrays(F.collect_list("w")).alias("w"), F.count(F.lit(1)).alias("n_channels"))  # channels of a region are few
+    w = region_windows(spectra)
     if config.normalization == "baseline_cross_event":
         return normalize.baseline_cross_event(w, ["region", "subject", "session", "size", "f_idx"], config.samples, config.half, config.baseline)
     if config.normalization == "baseline_per_event" and not _no_baseline(config):

@@ -55,12 +55,18 @@ def decode_chars(codes: Column) -> Column:
     return F.array_join(F.transform(F.filter(codes, lambda c: c != 0), lambda c: F.char(c)), "")
 
 
-def results(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """Results under subject=*/session=*/ folders (ids come from the folder names); ValueError if a column is missing."""
-    out = spark.read.option("basePath", path).parquet(path)
+def results(spark: SparkSession, path: str, required: list[str], skip: bool = False) -> DataFrame:
+    """Results under subject=*/session=*/ folders (ids come from the folder names); ValueError if a column is missing.
+
+    With skip, sessions whose files lack a required column, or hold nothing in it, are left out; a column that no file has
+    is an error all the same."""
+    out = spark.read.option("basePath", path).option("mergeSchema", skip).parquet(path)
     if gone := [c for c in required if c not in out.columns]:
         raise ValueError(f"results lack {gone}")
-    return out
+    if not skip:
+        return out
+    full = out.groupBy("subject", "session").agg(F.least(F.lit(1), *[F.count(c) for c in required]).alias("full")).where("full > 0")
+    return out.join(full.select("subject", "session"), ["subject", "session"], "left_semi")
 
 
 def mat_sessions(spark: SparkSession, glob: str, cell: str = "Data_eeg") -> DataFrame:
@@ -96,3 +102,24 @@ def mat_sessions(spark: SparkSession, glob: str, cell: str = "Data_eeg") -> Data
             yield pd.DataFrame(rows, columns=["path", "subject", "session", "eeg", *names, "error"])
 
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, schema)
+
+
+def mat_recordings(sessions: DataFrame, fs: float = 200.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signals, events, velocity (subject, session, t, v), failures (path, error)) of mat_sessions' rows.
+
+    The sampling rate is that of a session's own times, fs where it has fewer than two; events are of kind nm, controls of
+    kind iti, both numbered in the order of the file.  One row a channel: no task holds more than a session.
+    """
+    ok = sessions.where("error IS NULL")
+    t, n = F.col("eeg_time"), F.size("eeg_time")
+    rate = F.coalesce(F.when(n > 1, F.try_divide(n - 1, F.element_at(t, -1) - F.get(t, F.lit(0)))), F.lit(fs))
+    channels = ok.select("subject", "session", F.round(rate, 6).alias("fs"), F.coalesce(F.get(t, F.lit(0)), F.lit(0.0)).alias("t0"), F.posexplode("eeg").alias("channel_idx", "samples"))
+
+    def of_kind(kind: str, times: str, sizes: str) -> DataFrame:
+        each = ok.select("subject", "session", F.posexplode(F.arrays_zip(F.col(times).alias("t"), F.col(sizes).alias("size"))).alias("event_idx", "e"))
+        return each.select("subject", "session", "event_idx", F.lit(kind).alias("kind"), "e.t", "e.size")
+
+    events = of_kind("nm", "event_times", "event_sizes").unionByName(of_kind("iti", "control_times", "control_sizes"))
+    speed = ok.select("subject", "session", F.explode(F.arrays_zip(F.col("velocity_time").alias("t"), F.col("velocity").alias("v"))).alias("x")).select("subject", "session", "x.t", "x.v")
+    names = [c.split()[0] for c in SIGNALS.split(", ")]
+    return channels.select(names), events.where("t IS NOT NULL"), speed, sessions.where("error IS NOT NULL").select("path", "error")

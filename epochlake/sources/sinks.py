@@ -29,6 +29,14 @@ def write_theta_csv(powers: DataFrame, sizes: list[int], path: str) -> None:
     theta_pivot(powers, sizes).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 
+def write_montage_csv(maps: DataFrame, path: str, subject: str = "rat_id") -> None:
+    """(subject, map array) as the wide CSV that readers.montage_csv reads: ch_0, ch_1, ... up to the longest map, the text
+    None where a subject's is shorter or empty."""
+    width = maps.agg(F.coalesce(F.max(F.size("map")), F.lit(0))).first()[0]
+    channels = [F.coalesce(F.get("map", F.lit(k)).cast("string"), F.lit("None")).alias(f"ch_{k}") for k in range(width)]
+    maps.select(F.col("subject").alias(subject), *channels).write.mode("overwrite").option("header", True).csv(path)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 

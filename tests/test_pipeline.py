@@ -122,7 +122,7 @@ def test_recordings_round_trip(spark, data, tmp_path):
 
 
 def test_command_line(spark, data, tmp_path):
-    from epochlake.__main__ import run
+    from epochlake.__main__ import parser, run, settings
 
     sinks.write_recordings(*data[:2], f"file://{tmp_path}/rec")
     (tmp_path / "m.csv").write_text("rat_id,ch_0,ch_1,ch_2,ch_3\n" + "".join(f"r{s},8,6,9,7\n" for s in range(3)))
@@ -133,6 +133,13 @@ def test_command_line(spark, data, tmp_path):
         assert spark.read.parquet(f"file://{tmp_path}/{mode}").count() == rows
     run(spark, ["report", *common, "--freq-file", f"file://{tmp_path}/f.txt", "--freq-max", "7", "--out", f"file://{tmp_path}/report"])
     assert spark.read.json(f"file://{tmp_path}/report").count() == 3
+    each, means = spark.read.json(f"file://{tmp_path}/report-subjects").toPandas(), spark.read.json(f"file://{tmp_path}/report").toPandas()
+    assert len(each) == 9 and np.allclose(each.groupby("size").power.mean(), means.set_index("size")["mean"].sort_index())
+    stats = spark.read.json(f"file://{tmp_path}/session-baseline").toPandas()
+    assert len(stats) == 6 * 3 * 3 and (stats.sd > 0).all() and (stats.n_baseline_samples == len(axis_range(400, 1.0, -1.0, -0.5))).all()
+    for flags, want in (([], 3), (["--every-second"], 2)):
+        a = parser().parse_args(["report", *common, "--out", "x", "--freq-file", f"file://{tmp_path}/f.txt", "--freq-min", "4", "--freq-max", "8", "--exact-freqs", *flags])
+        assert len(settings(spark, a).freqs) == want + (not flags)
     run(spark, ["summary", *common[:2], "--subject", "r1", "--out", f"file://{tmp_path}/summary"])
     got = spark.read.parquet(f"file://{tmp_path}/summary").collect()
     assert {(r["length"], r["n_channels"]) for r in got} == {(8000, 4)} and len(got) == 2
@@ -154,6 +161,12 @@ def test_results_and_summaries(spark, data, tmp_path):
     assert sorted(r["z"] for r in readers.results(spark, f"file://{tmp_path}/res", ["z"]).collect()) == [2.0, 5.0]
     with pytest.raises(ValueError):
         readers.results(spark, f"file://{tmp_path}/res", ["power"])
+    bare = spark.createDataFrame([("r2", "d1", 7)], "subject string, session string, other int")
+    bare.write.mode("append").partitionBy("subject", "session").parquet(f"file://{tmp_path}/res")
+    got = readers.results(spark, f"file://{tmp_path}/res", ["z"], skip=True)
+    assert sorted((r["subject"], r["z"]) for r in got.collect()) == [("r1", 2.0), ("r1", 5.0)]
+    with pytest.raises(ValueError):
+        readers.results(spark, f"file://{tmp_path}/res", ["power"], skip=True)
     assert [tuple(r) for r in sinks.subject_index(rows).collect()] == [(1, "r1")]
     many = spark.createDataFrame([(f"r{i % 40}",) for i in range(200)] + [(None,)], "subject string").repartition(7)
     assert sorted(map(tuple, sinks.subject_index(many).collect())) == list(enumerate(sorted({f"r{i}" for i in range(40)}), 1))
@@ -176,6 +189,24 @@ def test_sources(spark, tmp_path):
     assert spark.range(1).select(readers.decode_chars(F.array(F.lit(72), F.lit(0), F.lit(105)))).first()[0] == "Hi"
     (tmp_path / "bad.mat").write_bytes(b"none")
     assert readers.mat_sessions(spark, f"file://{tmp_path}/*.mat").first()["error"]
+    maps = spark.createDataFrame([("7", [10, 11, 12]), ("8", [13])], "subject string, map array<int>")
+    sinks.write_montage_csv(maps, f"file://{tmp_path}/maps")
+    assert sorted(map(tuple, readers.montage_csv(spark, f"file://{tmp_path}/maps").collect())) == [("7", 0, 10), ("7", 1, 11), ("7", 2, 12), ("8", 0, 13)]
+
+
+def test_session_files_to_recordings(spark, tmp_path):
+    (tmp_path / "bad.mat").write_bytes(b"none")
+    broken = readers.mat_sessions(spark, f"file://{tmp_path}/bad.mat")
+    good = [("p", "r1", "d1", [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]], [0.5, 0.505, 0.51, 0.515], [9.0, 8.0], [0.5, 0.6], [0.505], [2.0], [0.51], [1.0], None), ("q", "r2", "d1", [[1.0]], [0.0], [], [], [], [], [], [], None)]
+    signals, events, velocity, failures = readers.mat_recordings(broken.unionByName(spark.createDataFrame(good, broken.schema)))
+    sinks.write_recordings(signals, events, f"file://{tmp_path}/rec")
+    s, e = readers.recordings(spark, f"file://{tmp_path}/rec")
+    s, e = s.select(signals.columns), e.select(events.columns)
+    assert sorted(map(tuple, s.collect())) == [("r1", "d1", 0, 200.0, 0.5, [1.0, 2.0, 3.0, 4.0]), ("r1", "d1", 1, 200.0, 0.5, [5.0, 6.0, 7.0, 8.0]), ("r2", "d1", 0, 200.0, 0.0, [1.0])]
+    assert sorted(map(tuple, e.select("subject", "session", "event_idx", "kind", "t", "size").collect())) == [("r1", "d1", 0, "iti", 0.51, 1.0), ("r1", "d1", 0, "nm", 0.505, 2.0)]
+    at = {r["kind"]: r["v"] for r in pipeline.velocity_at_events(velocity, e).collect()}
+    assert at == {"nm": 9.0, "iti": 9.0}
+    assert [r["path"].endswith("bad.mat") for r in failures.collect()] == [True]
 
 
 def test_grids(spark):
