@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import ROW, Words, batch, bucket_count, by_key, chunks, components, member, mix, pack, pack_small, plain_rows, roots, slots, staged, table, unpack, unpack_small, window_hash, with_row_keys
@@ -31,6 +31,8 @@ HOT = 64
 FEW = 6
 #: Up to this many doc_ids (8 bytes each) are sent to all tasks instead of moving the texts.
 MOST_SENT_IDS = 1_000_000
+#: A stray whose rarest shingles are in more members of its leader than this goes to all blocks.
+FEW_HOLDERS = 64
 #: Documents of one leader are dealt to blocks of about this many.
 BLOCK = 256
 
@@ -356,7 +358,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     HOT sets, a leader's together, then the others.  A set that shares too few signatures for any similar partner is
     done.  Sets that share a leader meet in blocks of about BLOCK, where
     similar pairs are verified on whole sets.  A leader of more sets goes to every one of its blocks; sets of such a
-    leader that it doesn't connect are compared with all of its other blocks in a second round.
+    leader that it doesn't connect are compared, in a second round, with the blocks that hold one of their rarest shingles.
     """
     texts = grouped(docs, bucket_count(docs, GROUP_BYTES))
     buckets = bucket_count(docs)
@@ -371,16 +373,21 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _strays(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links of sets that their leader doesn't connect with all sets of that leader, block by block."""
+    """Links of sets that their leader doesn't connect with all sets of that leader.
+
+    Of a similar set at least three quarters of a stray's shingles are common, so one of any quarter (and one more) of them
+    is.  Shingles are counted among the members of the leader: those of no other member come first, then the rarest.  A
+    stray with enough shingles of its own is done; others go to the blocks that hold one of their rarest shingles, or to all
+    blocks where more than FEW_HOLDERS members hold one.
+    """
     stats = members.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == 2).alias("strays")).where("strays > 0")
     blocks = stats.select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # apart from a leader, which is in each of its blocks, a leader's members are there once; its rows may be split at will
-    # a document with several texts (a repeated doc_id) counts once, as a stray if one of them is
+    # a document with several texts (a repeated doc_id) counts once, as a stray if one of them is; its texts are judged each
     m = members.where("a <> b OR kind = 2").groupBy("a", F.col("b").alias("doc")).agg((F.max("kind") == 2).alias("stray")).join(blocks, "a")
     home = F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block")
-    homes = m.where("a <> doc").unionByName(blocks.select("a", F.col("a").alias("doc"), F.lit(False).alias("stray"), "blocks")).select("a", "doc", home, F.lit(0).alias("kind"))
-    guests = m.where("stray").select("a", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"))
-    need = homes.unionByName(guests)
+    leaders = blocks.select("a", F.col("a").alias("doc"), F.lit(False).alias("stray"), "blocks")
+    homes = m.unionByName(leaders).groupBy("a", "doc", "blocks").agg(F.max("stray").alias("stray")).select("a", "doc", "blocks", "stray", home)
 
     def tokens(batches):
         schema = pa.schema([("doc", pa.int64()), ("tokens", pa.binary())])
@@ -392,6 +399,34 @@ def _strays(docs: DataFrame, members: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= MOST_SENT_IDS else ids
     wanted = docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = wanted.mapInArrow(tokens, "doc long, tokens binary").dropDuplicates(["doc", "tokens"])
+    held = staged(homes.join(sets, "doc").select("a", "doc", "blocks", "stray", "block", "tokens"), "ngram-members")
+
+    def single(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                each = [unpack(x, SET_BYTES) for x in part.column("tokens").to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names), pa.array(np.concatenate(each).astype("i8"))], names=[*names, "token"])
+
+    names = ["a", "block", "doc", "own", "n"]
+    size = F.expr(f"octet_length(tokens) DIV {SET_BYTES}").cast("long").alias("n")
+    texts = held.select("a", "block", F.when(F.col("stray"), F.col("doc")).alias("doc"), F.xxhash64("tokens").alias("own"), size, "tokens")
+    flat = texts.mapInArrow(single, "a long, block int, doc long, own long, n long, token long")
+    holders = flat.groupBy("a", "token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    text = Window.partitionBy("a", "doc", "own", "n")  # the shingles of one text
+    mine = flat.where("doc IS NOT NULL").select("a", "doc", "own", "n", "token").join(holders, ["a", "token"])
+    mine = mine.withColumn("shared", F.count(F.lit(1)).over(text)).where(DEN * F.col("shared") >= NUM * F.col("n"))
+    rarest = F.row_number().over(text.orderBy("holders", "token"))
+    # n - ceil(NUM n / DEN) + 1 shingles, of which n - shared are the stray's own
+    mine = mine.withColumn("place", rarest).where(F.col("place") <= F.col("shared") + 1 - F.ceil(F.lit(NUM) * F.col("n") / DEN))
+    mine = staged(mine.select("a", "doc", "token", "holders"), "ngram-rare")
+    wide = mine.groupBy("a", "doc").agg((F.max("holders") > FEW_HOLDERS).alias("wide"))
+    rare = mine.join(wide.where("NOT wide"), ["a", "doc"]).select("a", "token", F.col("doc").alias("guest"))
+    near = flat.select("a", "token", "block").join(rare, ["a", "token"]).select("a", F.col("guest").alias("doc"), "block").distinct()
+    far = wide.where("wide").join(blocks, "a").select("a", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    sets_of = held.where("stray").select("a", "doc", "tokens")
+    guests = near.unionByName(far).join(sets_of, ["a", "doc"]).select("a", "doc", "block", F.lit(1).alias("kind"), "tokens")
 
     def compare(key, rows):
         guests = [r for r in rows if r[3] == 1]
@@ -401,8 +436,9 @@ def _strays(docs: DataFrame, members: DataFrame) -> DataFrame:
         if got:
             yield batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [every[i][1] for i, _ in got], [every[j][1] for _, j in got])
 
-    joined = need.join(sets, "doc").select("a", "doc", "block", "kind", "tokens")
-    return by_key(joined, ["a", "block"], compare, "a long, b long")
+    asked = guests.select("a", "block").distinct()
+    hosts = held.join(asked, ["a", "block"], "left_semi").select("a", "doc", "block", F.lit(0).alias("kind"), "tokens")
+    return by_key(hosts.unionByName(guests), ["a", "block"], compare, "a long, b long")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:

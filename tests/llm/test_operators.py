@@ -158,9 +158,10 @@ def brute_components(sets):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_ngram_join(spark, rows, docs, block, monkeypatch):
+@pytest.mark.parametrize("block,few", [(256, 64), (3, 64), (3, 0), (3, 2)])
+def test_ngram_join(spark, rows, docs, block, few, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FEW_HOLDERS", few)
     sets = {r[0]: shingles(r[1]) for r in rows}
     got = {r["doc_id"]: r for r in ngram_join.similar_components(docs).collect()}
     want = brute_components(sets)
@@ -169,8 +170,10 @@ def test_ngram_join(spark, rows, docs, block, monkeypatch):
     assert len(set(want.values())) < len(want) - 20
 
 
-def test_ngram_join_copies_linked_only_by_their_original(spark, monkeypatch):
+@pytest.mark.parametrize("few", [64, 3])
+def test_ngram_join_copies_linked_only_by_their_original(spark, few, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "FEW_HOLDERS", few)
     rng = random.Random(9)
     original = [f"w{rng.randrange(10**6)}" for _ in range(90)]
     texts = {50: " ".join(original)}
@@ -185,6 +188,28 @@ def test_ngram_join_copies_linked_only_by_their_original(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(docs).collect()} == want
 
 
+def test_ngram_join_pairs_beside_a_shared_passage(spark, monkeypatch):
+    """Texts that share a passage with all others are similar to one of them at most: only strays of one leader."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage, texts = " ".join(word() for _ in range(60)), {}
+    for i in range(0, 120, 2):
+        own = [word() for _ in range(40)]
+        texts[i] = f"{passage} {' '.join(own)}"
+        own[rng.randrange(40)] = word()
+        texts[i + 1] = f"{passage} {' '.join(own if i % 3 else [word() for _ in range(40)])}"
+    compared = []
+    real = ngram_join._strays
+    monkeypatch.setattr(ngram_join, "_strays", lambda docs, members: (compared.append(members.where("kind = 2").count()), real(docs, members))[1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components({i: shingles(t) for i, t in texts.items()})
+    assert len(set(want.values())) == 80
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(docs).collect()} == want
+    assert compared and compared[0] > 20
+
+
 def test_ngram_join_negative_and_large_ids(spark, rows):
     move = lambda i: (i - 100) * (1 << 40)
     docs = spark.createDataFrame([(move(r[0]), r[1]) for r in rows], "doc_id long, text string")
