@@ -110,6 +110,9 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes outside terms: a term is a maximal run of characters other than U+0000-U+0040, U+005B-U+0060 and U+007B-U+007F.
+NO_TERM = np.zeros(256, dtype=bool)
+NO_TERM[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -151,13 +154,14 @@ def window_hash(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
 
 
 class Words:
-    """Word spans of some whole texts: starts/ends (bytes), doc (text of each word), first (word offsets by text)."""
+    """Word spans of some whole texts: starts/ends (bytes), doc (text of each word), first (word offsets by text).  gaps: the
+    bytes that separate words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = SPACE):
         self.data = data = LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
-        gap = SPACE[data]
+        gap = gaps[data]
         border = np.zeros(n + 1, dtype=bool)
         border[offsets] = True
         before, after = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
@@ -173,6 +177,16 @@ class Words:
         return span_hash(self.data, self.starts, self.ends)
 
 
+def term_array(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(terms of some whole texts, A-Z lower-cased, as a dictionary array; text of each)."""
+    w = Words(data, offsets, lower=True, gaps=NO_TERM)
+    chars = w.data[~NO_TERM[w.data]]
+    ends = np.zeros(len(w.starts) + 1, dtype=np.int64)
+    np.cumsum(w.ends - w.starts, out=ends[1:])
+    terms = pa.LargeStringArray.from_buffers(len(w.starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(chars)))
+    return terms.dictionary_encode(), w.doc
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -203,6 +217,12 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def slots(order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a sorted array and the bounds of their runs."""
     if not len(order_key):
