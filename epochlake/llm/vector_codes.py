@@ -201,8 +201,8 @@ def compress_vectors(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(code, pa.string()), pa.array(error, pa.int64())], names=["vec_id", "label", "code", "error"])
 
     out = staged(kept.mapInArrow(codes, f"vec_id long, label {label.dataType.simpleString()}, code string, error long"), "vector-codes")
-    total = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(MOST_LONG)).cast("long")
-    sums = out.groupBy(F.col("label").alias("s_label")).agg(total.alias("label_error"))
+    sums = out.groupBy(F.col("label").alias("s_label")).agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("total"))
+    sums = sums.select("s_label", F.when(F.col("total") > MOST_LONG, F.lit(MOST_LONG)).otherwise(F.col("total").cast("long")).alias("label_error"))
     return out.join(sums, F.col("label").eqNullSafe(F.col("s_label")), "left").select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 

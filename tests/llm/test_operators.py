@@ -100,6 +100,25 @@ def test_substring_levels(rows, docs):
     assert {r["doc_id"]: r["longest"] for r in substrings.longest_repeats(docs).collect()} == want
 
 
+def test_equal_rows_spread_over_groups(spark):
+    copies = spark.range(100_000, numPartitions=16).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    sizes = [r["count"] for r in substrings.grouped(copies, 64).groupBy("grp").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 4 * 100_000 / 16
+
+
+def test_substrings_and_components_of_equal_rows(spark, rows, docs):
+    more = docs.unionByName(docs.where("doc_id < 60")).repartition(7)
+    extra = Counter(r[0] for r in rows if r[0] < 60)
+    want = Counter()
+    for r in substrings.removed_words(docs.select("doc_id", "text")).collect():
+        want[tuple(r)] += 1 + extra[r["doc_id"]]
+    assert Counter(tuple(r) for r in substrings.removed_words(more).collect()) == want
+    want = Counter()
+    for r in ngram_join.similar_components(docs).collect():
+        want[tuple(r)] += 1 + extra[r["doc_id"]]
+    assert Counter(tuple(r) for r in ngram_join.similar_components(more).collect()) == want
+
+
 def test_mixing(spark, rows, docs):
     got = mixing.mix(docs).toPandas()
     assert len(got) == len(rows)
@@ -499,6 +518,22 @@ def test_secrets(spark, rows, tmp_path):
     assert secrets.redact(SECRET[1], brute_spans(SECRET[1])) == "[REDACTED] AKIA123 x[REDACTED]"
 
 
+def test_each_unseen_blob_is_scanned_once(spark, tmp_path):
+    rows = [(None if i % 2 else 7, SECRET[i % 2]) for i in range(1000)] + [(3, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for most in (secrets.MOST_SENT, 0):
+        folder = f"file://{tmp_path}/once-{most}"
+        before, secrets.MOST_SENT = secrets.MOST_SENT, most
+        try:
+            scanned = lambda: spark.read.parquet(f"{folder}/ledger").count()  # noqa: B023, E731
+            back, _ = secrets.scan_ledger(docs, folder)
+            assert scanned() == 3 and back.count() == len(rows)
+            secrets.scan_ledger(docs.unionByName(spark.createDataFrame([(9, "a new text")] * 50, docs.schema)), folder)
+            assert scanned() == 4
+        finally:
+            secrets.MOST_SENT = before
+
+
 def test_secret_kinds_added(spark):
     docs = spark.createDataFrame(list(enumerate(MORE)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in secrets.scan_ledger(docs, secrets.new_ledger(spark))[0].collect()}
@@ -533,6 +568,52 @@ def test_embeddings(spark):
     assert [tuple(r) for r in none] == [(None, 0, None, False)] * 2
 
 
+def test_embeddings_of_extreme_components(spark):
+    one, tiny, mixed = [1e200] * 4, [1e-170] * 4, [1e308, 1.0, 0.0, 0.0]
+    vecs = [one, one, [2e200] * 4, tiny, [3e-170] * 4, mixed, [1.7e308, 0.0, 0.0, 0.0], [5e-324, 0.0, 0.0, 0.0], [0.0] * 4, [-0.0] * 4]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, **{i: (2, 5) for i in (5, 6, 7)}, 8: (0, 8), 9: (0, 9)}
+
+
+def compared(u):
+    """Pairs whose block distance is worked out, and rows dealt a vector, for unit vectors."""
+    z = u @ embeddings.rotation(u.shape[1])
+    space = embeddings.Subspaces(z.mean(axis=0), z.std(axis=0), embeddings.LEAST_CUTS)
+    pairs, dealt = 0, 0
+    for k, (lo, hi) in enumerate(space.blocks):
+        home, of, cell = space.cells(z, k)
+        mine = space.hosted(home[of], cell)
+        of, cell = of[mine], cell[mine]
+        dealt += len(u) + len(of)
+        for c in np.unique(home):
+            own = np.flatnonzero(home == c)
+            both = np.concatenate([own, of[cell == c]])
+            i, j = embeddings.Nested(z[both, lo:hi], space.budget[k]).pairs(z[own, lo:hi])
+            pairs += int((j > i).sum())
+    return pairs, dealt / len(u)
+
+
+@pytest.mark.parametrize("n", [2_000, 10_000])
+def test_embedding_blocks_compare_few_pairs(n):
+    u = embeddings.unit(np.random.default_rng(n).standard_normal((n, 64)))
+    pairs, dealt = compared(u)
+    assert pairs < 0.1 * n * (n - 1) / 2 and dealt <= 25
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nested_cells_lose_no_pair(seed):
+    rng = np.random.default_rng(seed)
+    y = np.concatenate([rng.standard_normal((400, 5)) * 0.2, rng.integers(-2, 3, (100, 5)) * 0.1, np.full((5, 5), 7.0)])
+    x = np.concatenate([y[::7], rng.standard_normal((60, 5)) * 0.3, np.full((2, 5), -40.0), np.full((2, 5), 40.0)])
+    for budget in (1e-9, 0.01, 0.0125, 0.2, 30.0):
+        i, j = embeddings.Nested(y, budget).pairs(x)
+        near = ((x[:, None, :] - y) ** 2).sum(axis=2) <= budget
+        got = np.zeros_like(near)
+        got[i, j] = True
+        assert len(i) == got.sum() and got[near].all()
+
+
 @pytest.mark.parametrize("cuts,side", [(0, 1 << 21), (16, 1 << 21), (3, 100), (14, 70)])
 def test_embeddings_any_grid(spark, cuts, side, monkeypatch):
     monkeypatch.setattr(embeddings, "LEAST_CUTS", cuts)
@@ -638,6 +719,24 @@ def test_url_filters(spark):
         assert tuple(got[i]) == (i, host, path, rule, verdict) == other[i]
 
 
+ODD_HOSTS = ["net\x01fr", "com\x01x", "a.net", "a\x01.net", "net", ".net", "net.", "..net", "x\x02.net", "\x02\x03.net", "\x00net", "\x00.net", "net\x00", "com\x02", "\x01com", "b.com\x01", "example.com", "w\x01w.example.com", "\x02\x02.example.com", "example\x01com", ".", "\x01", "net\x01", "com.\x01"]
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_url_hosts_of_any_characters(spark, as_table):
+    rules = [*url_filters.RULES, ("\x01", "/", "block"), ("a\x01.net", "/f", "block"), ("net\x01", "", "block"), ("net.", "/", "block"), ("\x02.net", "/", "block")]
+    rng = random.Random(4)
+    urls = [f"http://{h}{p}" for h in ODD_HOSTS for p in ("/fr/", "/en/x", "/a", "")]
+    urls += ["http://" + "".join(rng.choice("\x00\x01\x02\x03.ab") for _ in range(rng.randint(0, 6))) + rng.choice(["", ".net", ".com"]) + "/fr/" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for r in url_filters.filter_urls(df, table if as_table else rules).collect():
+        host, path = r["host"], r["path"]
+        fit = [(len(h), len(p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want = max(fit)[2:] if fit else (None, "allow")
+        assert (r["rule"], r["verdict"]) == want, (host, path)
+
+
 def test_nested_url_rules(spark):
     rules = [("a.com", "/", "allow"), ("b.a.com", "/x/", "block"), ("b.a.com", "/", "allow"), ("c.b.a.com", "/x/y", "block"), ("d.com", "/", "block")]
     hosts = ["a.com", "z.a.com", "b.a.com", "q.b.a.com", "c.b.a.com", "w.c.b.a.com", "d.com", "e.com", "aa.com"]
