@@ -27,8 +27,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 OUT = "page_id long, host string, path string, rule string, verdict string"
 
 
+#: Ends each label of a key; within labels MARK stands for itself followed by "\x03", END for MARK twice.
+END, MARK = "\x01", "\x02"
+
+
 def reversed_key(host: str) -> str:
-    return "".join(f"{x}\x01" for x in reversed(host.split("."))) if host else ""
+    """The labels of a host, the last first, each with END after it; a host's key begins with that of each of its parents and
+    with no other's, whatever characters its labels hold."""
+    plain = host.replace(MARK, MARK + "\x03").replace(END, MARK + MARK)
+    return "".join(x + END for x in reversed(plain.split("."))) if host else ""
 
 
 def _sweep(rules: list[tuple[str, str, str]], default: str):
@@ -51,7 +58,7 @@ def _sweep(rules: list[tuple[str, str, str]], default: str):
                 if key != last:
                     if at is None:  # enclosing rules that start before this task's first key
                         at = bisect.bisect_right(starts, key)
-                        stack = [s for s in (key[: i + 1] for i, c in enumerate(key) if c == "\x01") if s in by_host]
+                        stack = [s for s in (key[: i + 1] for i, c in enumerate(key) if c == END) if s in by_host]
                     else:
                         while stack and not key.startswith(stack[-1]):
                             stack.pop()
@@ -99,7 +106,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
 
 
 def host_key() -> Column:
-    return F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "\x01"), F.lit("\x01")))
+    """reversed_key of column host."""
+    plain = F.replace(F.replace("host", F.lit(MARK), F.lit(MARK + "\x03")), F.lit(END), F.lit(MARK + MARK))
+    return F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), END), F.lit(END)))
 
 
 def _merged(parts: DataFrame, rules: DataFrame, default: str, n: int) -> DataFrame:
@@ -112,9 +121,9 @@ def _merged(parts: DataFrame, rules: DataFrame, default: str, n: int) -> DataFra
     rows = parts.withColumn("verdict", F.lit(None).cast("string")).withColumn("kind", F.lit(1)).withColumn("host_key", host_key())
     order = ["host_key", "kind", "path", "page_id"]
     dealt = staged(r.unionByName(rows).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "url-ranges")
-    labels = F.split("first", "\x01")
+    labels = F.split("first", END)
     first = dealt.groupBy("part").agg(F.min("host_key").alias("first")).where("first <> ''")
-    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "\x01"), F.lit("\x01"))))
+    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), END), F.lit(END))))
     open_rules = first.select("part", prefix.alias("host_key")).join(dealt.where("kind = 0").drop("part"), "host_key").withColumn("kind", F.lit(-1))
     swept = dealt.unionByName(open_rules).repartitionById(n, "part").sortWithinPartitions("part", F.col("kind") >= 0, *order)
 
