@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .shared import batch, plain_rows, shared_dir, table
+from .shared import batch, plain_rows, shared_dir, staged, table
 
 #: Contract patterns (fixed values): kind, pattern, group judged, least length.
 KINDS = [
@@ -27,22 +27,25 @@ MORE_KINDS = [
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 ]
 FLAGS = {"assign": re.ASCII | re.IGNORECASE}
-#: Text without which a kind cannot match.
+#: Text without which a kind cannot match, and a pattern for `assign`.
 HINTS = {"access": "AKIA", "pem": "-----BEGIN ", "jwt": "eyJ"}
+ASSIGN_HINT = r"passw|secret|token|api_?key"
+#: Patterns that find the same matches at less cost: a run of 24 hex digits is the shortest that can pass, and runs are maximal.
+FASTER = {"hex": r"[0-9a-f]{24,}"}
 
-#: A change of the kinds makes every blob unseen again.
-RULE_VERSION = hashlib.sha256(repr(KINDS + MORE_KINDS).encode()).hexdigest()[:16]
+#: A change of anything that decides what is found makes every blob unseen again.
+RULE_VERSION = hashlib.sha256(repr((KINDS + MORE_KINDS, {k: int(v) for k, v in FLAGS.items()}, HINTS, ASSIGN_HINT, FASTER)).encode()).hexdigest()[:16]
 
 ENTRY = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base string, spans string"
 VERSION = "path string, blob string"
+#: Unseen blobs of a run up to which their list is broadcast (about 100 bytes each).
+MOST_SENT = 500_000
 
 
 def finder():
     """text -> [(start, kind order, kind, end)] in code points, leftmost and non-overlapping per kind."""
-    hinted = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
-    # a run of 24 hex digits is the shortest that can pass, and runs are maximal: same matches as filtering all runs
-    own = {"hex": r"[0-9a-f]{24,}"}
-    compiled = [(k, kind, re.compile(own.get(kind, pattern), FLAGS.get(kind, re.ASCII)), group, least) for k, (kind, pattern, group, least) in enumerate(KINDS + MORE_KINDS)]
+    hinted = re.compile(ASSIGN_HINT, re.ASCII | re.IGNORECASE)
+    compiled = [(k, kind, re.compile(FASTER.get(kind, pattern), FLAGS.get(kind, re.ASCII)), group, least) for k, (kind, pattern, group, least) in enumerate(KINDS + MORE_KINDS)]
 
     def find(text: str) -> list[tuple[int, int, str, int]]:
         out = []
@@ -94,9 +97,10 @@ def scan_ledger(docs: DataFrame, folder: str, id_col: str = "doc_id") -> tuple[D
     its own, committed with its job; an entry depends on blob and rule version alone, so a run that was lost or came twice
     costs scans, not results.
 
-    The scan reads the text of one path per unseen blob: the join on the path's id moves whole texts only where most blobs
-    are unseen; Spark broadcasts the list of unseen ones where its measured size allows.  Only blobs with findings take
-    part in the last join, whose hot blobs adaptive execution may split.
+    One text a blob is scanned: equal texts are merged in their tasks before they are exchanged by blob, so copies cost what
+    one does.  Over a ledger that has entries, only unseen blobs' texts are taken; the list of these is broadcast up to
+    MOST_SENT blobs, beyond which it is joined after the merge.  Only blobs with findings take part in the last join, whose
+    hot blobs adaptive execution may split.
 
     Null texts count as empty; repeated rows and repeated or null ids with different texts each keep their own findings; an
     empty table gives no rows; other columns are not read.
@@ -104,14 +108,17 @@ def scan_ledger(docs: DataFrame, folder: str, id_col: str = "doc_id") -> tuple[D
     spark, run = docs.sparkSession, uuid.uuid4().hex
     known = _known(spark, f"{folder}/ledger", ENTRY)
     seen = _known(spark, f"{folder}/versions", VERSION)
-    paths = docs.select(F.col(id_col).alias("path"), _blob())
-    todo = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    if known is not None:
-        todo = todo.join(known.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    todo = todo.select(F.col("path").alias("todo_path"), F.col("blob").alias("todo_blob"))
-    texts = docs.select(F.col(id_col).alias("path"), "text", _blob())
-    picked = texts.join(todo, F.col("path").eqNullSafe(F.col("todo_path")) & (F.col("blob") == F.col("todo_blob"))).select("blob", "text")
-    picked.mapInArrow(_scan, ENTRY).dropDuplicates(["blob"]).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{folder}/ledger")
+    paths = staged(docs.select(F.col(id_col).alias("path"), _blob()), "secret-paths")
+    texts = docs.select("text", _blob())
+    once = lambda t: t.groupBy("blob").agg(F.first("text").alias("text"))
+    if known is None:
+        picked = once(texts)
+    else:
+        seen_blobs = known.where(F.col("rule_version") == RULE_VERSION).select("blob")
+        todo = staged(paths.select("blob").distinct().join(seen_blobs, "blob", "left_anti"), "secret-todo")
+        few = todo.count() <= MOST_SENT
+        picked = once(texts.join(F.broadcast(todo), "blob", "left_semi")) if few else once(texts).join(todo, "blob", "left_semi")
+    picked.mapInArrow(_scan, ENTRY).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{folder}/ledger")
     new = paths.withColumn("path", F.col("path").cast("string"))
     if seen is not None:
         old = seen.select(F.col("path").alias("s_path"), F.col("blob").alias("s_blob"))
