@@ -18,9 +18,10 @@ GROUP_BYTES = 3 << 20
 
 
 def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """Texts in groups by doc_id and text (so that rows without an id or with a repeated one spread): the one exchange of
-    texts, which every level reads again."""
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    """Texts in groups by doc_id, text and the partition they are read from: the one exchange of texts, which every level reads
+    again.  Rows equal in both, or without either, meet in one group only as far as one partition holds them; a row's group
+    does not depend on the order of rows, so a task that runs again deals them alike."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).cast("int").alias("grp"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
 
 
 def _half(width: int) -> int:
@@ -210,7 +211,7 @@ def longest_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, longest): the greatest width * 2**k so that the document shares a window of that many words with another
     document; absent if not even `width` words are shared.  Only windows both of whose halves repeat are extended; the
     levels end when no candidate survives."""
-    texts = grouped(docs, bucket_count(docs, GROUP_BYTES))
+    texts = staged(grouped(docs, bucket_count(docs, GROUP_BYTES)), "grouped-texts")  # levels are queries of their own
     buckets = bucket_count(docs)
     halves = half_level(texts, seed_level(texts, width, buckets), width, buckets)
 
