@@ -21,6 +21,8 @@ SEED = 7
 LEAST_CUTS, MOST_CUTS = 3, 16
 #: Most components of the vectors on one side of a task, pairs compared at a time, and bytes of vectors dealt at a time.
 SIDE, PAIRS, DEALT_BYTES = 1 << 21, 1 << 22, 16 << 20
+#: Sub-cells to the root of a block's budget.
+FINE = 1
 #: Added to squared distances before they are compared with a budget: more than rounding can take from them.
 SLACK = 1e-9
 
@@ -32,7 +34,10 @@ def rotation(d: int) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of finite vectors other than zero; scaled by the largest component first, so that no square overflows or
+    vanishes."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(float).tiny)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -82,6 +87,54 @@ class Subspaces:
         return (cell > home) == coin
 
 
+class Nested:
+    """Points of one block in sub-cells nested over its dimensions: each dimension is cut at multiples of the root of the
+    budget over FINE, and only occupied sub-cells exist.  A level's table has, for each sub-cell and each place in the next
+    dimension, the sub-cell there (-1: none), with empty places at both ends."""
+
+    def __init__(self, y: np.ndarray, budget: float):
+        self.width = np.sqrt(budget) * (1 + 1e-6) / FINE
+        self.budget = budget / self.width**2  # in sub-cells, as all gaps are
+        cell = np.floor(y / self.width).astype(np.int64)
+        self.low = cell.min(axis=0)
+        cell -= self.low
+        self.span = cell.max(axis=0) + 1
+        self.order = np.lexsort(cell.T[::-1])
+        cell = cell[self.order]
+        node, first = np.zeros(len(y), dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.tables = []
+        for k in range(cell.shape[1]):
+            wide = self.span[k] + 4 * FINE + 2
+            key = node * wide + cell[:, k] + 2 * FINE + 1
+            new = np.append(True, key[1:] != key[:-1])
+            table = np.full(len(first) * wide, -1, dtype=np.int32)
+            table[key[new]] = np.arange(new.sum())
+            self.tables.append(table)
+            node, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.first = np.append(first, len(y))
+
+    def pairs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of x, point): all pairs whose squared distance keeps the budget, and some others.  Level by level, a row goes
+        on to the sub-cells within FINE of its own, as long as its gaps to them keep the budget together."""
+        at, node, used = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        place = x / self.width
+        own = np.floor(place)
+        part = place - own
+        own = np.clip(own - self.low, -FINE - 1, self.span + FINE).astype(np.int64) + 2 * FINE + 1
+        for k, table in enumerate(self.tables):
+            begin, inside = node * (self.span[k] + 4 * FINE + 2) + own[at, k], part[at, k]
+            found = []
+            for off in range(-FINE, FINE + 1):
+                child = table[begin + off]
+                total = used if off == 0 else used + (off - inside if off > 0 else inside - off - 1) ** 2
+                keep = np.flatnonzero((child >= 0) & (total <= self.budget))
+                found.append((at[keep], child[keep], total[keep]))
+            at, node, used = (np.concatenate(c) for c in zip(*found, strict=True))
+            node = node.astype(np.int64)
+        count = self.first[node + 1] - self.first[node]
+        return np.repeat(at, count), self.order[np.repeat(self.first[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+
+
 def _matrix(column: pa.Array, rows: np.ndarray, d: int) -> np.ndarray:
     """The vectors of the rows, all of length d."""
     flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
@@ -96,9 +149,8 @@ def _by_length(column: pa.Array):
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
     e = F.col("embedding")
-    # sums of squares are null, NaN or infinite where a component is, and zero for a zero vector
-    square = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return rows.where((square > 0) & (square < float("inf")) & ~F.isnan(square))
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(finite & F.exists(e, lambda x: x != 0))
 
 
 def _cell_join(spaces: dict[int, Subspaces], kind: str):
@@ -125,27 +177,22 @@ def _cell_join(spaces: dict[int, Subspaces], kind: str):
         nodes, at = np.unique(np.concatenate([xi, yi]), return_inverse=True)
         xat, yat = at[: len(xi)], at[len(xi) :]
         root = np.arange(len(nodes))
-        # squared block distances by one single-precision product of (-2x, |x|^2, 1) and (y, 1, |y|^2): a first filter
-        yb = yz[:, lo:hi] - space.mean[lo:hi]
-        right = np.column_stack([yb, np.ones(len(yb)), (yb**2).sum(axis=1)]).astype(np.float32).T.copy()
-        near = np.float32(space.budget[k] + 1e-5)
+        nested = Nested(yz[:, lo:hi], space.budget[k])
         xc, yc = np.zeros(len(xi), dtype=np.int64), np.zeros(len(yi), dtype=np.int64)
         step = min(max(PAIRS // len(yi), 1), 512)
         for s in range(0, len(xi), step):
-            zb = xz[s : s + step, lo:hi] - space.mean[lo:hi]
-            left = np.column_stack([-2 * zb, (zb**2).sum(axis=1), np.ones(len(zb))]).astype(np.float32)
-            from_ = s + 1 if own else 0
-            i, j = np.nonzero(left @ right[:, from_:] <= near)
-            i, j = i + s, j + from_
+            i, j = nested.pairs(xz[s : s + step, lo:hi])
+            i += s
+            if own:
+                later = j > i
+                i, j = i[later], j[later]
             for c in range(0, len(i), 1 << 16):
                 p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-                if own:
-                    later = q > p
-                    p, q = p[later], q[later]
+                near = ((xz[p, lo:hi] - yz[q, lo:hi]) ** 2).sum(axis=1) <= space.budget[k]
+                p, q = p[near], q[near]
                 ok = np.einsum("ij,ij->i", xu[p], yu[q]) >= space.cosine
                 p, q = p[ok], q[ok]
-                delta = (xz[p] - yz[q]) ** 2
-                first = delta[:, lo:hi].sum(axis=1) <= space.budget[k]
+                delta, first = (xz[p] - yz[q]) ** 2, np.ones(len(p), dtype=bool)
                 for b in range(k):  # a pair counts in the first block whose budget it keeps
                     first &= delta[:, slice(*space.blocks[b])].sum(axis=1) > space.budget[b]
                 p, q = p[first], q[first]
