@@ -7,7 +7,7 @@ Python process and each trace's transform once, whatever the number of frequenci
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,16 +39,15 @@ def morlet(f: float, fs: float, n_cycles: float) -> np.ndarray:
     return w * np.sqrt(2) / np.linalg.norm(w)
 
 
-def same_convolution(x: np.ndarray, kernels: list[np.ndarray]) -> list[np.ndarray]:
-    """Centred convolution of one trace with each kernel, as long as the trace; the trace is transformed once."""
+def same_convolution(x: np.ndarray, kernels: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Centred convolution of one trace with each kernel, as long as the trace, one after the other; the trace is transformed
+    once."""
     n = len(x) + max(map(len, kernels)) - 1
     size = 1 << max(n - 1, 1).bit_length()
     fx = np.fft.fft(x, size)
-    out = []
     for k in kernels:
         start = (len(k) - 1) // 2
-        out.append(np.fft.ifft(fx * np.fft.fft(k, size))[start : start + len(x)])
-    return out
+        yield np.fft.ifft(fx * np.fft.fft(k, size))[start : start + len(x)]
 
 
 #: Kernels of more bytes are transformed anew for each trace.
@@ -68,15 +67,28 @@ def _bank_spectra(kind: str, freqs: tuple, fs: float, n_cycles: tuple, size: int
     return np.array([np.fft.fft(k, size) for k in _bank(kind, freqs, fs, n_cycles)])
 
 
-def wavelet_power(kind: str, x: np.ndarray, freqs: np.ndarray, fs: float, n_cycles: np.ndarray) -> np.ndarray:
-    """|x * W|**2, [frequency, sample]: the trace is transformed once, the kernels once for all traces of a length."""
+def wavelet_rows(kind: str, x: np.ndarray, freqs: np.ndarray, fs: float, n_cycles: np.ndarray) -> Iterator[np.ndarray]:
+    """|x * W|**2 of one frequency after the other: the trace is transformed once, the kernels once for all traces of a length
+    (beyond CACHED_BYTES one at a time).  Only the caller keeps what it has seen."""
     key = (kind, tuple(np.asarray(freqs, dtype=float).tolist()), float(fs), tuple(np.asarray(n_cycles, dtype=float).tolist()))
     kernels = _bank(*key)
     size = 1 << max(len(x) + max(map(len, kernels)) - 2, 1).bit_length()
     if len(kernels) * size * 16 > CACHED_BYTES:
-        return np.array([np.abs(c) ** 2 for c in same_convolution(x, kernels)])
+        for c in same_convolution(x, kernels):
+            yield c.real**2 + c.imag**2
+        return
     both = np.fft.ifft(np.fft.fft(x, size) * _bank_spectra(*key, size))
-    return np.array([np.abs(c[(len(k) - 1) // 2 : (len(k) - 1) // 2 + len(x)]) ** 2 for c, k in zip(both, kernels, strict=True)])
+    for c, k in zip(both, kernels, strict=True):
+        c = c[(len(k) - 1) // 2 : (len(k) - 1) // 2 + len(x)]
+        yield c.real**2 + c.imag**2
+
+
+def wavelet_power(kind: str, x: np.ndarray, freqs: np.ndarray, fs: float, n_cycles: np.ndarray) -> np.ndarray:
+    """wavelet_rows as an array [frequency, sample]."""
+    out = np.empty((len(freqs), len(x)))
+    for i, row in enumerate(wavelet_rows(kind, x, freqs, fs, n_cycles)):
+        out[i] = row
+    return out
 
 
 def morlet_power(x: np.ndarray, freqs: np.ndarray, fs: float, n_cycles: np.ndarray) -> np.ndarray:
@@ -184,38 +196,49 @@ def multitaper(x: np.ndarray, fs: float, half_bandwidth: float = 4.0, rounds: in
 # -- Arrow operators -----------------------------------------------------------
 
 
-def spectra(traces: DataFrame, kernel: Callable[..., tuple[np.ndarray, np.ndarray]], keys: list[str], out: str = "power", freq: str = "freq", more: list[str] = []) -> DataFrame:  # noqa: B006
-    """(keys, f_idx, freq, power array<double>) of each trace (keys, w): kernel gives frequencies and [frequency, sample].
-    The kernel gets the trace and the row's columns `more`.
+#: Values of power that a task gathers before it sends rows on.
+SENT_VALUES = 1 << 20
 
-    A trace whose kernel fails gives a row with error and no power instead of failing the task.
+
+def spectra(traces: DataFrame, kernel: Callable[..., tuple[np.ndarray, Iterable[np.ndarray]]], keys: list[str], out: str = "power", freq: str = "freq", more: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, f_idx, freq, power array<double>) of each trace (keys, w): kernel gives frequencies and their rows of power, which
+    may be made one at a time.  The kernel gets the trace and the row's columns `more`.
+
+    A trace whose kernel fails gives a row with error and no power instead of failing the task; rows sent before that stay.
     """
     schema = T.StructType([*[traces.schema[k] for k in keys], T.StructField("f_idx", T.IntegerType()), T.StructField(freq, T.DoubleType()), T.StructField(out, T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
     def run(batches):
         for b in batches:
-            held = [b.column(k).to_pylist() for k in keys]
-            rows = []
+            names = [*keys, "f_idx", freq, out, "error"]
+
+            def sent(rows, b=b, names=names):
+                """Rows (trace, f_idx, freq, power) as one batch."""
+                at, j, f, p = zip(*rows, strict=True)
+                ends = np.cumsum([0, *map(len, p)]).astype("i4")
+                power = pa.ListArray.from_arrays(ends, np.concatenate(p))
+                own = [b.column(k).take(pa.array(at, pa.int32())) for k in keys]
+                return pa.RecordBatch.from_arrays([*own, pa.array(j, pa.int32()), pa.array(f, pa.float64()), power, pa.nulls(len(rows), pa.string())], names=names)
+
+            rows, size = [], 0
             for i, w in enumerate(b.column("w")):
-                own = [h[i] for h in held]
                 try:
                     x = np.asarray(w.values.to_numpy(zero_copy_only=False), dtype=np.float64)
                     if not len(x):
                         raise ValueError("empty trace")
                     f, p = kernel(x, *[b.column(c)[i].as_py() for c in more])
-                    rows += [(*own, j, float(fj), np.atleast_1d(p[j]).tolist(), None) for j, fj in enumerate(f)]
+                    for j, (fj, pj) in enumerate(zip(f, p, strict=True)):
+                        rows.append((i, j, float(fj), np.atleast_1d(np.asarray(pj, dtype=np.float64))))
+                        size += len(rows[-1][3])
+                        if size > SENT_VALUES:
+                            yield sent(rows)
+                            rows, size = [], 0
                 except Exception as e:  # noqa: BLE001  a bad trace is a row
-                    rows.append((*own, None, None, None, f"{type(e).__name__}: {e}"))
-                if len(rows) >= 256:
-                    yield _record(b, keys, rows)
-                    rows = []
+                    own = [b.column(k).slice(i, 1) for k in keys]
+                    values = [pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([f"{type(e).__name__}: {e}"])]
+                    yield pa.RecordBatch.from_arrays([*own, *values], names=names)
             if rows:
-                yield _record(b, keys, rows)
-
-    def _record(b, keys, rows):
-        cols = list(zip(*rows, strict=True))
-        types = [b.schema.field(k).type for k in keys] + [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "f_idx", freq, out, "error"])
+                yield sent(rows)
 
     return traces.select(*keys, "w", *more).mapInArrow(run, schema)
 
@@ -235,8 +258,8 @@ def morlet_spectra(traces: DataFrame, keys: list[str], freqs: list[float], fs: f
 
     def kernel(x):
         parts = [x] if chunk is None else [x[i : i + chunk] for i in range(0, len(x), chunk)]
-        power = [morlet_power(part, f, fs, c) for part in parts]
-        return f, np.concatenate([row_z(p) if zscored else p for p in power], axis=1)
+        rows = zip(*[wavelet_rows("morlet", part, f, fs, c) for part in parts], strict=True)
+        return f, (np.concatenate([row_z(p[None, :])[0] if zscored else p for p in row]) for row in rows)
 
     return spectra(traces, kernel, keys)
 

@@ -17,7 +17,7 @@ from ..config import BANDS, AnalysisConfig, resolve_region
 from ..functions.columns import axis_range, axis_time, bind, floored, time_slice
 from ..operators import averages, catalog, normalize
 from ..operators.montage import compatibility, session_montage
-from ..operators.spectral import cycles, morlet_power, multitaper_psd, welch_psd
+from ..operators.spectral import cycles, multitaper_psd, row_z, wavelet_rows, welch_psd
 
 
 def region_table(spark: SparkSession, regions: dict[str, str | list[int]]) -> DataFrame:
@@ -38,8 +38,8 @@ def region_signals(signals: DataFrame, montage: DataFrame, regions: DataFrame, c
 def event_spectra(signals: DataFrame, events: DataFrame, config: AnalysisConfig, kind: str = "nm") -> DataFrame:
     """(subject, session, regions, channel_idx, size, event_idx, f_idx, freq, w): Morlet power windows of every event.
 
-    The events of a session travel with each of its channels, so a recording's whole spectrum stays inside its task and
-    only windows leave it.  Power is z-scored over the whole recording first unless baseline_input is "raw" (or there is
+    The events of a session travel with each of its channels, so a recording's spectrum stays inside its task, one frequency
+    at a time, and only windows leave it; blocks.event_spectra spreads a recording over tasks.  Power is z-scored over the whole recording first unless baseline_input is "raw" (or there is
     no normalization).  Events whose window leaves the recording are dropped; windows are trimmed or edge-padded to
     config.samples.  A trace that fails is a row with error.
     """
@@ -73,12 +73,16 @@ def event_spectra(signals: DataFrame, events: DataFrame, config: AnalysisConfig,
                     if not len(x):
                         raise ValueError("empty trace")
                     fs, times = row["fs"].as_py(), row["t0"].as_py() + np.arange(len(x)) / row["fs"].as_py()
-                    p = morlet_power(x, freqs, fs, n_cycles)
-                    if zscored:
-                        p = (p - p.mean(axis=1, keepdims=True)) / np.maximum(p.std(axis=1, keepdims=True), 1e-12)
                     cuts = [(ev, window_slice(times, ev["e"], config.half, n)) for ev in row["ev"].as_py()]
                     cuts = [(ev, cut) for ev, cut in cuts if cut is not None]
-                    out = [table(key, [ev for ev, _ in part], np.stack([p[:, cut] for _, cut in part])) for part in (cuts[i : i + step] for i in range(0, len(cuts), step))]
+                    # one frequency at a time; only windows stay
+                    w = np.empty((len(cuts), n_freqs, n))
+                    for i, p in enumerate(wavelet_rows("morlet", x, freqs, fs, n_cycles)):
+                        if zscored:
+                            p = row_z(p[None, :])[0]
+                        for j, (_, cut) in enumerate(cuts):
+                            w[j, i] = p[cut]
+                    out = [table(key, [ev for ev, _ in cuts[i : i + step]], w[i : i + step]) for i in range(0, len(cuts), step)]
                 except Exception as e:  # noqa: BLE001  a bad trace is a row
                     values = (*key, None, None, None, None, None, f"{type(e).__name__}: {e}")
                     out = [pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=schema.names)]
