@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .config import CYCLES, NORMALIZATIONS, AnalysisConfig
-from .operators import catalog, spectral
+from .operators import blocks, catalog, spectral
 from .plans import pipeline
 from .sources import readers, sinks
 
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fs", type=float, default=AnalysisConfig.fs)
     p.add_argument("--cycles", choices=CYCLES, default=AnalysisConfig.cycles)
     p.add_argument("--normalization", choices=NORMALIZATIONS, default=AnalysisConfig.normalization)
+    p.add_argument("--block", type=int, help="samples of a block: recordings are transformed in blocks spread over tasks, not as wholes")
     p.add_argument("--weighting", choices=["event", "session"], default=AnalysisConfig.session_weighting)
     return p
 
@@ -76,7 +77,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     if a.eligible_only:
         signals = pipeline.eligible(signals, montage, regions)
     # spectra are written once: results, failures and the report of traces are all taken from them
-    pipeline.event_spectra(pipeline.region_signals(signals, montage, regions, config), events, config).write.mode("overwrite").parquet(f"{a.out}-spectra")
+    ready = pipeline.region_signals(signals, montage, regions, config)
+    found = blocks.event_spectra(ready, events, config, size=a.block) if a.block else pipeline.event_spectra(ready, events, config)
+    found.write.mode("overwrite").parquet(f"{a.out}-spectra")
     spectra = spark.read.parquet(f"{a.out}-spectra")
     sinks.write_json(spectral.failures(spectra, ["subject", "session", "channel_idx"]), f"{a.out}-failures")
     sinks.write_run_summary(pipeline.processing_report(spectra), config.summary(), f"{a.out}-summary")

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..config import BANDS, AnalysisConfig, resolve_region
 from ..functions.columns import axis_range, axis_time, bind, floored, time_slice
-from ..operators import averages, catalog, normalize
+from ..operators import averages, blocks, catalog, normalize
+from ..operators.blocks import needs_z, window_slice
 from ..operators.montage import compatibility, session_montage
 from ..operators.spectral import cycles, multitaper_psd, row_z, wavelet_rows, welch_psd
 
@@ -48,7 +49,7 @@ def event_spectra(signals: DataFrame, events: DataFrame, config: AnalysisConfig,
     freqs = np.array(config.grid())
     n_cycles = cycles(freqs, config.cycles, config.cycles_fixed, config.cycles_factor, config.cycles_min)
     # without a sample in the baseline, events are normalized by the recording's statistics, which is its z
-    zscored = config.normalization == "channel_global" or config.normalization != "none" and config.baseline_input == "zscored" or _no_baseline(config)
+    zscored = needs_z(config)
     schema = T.StructType.fromDDL("subject string, session string, regions array<string>, channel_idx int, size double, event_idx int, f_idx int, freq double, w array<double>, error string")
 
     types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.string()]
@@ -91,19 +92,6 @@ def event_spectra(signals: DataFrame, events: DataFrame, config: AnalysisConfig,
     return joined.mapInArrow(run, schema)
 
 
-def window_slice(times: np.ndarray, e: float, half: float, n: int) -> np.ndarray | None:
-    """Positions of the n samples of an event's window: [e - half, e + half) trimmed at both ends or padded with its edges;
-    None if the window leaves the recording."""
-    if not len(times) or e - half < times[0] or e + half > times[-1]:
-        return None
-    a, b = np.searchsorted(times, [e - half, e + half])
-    if a >= b:
-        return None
-    size = b - a
-    start = (size - n) // 2 if size >= n else -((n - size) // 2)
-    return np.clip(np.arange(n) + start, 0, size - 1) + a
-
-
 def _mean_arrays(arrays: Column) -> Column:
     total = F.aggregate(F.slice(arrays, F.lit(2), F.greatest(F.size(arrays) - 1, F.lit(0))), arrays[0], lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     return F.transform(total, lambda v: v / F.size(arrays))

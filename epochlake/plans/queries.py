@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..config import BANDS, REGIONS, AnalysisConfig
 from ..functions.columns import axis_range, geometric_grid, n_cycles, select_frequencies, time_slice
 from ..operators import averages as A
-from ..operators import catalog, epochs, montage, normalize, spectral
+from ..operators import blocks, catalog, epochs, montage, normalize, spectral
 from ..sources import sinks
 from . import pipeline
 
@@ -90,6 +90,15 @@ def epoch_windows_halfopen(spark, d):
     return windows(spark, d).groupBy("subject", "event_id").agg(F.count(F.lit(1)).alias("n_samples"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"))
 
 
+@query(E_SQL + "SELECT subject, event_id, size, t, v, dt FROM w")
+def block_event_windows(spark, d):
+    """The windows' samples again, from recordings stored as blocks of five days: what moves is blocks."""
+    samples, triggers = recording(spark, d)
+    stored = blocks.time_blocks(samples, ["subject"], 5 * DAY)
+    w = blocks.block_windows(triggers, stored, 2 * DAY, ["subject"], 5 * DAY)
+    return w.select("subject", "event_id", "size", "e", F.inline("s")).withColumn("dt", F.col("t") - F.col("e")).drop("e")
+
+
 @query(E_SQL + """
 , r AS (SELECT subject, event_id, v, row_number() OVER (PARTITION BY subject, event_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY subject, event_id) AS n FROM w),
 k AS (SELECT DISTINCT subject, event_id, n, unnest(range(8)) AS k FROM r),
@@ -395,6 +404,44 @@ def wavelet_bank_power(spark, d):
     return s.where("error IS NULL").groupBy("label", "freq").agg(F.round(F.avg(mean), 5).alias("power"))
 
 
+TRACE_MORLET_SQL = T_SQL + """f AS (SELECT unnest([3.0e0, 4.0e0, 5.0e0, 6.0e0, 7.0e0]) AS freq),
+ws AS (SELECT freq, (3 + (freq - 3) / 4) / (2 * pi() * freq) AS sigma FROM f),
+wj AS (SELECT freq, sigma, unnest(range(-CAST(ceil(5 * sigma * 64) AS BIGINT) + 1, CAST(ceil(5 * sigma * 64) AS BIGINT))) AS j FROM ws),
+wu AS (SELECT freq, j, (cos(2 * pi() * freq * j / 64) - exp(-2 * pow(pi() * freq * sigma, 2))) * exp(-pow(j / 64e0, 2) / (2 * sigma * sigma)) AS re,
+       sin(2 * pi() * freq * j / 64) * exp(-pow(j / 64e0, 2) / (2 * sigma * sigma)) AS im FROM wj),
+wn AS (SELECT freq, sqrt(sum(re * re + im * im) / 2) AS norm FROM wu GROUP BY freq),
+wq AS (SELECT wu.freq, j, re / norm AS re, im / norm AS im FROM wu JOIN wn USING (freq)),
+tm AS (SELECT y.trace, q.freq, y.k + q.j AS k, pow(sum(v * re), 2) + pow(sum(v * im), 2) AS p FROM y JOIN n ON y.trace = n.trace JOIN wq q ON y.k + q.j >= 0 AND y.k + q.j < n.n GROUP BY ALL),
+tg AS (SELECT trace, freq, avg(p) AS mu, greatest(stddev_pop(p), 1e-12) AS sd FROM tm GROUP BY ALL),
+"""
+
+TRACE_CONFIG = AnalysisConfig(fs=FS, freqs=(3.0, 4.0, 5.0, 6.0, 7.0), window=0.5, normalization="channel_global")
+
+
+def trace_recordings(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(signals, events) of epoch_traces: single-channel recordings of up to eight seconds, an event in the middle of each."""
+    t = epoch_traces(spark, d).withColumn("session", F.col("trace").cast("string"))
+    subject = F.lit("t").alias("subject")
+    signals = t.select(subject, "session", F.array(F.lit("all")).alias("regions"), F.lit(0).alias("channel_idx"), F.lit(FS).alias("fs"), F.lit(0.0).alias("t0"), F.col("w").alias("samples"))
+    return signals, t.select(subject, "session", F.posexplode("events").alias("event_idx", "t"), F.lit("nm").alias("kind"), F.lit(1.0).alias("size"))
+
+
+@query(TRACE_MORLET_SQL + """e AS (SELECT trace, unnest(range(events)) AS e FROM n)
+SELECT e.trace, CAST(e AS INTEGER) AS event_idx, tm.freq, CAST(tm.k - 64 * e - 16 AS INTEGER) AS k, round((p - mu) / sd, 5) AS z FROM e JOIN tm ON tm.trace = e.trace AND tm.k >= 64 * e + 16 AND tm.k < 64 * e + 48 JOIN tg ON tg.trace = tm.trace AND tg.freq = tm.freq""")
+def block_morlet_windows(spark, d):
+    """Event windows of power, z over the whole recording, from blocks of 100 samples with halos."""
+    out = blocks.event_spectra(*trace_recordings(spark, d), TRACE_CONFIG, size=100).where("error IS NULL")
+    return out.select(F.col("session").cast("long").alias("trace"), "event_idx", "freq", F.posexplode("w").alias("k", "z")).withColumn("z", F.round("z", 5))
+
+
+@query(TRACE_MORLET_SQL + """z AS (SELECT 1) SELECT trace, freq, round(mu, 6) AS mu, round(sd, 6) AS sd FROM tg""")
+def block_morlet_moments(spark, d):
+    """Mean and spread of power over whole recordings, merged over blocks of 77 samples."""
+    out = blocks.spectral_moments(trace_recordings(spark, d)[0], TRACE_CONFIG, size=77)
+    stats = F.explode(F.arrays_zip(F.array(*map(F.lit, TRACE_CONFIG.grid())).alias("freq"), "mu", "sd")).alias("x")
+    return out.select(F.col("session").cast("long").alias("trace"), stats).select("trace", "x.freq", r6("x.mu").alias("mu"), r6("x.sd").alias("sd"))
+
+
 CWT_FREQS = [4.0, 8.0, 16.0, 20.0]
 
 
