@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .config import CYCLES, NORMALIZATIONS, AnalysisConfig
 from .operators import blocks, catalog, spectral
-from .plans import pipeline
+from .plans import pipeline, resume
 from .sources import readers, sinks
 
 
@@ -32,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cycles", choices=CYCLES, default=AnalysisConfig.cycles)
     p.add_argument("--normalization", choices=NORMALIZATIONS, default=AnalysisConfig.normalization)
     p.add_argument("--block", type=int, help="samples of a block: recordings are transformed in blocks spread over tasks, not as wholes")
+    p.add_argument("--resume", action="store_true", help="keep states of sessions in OUT-states: a later run works out only what is not in there")
+    p.add_argument("--retry-failed", action="store_true", help="with --resume, also sessions with failed traces")
     p.add_argument("--weighting", choices=["event", "session"], default=AnalysisConfig.session_weighting)
     return p
 
@@ -76,6 +78,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     regions = pipeline.region_table(spark, names)
     if a.eligible_only:
         signals = pipeline.eligible(signals, montage, regions)
+    if a.resume:
+        _resumed(spark, a, names, signals, events, montage, regions, config)
+        return
     # spectra are written once: results, failures and the report of traces are all taken from them
     ready = pipeline.region_signals(signals, montage, regions, config)
     found = blocks.event_spectra(ready, events, config, size=a.block) if a.block else pipeline.event_spectra(ready, events, config)
@@ -86,17 +91,31 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     if config.normalization == "baseline_cross_event":
         sinks.write_json(pipeline.baseline_report(spectra, config), f"{a.out}-baseline")
     if a.mode == "session":
-        out = pipeline.analyze_session(signals, events, montage, regions, config, spectra)
+        pipeline.analyze_session(signals, events, montage, regions, config, spectra).write.mode("overwrite").parquet(a.out)
     else:
-        out = pipeline.analyze_subject(signals, events, montage, regions, config, spectra)
-        if a.mode == "population":
-            out = pipeline.analyze_population(out)
-        elif a.mode == "report":
-            sinks.write_json(pipeline.theta_report(out, config), a.out)
-            sinks.write_json(pipeline.theta_power(out, ["region", "subject", "size"], config), f"{a.out}-subjects")
-            return
+        _write_subjects(a, pipeline.analyze_subject(signals, events, montage, regions, config, spectra), config)
+
+
+def _write_subjects(a: argparse.Namespace, out: DataFrame, config: AnalysisConfig) -> None:
+    if a.mode == "report":
+        sinks.write_json(pipeline.theta_report(out, config), a.out)
+        sinks.write_json(pipeline.theta_power(out, ["region", "subject", "size"], config), f"{a.out}-subjects")
+        return
+    if a.mode == "population":
+        out = pipeline.analyze_population(out)
     out.write.mode("overwrite").parquet(a.out)
 
 
+def _resumed(spark: SparkSession, a: argparse.Namespace, names: dict, signals: DataFrame, events: DataFrame, montage: DataFrame, regions: DataFrame, config: AnalysisConfig) -> None:
+    folder, analysis = f"{a.out}-states", resume.analysis_id(config, names)
+    subjects = resume.update_subjects(signals, events, montage, regions, config, folder, analysis, a.retry_failed, a.block)
+    sinks.write_json(resume.markers(spark, folder, analysis).where("n_failed > 0"), f"{a.out}-failures")
+    sinks.write_json(catalog.progress(signals, resume.markers(spark, folder, analysis), "subject", "session"), f"{a.out}-progress")
+    if a.mode == "session":
+        resume.merged_sessions(resume.session_states(spark, folder, analysis), config).write.mode("overwrite").parquet(a.out)
+    else:
+        _write_subjects(a, subjects, config)
+
+
 if __name__ == "__main__":
     run(SparkSession.builder.appName("epochlake").getOrCreate())

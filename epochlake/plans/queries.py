@@ -18,7 +18,7 @@ from ..functions.columns import axis_range, geometric_grid, n_cycles, select_fre
 from ..operators import averages as A
 from ..operators import blocks, catalog, epochs, montage, normalize, spectral
 from ..sources import sinks
-from . import pipeline
+from . import pipeline, resume
 
 DAY = 86_400_000_000
 N, HALF, BASELINE, RESPONSE = 64, 1.0, (-1.0, -0.5), (-0.2, 0.0)
@@ -699,6 +699,16 @@ def analyze_subject_windows(spark, d):
     return pipeline.analyze_subject(*pair_recordings(spark, d), COMPOSITE).select("subject", "size", "freq", "k", F.round("z", 4).alias("z"), "n_events", "n_sessions")
 
 
+@query(COMPOSITE_SQL + "SELECT CAST(subject AS VARCHAR) AS subject, CAST(size AS DOUBLE) AS size, freq, CAST(k AS INTEGER) AS k, round(z, 4) AS z, n_events, n_sessions FROM sz")
+def subjects_from_states(spark, d):
+    """The same spectra from stored states of sessions: one run works out every third session, the next what is left."""
+    signals, events, montages, wanted = pair_recordings(spark, d)
+    folder, analysis = sinks.shared_folder(spark, "states"), resume.analysis_id(COMPOSITE, {"front": [8, 6]})
+    resume.run_pending(signals.where(F.col("session").cast("long") % 3 == 0), events, montages, wanted, COMPOSITE, folder, analysis)
+    out = resume.update_subjects(signals, events, montages, wanted, COMPOSITE, folder, analysis)
+    return out.select("subject", "size", "freq", "k", F.round("z", 4).alias("z"), "n_events", "n_sessions")
+
+
 @query(COMPOSITE_SQL + "SELECT CAST(size AS DOUBLE) AS size, freq, CAST(k AS INTEGER) AS k, round(avg(z), 4) AS z, count(*) AS n_subjects, CAST(sum(n_events) AS BIGINT) AS n_events FROM sz GROUP BY ALL")
 def analyze_population_windows(spark, d):
     out = pipeline.analyze_population(pipeline.analyze_subject(*pair_recordings(spark, d), COMPOSITE))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def write_recordings(signals: DataFrame, events: DataFrame, path: str) -> None:
@@ -14,9 +15,21 @@ def write_recordings(signals: DataFrame, events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").partitionBy("subject").parquet(f"{path}/events")
 
 
-def write_results(results: DataFrame, path: str) -> None:
+def write_results(results: DataFrame, path: str, by: list[str] = ["subject", "session"]) -> None:  # noqa: B006
     """Results by subject and session: a rerun replaces just the partitions it has."""
-    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject", "session").parquet(path)
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where none is configured and
+    the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='epochlake-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def theta_pivot(powers: DataFrame, sizes: list[int]) -> DataFrame:
@@ -53,8 +66,14 @@ def write_run_summary(report: DataFrame, settings: dict, path: str) -> None:
 
 
 def subject_index(subjects: DataFrame) -> DataFrame:
-    """(task, subject): 1-based numbers in id order, for one task per subject; ids are range-sorted and numbered from the
-    row counts of the ranges before."""
-    ordered = subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return subjects.sparkSession.createDataFrame(numbered, StructType([StructField("task", IntegerType()), ordered.schema["subject"]]))
+    """(task, subject): 1-based numbers in id order, for one task per subject.  Ids are range-sorted and written; a number is
+    that within the range and the count of the ranges before, which are one row each."""
+    spark = subjects.sparkSession
+    path = shared_folder(spark, "subjects")
+    ordered = subjects.where("subject IS NOT NULL").select("subject").distinct()
+    ordered.repartitionByRange("subject").select("subject", F.spark_partition_id().alias("part")).write.parquet(path)
+    ordered = spark.read.schema(f"subject {ordered.schema['subject'].dataType.simpleString()}, part int").parquet(path)
+    counts = ordered.groupBy("part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("subject"))
+    return ordered.withColumn("own", own).join(F.broadcast(counts.select("part", before.alias("before"))), "part").select((F.col("own") + F.col("before")).cast("int").alias("task"), "subject")
