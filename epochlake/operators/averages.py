@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def event_weighted(events: DataFrame, subject: list[str], value: str, session: str) -> DataFrame:
     """Mean over all events of a subject: each session weighs as its events."""
@@ -50,15 +52,21 @@ def channel_statistics(samples: DataFrame, keys: list[str], fs: float, value: st
 
 
 def color_limits(cells: DataFrame, value: str, percent: float = 95.0) -> DataFrame:
-    """Symmetric limits: the larger magnitude of the two tail percentiles, rounded half to even at two digits."""
-    p = F.percentile(value, F.array(F.lit(1 - percent / 100), F.lit(percent / 100)))
-    return cells.agg(p.alias("p")).select(F.bround(F.greatest(F.abs(F.col("p")[0]), F.abs(F.col("p")[1])), 2).alias("vmax")).select((-F.col("vmax")).alias("vmin"), "vmax")
+    """Symmetric limits: the larger magnitude of the two tail percentiles of all cells, rounded half to even at two digits; null
+    without cells."""
+    q = quantiles(cells, [], value, [1 - percent / 100, percent / 100])
+    out = q.select(F.bround(F.greatest(F.abs(F.col("q")[0]), F.abs(F.col("q")[1])), 2).alias("vmax"))
+    return out.agg(F.max("vmax").alias("vmax")).select((-F.col("vmax")).alias("vmin"), "vmax")
 
 
 def percentiles(cells: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    p = F.percentile(value, F.array(*map(F.lit, at)))
-    out = cells.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p.alias("p"))
-    return out.select(*keys, "min", "max", "mean", "std", *[F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(at)])
+    """Extremes, mean, population spread and exact percentiles of each group of cells."""
+    if not keys:
+        return percentiles(cells.withColumn("all", F.lit(1)), ["all"], value, at).drop("all")
+    one = cells.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    q = quantiles(cells, keys, value, list(at)).select(*[F.col(k).alias(f"q_{k}") for k in keys], "q")
+    out = one.join(q, [F.col(k).eqNullSafe(F.col(f"q_{k}")) for k in keys], "left")
+    return out.select(*keys, "min", "max", "mean", "std", *[F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(at)])
 
 
 def compare_methods(cells: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -78,8 +86,11 @@ def band_power(psd: DataFrame, keys: list[str], bands: dict[str, tuple[float, fl
     return psd.groupBy(*keys).agg(*[trapezoid(psd, keys, *b).alias(name) for name, b in bands.items()])
 
 
+def peak(lo: float, hi: float) -> Column:
+    """Aggregate of (freq, p): struct of the largest p in [lo, hi] and the negative of its lowest frequency (col2)."""
+    return F.max(F.when(F.col("freq").between(lo, hi), F.struct(F.col("p"), -F.col("freq"))))
+
+
 def peak_frequency(psd: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
     """Frequency and power of the largest value in [lo, hi], the lowest frequency on a tie; null where the range is empty."""
-    inside = F.col("freq").between(lo, hi)
-    best = F.max(F.when(inside, F.struct(F.col("p"), -F.col("freq"))))
-    return psd.groupBy(*keys).agg(best.alias("m")).select(*keys, (-F.col("m.col2")).alias("peak_freq"), F.col("m.p").alias("peak_power"))
+    return psd.groupBy(*keys).agg(peak(lo, hi).alias("m")).select(*keys, (-F.col("m.col2")).alias("peak_freq"), F.col("m.p").alias("peak_power"))

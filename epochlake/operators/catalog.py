@@ -11,6 +11,16 @@ def session_summary(sessions: DataFrame, subject: str = "subject") -> DataFrame:
     return sessions.groupBy(subject).agg(F.avg("length").alias("mean_length"), F.sum("n_events").alias("n_events"), F.sum("n_control").alias("n_control"), F.count(F.lit(1)).alias("n_sessions"))
 
 
+def describe_sessions(sessions: DataFrame, values: list[str], subject: str = "subject") -> DataFrame:
+    """(subject, value, n, mean, std, min, p25, p50, p75, max) of each value column, per subject and (subject null, all true)
+    over all of them, in one pass over grouping sets; std is the sample spread, quartiles are exact (sessions are few)."""
+    stats = lambda c: F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.max(c).cast("double").alias("max"))
+    out = sessions.groupingSets([[subject], []], subject).agg((F.grouping(subject) == 1).alias("all"), *[stats(c).alias(c) for c in values])
+    each = out.select(subject, "all", F.explode(F.array(*[F.struct(F.lit(c).alias("value"), F.col(c).alias("s")) for c in values])).alias("x"))
+    q = F.col("x.s.q")
+    return each.select(subject, "all", "x.value", "x.s.n", "x.s.mean", "x.s.std", "x.s.min", q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), "x.s.max")
+
+
 def extreme_sessions(sessions: DataFrame, order: list[str], value: str = "length") -> DataFrame:
     """The longest and the shortest session; of equal ones the first in order (two rows, no sort)."""
     first = F.struct(*order)

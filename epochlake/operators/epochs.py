@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import floored
+from .ranks import quantiles
 
 
 def bounded_events(events: DataFrame, samples: DataFrame, half: int | float, keys: list[str]) -> DataFrame:
@@ -133,4 +134,6 @@ def sampling_interval(samples: DataFrame, keys: list[str], width: float | None =
     ends = ends.select(*keys, "bucket", F.lag("last").over(Window.partitionBy(*keys).orderBy("bucket")).alias("earlier"))
     before = F.lag("t").over(Window.partitionBy(*keys, "bucket").orderBy("t"))
     steps = b.withColumn("before", before).join(ends, [*keys, "bucket"]).withColumn("step", F.col("t") - F.coalesce("before", "earlier"))
-    return steps.groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("interval"), F.count("step").alias("n"))
+    q = quantiles(steps, keys, "step", [0.5]).select(*[F.col(k).alias(f"q_{k}") for k in keys], F.col("n").alias("steps"), F.col("q")[0].alias("interval"))
+    same = [F.col(k).eqNullSafe(F.col(f"q_{k}")) for k in keys]
+    return steps.select(*keys).distinct().join(q, same, "left").select(*keys, "interval", F.coalesce("steps", F.lit(0)).cast("long").alias("n"))

@@ -32,24 +32,29 @@ def region_catalog(montage: DataFrame, regions: DataFrame) -> DataFrame:
     return montage.join(regions, "electrode").groupBy("subject", "region").agg(F.sort_array(F.collect_list("channel_idx")).alias("channels"))
 
 
+#: Rows of (region, electrode) at most: they are sent along with the plan.
+MOST_WANTED = 100_000
+
+
+def _wanted(montage: DataFrame, regions: DataFrame) -> DataFrame:
+    """(subject, region, electrode) of every subject of montage; ValueError for more than MOST_WANTED rows of regions."""
+    rows = regions.select("region", "electrode").distinct().limit(MOST_WANTED + 1).collect()
+    if len(rows) > MOST_WANTED:
+        raise ValueError(f"more than {MOST_WANTED} electrodes of regions")
+    each = F.array(*[F.struct(F.lit(r["region"]).alias("region"), F.lit(r["electrode"]).alias("electrode")) for r in rows]) if rows else F.array().cast("array<struct<region:string,electrode:int>>")
+    return montage.select("subject").distinct().select("subject", F.inline(each))
+
+
 def missing_electrodes(montage: DataFrame, regions: DataFrame) -> DataFrame:
-    """(subject, region, electrode) requested but absent: an anti-join as a difference of the few electrodes a row has."""
-    have = montage.groupBy("subject").agg(F.collect_set("electrode").alias("have"))
-    wanted = regions.groupBy("region").agg(F.collect_set("electrode").alias("want")).agg(F.collect_list(F.struct("region", "want")).alias("all"))
-    each = have.join(wanted, F.lit(True)).select("subject", "have", F.explode("all").alias("r"))
-    return each.select("subject", F.col("r.region").alias("region"), F.explode(F.array_except("r.want", "have")).alias("electrode"))
+    """(subject, region, electrode) requested but absent."""
+    return _wanted(montage, regions).join(montage.select("subject", "electrode"), ["subject", "electrode"], "left_anti").select("subject", "region", "electrode")
 
 
 def compatibility(montage: DataFrame, regions: DataFrame) -> DataFrame:
-    """(subject, region, n_missing, compatible): a region is compatible if no electrode of it is missing.
-
-    Electrodes per subject and region are few, so they are compared as arrays.
-    """
-    have = montage.groupBy("subject").agg(F.collect_set("electrode").alias("have"))
-    wanted = regions.groupBy("region").agg(F.collect_set("electrode").alias("want")).agg(F.collect_list(F.struct("region", "want")).alias("all"))
-    each = have.join(wanted, F.lit(True)).select("subject", "have", F.explode("all").alias("r"))
-    gap = F.size(F.array_except("r.want", "have"))
-    return each.select("subject", F.col("r.region").alias("region"), gap.alias("n_missing"), (gap == 0).alias("compatible"))
+    """(subject, region, n_missing, compatible): a region is compatible if no electrode of it is missing."""
+    gaps = missing_electrodes(montage, regions).groupBy("subject", "region").agg(F.count(F.lit(1)).alias("gaps"))
+    n = F.coalesce("gaps", F.lit(0)).cast("int")
+    return _wanted(montage, regions).select("subject", "region").distinct().join(gaps, ["subject", "region"], "left").select("subject", "region", n.alias("n_missing"), (n == 0).alias("compatible"))
 
 
 def consistent_montage(placements: DataFrame, channels: int) -> DataFrame:

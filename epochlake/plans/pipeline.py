@@ -210,6 +210,6 @@ def analyze_channels(traces: DataFrame, keys: list[str], fs: float, time_range:
     spread = F.sqrt(bind(mean, lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))) / F.size(x))
     stats = t.select(*keys, mean.alias("mean"), spread.alias("std"), F.array_min(x).alias("min"), F.array_max(x).alias("max"), (F.size(x) / F.lit(fs)).alias("duration"))
     psd = welch_psd(t, keys, fs, size) if method == "welch" else multitaper_psd(t, keys, fs)
-    power = averages.band_power(psd, keys, bands)
-    peak = averages.peak_frequency(psd, keys, 1.0, 45.0)
-    return stats.join(power, keys).join(peak, keys)
+    power = [averages.trapezoid(psd, keys, *b).alias(name) for name, b in bands.items()]
+    found = psd.groupBy(*keys).agg(*power, averages.peak(1.0, 45.0).alias("m")).select(*keys, *bands, (-F.col("m.col2")).alias("peak_freq"), F.col("m.p").alias("peak_power"))
+    return stats.join(found, keys)

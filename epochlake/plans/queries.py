@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..config import BANDS, REGIONS, AnalysisConfig
 from ..functions.columns import axis_range, geometric_grid, n_cycles, select_frequencies, time_slice
 from ..operators import averages as A
-from ..operators import blocks, catalog, epochs, montage, normalize, spectral
+from ..operators import blocks, catalog, epochs, montage, normalize, ranks, spectral
 from ..sources import sinks
 from . import pipeline, resume
 
@@ -54,8 +54,8 @@ def recording(spark, d) -> tuple[DataFrame, DataFrame]:
     ev = table(spark, d, "events")
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     samples = ev.select(F.col("user_id").alias("subject"), t.alias("t"), F.col("value").alias("v"))
-    third = F.ntile(3).over(Window.partitionBy("user_id").orderBy("value", "event_id"))
-    triggers = ev.where("event_type = 'error'").select(F.col("user_id").alias("subject"), "event_id", third.alias("size"), t.alias("e"))
+    errors = ranks.numbered(ev.where("event_type = 'error'").select("user_id", "event_id", "value", t.alias("e")), ["user_id"], ["value", "event_id"])
+    triggers = errors.select(F.col("user_id").alias("subject"), "event_id", ranks.size_class(F.col("i"), F.col("n"), 3).alias("size"), "e")
     return samples, triggers
 
 
@@ -592,6 +592,16 @@ def session_catalog_summary(spark, d):
     return catalog.session_summary(day_sessions(spark, d)).withColumn("mean_length", r6("mean_length"))
 
 
+@query(DAY_SQL + """, l AS (SELECT subject, 'length' AS value, length AS v FROM s UNION ALL SELECT subject, 'n_events', n_events FROM s UNION ALL SELECT subject, 'n_control', n_control FROM s)
+SELECT CASE WHEN grouping(subject) = 1 THEN 'all' ELSE CAST(subject AS VARCHAR) END AS subject, value, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, CAST(min(v) AS DOUBLE) AS min, quantile_cont(CAST(v AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(v AS DOUBLE), 0.5) AS p50,
+quantile_cont(CAST(v AS DOUBLE), 0.75) AS p75, CAST(max(v) AS DOUBLE) AS max FROM l GROUP BY GROUPING SETS ((subject, value), (value))""")
+def session_description(spark, d):
+    """Lengths and counts of sessions described per subject and over all."""
+    out = catalog.describe_sessions(day_sessions(spark, d), ["length", "n_events", "n_control"])
+    subject = F.when(F.col("all"), "all").otherwise(F.col("subject").cast("string"))
+    return out.withColumn("mean", r6("mean")).withColumn("std", r6("std")).withColumn("subject", subject).drop("all")
+
+
 @query(DAY_SQL + """, a AS (SELECT 'longest' AS which, subject, session, length FROM s ORDER BY length DESC, subject, session LIMIT 1), b AS (SELECT 'shortest' AS which, subject, session, length FROM s ORDER BY length, subject, session LIMIT 1)
 SELECT * FROM a UNION ALL SELECT * FROM b""")
 def longest_shortest_session(spark, d):

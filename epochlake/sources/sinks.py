@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written below the shared folder and read again: cuts lineage, and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def theta_pivot(powers: DataFrame, sizes: list[int]) -> DataFrame:
     """session_number, rat_ID, electrode_number and NM_size<k> with six decimals, from (session, subject, electrode, size, power)."""
     wide = powers.groupBy(F.col("session").alias("session_number"), F.col("subject").alias("rat_ID"), F.col("electrode").alias("electrode_number")).pivot("size", sizes).agg(F.avg("power"))
@@ -68,11 +75,8 @@ def write_run_summary(report: DataFrame, settings: dict, path: str) -> None:
 def subject_index(subjects: DataFrame) -> DataFrame:
     """(task, subject): 1-based numbers in id order, for one task per subject.  Ids are range-sorted and written; a number is
     that within the range and the count of the ranges before, which are one row each."""
-    spark = subjects.sparkSession
-    path = shared_folder(spark, "subjects")
-    ordered = subjects.where("subject IS NOT NULL").select("subject").distinct()
-    ordered.repartitionByRange("subject").select("subject", F.spark_partition_id().alias("part")).write.parquet(path)
-    ordered = spark.read.schema(f"subject {ordered.schema['subject'].dataType.simpleString()}, part int").parquet(path)
+    ordered = subjects.where("subject IS NOT NULL").select("subject").distinct().repartitionByRange("subject")
+    ordered = staged(ordered.select("subject", F.spark_partition_id().alias("part")), "subjects")
     counts = ordered.groupBy("part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("part").orderBy("subject"))
