@@ -158,19 +158,126 @@ def stft(x: np.ndarray, fs: float, size: int, overlap: int) -> tuple[np.ndarray,
     return f, (np.arange(len(p)) * step + min(size, len(x)) / 2) / fs, p.T
 
 
+def _below(diagonal: list[float], squares: list[float], x: float) -> int:
+    """Eigenvalues below x of a symmetric tridiagonal matrix (squares: of its off-diagonal, the first 0): negative pivots."""
+    count, q = 0, 1.0
+    for d, e in zip(diagonal, squares, strict=True):
+        q = d - x - e / q
+        if q < 0.0:
+            count += 1
+        elif q == 0.0:
+            q = 1e-300
+    return count
+
+
+def _solve(diagonal: list[float], off: list[float], shift: float, b: list[float]) -> np.ndarray:
+    """Solution of (T - shift) x = b by elimination with row exchanges; off[k] lies between k - 1 and k."""
+    n = len(diagonal)
+    tiny = 1e-300 + 1e-16 * abs(shift)
+    first, second, third, right = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
+    p, q, r = diagonal[0] - shift, off[1] if n > 1 else 0.0, b[0]
+    for k in range(1, n):
+        low, mid, up = off[k], diagonal[k] - shift, off[k + 1] if k + 1 < n else 0.0
+        if abs(low) > abs(p):
+            first[k - 1], second[k - 1], third[k - 1], right[k - 1] = low, mid, up, b[k]
+            m = p / low
+            p, q, r = q - m * mid, -m * up, r - m * b[k]
+        else:
+            first[k - 1], second[k - 1], right[k - 1] = p or tiny, q, r
+            m = low / first[k - 1]
+            p, q, r = mid - m * q, up, b[k] - m * r
+    first[n - 1], right[n - 1] = p if abs(p) > tiny else tiny, r
+    x = [0.0] * (n + 2)
+    for k in range(n - 1, -1, -1):
+        x[k] = (right[k] - second[k] * x[k + 1] - third[k] * x[k + 2]) / first[k]
+    return np.array(x[:n])
+
+
+def leading_eigenvectors(diagonal: np.ndarray, off: np.ndarray, count: int) -> list[np.ndarray]:
+    """Unit eigenvectors of the greatest eigenvalues of a symmetric tridiagonal matrix (off[k] between k - 1 and k, off[0] 0),
+    the greatest first: bisection until an eigenvalue is alone, then inverse iteration.  Memory grows with its length."""
+    n = len(diagonal)
+    d, e = diagonal.tolist(), off.tolist()
+    squares = (off**2).tolist()
+    reach = np.abs(off) + np.abs(np.append(off[1:], 0.0))
+    top, bottom = float((diagonal + reach).max()), float((diagonal - reach).min())
+    top, bottom = top + 1e-9 * (abs(top) + 1), bottom - 1e-9 * (abs(bottom) + 1)
+    counts = {bottom: 0, top: n}  # what bisection has found, shared by the eigenvalues
+
+    def below(x: float) -> int:
+        if x not in counts:
+            counts[x] = _below(d, squares, x)
+        return counts[x]
+
+    out = []
+    for i in range(count):
+        want = n - 1 - i  # eigenvalues below this one
+        lo = max(x for x, c in counts.items() if c <= want)
+        hi = min(x for x, c in counts.items() if c > want)
+        more = 5
+        while more and hi - lo > 4e-15 * max(abs(lo), abs(hi), 1e-300):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if below(mid) <= want else (lo, mid)
+            more -= counts[hi] - counts[lo] == 1
+        shift = (lo + hi) / 2
+        v = np.ones(n) / np.sqrt(n)
+        for _ in range(30):
+            w = _solve(d, e, shift, v.tolist())
+            w /= np.abs(w).max()
+            w /= np.sqrt(w @ w)
+            if abs(w @ v) > 1 - 1e-15:
+                v = w
+                break
+            v = w
+            value = float(v @ (diagonal * v) + 2 * (off[1:] * v[1:]) @ v[:-1])
+            if lo < value < hi:  # the Rayleigh quotient is the better shift once it is in the eigenvalue's own interval
+                shift = value
+        out.append(v)
+    return out
+
+
+def concentration(taper: np.ndarray, w: float) -> float:
+    """Share of a unit taper's energy within [-w, w] cycles a sample, from its autocorrelation by a Fourier transform."""
+    n = len(taper)
+    size = 1 << max(2 * n - 1, 1).bit_length()
+    r = np.fft.irfft(np.abs(np.fft.rfft(taper, size)) ** 2, size)[:n]
+    lag = np.arange(1, n)
+    return float(2 * w * r[0] + 2 * (r[1:] * np.sin(2 * np.pi * w * lag) / (np.pi * lag)).sum())
+
+
+@lru_cache(maxsize=8)
 def slepian(n: int, half_bandwidth: float = 4.0, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(tapers, concentrations): discrete prolate spheroidal sequences from their tridiagonal eigenproblem."""
-    count = count or max(int(2 * half_bandwidth) - 1, 1)
+    """(tapers, concentrations): discrete prolate spheroidal sequences of n samples from their tridiagonal eigenproblem, the
+    most concentrated first; no matrix is made.
+
+    The matrix is the same read from either end, so even and odd sequences are the eigenvectors of two problems of half the
+    size: the even ones in turn with the odd ones."""
+    count = min(count or max(int(2 * half_bandwidth) - 1, 1), n)
     w = half_bandwidth / n
     k = np.arange(n)
-    m = np.diag(((n - 1 - 2 * k) / 2.0) ** 2 * np.cos(2 * np.pi * w)) + np.diag(k[1:] * (n - k[1:]) / 2.0, 1) + np.diag(k[1:] * (n - k[1:]) / 2.0, -1)
-    tapers = np.linalg.eigh(m)[1][:, ::-1][:, :count].T
+    diagonal = ((n - 1 - 2 * k) / 2.0) ** 2 * np.cos(2 * np.pi * w)
+    off = k * (n - k) / 2.0
+    m = n // 2
+    tapers = np.zeros((count, n))
+    for odd in range(2):
+        here = tapers[odd::2]
+        if not len(here):
+            continue
+        size = m + n % 2 * (1 - odd)
+        d, e = diagonal[:size].copy(), off[:size].copy()
+        if n % 2 == 0:
+            d[-1] += -off[m] if odd else off[m]
+        elif not odd and m:
+            e[-1] *= np.sqrt(2)  # the middle sample is its own mirror image
+        for t, v in zip(here, leading_eigenvectors(d, e, len(here)), strict=True):
+            t[:m] = v[:m] / np.sqrt(2)
+            t[n - m :] = (-1 if odd else 1) * t[:m][::-1]
+            if n % 2 and not odd:
+                t[m] = v[m]
     for i, t in enumerate(tapers):
         if (t.sum() if i % 2 == 0 else t[1]) < 0:
             tapers[i] = -t
-    lag = np.subtract.outer(k, k)
-    sinc = np.where(lag == 0, 2 * w, np.sin(2 * np.pi * w * lag) / np.where(lag == 0, 1, np.pi * lag))
-    return tapers, np.einsum("ij,jk,ik->i", tapers, sinc, tapers)
+    return tapers, np.array([concentration(t, w) for t in tapers])
 
 
 def multitaper(x: np.ndarray, fs: float, half_bandwidth: float = 4.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:

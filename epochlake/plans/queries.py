@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -344,7 +345,27 @@ def stft_window_compare(spark, d):
     return a.join(b, ["label", "freq"])
 
 
-@query()
+def _literal_tapers(n: int, half_bandwidth: float) -> str:
+    """VALUES (i, lam, k, h): tapers concentrated beyond 0.9, from dense matrices: eigenvectors of the tridiagonal one, their
+    concentrations by that of sin(2 pi w (j - k)) / (pi (j - k))."""
+    j, w = np.arange(n), half_bandwidth / n
+    lag = np.subtract.outer(j, j)
+    both = np.diag(j[1:] * (n - j[1:]) / 2.0, 1)
+    v = np.linalg.eigh(np.diag(((n - 1 - 2 * j) / 2.0) ** 2 * np.cos(2 * np.pi * w)) + both + both.T)[1][:, ::-1]
+    v = v[:, : int(2 * half_bandwidth) - 1]
+    lam = ((2 * w * np.sinc(2 * w * lag)) @ v * v).sum(axis=0)
+    return ", ".join(f"({i}, {float(lam[i])!r}::DOUBLE, {k}, {float(v[k, i])!r}::DOUBLE)" for i in range(v.shape[1]) if lam[i] > 0.9 for k in range(n))
+
+
+@query(X_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""", tp AS (SELECT * FROM (VALUES {_literal_tapers(N, 4.0)}) t(i, lam, k, h)),
+la AS (SELECT list(lam ORDER BY i) AS lam FROM (SELECT DISTINCT i, lam FROM tp) u),
+c AS (SELECT vec_id, label, k, v - avg(v) OVER w AS v, var_pop(v) OVER w AS var FROM x WINDOW w AS (PARTITION BY vec_id)),
+b AS (SELECT unnest(range(33)) AS b),
+e AS (SELECT vec_id, label, i, b, min(var) AS var, pow(sum(v * h * cos(2 * pi() * b * c.k / 64)), 2) + pow(sum(v * h * sin(2 * pi() * b * c.k / 64)), 2) AS p FROM c JOIN tp ON tp.k = c.k, b GROUP BY ALL),
+p AS (SELECT vec_id, label, b, min(var) AS var, list(p ORDER BY i) AS p FROM e GROUP BY ALL),
+r(n, vec_id, label, b, var, p, lam, s) AS (SELECT 0, vec_id, label, b, var, p, lam, (p[1] + p[2]) / 2 FROM p, la
+  UNION ALL SELECT n + 1, vec_id, label, b, var, p, lam, list_sum([pow(sqrt(l) * s / (l * s + (1 - l) * var + 1e-300), 2) * p[j] FOR l, j IN lam]) / list_sum([pow(sqrt(l) * s / (l * s + (1 - l) * var + 1e-300), 2) FOR l, j IN lam]) FROM r WHERE n < 50)
+SELECT label, 1.0e0 * b AS freq, round(avg(s / 64 * CASE WHEN b IN (0, 32) THEN 1 ELSE 2 END), 6) AS psd FROM r WHERE n = 50 GROUP BY label, b""")
 def multitaper_psd(spark, d):
     p = spectral.multitaper_psd(epoch_arrays(spark, d), ["vec_id", "label"], FS)
     return p.groupBy("label", "freq").agg(r6(F.avg("p")).alias("psd"))

@@ -72,18 +72,42 @@ def test_golden_window_and_axis():
     assert all(len(window_slice(times, e, 1.0, 400)) == 400 for e in np.linspace(6, 23, 50))
 
 
-def test_baseline_demo():
+def test_trials_with_a_burst(spark):
     """Ten trials, a burst in half of them: z against all samples and against the pre-event baseline."""
+    from epochlake.operators import normalize
+
     rng = np.random.RandomState(42)
     p = rng.normal(1, 0.1, (10, 15, 200))
     t = np.linspace(-1, 1, 200)
     p[5:, 7] += 3 * np.exp(-((t - 0.1) ** 2) / (2 * 0.02**2))
-    base = (t >= -0.6) & (t <= -0.2)
-    k = 109
-    z_all = (p - p.mean(axis=2, keepdims=True)) / (p.std(axis=2, keepdims=True) + 1e-12)
-    z_base = (p - p[:, :, base].mean(axis=2, keepdims=True)) / (p[:, :, base].std(axis=2, keepdims=True) + 1e-12)
-    assert base.sum() == 40
-    assert np.allclose([p[:, 7, k].mean(), z_all[:, 7, k].mean(), z_base[:, 7, k].mean()], [2.471401, 3.668029, 15.385852], atol=1e-5)
+    ks = np.flatnonzero((t >= -0.6) & (t <= -0.2)).tolist()
+    trials = spark.createDataFrame([(i, p[i, 7].tolist()) for i in range(10)], "trial int, w array<double>")
+    mean = lambda df: np.mean([r["w"][109] for r in df.collect()])
+    assert len(ks) == 40
+    assert np.allclose([p[:, 7, 109].mean(), mean(normalize.trial(trials)), mean(normalize.trial(trials, ks))], [2.471401, 3.668029, 15.385852], atol=1e-5)
+
+
+@pytest.mark.parametrize("n,half", [(64, 4.0), (65, 4.0), (1000, 4.0), (301, 2.5), (9, 4.0), (2, 1.0), (1, 0.5)])
+def test_tapers_are_the_dense_eigenvectors(n, half):
+    k, w = np.arange(n), half / n
+    both = np.diag(k[1:] * (n - k[1:]) / 2.0, 1)
+    vectors = np.linalg.eigh(np.diag(((n - 1 - 2 * k) / 2.0) ** 2 * np.cos(2 * np.pi * w)) + both + both.T)[1][:, ::-1]
+    tapers, lam = S.slepian(n, half)
+    lag = np.subtract.outer(k, k)
+    for i, t in enumerate(tapers):
+        assert min(np.abs(t - vectors[:, i]).max(), np.abs(t + vectors[:, i]).max()) < 1e-10
+        assert abs(lam[i] - t @ (2 * w * np.sinc(2 * w * lag)) @ t) < 1e-12
+    assert len(tapers) == min(max(int(2 * half) - 1, 1), n)
+
+
+def test_tapers_of_a_long_trace():
+    """A recording's length in seconds, where a dense matrix would take over a terabyte."""
+    tapers, lam = S.slepian(200_000)
+    assert np.allclose(tapers @ tapers.T, np.eye(7), atol=1e-6)
+    assert np.allclose(lam, S.slepian(2_000)[1], atol=1e-4)
+    even, odd = tapers[::2], tapers[1::2]
+    assert np.allclose(even, even[:, ::-1]) and np.allclose(odd, -odd[:, ::-1])
+    assert [int((np.diff(np.sign(t[np.abs(t) > 1e-9])) != 0).sum()) for t in tapers] == list(range(7))
 
 
 def test_tapers_by_definition_and_multitaper_by_hand():
