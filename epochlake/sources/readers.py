@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.montage import unpivot_montage
+from .matlab import mat_cells
 
 SIGNALS = "subject string, session string, channel_idx int, fs double, t0 double, samples array<double>"
 EVENTS = "subject string, session string, event_idx int, kind string, t double, size double"
@@ -69,39 +70,48 @@ def results(spark: SparkSession, path: str, required: list[str], skip: bool = Fa
     return out.join(full.select("subject", "session"), ["subject", "session"], "left_semi")
 
 
-def mat_sessions(spark: SparkSession, glob: str, cell: str = "Data_eeg") -> DataFrame:
-    """One row per MATLAB v7.3 session file, a file that can't be read as a row with error.
+#: Cells of a session file, in order.
+SESSION_CELLS = ["subject", "session", "eeg", "eeg_time", "velocity", "velocity_time", "event_times", "event_sizes", "control_times", "control_sizes"]
 
-    Needs h5py on the executors.  Cells 0-9: subject, date, signal, its times, velocity, its times, event times, sizes,
+
+def mat_sessions(spark: SparkSession, path: str, cell: str = "Data_eeg") -> DataFrame:
+    """One row per MATLAB session file (level 5 or 7.3), a file that can't be read, or lacks cells, as a row with error.
+
+    The cells of a row: subject, date, signal (channels by samples), its times, velocity, its times, event times, sizes,
     control times, sizes.
     """
-    schema = "path string, subject string, session string, eeg array<array<double>>, eeg_time array<double>, velocity array<double>, velocity_time array<double>, event_times array<double>, event_sizes array<double>, control_times array<double>, control_sizes array<double>, error string"
-
-    def run(batches):
-        import io
-
-        import numpy as np
-        import pandas as pd
-
-        names = ["eeg_time", "velocity", "velocity_time", "event_times", "event_sizes", "control_times", "control_sizes"]
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                row = dict.fromkeys(["subject", "session", "eeg", *names, "error"]) | {"path": path}
-                try:
-                    import h5py
-
-                    with h5py.File(io.BytesIO(content), "r") as f:
-                        cells = [np.asarray(f[f[cell][i, 0]]) for i in range(10)]
-                    text = ["".join(chr(int(c)) for c in x.ravel() if c) for x in cells[:2]]
-                    row |= {"subject": text[0], "session": text[1], "eeg": np.atleast_2d(cells[2]).T.tolist()}
-                    row |= {n: x.ravel().astype(float).tolist() for n, x in zip(names, cells[3:], strict=True)}
-                except Exception as e:  # noqa: BLE001  a bad file is a row
-                    row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["path", "subject", "session", "eeg", *names, "error"])
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, schema)
+    cells = mat_cells(spark, path, cell)
+    n = len(SESSION_CELLS)
+    at = F.col("row") + F.col("col")  # the ten cells are one row or one column
+    pick = lambda i, c: F.max(F.when(at == i, F.col(c)))
+    each = cells.groupBy("path").agg(F.count("row").alias("n"), F.min("error").alias("bad"), F.max(F.when(at == 2, F.col("shape")[0])).alias("channels"), *[pick(i, "v").alias(c) for i, c in enumerate(SESSION_CELLS)])
+    error = F.coalesce("bad", F.when(F.col("n") < n, F.concat(F.lit("ValueError: "), F.col("n"), F.lit(f" cells of {n}"))))
+    samples = F.when(F.col("channels") > 0, (F.size("eeg") / F.col("channels")).cast("int")).otherwise(0)
+    channel = F.transform(F.sequence(F.lit(0), F.col("channels") - 1), lambda c: F.transform(F.sequence(F.lit(0), samples - 1), lambda k: F.get("eeg", k * F.col("channels") + c)))
+    eeg = F.when(samples > 0, channel).otherwise(F.array().cast("array<array<double>>"))
+    code = lambda c: decode_chars(F.transform(c, lambda x: x.cast("int")))
+    out = each.withColumn("error", error)
+    ok = F.col("error").isNull()
+    return out.select("path", *[F.when(ok, code(F.col(c))).alias(c) for c in SESSION_CELLS[:2]], F.when(ok, eeg).alias("eeg"), *[F.when(ok, F.col(c)).alias(c) for c in SESSION_CELLS[3:]], "error")
+
+
+def mat_placements(spark: SparkSession, path: str, cell: str = "eeg_channels") -> DataFrame:
+    """(path, subject, session, map array<int>, error) of electrode placement files: a row of cells per session, with subject,
+    session and electrode numbers in its first three; montage.consistent_montage takes the rows without error."""
+    cells = mat_cells(spark, path, cell)
+    pick = lambda i: F.max(F.when(F.col("col") == i, F.col("v")))
+    code = lambda i: decode_chars(F.transform(pick(i), lambda x: x.cast("int")))
+    out = cells.groupBy("path", "row").agg(code(0).alias("subject"), code(1).alias("session"), F.transform(pick(2), lambda x: x.cast("int")).alias("map"), F.min("error").alias("error"))
+    return out.select("path", "subject", "session", "map", "error")
+
+
+def mat_frequencies(spark: SparkSession, path: str, variable: str = "frq") -> DataFrame:
+    """(f_idx, freq) of a MATLAB file's frequency list; ValueError where it can't be read."""
+    cells = mat_cells(spark, path, variable)
+    bad = cells.where("error IS NOT NULL").first()
+    if bad is not None:
+        raise ValueError(f"{bad['path']}: {bad['error']}")
+    return cells.select(F.posexplode("v").alias("f_idx", "freq"))
 
 
 def mat_recordings(sessions: DataFrame, fs: float = 200.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
