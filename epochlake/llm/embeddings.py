@@ -119,10 +119,10 @@ class Nested:
         at, node, used = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
         place = x / self.width
         own = np.floor(place)
-        part = place - own
-        own = np.clip(own - self.low, -FINE - 1, self.span + FINE).astype(np.int64) + 2 * FINE + 1
+        part = np.ascontiguousarray((place - own).T)
+        own = np.ascontiguousarray(np.clip(own - self.low, -FINE - 1, self.span + FINE).T).astype(np.int64) + 2 * FINE + 1
         for k, table in enumerate(self.tables):
-            begin, inside = node * (self.span[k] + 4 * FINE + 2) + own[at, k], part[at, k]
+            begin, inside = node * np.int64(self.span[k] + 4 * FINE + 2) + own[k].take(at), part[k].take(at)
             found = []
             for off in range(-FINE, FINE + 1):
                 child = table[begin + off]
@@ -130,7 +130,6 @@ class Nested:
                 keep = np.flatnonzero((child >= 0) & (total <= self.budget))
                 found.append((at[keep], child[keep], total[keep]))
             at, node, used = (np.concatenate(c) for c in zip(*found, strict=True))
-            node = node.astype(np.int64)
         count = self.first[node + 1] - self.first[node]
         return np.repeat(at, count), self.order[np.repeat(self.first[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
@@ -177,18 +176,20 @@ def _cell_join(spaces: dict[int, Subspaces], kind: str):
         nodes, at = np.unique(np.concatenate([xi, yi]), return_inverse=True)
         xat, yat = at[: len(xi)], at[len(xi) :]
         root = np.arange(len(nodes))
-        nested = Nested(yz[:, lo:hi], space.budget[k])
+        xb, yb = np.ascontiguousarray(xz[:, lo:hi]), np.ascontiguousarray(yz[:, lo:hi])
+        nested = Nested(yb, space.budget[k])
         xc, yc = np.zeros(len(xi), dtype=np.int64), np.zeros(len(yi), dtype=np.int64)
         step = min(max(PAIRS // len(yi), 1), 512)
         for s in range(0, len(xi), step):
-            i, j = nested.pairs(xz[s : s + step, lo:hi])
+            i, j = nested.pairs(xb[s : s + step])
             i += s
             if own:
                 later = j > i
                 i, j = i[later], j[later]
             for c in range(0, len(i), 1 << 16):
                 p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-                near = ((xz[p, lo:hi] - yz[q, lo:hi]) ** 2).sum(axis=1) <= space.budget[k]
+                delta = xb.take(p, axis=0) - yb.take(q, axis=0)
+                near = np.einsum("ij,ij->i", delta, delta) <= space.budget[k]
                 p, q = p[near], q[near]
                 ok = np.einsum("ij,ij->i", xu[p], yu[q]) >= space.cosine
                 p, q = p[ok], q[ok]
