@@ -18,10 +18,6 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def zscore(x: Column, mean: Column, sd: Column) -> Column:
-    return (x - mean) / sd
-
-
 def axis_time(k: Column, n: int, half: float) -> Column:
     """Time of sample k of n on the axis from -half to +half, both ends included."""
     return F.lit(-half) + F.lit(2.0 * half) * k / F.lit(float(n - 1))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranks import quantiles
 
@@ -69,6 +72,57 @@ def percentiles(cells: DataFrame, keys: list[str], value: str, at: tuple[float,
     return out.select(*keys, "min", "max", "mean", "std", *[F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(at)])
 
 
+#: Groups whose sums a task holds at a time.
+HELD_GROUPS = 20_000
+
+
+def window_sums(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_events, n_channels (the least), total array<double>) of windows (keys, n_channels, w), all w of one length:
+    sums of the windows that a task has of each group, so that cells leave it once a group and not once an event."""
+    schema = T.StructType([*[windows.schema[k] for k in keys], T.StructField("n_events", T.LongType()), T.StructField("n_channels", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+
+        def sent(types):
+            cols = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)]
+            n, channels, total = zip(*held.values(), strict=True)
+            ends = np.arange(len(total) + 1, dtype="i4") * len(total[0])
+            return pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(channels, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(total))], names=schema.names)
+
+        types = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = [b.schema.field(k).type for k in keys]
+            names: dict[tuple, int] = {}
+            code = np.array([names.setdefault(k, len(names)) for k in zip(*[b.column(k).to_pylist() for k in keys], strict=True)])
+            order = np.argsort(code, kind="stable")
+            first = np.searchsorted(code[order], np.arange(len(names)))
+            w = b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            total = np.add.reduceat(w[order], first, axis=0)
+            channels = np.minimum.reduceat(b.column("n_channels").to_numpy(zero_copy_only=False)[order], first)
+            for k, n, c, t in zip(names, np.bincount(code).tolist(), channels.tolist(), total, strict=True):
+                if k in held:
+                    was = held[k]
+                    held[k] = [was[0] + n, min(was[1], c), was[2] + t]
+                else:
+                    held[k] = [n, c, t]
+            if len(held) > HELD_GROUPS:
+                yield sent(types)
+                held.clear()
+        if held:
+            yield sent(types)
+
+    return windows.select(*keys, "n_channels", "w").mapInArrow(run, schema)
+
+
+def cell_sums(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, k, total, n_events, n_channels): the sum over windows of each of their samples."""
+    cells = window_sums(windows, keys).select(*keys, "n_events", "n_channels", F.posexplode("total").alias("k", "total"))
+    return cells.groupBy(*keys, "k").agg(F.sum("total").alias("total"), F.sum("n_events").alias("n_events"), F.min("n_channels").alias("n_channels"))
+
+
 def compare_methods(cells: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Range, mean, spread and Pearson correlation of two normalizations of the same cells."""
     one = lambda c, name: [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"), F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std")]

@@ -149,8 +149,8 @@ def analyze_session(signals, events, montage, regions, config: AnalysisConfig, s
 
 
 def _spectrogram(windows: DataFrame, keys: list[str], config: AnalysisConfig) -> DataFrame:
-    cells = windows.select(*keys, "f_idx", "freq", "n_channels", F.posexplode("w").alias("k", "z"))
-    return cells.groupBy(*keys, "f_idx", "freq", "k").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n_events"), F.min("n_channels").alias("n_channels")).withColumn("t", axis_time(F.col("k"), config.samples, config.half))
+    cells = averages.cell_sums(windows, [*keys, "f_idx", "freq"])
+    return cells.select(*keys, "f_idx", "freq", "k", (F.col("total") / F.col("n_events")).alias("z"), "n_events", "n_channels", axis_time(F.col("k"), config.samples, config.half).alias("t"))
 
 
 def analyze_subject(signals, events, montage, regions, config: AnalysisConfig, spectra: DataFrame | None = None) -> DataFrame:

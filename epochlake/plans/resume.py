@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..functions.columns import axis_time
-from ..operators import blocks
+from ..operators import averages, blocks
 from ..sources import sinks
 from . import pipeline
 
@@ -72,8 +72,7 @@ def run_pending(signals: DataFrame, events: DataFrame, montage: DataFrame, regio
     spectra.write.parquet(f"{folder}/spectra/run={run}")
     spectra = spark.read.schema(spectra.schema).parquet(f"{folder}/spectra/run={run}")
     windows = pipeline.session_windows(own, events, montage, regions, config, spectra)
-    cells = windows.select(*CELL[:-1], "n_channels", F.posexplode("w").alias("k", "z"))
-    states = cells.groupBy(*CELL).agg(F.sum("z").alias("total"), F.count(F.lit(1)).alias("n_events"), F.min("n_channels").alias("n_channels"))
+    states = averages.cell_sums(windows, CELL[:-1])
     states.select(F.lit(analysis).alias("analysis"), *CELL, "total", "n_events", "n_channels").write.parquet(f"{folder}/states/run={run}")
     report = pipeline.processing_report(spectra).select("subject", "session", F.col("n").alias("n_traces"), "n_failed")
     done = sessions.join(report, ["subject", "session"], "left").fillna(0, ["n_traces", "n_failed"])
