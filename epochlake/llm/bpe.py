@@ -174,7 +174,8 @@ def codec(raw: bytes) -> Codec:
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids array<int>) of every whole text; null texts have no ids, repeated rows are encoded each.
+    """(id, ids array<int>) of every whole text; null and empty texts have no ids; null and repeated ids and repeated rows are
+    encoded each; an empty table gives no rows; other columns are not read.
 
     Each batch is handled alone: no shuffle, memory bounded by a batch and CACHE_WORDS.
     """
@@ -191,7 +192,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id") ->
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, text) from (id, ids); null ids give an empty text."""
+    """(id, text) from (id, ids); null and empty ids give an empty text; null and repeated identifiers and repeated rows are
+    decoded each; an empty table gives no rows; other columns are not read."""
     shipped = _shipped(encoded.sparkSession, path)
 
     def run(batches):

@@ -133,7 +133,10 @@ def scan_ledger(docs: DataFrame, folder: str, id_col: str = "doc_id") -> tuple[D
 
 
 def historic_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, blob, rule_version, spans) of every version of every path the ledger has seen, under the rules it was scanned by."""
+    """(path, blob, rule_version, spans) of every version of every path the ledger has seen, under the rules it was scanned by.
+
+    Null paths are one path; a version that came several times is one row; blobs without findings have empty spans; a folder
+    that no run has written to gives no rows."""
     versions, ledger = _known(spark, f"{folder}/versions", VERSION), _known(spark, f"{folder}/ledger", ENTRY)
     if versions is None or ledger is None:
         return spark.createDataFrame([], "path string, blob string, rule_version string, spans string")

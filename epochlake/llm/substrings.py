@@ -210,7 +210,10 @@ def _holders(width: int):
 def longest_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, longest): the greatest width * 2**k so that the document shares a window of that many words with another
     document; absent if not even `width` words are shared.  Only windows both of whose halves repeat are extended; the
-    levels end when no candidate survives."""
+    levels end when no candidate survives.
+
+    Null and empty texts share nothing; rows that repeat a doc_id are one document's and share nothing with each other; null
+    doc_ids are one document, 2**63 - 1; an empty table gives no rows; other columns are not read."""
     texts = staged(grouped(docs, bucket_count(docs, GROUP_BYTES)), "grouped-texts")  # levels are queries of their own
     buckets = bucket_count(docs)
     halves = half_level(texts, seed_level(texts, width, buckets), width, buckets)

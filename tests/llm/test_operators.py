@@ -835,6 +835,37 @@ def test_empty_tables(spark, empty, labels):
     assert quality.judge(spark.createDataFrame(corpus(1), SCHEMA), no_labels).where("kept = base_failed").count() == 0
 
 
+def test_codes_of_odd_rows(spark, empty):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (None, "a b", "y"), (2, None, "z"), (3, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    coded = bpe.encode(docs)
+    got = sorted(((r["doc_id"] or 0, r["ids"]) for r in coded.collect()), key=str)
+    ab = got[-1][1] if got[-1][1] else got[0][1]
+    assert len(got) == 5 and [x for i, x in got if i in (2, 3)] == [[], []] and all(x == ab for i, x in got if i < 2) and ab
+    back = bpe.decode(coded.withColumn("text", F.lit("clash")))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in back.collect()) == [(0, "a b"), (1, "a b"), (1, "a b"), (2, ""), (3, "")]
+    assert bpe.encode(empty).count() == 0 and bpe.decode(coded.where("doc_id > 9")).count() == 0
+    assert [r["text"] for r in bpe.decode(coded.where("doc_id = 2").withColumn("ids", F.lit(None).cast("array<int>"))).collect()] == [""]
+
+
+def test_repeats_history_and_cutoffs_of_odd_rows(spark, labels, tmp_path):
+    t = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, t), (1, t), (2, "x " + t), (None, t), (None, t), (3, None), (4, ""), (5, "a b c")], "doc_id long, text string")
+    assert {r["doc_id"]: r["longest"] for r in substrings.longest_repeats(docs).collect()} == {1: 52, 2: 52, substrings.NO_ID: 52}
+    alone = docs.where("doc_id = 1 OR text IS NULL")
+    assert substrings.longest_repeats(alone).count() == 0
+    assert secrets.historic_findings(spark, f"file://{tmp_path}/none").count() == 0
+    folder = f"file://{tmp_path}/some"
+    for _ in range(2):
+        secrets.scan_ledger(docs, folder)
+    history = secrets.historic_findings(spark, folder).collect()
+    assert len(history) == 6 and {r["spans"] for r in history} == {""}  # paths 1-5 and the one without a name
+    features = quality.document_features(spark.createDataFrame(corpus(2), SCHEMA))
+    for some in (labels.where("doc_id < 0"), labels.withColumn("quality", F.lit(None).cast("int")), labels.withColumn("doc_id", F.lit(None).cast("long"))):
+        own, cutoffs = quality.certified_cutoffs(features, some)
+        assert own == [] and set(cutoffs.values()) <= {100}
+
+
 def test_repeated_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, "a b")], "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))
