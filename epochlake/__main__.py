@@ -92,6 +92,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         sinks.write_json(pipeline.baseline_report(spectra, config), f"{a.out}-baseline")
     if a.mode == "session":
         pipeline.analyze_session(signals, events, montage, regions, config, spectra).write.mode("overwrite").parquet(a.out)
+        sinks.write_texts(pipeline.session_texts(spark.read.parquet(a.out), config), f"{a.out}-texts")
     else:
         _write_subjects(a, pipeline.analyze_subject(signals, events, montage, regions, config, spectra), config)
 
@@ -113,6 +114,7 @@ def _resumed(spark: SparkSession, a: argparse.Namespace, names: dict, signals: D
     sinks.write_json(catalog.progress(signals, resume.markers(spark, folder, analysis), "subject", "session"), f"{a.out}-progress")
     if a.mode == "session":
         resume.merged_sessions(resume.session_states(spark, folder, analysis), config).write.mode("overwrite").parquet(a.out)
+        sinks.write_texts(pipeline.session_texts(spark.read.parquet(a.out), config), f"{a.out}-texts")
     else:
         _write_subjects(a, subjects, config)
 

@@ -26,9 +26,13 @@ def _positions(n: Column, at: list[float]) -> Column:
 def ranked_values(values: DataFrame, keys: list[str], value: str, at: list[float], limit: int = SORTED) -> DataFrame:
     """(keys, n, rank, v): the values at the ranks that the quantiles `at` of each group need; n is the group's count of
     values other than null.  NaN counts as the greatest value."""
-    if not keys:
-        return ranked_values(values.withColumn("all", F.lit(1)), ["all"], value, at, limit).drop("all")
-    v = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    # keys under names of their own, so that none clashes with those used here; without keys, one for all
+    v = values.where(F.col(value).isNotNull()).select(F.lit(0).alias("key_"), *[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("v"))
+    own = ["key_", *[f"key_{i}" for i in range(len(keys))]]
+    return _narrowed(v, own, at, limit).select(*[F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)], "n", "rank", "v")
+
+
+def _narrowed(v: DataFrame, keys: list[str], at: list[float], limit: int) -> DataFrame:
     sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("n > 0")
     wanted = sizes.select(*keys, "n", F.explode(_positions(F.col("n"), at)).alias("rank"), F.lit(0).cast("long").alias("base"), "low", "high", F.col("n").alias("size"))
     state = staged(wanted, "ranks")
@@ -73,11 +77,12 @@ def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 def quantiles(values: DataFrame, keys: list[str], value: str, at: list[float], limit: int = SORTED) -> DataFrame:
     """(keys, n, q array<double>): the quantiles `at` of each group's values, between neighbours in proportion; nulls are left
     out, groups without values are absent.  Each round reads the values again."""
-    found = ranked_values(values, keys, value, at, limit)
+    found = ranked_values(values.select(*[F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)], F.col(value).alias("v")), [f"of_{i}" for i in range(len(keys))], "v", at, limit)
+    names, keys = keys, [f"of_{i}" for i in range(len(keys))]
     each = found.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("v"))  # two ranks a quantile
     position = [F.lit(q) * (F.col("n") - 1) for q in at]
     low, high = (lambda p: F.element_at("v", F.floor(p))), (lambda p: F.element_at("v", F.ceil(p)))
-    return each.select(*keys, "n", F.array(*[F.when(low(p) == high(p), low(p)).otherwise(low(p) + (high(p) - low(p)) * (p - F.floor(p))) for p in position]).alias("q"))
+    return each.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "n", F.array(*[F.when(low(p) == high(p), low(p)).otherwise(low(p) + (high(p) - low(p)) * (p - F.floor(p))) for p in position]).alias("q"))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], limit: int = SORTED) -> DataFrame:

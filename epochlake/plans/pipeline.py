@@ -7,6 +7,8 @@ would recompute is one query with the region as a key.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,7 @@ from ..operators import averages, blocks, catalog, normalize
 from ..operators.blocks import needs_z, window_slice
 from ..operators.montage import compatibility, session_montage
 from ..operators.spectral import cycles, multitaper_psd, row_z, wavelet_rows, welch_psd
+from ..sources import sinks
 
 
 def region_table(spark: SparkSession, regions: dict[str, str | list[int]]) -> DataFrame:
@@ -213,3 +216,49 @@ def analyze_channels(traces: DataFrame, keys: list[str], fs: float, time_range:
     power = [averages.trapezoid(psd, keys, *b).alias(name) for name, b in bands.items()]
     found = psd.groupBy(*keys).agg(*power, averages.peak(1.0, 45.0).alias("m")).select(*keys, *bands, (-F.col("m.col2")).alias("peak_freq"), F.col("m.p").alias("peak_power"))
     return stats.join(found, keys)
+
+
+def diagnostic_cells(signals: DataFrame, events: DataFrame, config: AnalysisConfig, block: int = blocks.BLOCK) -> DataFrame:
+    """(subject, session, channel_idx, size, event_idx, f_idx, freq, raw, z, mu, sd), written: each sample of the event windows as
+    power and as z over its whole recording, with what the z is against."""
+    raw = blocks.event_spectra(signals, events, replace(config, normalization="none"), size=block).where("error IS NULL")
+    stats = blocks.spectral_moments(signals, config, size=block).where("error IS NULL")
+    stats = stats.select(*blocks.CHANNEL, F.posexplode(F.arrays_zip("mu", "sd")).alias("f_idx", "x")).select(*blocks.CHANNEL, "f_idx", "x.mu", "x.sd")
+    cells = raw.select(*blocks.CHANNEL, "size", "event_idx", "f_idx", "freq", F.explode("w").alias("raw")).join(stats, [*blocks.CHANNEL, "f_idx"])
+    return sinks.staged(cells.withColumn("z", (F.col("raw") - F.col("mu")) / F.col("sd")), "diagnostics")
+
+
+def diagnostics_by_frequency(cells: DataFrame, keys: list[str] = blocks.CHANNEL) -> DataFrame:
+    """(keys, f_idx, freq, mu, sd, ratio, raw_mean, raw_std, z_mean, z_std): the recording's mean and spread beside those of the
+    event windows, as power and as z; spreads are population ones."""
+    one = lambda c: [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
+    out = cells.groupBy(*keys, "f_idx", "freq").agg(F.first("mu").alias("mu"), F.first("sd").alias("sd"), *one("raw"), *one("z"))
+    return out.select(*keys, "f_idx", "freq", "mu", "sd", (F.col("mu") / F.col("sd")).alias("ratio"), "raw_mean", "raw_std", "z_mean", "z_std")
+
+
+def diagnostics_by_size(cells: DataFrame, keys: list[str] = blocks.CHANNEL) -> DataFrame:
+    """(keys, size, measure, min, max, mean, std, p25, p50, p75, n_events) of all samples of the windows of each size, measure raw
+    or z; percentiles are exact."""
+    long = cells.select(*keys, "size", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in ("raw", "z")])).alias("x")).select(*keys, "size", "x.measure", "x.v")
+    n = cells.groupBy(*keys, "size").agg(F.count_distinct("event_idx").alias("n_events"))
+    return averages.percentiles(long, [*keys, "size", "measure"], "v").join(n, [*keys, "size"])
+
+
+def session_texts(sessions: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """(subject, session, value): of each session of analyze_session's rows a short text of `key: value` lines."""
+    first = sessions.groupBy("subject", "session", "region", "size").agg(F.max("n_events").alias("n"), F.min("freq").alias("lo"), F.max("freq").alias("hi"), F.max("n_channels").alias("channels"))
+    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    sizes = F.sort_array(F.collect_list(F.struct("size", "n")))
+    one = first.groupBy("subject", "session", "region").agg(sizes.alias("s"), F.sum("n").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("channels").alias("channels"))
+    lines = [
+        F.concat(F.lit("region: "), "region"),
+        F.concat(F.lit("channels: "), "channels"),
+        F.concat(F.lit("frequency_range: "), F.format_string("%.1f-%.1f Hz", "lo", "hi")),
+        F.concat(F.lit("normalization: "), F.lit(config.normalization)),
+        F.concat(F.lit("nm_sizes_analyzed: "), F.array_join(F.transform("s", lambda x: number(x["size"])), ", ")),
+        F.concat(F.lit("events_per_size: "), F.array_join(F.transform("s", lambda x: F.concat(number(x["size"]), F.lit("="), x["n"])), ", ")),
+        F.concat(F.lit("total_events_analyzed: "), "total"),
+    ]
+    text = one.select("subject", "session", "region", F.concat_ws("\n", *lines).alias("part"))
+    head = F.concat(F.lit("session: "), "subject", F.lit("_"), "session", F.lit("\n"))
+    return text.groupBy("subject", "session").agg(F.sort_array(F.collect_list(F.struct("region", "part"))).alias("p")).select("subject", "session", F.concat(head, F.array_join(F.transform("p", lambda x: x["part"]), "\n")).alias("value"))

@@ -463,6 +463,33 @@ def block_morlet_moments(spark, d):
     return out.select(F.col("session").cast("long").alias("trace"), stats).select("trace", "x.freq", r6("x.mu").alias("mu"), r6("x.sd").alias("sd"))
 
 
+DIAGNOSTIC_SQL = TRACE_MORLET_SQL + """e AS (SELECT trace, unnest(range(events)) AS e FROM n),
+dc AS (SELECT e.trace, e, e % 3 + 1 AS size, tm.freq, p AS raw, (p - mu) / sd AS z, mu, sd FROM e JOIN tm ON tm.trace = e.trace AND tm.k >= 64 * e + 16 AND tm.k < 64 * e + 48 JOIN tg ON tg.trace = tm.trace AND tg.freq = tm.freq)
+"""
+
+
+def diagnostic_cells(spark, d) -> DataFrame:
+    signals, events = trace_recordings(spark, d)
+    events = events.withColumn("size", (F.col("event_idx") % 3 + 1).cast("double"))
+    return pipeline.diagnostic_cells(signals, events, TRACE_CONFIG, block=150).withColumn("trace", F.col("session").cast("long"))
+
+
+@query(DIAGNOSTIC_SQL + """SELECT trace, freq, round(min(mu), 6) AS mu, round(min(sd), 6) AS sd, round(min(mu) / min(sd), 6) AS ratio, round(avg(raw), 6) AS raw_mean, round(stddev_pop(raw), 6) AS raw_std, round(avg(z), 6) AS z_mean, round(stddev_pop(z), 6) AS z_std FROM dc GROUP BY trace, freq""")
+def diagnostics_by_frequency(spark, d):
+    """Per recording and frequency: its own mean and spread of power beside those of the event windows, raw and z."""
+    out = pipeline.diagnostics_by_frequency(diagnostic_cells(spark, d), ["trace"]).drop("f_idx")
+    return out.select("trace", "freq", *[r6(c).alias(c) for c in out.columns[2:]])
+
+
+@query(DIAGNOSTIC_SQL + """, l AS (SELECT trace, size, e, 'raw' AS measure, raw AS v FROM dc UNION ALL SELECT trace, size, e, 'z', z FROM dc)
+SELECT trace, CAST(size AS DOUBLE) AS size, measure, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50,
+round(quantile_cont(v, 0.75), 6) AS p75, count(DISTINCT e) AS n_events FROM l GROUP BY trace, size, measure""")
+def diagnostics_by_size(spark, d):
+    """Per recording and size of event: range, mean, spread and quartiles of the windows' samples, raw and z."""
+    out = pipeline.diagnostics_by_size(diagnostic_cells(spark, d), ["trace"])
+    return out.select("trace", "size", "measure", *[r6(c).alias(c) for c in ("min", "max", "mean", "std", "p25", "p50", "p75")], "n_events")
+
+
 CWT_FREQS = [4.0, 8.0, 16.0, 20.0]
 
 

@@ -32,6 +32,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_texts(texts: DataFrame, path: str) -> None:
+    """(subject, session, value) as a text file a session, in folders as results have them."""
+    texts.repartition("subject", "session").write.mode("overwrite").partitionBy("subject", "session").text(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written below the shared folder and read again: cuts lineage, and survives lost executors."""
     path = shared_folder(df.sparkSession, name)

@@ -131,6 +131,11 @@ def test_command_line(spark, data, tmp_path):
     for mode, rows in (("session", 6 * 3 * 3 * 400), ("population", 3 * 3 * 400)):
         run(spark, [mode, *common, "--out", f"file://{tmp_path}/{mode}"])
         assert spark.read.parquet(f"file://{tmp_path}/{mode}").count() == rows
+    texts = {r["session"]: r["value"].split("\n") for r in spark.read.text(f"file://{tmp_path}/session-texts", wholetext=True).where("subject = 'r1'").collect()}
+    assert set(texts) == {"d0", "d1"}
+    events = data[1].where("subject = 'r1' AND session = 'd0' AND t >= 1 AND t <= 38.9").groupBy("size").count().collect()
+    want = ", ".join(f"{int(r['size'])}={r['count']}" for r in sorted(events))
+    assert texts["d0"][:8] == ["session: r1_d0", "region: frontal", "channels: 3", "frequency_range: 3.0-8.0 Hz", "normalization: baseline_cross_event", "nm_sizes_analyzed: 1, 2, 3", f"events_per_size: {want}", f"total_events_analyzed: {sum(r['count'] for r in events)}"]
     run(spark, ["report", *common, "--freq-file", f"file://{tmp_path}/f.txt", "--freq-max", "7", "--out", f"file://{tmp_path}/report"])
     assert spark.read.json(f"file://{tmp_path}/report").count() == 3
     each, means = spark.read.json(f"file://{tmp_path}/report-subjects").toPandas(), spark.read.json(f"file://{tmp_path}/report").toPandas()

@@ -61,3 +61,14 @@ def test_numbers_and_size_classes(spark, limit):
     got = got.select("*", *[ranks.size_class(F.col("i"), F.col("n"), k).alias(f"c{k}") for k in (1, 3, 7)])
     key = lambda df: sorted(map(str, map(tuple, df.select("g", "v", "id", "i", "n", "c1", "c3", "c7").collect())))
     assert key(got) == key(want)
+
+
+def test_keys_of_any_name(spark):
+    rows = [(i % 2, i % 3, i % 2, i % 3, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "size int, low int, n int, rank int, v double")
+    for limit in (100, 4):
+        got = {tuple(r[:2]): r["q"] for r in ranks.quantiles(df.select("size", "low", "v"), ["size", "low"], "v", [0.5], limit).collect()}
+        assert got == {(a, b): [float(np.median([r[4] for r in rows if r[:2] == (a, b)]))] for a in range(2) for b in range(3)}
+    assert ranks.quantiles(df, ["v"], "low", [0.5]).count() == 60
+    one = averages.percentiles(df, ["size"], "v").collect()
+    assert {r["size"]: r["p50"] for r in one} == {0: 29.0, 1: 30.0}
