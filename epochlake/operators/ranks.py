@@ -87,8 +87,11 @@ def quantiles(values: DataFrame, keys: list[str], value: str, at: list[float], l
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], limit: int = SORTED) -> DataFrame:
     """df with i, the 0-based number of each row within its keys in the given order (rows that are equal in all of it in any),
-    and n, the number of rows.  A group of more than limit rows is cut at edges of its first order column; rows are
-    numbered within a cut, after the counts of the cuts before."""
+    and n, the number of rows.  Where a group has more than limit rows, as a count of the keys tells first, groups are cut at
+    edges of their first order column; rows are numbered within a cut, after the counts of the cuts before."""
+    if df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty():
+        small = Window.partitionBy(*keys)
+        return df.select("*", (F.row_number().over(small.orderBy(*order)) - 1).alias("i"), F.count(F.lit(1)).over(small).alias("n"))
     first = F.col(order[0]).cast("double")
     cuts = F.array(*[F.lit(i / (EDGES + 1)) for i in range(1, EDGES + 1)])
     edges = df.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.percentile_approx(first, cuts, ACCURACY)).alias("edges"))
