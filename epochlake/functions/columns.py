@@ -49,11 +49,15 @@ def n_cycles(f: Column, method: str = "custom", fixed: float = 5.0, factor: floa
     raise ValueError(f"unknown cycles policy {method!r}")
 
 
+def grid_array(lo: float, hi: float, n: int) -> Column:
+    """n frequencies in equal ratios as an array, both ends exact."""
+    inner = lambda i: F.lit(lo) * F.pow(F.lit(hi / lo), i / F.lit(float(max(n - 1, 1))))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == 0, F.lit(lo)).when(i == n - 1, F.lit(hi)).otherwise(inner(i)))
+
+
 def geometric_grid(spark: SparkSession, lo: float, hi: float, n: int) -> DataFrame:
-    """(f_idx, freq): n frequencies in equal ratios, both ends exact."""
-    i = F.col("f_idx")
-    inner = F.lit(lo) * F.pow(F.lit(hi / lo), i / F.lit(float(max(n - 1, 1))))
-    return spark.range(n).select(F.col("id").cast("int").alias("f_idx")).withColumn("freq", F.when(i == 0, F.lit(lo)).when(i == n - 1, F.lit(hi)).otherwise(inner))
+    """(f_idx, freq): grid_array as rows."""
+    return spark.range(1).select(F.posexplode(grid_array(lo, hi, n)).alias("f_idx", "freq"))
 
 
 def select_frequencies(freqs: DataFrame, lo: float, hi: float, extended: bool = False) -> DataFrame:

@@ -456,6 +456,26 @@ def fourier_power(w: Column, f: float, fs: float, n: int) -> Column:
     return c * c + s * s
 
 
+def fourier_power_at(w: Column, f: Column, fs: float) -> Column:
+    """fourier_power at a frequency of the row: arrays of any length, f a column (of an exploded grid)."""
+    step = F.lit(2 * math.pi / fs) * f
+    dot = lambda wave: F.aggregate(F.transform(w, lambda x, k: x * wave(step * k)), F.lit(0.0), lambda s, x: s + x)
+    c, s = dot(F.cos), dot(F.sin)
+    return c * c + s * s
+
+
+def centre_power(w: Column, f: Column, cycles: Column, fs: float) -> Column:
+    """Power of frequency f at the middle sample n // 2 of w alone: by a Gaussian wavelet of that many cycles, its weights
+    adding up to one.  For event windows whose event is in the middle, without a transform of the rest.  Null for an empty w and
+    for one that holds null."""
+    mid, step = F.floor(F.size(w) / 2), F.lit(2 * math.pi / fs) * f
+    # the spread in samples is cycles * fs / (2 pi f), so that time over spread is angle over cycles
+    weight = lambda k: F.exp(-0.5 * F.pow(step * (k - mid) / cycles, 2.0))
+    dot = lambda wave: F.aggregate(F.transform(w, lambda x, k: x * weight(k) * wave(step * (k - mid))), F.lit(0.0), lambda s, x: s + x)
+    c, s, total = dot(F.cos), dot(F.sin), F.aggregate(F.transform(w, lambda x, k: weight(k)), F.lit(0.0), lambda s, x: s + x)
+    return F.try_divide(c * c + s * s, total * total)
+
+
 def region_mean(spectra_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean over channels of (keys, f_idx, freq, power): (keys, f_idx, freq, k, p)."""
     long = spectra_rows.where("error IS NULL").select(*keys, "f_idx", "freq", F.posexplode("power").alias("k", "p"))

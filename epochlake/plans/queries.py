@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import BANDS, REGIONS, AnalysisConfig
-from ..functions.columns import axis_range, geometric_grid, n_cycles, select_frequencies, time_slice
+from ..functions.columns import axis_range, geometric_grid, grid_array, n_cycles, select_frequencies, time_slice
 from ..operators import averages as A
 from ..operators import blocks, catalog, epochs, montage, normalize, ranks, spectral
 from ..sources import sinks
@@ -659,23 +659,50 @@ def longest_shortest_session(spark, d):
 # -- grids and montages --------------------------------------------------------
 
 
-@query("SELECT CAST(i AS INTEGER) AS f_idx, round(CASE i WHEN 0 THEN 1.0e0 WHEN 39 THEN 45.0e0 ELSE pow(45.0e0, i / 39.0e0) END, 6) AS freq FROM range(40) t(i)")
-def freq_grid_geomspace(spark, d):
-    return geometric_grid(spark, 1.0, 45.0, 40).select("f_idx", r6("freq").alias("freq"))
+#: Frequencies of the grid queries, with epochs read as 200 samples a second.
+GRID, GRID_FS = (1.0, 45.0, 40), 200.0
+G_SQL = X_SQL + """, g AS (SELECT CAST(i AS INTEGER) AS f_idx, CASE i WHEN 0 THEN 1.0e0 WHEN 39 THEN 45.0e0 ELSE pow(45.0e0, i / 39.0e0) END AS freq FROM range(40) t(i)),
+gp AS (SELECT vec_id, label, f_idx, freq, pow(sum(v * cos(2 * pi() * freq * k / 200)), 2) + pow(sum(v * sin(2 * pi() * freq * k / 200)), 2) AS p FROM x, g GROUP BY ALL),
+lp AS (SELECT label, f_idx, freq, avg(p) AS p FROM gp GROUP BY ALL)
+"""
+
+
+def grid_power(spark, d) -> DataFrame:
+    """(label, f_idx, freq, p): mean Fourier power of the epochs of a label at each frequency of the grid."""
+    each = epoch_arrays(spark, d).select("label", "w", F.posexplode(grid_array(*GRID)).alias("f_idx", "freq"))
+    return each.groupBy("label", "f_idx", "freq").agg(F.avg(spectral.fourier_power_at(F.col("w"), F.col("freq"), GRID_FS)).alias("p"))
 
 
-G_SQL = "WITH g AS (SELECT round(pow(45.0e0, i / 39.0e0), 6) AS freq FROM range(40) t(i))\n"
+@query(G_SQL + "SELECT label, f_idx, round(freq, 6) AS freq, round(p, 6) AS power FROM lp")
+def freq_grid_geomspace(spark, d):
+    return grid_power(spark, d).select("label", "f_idx", r6("freq").alias("freq"), r6("p").alias("power"))
 
 
-@query(G_SQL + "SELECT freq FROM g WHERE freq BETWEEN 3 AND 7 UNION ALL SELECT max(freq) FROM g WHERE freq < 3 UNION ALL SELECT min(freq) FROM g WHERE freq > 7")
+@query(G_SQL + """, c AS (SELECT freq FROM g WHERE freq BETWEEN 3 AND 7 UNION ALL SELECT max(freq) FROM g WHERE freq < 3 UNION ALL SELECT min(freq) FROM g WHERE freq > 7)
+SELECT label, round(freq, 6) AS freq, round(p, 6) AS power FROM lp JOIN c USING (freq)""")
 def freq_select_extended(spark, d):
-    return select_frequencies(freq_grid_geomspace(spark, d), 3.0, 7.0, extended=True)
+    """Power at the grid's frequencies in the band and the nearest one on each side of it."""
+    chosen = select_frequencies(geometric_grid(spark, *GRID), 3.0, 7.0, extended=True)
+    return grid_power(spark, d).join(F.broadcast(chosen), "freq").select("label", r6("freq").alias("freq"), r6("p").alias("power"))
+
 
+_POLICIES = {"fixed": "5.0e0", "adaptive": "freq", "hybrid": "greatest(6.0e0, freq)", "custom": "CASE WHEN freq BETWEEN 3 AND 7 THEN 3 + (freq - 3) / 4 ELSE 3.0e0 END"}
 
-@query(G_SQL + "SELECT freq, 5.0e0 AS fixed, freq AS adaptive, greatest(6.0e0, freq) AS hybrid, round(CASE WHEN freq BETWEEN 3 AND 7 THEN 3 + (freq - 3) / 4 ELSE 3.0e0 END, 6) AS custom FROM g")
+
+@query(G_SQL + """, y AS (SELECT method, f_idx, freq, cycles, k, 2 * pi() * freq * (k - 32) / 200 AS a, exp(-0.5 * pow(2 * pi() * freq * (k - 32) / 200 / cycles, 2)) AS u FROM (
+"""
+       + " UNION ALL ".join(f"SELECT '{m}' AS method, f_idx, freq, {c} AS cycles FROM g" for m, c in _POLICIES.items())
+       + """) c, (SELECT unnest(range(64)) AS k) k),
+e AS (SELECT vec_id, label, method, f_idx, freq, cycles, (pow(sum(v * u * cos(a)), 2) + pow(sum(v * u * sin(a)), 2)) / pow(sum(u), 2) AS p FROM x JOIN y USING (k) GROUP BY ALL)
+SELECT label, method, f_idx, round(freq, 6) AS freq, round(cycles, 6) AS cycles, round(avg(p), 6) AS power FROM e GROUP BY label, method, f_idx, freq, cycles""")
 def n_cycles_policy(spark, d):
+    """Power at the event by wavelets of each policy's cycles, at each frequency of the grid."""
     f = F.col("freq")
-    return freq_grid_geomspace(spark, d).select("freq", n_cycles(f, "fixed").alias("fixed"), n_cycles(f, "adaptive").alias("adaptive"), n_cycles(f, "hybrid").alias("hybrid"), r6(n_cycles(f, "custom")).alias("custom"))
+    each = epoch_arrays(spark, d).select("label", "w", F.posexplode(grid_array(*GRID)).alias("f_idx", "freq"))
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), n_cycles(f, m).alias("cycles")) for m in _POLICIES])
+    power = spectral.centre_power(F.col("w"), f, F.col("cycles"), GRID_FS)
+    out = each.select("*", F.inline(methods)).groupBy("label", "method", "f_idx", "freq", "cycles").agg(F.avg(power).alias("p"))
+    return out.select("label", "method", "f_idx", r6("freq").alias("freq"), r6("cycles").alias("cycles"), r6("p").alias("power"))
 
 
 MONTAGE_SQL = "WITH m AS (SELECT r_name AS subject, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INTEGER) AS channel_idx, CAST(n_nationkey + 1 AS INTEGER) AS electrode FROM nation JOIN region ON n_regionkey = r_regionkey),\nroi AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {e})" for r, es in REGIONS.items() for e in es) + ") t(region, electrode))\n"

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from epochlake.config import cycles_factor
 from epochlake.functions.columns import select_frequencies
@@ -71,3 +72,25 @@ def test_session_description(spark):
     got = {(r["subject"], r["all"]): (r["n"], r["min"], r["p50"], r["max"], r["std"]) for r in catalog.describe_sessions(s, ["length"]).collect()}
     assert got[None, True][:4] == (5, 1.0, 4.0, 9.0) and got["a", False] == (3, 1.0, 2.0, 4.0, pytest.approx(np.std([1, 2, 4], ddof=1)))
     assert got[None, False][:2] == (1, 9.0) and got["b", False][4] is None and len(got) == 4
+
+
+def test_power_at_frequencies_of_the_row(spark):
+    rng, fs = np.random.default_rng(8), 50.0
+    rows = [(i, [float(x) for x in rng.normal(size=n)], f, c) for i, (n, f, c) in enumerate([(64, 3.0, 5.0), (63, 7.5, 3.0), (1, 4.0, 4.0), (200, 20.0, 1.5)])]
+    rows += [(90, [], 3.0, 5.0), (91, None, 3.0, 5.0), (92, [1.0, None, 2.0], 3.0, 5.0)]
+    df = spark.createDataFrame(rows, "i int, w array<double>, f double, c double")
+    w, f = F.col("w"), F.col("f")
+    got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", spectral.fourier_power_at(w, f, fs).alias("a"), spectral.centre_power(w, f, F.col("c"), fs).alias("b")).collect()}
+    for i, x, freq, c in rows[:4]:
+        x, t = np.array(x), (np.arange(len(x)) - len(x) // 2) / fs
+        g = np.exp(-(t**2) / (2 * (c / (2 * np.pi * freq)) ** 2))
+        want = abs((x * np.exp(-2j * np.pi * freq * t)).sum()) ** 2, abs((x * g * np.exp(-2j * np.pi * freq * t)).sum() / g.sum()) ** 2
+        assert np.allclose(got[i], want, rtol=1e-9, atol=1e-12)
+    assert got[90] == (0.0, None) and got[91] == got[92] == (None, None)
+
+
+def test_centre_power_of_a_sinusoid(spark):
+    t = np.arange(-200, 200) / 200
+    df = spark.createDataFrame([(float(f), [float(x) for x in 3 * np.sin(2 * np.pi * 8 * t + 1)]) for f in (4, 8, 16)], "f double, w array<double>")
+    p = {r[0]: r[1] for r in df.select("f", spectral.centre_power(F.col("w"), F.col("f"), F.lit(6.0), 200.0)).collect()}
+    assert abs(p[8.0] - 9 / 4) < 0.01 and max(p[4.0], p[16.0]) < 0.01
