@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import floored
+from ..sources.sinks import staged
 from .ranks import quantiles
 
 
@@ -62,22 +65,70 @@ def time_bucket(samples: DataFrame, keys: list[str], per_bucket: int = BUCKET_SA
     return float(span or 1) / max(1, -(-(n or 1) // per_bucket)) or 1.0
 
 
-def _bucket(c: Column, width: float) -> Column:
-    return F.floor(c / F.lit(float(width))).cast("long")
-
-
-def nearest_sample(events: DataFrame, samples: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+#: Cuts of a dense bucket at most; beyond that many times BUCKET_SAMPLES its parts grow.
+MOST_CUTS = 2_000
+#: Values of all cuts up to which they are broadcast.
+MOST_SENT = 1_000_000
+
+
+@dataclass(frozen=True)
+class TimeCuts:
+    """How recordings are cut into time buckets: even ones of `width`, and those that hold a burst of samples again at `edges`
+    (keys, bucket, edges), a written table; None where there is no burst."""
+
+    keys: list[str]
+    width: float
+    edges: DataFrame | None = None
+    few: bool = True
+
+    def of(self, df: DataFrame, time: Column) -> DataFrame:
+        """df with bucket, a pair that is ordered as time is; rows of one time share theirs, rows without a time are left out."""
+        even = F.floor(time / F.lit(self.width)).cast("long")
+        if self.edges is None:
+            return df.where(time.isNotNull()).withColumn("bucket", F.struct(even.alias("even"), F.lit(0).alias("part")))
+        marked = df.where(time.isNotNull()).select("*", time.alias("of_time"), even.alias("of_even"))
+        edges = self.edges.select(*[F.col(k).alias(f"of_{i}") for i, k in enumerate(self.keys)], F.col("bucket").alias("of_bucket"), F.col("edges").alias("of_edges"))
+        edges = F.broadcast(edges) if self.few else edges
+        same = [F.col(k) == F.col(f"of_{i}") for i, k in enumerate(self.keys)]
+        part = F.when(F.col("of_edges").isNull(), 0).otherwise(F.size(F.filter("of_edges", lambda x: x <= F.col("of_time"))))
+        joined = marked.join(edges, [*same, F.col("of_even") == F.col("of_bucket")], "left")
+        return joined.select(*df.columns, F.struct(F.col("of_even").alias("even"), part.alias("part")).alias("bucket"))
+
+
+def time_cuts(samples: DataFrame, keys: list[str], width: float | None = None, per_bucket: int = BUCKET_SAMPLES) -> TimeCuts:
+    """Cuts that leave about per_bucket samples in a bucket, in bursts too: buckets with more than twice as many are cut again at
+    quantiles of their times.  The edges come from a sketch and are written, so every use of them sees the same; where they lie
+    decides how even the tasks are, never a result."""
+    width = float(width or time_bucket(samples, keys, per_bucket))
+    even = samples.select(*keys, F.col("t").cast("double").alias("t"), F.floor(F.col("t") / F.lit(width)).cast("long").alias("bucket"))
+    dense = even.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_bucket)
+    most, rows = dense.agg(F.max("n"), F.count(F.lit(1))).first()
+    if most is None:
+        return TimeCuts(keys, width)
+    n = min(-(-most // per_bucket), MOST_CUTS)
+    few = rows * n <= MOST_SENT
+    dense = dense.drop("n")
+    held = even.join(F.broadcast(dense) if few else dense, [*keys, "bucket"], "left_semi")
+    at = F.array(*[F.lit(i / n) for i in range(1, n)])
+    edges = held.groupBy(*keys, "bucket").agg(F.array_distinct(F.percentile_approx("t", at, 10 * n)).alias("edges"))
+    return TimeCuts(keys, width, staged(edges, "time-cuts"), few)
+
+
+def nearest_sample(events: DataFrame, samples: DataFrame, keys: list[str], width: float | None = None, per_bucket: int = BUCKET_SAMPLES) -> DataFrame:
     """(events' columns, t, v) of the sample nearest in time, the earlier on a tie; events of keys without samples are absent.
 
     Recordings are split into time buckets, so no task holds a whole one: within a bucket the last sample up to, and the
     first from, each event are running values (one ascending and one descending pass); the last sample before a bucket and
     the first after it come from the buckets' ends, one row a bucket.
     """
-    width = width or time_bucket(samples, keys)
+    return _nearest(events, samples, keys, time_cuts(samples, keys, width, per_bucket))
+
+
+def _nearest(events: DataFrame, samples: DataFrame, keys: list[str], cuts: TimeCuts) -> DataFrame:
     cols = [c for c in events.columns if c not in keys]
     pair = F.struct(F.col("t"), F.col("v"))
-    s = samples.select(*keys, _bucket(F.col("t"), width).alias("bucket"), F.col("t").alias("at"), pair.alias("s"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in cols])
-    e = events.select(*keys, _bucket(F.col("e"), width).alias("bucket"), F.col("e").alias("at"), F.lit(None).cast(s.schema["s"].dataType).alias("s"), *cols)
+    s = cuts.of(samples, F.col("t")).select(*keys, "bucket", F.col("t").alias("at"), pair.alias("s"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in cols])
+    e = cuts.of(events, F.col("e")).select(*keys, "bucket", F.col("e").alias("at"), F.lit(None).cast(s.schema["s"].dataType).alias("s"), *cols)
     ends = s.unionByName(e).groupBy(*keys, "bucket").agg(F.min("s").alias("head"), F.max("s").alias("tail"))
     buckets = Window.partitionBy(*keys)
     rest = (Window.unboundedPreceding, -1)
@@ -92,11 +143,14 @@ def nearest_sample(events: DataFrame, samples: DataFrame, keys: list[str], width
     return both.withColumn("n", nearer).where(F.col("n").isNotNull()).select(*events.columns, F.col("n.t").alias("t"), F.col("n.v").alias("v"))
 
 
-def numbered_samples(samples: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+def numbered_samples(samples: DataFrame, keys: list[str], width: float | None = None, per_bucket: int = BUCKET_SAMPLES) -> DataFrame:
     """samples with i, their 0-based number in time within the recording: a number within each time bucket and the count of
     the buckets before it."""
-    width = width or time_bucket(samples, keys)
-    b = samples.withColumn("bucket", _bucket(F.col("t"), width))
+    return _numbered(samples, keys, time_cuts(samples, keys, width, per_bucket))
+
+
+def _numbered(samples: DataFrame, keys: list[str], cuts: TimeCuts) -> DataFrame:
+    b = cuts.of(samples, F.col("t"))
     counts = b.groupBy(*keys, "bucket").count()
     before = F.sum("count").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*keys, "bucket", F.coalesce(before, F.lit(0)).alias("start"))
@@ -104,14 +158,14 @@ def numbered_samples(samples: DataFrame, keys: list[str], width: float | None =
     return b.withColumn("i", own - 1).join(starts, [*keys, "bucket"]).withColumn("i", F.col("i") + F.col("start")).drop("bucket", "start")
 
 
-def nearest_windows(events: DataFrame, samples: DataFrame, n: int, keys: list[str], width: float | None = None) -> DataFrame:
+def nearest_windows(events: DataFrame, samples: DataFrame, n: int, keys: list[str], width: float | None = None, per_bucket: int = BUCKET_SAMPLES) -> DataFrame:
     """(events' columns, k, t, v): n samples around the sample nearest to each event, from n // 2 before it on (from the first
     one where fewer precede it); windows that the recording's end would shorten are dropped."""
-    width = width or time_bucket(samples, keys)
-    numbered = numbered_samples(samples, keys, width)
-    at = nearest_sample(events, numbered.select(*keys, "t", F.col("i").alias("v")), keys, width)
+    cuts = time_cuts(samples, keys, width, per_bucket)
+    numbered = _numbered(samples, keys, cuts)
+    at = _nearest(events, numbered.select(*keys, "t", F.col("i").alias("v")), keys, cuts)
     first = F.greatest(F.col("v") - n // 2, F.lit(0))
-    size = numbered.groupBy(*keys).agg((F.max("i") + 1).alias("size"))
+    size = samples.groupBy(*keys).agg(F.count("t").alias("size"))
     starts = at.withColumn("first", first).join(size, keys).where(F.col("first") + n <= F.col("size")).select(*events.columns, "first")
     cols = [c for c in events.columns if c not in keys]
     spans = starts.select(*keys, F.struct(*cols).alias("ev"), "first", (F.col("first") + n / 2).alias("e"))
@@ -127,9 +181,9 @@ def baseline_z(windows: DataFrame, unit: list[str], event: list[str], base: Colu
     return per_unit.where((F.col("n_events") >= min_events) & (F.col("n") > 0)).select(*unit, "n_events", ((F.col("s") / F.col("n") - F.col("mu")) / F.col("sd")).alias("z"))
 
 
-def sampling_interval(samples: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+def sampling_interval(samples: DataFrame, keys: list[str], width: float | None = None, per_bucket: int = BUCKET_SAMPLES) -> DataFrame:
     """Median step between neighbouring samples of each recording; the step into a time bucket comes from the buckets' ends."""
-    b = samples.withColumn("bucket", _bucket(F.col("t"), width or time_bucket(samples, keys)))
+    b = time_cuts(samples, keys, width, per_bucket).of(samples, F.col("t"))
     ends = b.groupBy(*keys, "bucket").agg(F.max("t").alias("last"))
     ends = ends.select(*keys, "bucket", F.lag("last").over(Window.partitionBy(*keys).orderBy("bucket")).alias("earlier"))
     before = F.lag("t").over(Window.partitionBy(*keys, "bucket").orderBy("t"))

@@ -56,6 +56,7 @@ def _narrowed(v: DataFrame, keys: list[str], at: list[float], limit: int) -> Dat
             return state.where(F.col("low").eqNullSafe(F.col("high"))).select(*keys, "n", "rank", F.col("low").alias("v")).unionByName(found)
         cuts = [F.lit(i / (EDGES + 1)) for i in range(1, EDGES + 1)]
         edges = held.groupBy(*interval).agg(F.array_distinct(F.percentile_approx(F.when(~F.isnan("v"), F.col("v")), F.array(*cuts), ACCURACY)).alias("edges"))
+        edges = staged(edges, "edges")  # a sketch worked out again, after a loss, may give other edges to some of the tasks
         # bins between edges, and one for each edge itself, so that a frequent value is found at once
         below = F.size(F.filter("edges", lambda e: e < F.col("v")))
         number = F.when(F.col("edges").isNull(), 0).otherwise(2 * below + F.array_contains("edges", F.col("v")).cast("int"))
@@ -95,7 +96,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], limit: int = SORT
     first = F.col(order[0]).cast("double")
     cuts = F.array(*[F.lit(i / (EDGES + 1)) for i in range(1, EDGES + 1)])
     edges = df.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.percentile_approx(first, cuts, ACCURACY)).alias("edges"))
-    edges = edges.withColumn("edges", F.when(F.col("n") > limit, F.col("edges")))
+    # written, as a sketch may come out otherwise when it is worked out again, and all rows must be cut alike
+    edges = staged(edges.withColumn("edges", F.when(F.col("n") > limit, F.col("edges"))), "edges")
     # nulls come first in an ascending order
     cut = F.when(F.col("edges").isNull(), 0).when(first.isNull(), -1).otherwise(2 * F.size(F.filter("edges", lambda e: e < first)) + F.array_contains("edges", first).cast("int"))
     b = df.join(edges, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]).withColumn("cut", cut)

@@ -327,6 +327,39 @@ def test_nearest_samples_and_windows_in_any_buckets(spark, width):
     assert abs(steps["a"] - np.median(np.diff([a for k, a, _ in samples if k == "a"]))) < 1e-9 and steps["c"] is None
 
 
+@pytest.mark.parametrize("sent", [epochs.MOST_SENT, 0])
+def test_bursts_are_cut_again(spark, monkeypatch, sent):
+    """Most samples of one recording lie in a thousandth of its time: no bucket holds them all, and no result changes."""
+    monkeypatch.setattr(epochs, "MOST_SENT", sent)
+    rng = np.random.default_rng(7)
+    t = np.unique(np.concatenate([rng.uniform(0, 1000, 100), rng.uniform(500, 501, 900)]))
+    rows = [("a", float(x), float(i)) for i, x in enumerate(t)] + [("b", float(x), float(x)) for x in range(0, 1000, 50)] + [("a", None, 5.0)]
+    s = spark.createDataFrame(rows, "subject string, t double, v double")
+    at = [(k, i, float(x)) for k in "ab" for i, x in enumerate(np.concatenate([rng.uniform(-10, 1010, 40), rng.uniform(499.9, 501.1, 40)]))]
+    e = spark.createDataFrame([*at, ("a", 99, None)], "subject string, edges int, e double")
+    cuts = epochs.time_cuts(s, ["subject"], None, 20)
+    assert cuts.edges is not None and cuts.few == (sent > 0)
+    held = cuts.of(s, F.col("t")).groupBy("subject", "bucket").agg(F.count("t").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("subject", "bucket").collect()
+    assert max(r["n"] for r in held) <= 60 and sum(r["n"] for r in held) == len(rows) - 1
+    assert all(x["hi"] < y["lo"] for x, y in zip(held, held[1:]) if x["subject"] == y["subject"])  # buckets are in order of time
+    got = {(r["subject"], r["edges"]): r["t"] for r in epochs.nearest_sample(e, s, ["subject"], None, 20).collect()}
+    assert got == {(k, i): min((y for o, y, _ in rows if o == k and y is not None), key=lambda y: (abs(y - x), y)) for k, i, x in at}
+    numbers = epochs.numbered_samples(s, ["subject"], None, 20).where("subject = 'a'").collect()
+    assert len(numbers) == len(t) and all(r["i"] == r["v"] for r in numbers)
+    windows = epochs.nearest_windows(e, s, 5, ["subject"], None, 20).where("subject = 'a'").collect()
+    place = {x: i for i, x in enumerate(t)}
+    first = {i: max(place[got["a", i]] - 2, 0) for k, i, _ in at if k == "a"}
+    want = {(i, k): float(f + k) for i, f in first.items() if f + 5 <= len(t) for k in range(5)}
+    assert {(r["edges"], r["k"]): r["v"] for r in windows} == want and len(windows) == len(want)
+    steps = {r["subject"]: (r["interval"], r["n"]) for r in epochs.sampling_interval(s, ["subject"], None, 20).collect()}
+    assert steps["a"][1] == len(t) - 1 and abs(steps["a"][0] - np.median(np.diff(t))) < 1e-12 and steps["b"] == (50.0, 19)
+
+
+def test_even_recordings_are_not_cut_again(spark):
+    s = spark.range(1000).select(F.lit("a").alias("subject"), F.col("id").cast("double").alias("t"), F.lit(0.0).alias("v"))
+    assert epochs.time_cuts(s, ["subject"], None, 20).edges is None
+
+
 def test_baseline_without_samples(spark):
     w = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, w array<double>")
     with pytest.raises(ValueError):
