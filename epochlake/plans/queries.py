@@ -698,11 +698,12 @@ SELECT label, method, f_idx, round(freq, 6) AS freq, round(cycles, 6) AS cycles,
 def n_cycles_policy(spark, d):
     """Power at the event by wavelets of each policy's cycles, at each frequency of the grid."""
     f = F.col("freq")
-    each = epoch_arrays(spark, d).select("label", "w", F.posexplode(grid_array(*GRID)).alias("f_idx", "freq"))
-    methods = F.array(*[F.struct(F.lit(m).alias("method"), n_cycles(f, m).alias("cycles")) for m in _POLICIES])
-    power = spectral.centre_power(F.col("w"), f, F.col("cycles"), GRID_FS)
-    out = each.select("*", F.inline(methods)).groupBy("label", "method", "f_idx", "freq", "cycles").agg(F.avg(power).alias("p"))
-    return out.select("label", "method", "f_idx", r6("freq").alias("freq"), r6("cycles").alias("cycles"), r6("p").alias("power"))
+    freqs = [r["freq"] for r in geometric_grid(spark, *GRID).orderBy("f_idx").collect()]
+    s = spectral.centre_spectra(epoch_arrays(spark, d), ["vec_id", "label"], freqs, GRID_FS, list(_POLICIES)).where("error IS NULL")
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.get("power", F.lit(i)).alias("p")) for i, m in enumerate(_POLICIES)]))
+    out = s.select("label", "f_idx", "freq", each).groupBy("label", "method", "f_idx", "freq").agg(F.avg("p").alias("p"))
+    used = F.coalesce(*[F.when(F.col("method") == m, n_cycles(f, m)) for m in _POLICIES])
+    return out.select("label", "method", "f_idx", r6("freq").alias("freq"), r6(used).alias("cycles"), r6("p").alias("power"))
 
 
 MONTAGE_SQL = "WITH m AS (SELECT r_name AS subject, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INTEGER) AS channel_idx, CAST(n_nationkey + 1 AS INTEGER) AS electrode FROM nation JOIN region ON n_regionkey = r_regionkey),\nroi AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {e})" for r, es in REGIONS.items() for e in es) + ") t(region, electrode))\n"

@@ -74,23 +74,36 @@ def test_session_description(spark):
     assert got[None, False][:2] == (1, 9.0) and got["b", False][4] is None and len(got) == 4
 
 
-def test_power_at_frequencies_of_the_row(spark):
+def test_fourier_power_at_frequencies_of_the_row(spark):
     rng, fs = np.random.default_rng(8), 50.0
-    rows = [(i, [float(x) for x in rng.normal(size=n)], f, c) for i, (n, f, c) in enumerate([(64, 3.0, 5.0), (63, 7.5, 3.0), (1, 4.0, 4.0), (200, 20.0, 1.5)])]
-    rows += [(90, [], 3.0, 5.0), (91, None, 3.0, 5.0), (92, [1.0, None, 2.0], 3.0, 5.0)]
-    df = spark.createDataFrame(rows, "i int, w array<double>, f double, c double")
-    w, f = F.col("w"), F.col("f")
-    got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", spectral.fourier_power_at(w, f, fs).alias("a"), spectral.centre_power(w, f, F.col("c"), fs).alias("b")).collect()}
-    for i, x, freq, c in rows[:4]:
-        x, t = np.array(x), (np.arange(len(x)) - len(x) // 2) / fs
-        g = np.exp(-(t**2) / (2 * (c / (2 * np.pi * freq)) ** 2))
-        want = abs((x * np.exp(-2j * np.pi * freq * t)).sum()) ** 2, abs((x * g * np.exp(-2j * np.pi * freq * t)).sum() / g.sum()) ** 2
-        assert np.allclose(got[i], want, rtol=1e-9, atol=1e-12)
-    assert got[90] == (0.0, None) and got[91] == got[92] == (None, None)
-
-
-def test_centre_power_of_a_sinusoid(spark):
+    rows = [(i, [float(x) for x in rng.normal(size=n)], f) for i, (n, f) in enumerate([(64, 3.0), (63, 7.5), (1, 4.0), (200, 20.0)])]
+    rows += [(90, [], 3.0), (91, None, 3.0), (92, [1.0, None, 2.0], 3.0)]
+    df = spark.createDataFrame(rows, "i int, w array<double>, f double")
+    got = {r["i"]: r["p"] for r in df.select("i", spectral.fourier_power_at(F.col("w"), F.col("f"), fs).alias("p")).collect()}
+    for i, x, freq in rows[:4]:
+        assert np.isclose(got[i], abs((np.array(x) * np.exp(-2j * np.pi * freq * np.arange(len(x)) / fs)).sum()) ** 2, rtol=1e-9, atol=1e-12)
+    assert got[90] == 0.0 and got[91] is None and got[92] is None
+
+
+@pytest.mark.parametrize("cached", [spectral.CACHED_BYTES, 0])
+def test_centre_power(spark, monkeypatch, cached):
+    monkeypatch.setattr(spectral, "CACHED_BYTES", cached)
+    rng, f, fs = np.random.default_rng(9), np.array([3.0, 7.5, 20.0]), 50.0
+    for n in (1, 2, 63, 64, 500):
+        x, t, c = rng.normal(size=n), (np.arange(n) - n // 2) / fs, np.array([5.0, 3.0, 1.5])
+        g = np.exp(-(t**2) / (2 * (c / (2 * np.pi * f))[:, None] ** 2))
+        want = np.abs((x * g * np.exp(-2j * np.pi * f[:, None] * t)).sum(axis=1) / g.sum(axis=1)) ** 2
+        assert np.allclose(spectral.centre_power(x, f, fs, c), want, rtol=1e-9, atol=1e-15)
     t = np.arange(-200, 200) / 200
-    df = spark.createDataFrame([(float(f), [float(x) for x in 3 * np.sin(2 * np.pi * 8 * t + 1)]) for f in (4, 8, 16)], "f double, w array<double>")
-    p = {r[0]: r[1] for r in df.select("f", spectral.centre_power(F.col("w"), F.col("f"), F.lit(6.0), 200.0)).collect()}
-    assert abs(p[8.0] - 9 / 4) < 0.01 and max(p[4.0], p[16.0]) < 0.01
+    p = spectral.centre_power(3 * np.sin(2 * np.pi * 8 * t + 1), np.array([4.0, 8.0, 16.0]), 200.0, np.full(3, 6.0))
+    assert abs(p[1] - 9 / 4) < 0.01 and max(p[0], p[2]) < 0.01  # half the amplitude, squared
+
+
+def test_centre_spectra_by_policy(spark):
+    rows = [(1, [float(k % 7) for k in range(40)]), (2, []), (3, None)]
+    out = spectral.centre_spectra(spark.createDataFrame(rows, "i int, w array<double>"), ["i"], [3.0, 8.0], 50.0, ["fixed", "custom"]).collect()
+    got = {(r["i"], r["freq"]): r["power"] for r in out if r["error"] is None}
+    assert set(got) == {(1, 3.0), (1, 8.0)} and {r["i"] for r in out if r["error"]} == {2, 3}
+    for j, c in enumerate((5.0, 3.0)):
+        want = spectral.centre_power(np.array(rows[0][1]), np.array([3.0, 8.0]), 50.0, np.array([c, c]))
+        assert np.allclose([got[1, 3.0][j], got[1, 8.0][j]], want)
