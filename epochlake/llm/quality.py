@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, exp, lgamma, log, log1p
+from math import ceil, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -93,24 +93,27 @@ def _columns(text: pa.Array) -> list:
     return [np.concatenate(x).astype("i8") for x in zip(*parts, strict=True)] if parts else [[] for _ in _FEATURES]
 
 
+def log_binomial_tail(k: int, n: int, p: float) -> float:
+    """Logarithm of the chance of at most k in n at a share p above k / n.  The k-th term is the largest; the others are
+    added downwards, each from the one before, until the rest is lost in rounding: some 9 standard deviations of terms,
+    one way for every k and n."""
+    term = total = 1.0
+    i = k
+    while i and term > 1e-17 * total:
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        i -= 1
+    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p) + log(total)
+
+
 def binomial_upper(k: int, n: int, error: float) -> float:
-    """Exact (Clopper-Pearson) upper confidence bound of a share of which k in n were seen; for k over 2,000 the wider
-    Chernoff bound, which needs no sum over k terms."""
+    """Exact (Clopper-Pearson) upper confidence bound of a share of which k in n were seen."""
     if k >= n:
         return 1.0
-
-    def above(p: float) -> bool:
-        if k > 2000:
-            q = k / n
-            return p > q and n * (q * log(q / p) + (1 - q) * log((1 - q) / (1 - p))) >= log(1 / error)
-        top = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(k + 1)]
-        most = max(top)
-        return most + log(sum(exp(x - most) for x in top)) <= log(error)
-
     lo, hi = k / n, 1.0 - 1e-15
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if mid > 0 and above(mid) else (mid, hi)
+        lo, hi = (lo, mid) if mid > k / n and log_binomial_tail(k, n, mid) <= log(error) else (mid, hi)
     return hi
 
 
@@ -147,13 +150,14 @@ def choose_cutoffs(counts: list[tuple[str, str, int, int, int]], risk: float = R
     bins: dict[tuple[str, str], np.ndarray] = {(s, r): np.zeros((101, 2), dtype=np.int64) for s in strata for r in RULES}
     for s, r, q, good, bad in counts:
         bins[s, r][min(max(q, 0), 100)] += (good, bad)
-    out, families = {}, sum(1 for x in bins.values() if x[:, 0].sum())
+    out, families, share = {}, sum(1 for x in bins.values() if x[:, 0].sum()), risk / len(RULES)
     for key, x in bins.items():
         n, best, cutoff = int(x[:, 0].sum()), 0, 100
         above = np.cumsum(x[::-1], axis=0)[::-1]
         for c in range(99, -1, -1):
             good, bad = map(int, above[c + 1])
-            if not n or binomial_upper(good, n, error / families) > risk / len(RULES):
+            # the upper bound is above share: so many or fewer would be seen there too often
+            if good >= share * n or log_binomial_tail(good, n, share) > log(error / families):
                 break
             if bad - GOOD_WEIGHT * good > best:
                 best, cutoff = bad - GOOD_WEIGHT * good, c

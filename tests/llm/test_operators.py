@@ -336,6 +336,31 @@ def test_cutoffs_bound_false_rejection():
     assert set(quality.choose_cutoffs([("a", "symbols", 3, 5, 5)]).values()) == {100}
 
 
+def test_bound_is_the_same_at_every_size():
+    """No other bound for many rejected documents: against the sum of all terms, and in even steps."""
+
+    def log_cdf(k, n, p):
+        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+        return max(terms) + math.log(math.fsum(math.exp(x - max(terms)) for x in terms))
+
+    for k, n in [(1999, 500_000), (2000, 500_000), (2001, 500_000), (3000, 800_000), (20_000, 5_200_000), (2500, 2600)]:
+        assert abs(log_cdf(k, n, quality.binomial_upper(k, n, 0.01)) - math.log(0.01)) < 1e-4
+    up = [quality.binomial_upper(k, 500_000, 0.01) for k in range(1990, 2012)]
+    steps = np.diff(up)
+    assert steps.max() < 1.01 * steps.min()
+
+
+@pytest.mark.parametrize(("n", "most"), [(450_000, 1701), (520_000, 1974), (560_000, 2130), (1_000_000, 3853)])
+def test_cutoffs_reject_all_the_bound_allows(n, most):
+    """most: the largest k for which sum(i <= k) C(n, i) 249^(n - i) <= 250^n / 100, in whole numbers."""
+
+    def cutoff(k):
+        counts = [("en", r, 0, n, 0) for r in quality.RULES if r != "symbols"] + [("en", "symbols", 0, n - k, 0), ("en", "symbols", 80, k, 100_000)]
+        return quality.choose_cutoffs(counts)["en", "symbols"]
+
+    assert (cutoff(most), cutoff(most + 1)) == (79, 100)
+
+
 def test_strata_can_certify():
     assert [quality.least_good(k) for k in (1, 3, 4, 5)] == [1149, 1424, 1495, 1551]
     assert quality.own_strata([("en", 1973)], 1973) == ["en"]
